@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.operators.status import FAILED, counting_columns, with_pending
+from framelake.operators.status import counting_columns, latest_per_image, with_pending
 
 
 def upsert_to(df: DataFrame, sink: str, checkpoint: str, **trigger):
@@ -25,11 +25,7 @@ def newest(table: DataFrame, keys: list[str]) -> DataFrame:
 
 def latest_status_stream(status_log: DataFrame) -> DataFrame:
     """Running last state per image; the state per image is one row."""
-    at = F.struct("ts", "event_id")
-    return status_log.groupBy("image_id").agg(
-        F.max_by(F.struct("status", "progress"), at).alias("_last"),
-        F.max_by("message", F.when(F.col("status") == FAILED, at)).alias("last_error"),
-    ).select("image_id", F.col("_last.status").alias("status"), F.col("_last.progress").alias("progress"), "last_error")
+    return latest_per_image(status_log)
 
 
 def pending_counts_stream(status_log: DataFrame, by: list[str]) -> DataFrame:
