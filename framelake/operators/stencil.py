@@ -82,7 +82,7 @@ def map_tiles(pixels: DataFrame, planes: list[str], radius: int, border: str, bo
         source = mirrored(wanted, size) if border == "reflect101" else np.clip(wanted, 0, size - 1)
         return start, stop, max(start - radius, 0), source
 
-    def run(key, rows: pa.Table) -> pa.Table:
+    def run(key, rows):
         image, tx, ty = (k.as_py() for k in key)
         x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
         x0, x1, left, sx = axis(tx, rows["width"][0].as_py())
