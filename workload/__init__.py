@@ -1,6 +1,6 @@
 """Registered queries over the driver tables, each with an independent SQL check where one exists."""
 
-from workload import manifest_queries, pixel_queries  # noqa: F401
+from workload import manifest_queries, pixel_queries, similarity_queries  # noqa: F401
 from workload.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
