@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.functions.numeric import as_column, clamp8, half_up, half_up8
+from framelake.functions.numeric import as_column, clamp8
 
 
 def contrast_factor(contrast) -> Column:
@@ -24,83 +24,47 @@ def luma(r: Column, g: Column, b: Column) -> Column:
     return F.floor((r * 299 + g * 587 + b * 114 + 500) / 1000).cast("int")
 
 
-def hue_saturation_lightness(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
-    """RGB in 0..1 to HSL in 0..1; on equal maxima red wins over green over blue."""
-    top, low = F.greatest(r, g, b), F.least(r, g, b)
-    spread, total = top - low, top + low
-    lightness = total / 2.0
-    gray = spread == 0.0
-    divisor = F.nullif(spread, F.lit(0.0))
-    saturation = F.when(gray, 0.0).otherwise(
-        spread / F.nullif(F.when(lightness > 0.5, F.lit(2.0) - top - low).otherwise(total), F.lit(0.0))
-    )
-    hue = (
-        F.when(gray, 0.0)
-        .when(top == r, (g - b) / divisor + F.when(g < b, 6.0).otherwise(0.0))
-        .when(top == g, (b - r) / divisor + 2.0)
-        .otherwise((r - g) / divisor + 4.0)
-    ) / 6.0
-    return hue, saturation, lightness
-
-
-def _channel(p: Column, q: Column, turn: Column) -> Column:
-    t = F.when(turn < 0.0, turn + 1.0).when(turn > 1.0, turn - 1.0).otherwise(turn)
-    return (
-        F.when(t < 1 / 6, p + (q - p) * 6.0 * t)
-        .when(t < 1 / 2, q)
-        .when(t < 2 / 3, p + (q - p) * (F.lit(2 / 3) - t) * 6.0)
-        .otherwise(p)
-    )
-
-
-def rgb_of_hsl(h: Column, s: Column, lightness: Column) -> tuple[Column, Column, Column]:
-    """HSL in 0..1 to RGB in 0..1."""
-    q = F.when(lightness < 0.5, lightness * (s + 1.0)).otherwise(lightness + s - lightness * s)
-    p = lightness * 2.0 - q
-    flat = s == 0.0
-    return tuple(F.when(flat, lightness).otherwise(_channel(p, q, h + F.lit(third))) for third in (1 / 3, 0.0, -1 / 3))
-
-
-def shift_hsl(r: Column, g: Column, b: Column, hue, saturation, lightness) -> Column:
-    """New channels as ``array<int>`` after turning the hue and scaling saturation and lightness.
-
-    One-element arrays bind intermediate results, so the expression tree stays small.
-    """
-    turn = (as_column(hue) - 100.0) * 3.6
-    h, s, l = hue_saturation_lightness(r / 255.0, g / 255.0, b / 255.0)
-    moved = (h * 360.0 + turn) % 360.0 / 360.0
-    state = F.array(
-        F.struct(
-            moved.alias("h"),
-            F.least(s * (as_column(saturation) / 100.0), F.lit(1.0)).alias("s"),
-            F.least(l * (as_column(lightness) / 100.0), F.lit(1.0)).alias("l"),
+# The conversions below work on helper columns.  Each step is its own projection, so a value is computed
+# once per pixel and everything stays in generated code.
+
+
+def with_hsl(pixels: DataFrame) -> DataFrame:
+    """Add ``_h, _s, _l`` (0..1) of ``r, g, b``; on equal maxima red wins over green over blue."""
+    unit = pixels.withColumns({f"_{c}": F.col(c) / 255.0 for c in ("r", "g", "b")})
+    r, g, b = F.col("_r"), F.col("_g"), F.col("_b")
+    ends = unit.withColumns({"_top": F.greatest(r, g, b), "_low": F.least(r, g, b)})
+    top, low = F.col("_top"), F.col("_low")
+    ends = ends.withColumns({"_span": F.nullif(top - low, F.lit(0.0)), "_l": (top + low) / 2.0})
+    span, light = F.col("_span"), F.col("_l")
+    gray = span.isNull()
+    return ends.withColumns({
+        "_s": F.when(gray, 0.0).when(light > 0.5, span / F.nullif(F.lit(2.0) - top - low, F.lit(0.0)))
+        .otherwise(span / F.nullif(top + low, F.lit(0.0))),
+        "_h": (
+            F.when(gray, 0.0)
+            .when(top == r, (g - b) / span + F.when(g < b, 6.0).otherwise(0.0))
+            .when(top == g, (b - r) / span + 2.0)
+            .otherwise((r - g) / span + 4.0)
+        ) / 6.0,
+    })
+
+
+def with_rgb(pixels: DataFrame) -> DataFrame:
+    """Add ``_r, _g, _b`` (0..1) of ``_h, _s, _l``."""
+    h, s, light = F.col("_h"), F.col("_s"), F.col("_l")
+    thirds = {"_r": 1 / 3, "_g": 0.0, "_b": -1 / 3}
+    ready = pixels.withColumn("_q", F.when(light < 0.5, light * (s + 1.0)).otherwise(light + s - light * s)).withColumns(
+        {"_p": light * 2.0 - F.col("_q"), **{c: h + F.lit(third) for c, third in thirds.items()}}
+    ).withColumns({c: F.when(F.col(c) < 0.0, F.col(c) + 1.0).when(F.col(c) > 1.0, F.col(c) - 1.0).otherwise(F.col(c)) for c in thirds})
+    p, q = F.col("_p"), F.col("_q")
+
+    def channel(t: Column) -> Column:
+        return (
+            F.when(s == 0.0, light)
+            .when(t < 1 / 6, p + (q - p) * 6.0 * t)
+            .when(t < 1 / 2, q)
+            .when(t < 2 / 3, p + (q - p) * (F.lit(2 / 3) - t) * 6.0)
+            .otherwise(p)
         )
-    )
-    return F.transform(
-        state,
-        lambda v: F.array(*[
-            half_up8(c * 255.0)
-            for c in rgb_of_hsl(F.when(v["h"] < 0.0, v["h"] + 1.0).otherwise(v["h"]), v["s"], v["l"])
-        ]),
-    )[0]
-
-
-def shift_hls8(r: Column, g: Column, b: Column, hue, saturation, lightness) -> Column:
-    """The 8-bit HLS alternate: hue in 0..179, lightness and saturation in 0..255, stores truncate."""
-    h, s, l = hue_saturation_lightness(r / 255.0, g / 255.0, b / 255.0)
-    state = F.array(F.struct(
-        (half_up(h * 180.0) % 180).cast("double").alias("h"),
-        half_up(l * 255.0).cast("double").alias("l"),
-        half_up(s * 255.0).cast("double").alias("s"),
-    ))
-    turn = (as_column(hue) - 100.0) * 180.0 / 200.0
-
-    def scaled(value: Column, factor) -> Column:
-        return F.floor(F.least(F.greatest(value * (as_column(factor) / 100.0), F.lit(0.0)), F.lit(255.0))).cast("double")
-
-    changed = F.transform(state, lambda v: F.struct(
-        (F.floor((v["h"] + turn + 180.0) % 180.0) / 180.0).alias("h"),
-        (scaled(v["s"], saturation) / 255.0).alias("s"),
-        (scaled(v["l"], lightness) / 255.0).alias("l"),
-    ))
-    return F.transform(changed, lambda v: F.array(*[half_up8(c * 255.0) for c in rgb_of_hsl(v["h"], v["s"], v["l"])]))[0]
+
+    return ready.withColumns({c: channel(F.col(c)) for c in thirds})

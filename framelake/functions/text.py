@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: the characters browsers treat as white space
-SPACE = "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # fixed values: accented letters and their plain forms, position by position
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿāăąćčďđēęěğīłńňōőŕřśşšţťūůűźżž"
@@ -14,25 +14,37 @@ PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyaaaccddeeegilnnoorrsssttuuuzzz"
 # fixed values: letters that become two
 LIGATURES = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th"}
 
+# Only plain letters survive slugging, so lower-casing needs just the letters that become plain ones:
+# A-Z, the Kelvin sign and the dotted capital I.
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\u212a\u0130"
+LOWER = "abcdefghijklmnopqrstuvwxyzki"
+
 
 def trim_space(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
+    return F.btrim(text, F.lit(SPACES))
+
+
+def _single(text: Column, mark: str) -> Column:
+    """Collapse runs of ``mark``; texts without a run skip the regular expression."""
+    return F.when(F.contains(text, F.lit(mark * 2)), F.regexp_replace(text, f"{mark}{{2,}}", mark)).otherwise(text)
 
 
 def seo_slug(text: Column, max_len: int = 50) -> Column:
     """Lower case, plain characters, spaces to hyphens, cut; ``image`` when nothing is left."""
-    plain = F.regexp_replace(F.lower(text), f"[^a-z0-9{SPACE}-]", "")
-    cut = F.substring(F.regexp_replace(trim_space(plain), f"[{SPACE}]+", "-"), 1, max_len)
+    simple = F.translate(text, UPPER + SPACES, LOWER + " " * len(SPACES))
+    words = _single(F.trim(F.regexp_replace(simple, "[^a-z0-9 -]+", "")), " ")
+    cut = F.substring(F.replace(words, F.lit(" "), F.lit("-")), 1, max_len)
     return F.coalesce(F.nullif(cut, F.lit("")), F.lit("image"))
 
 
 def caption_slug(text: Column, max_len: int = 70) -> Column:
     """Slug of a caption: accents are spelled plainly, runs of spaces and hyphens become one hyphen."""
-    plain = F.translate(F.lower(text), ACCENTED, PLAIN)
+    simple = F.translate(text, UPPER + ACCENTED + ACCENTED.upper() + SPACES, LOWER + PLAIN + PLAIN + " " * len(SPACES))
     for letter, pair in LIGATURES.items():
-        plain = F.replace(plain, F.lit(letter), F.lit(pair))
-    kept = trim_space(F.regexp_replace(plain, f"[^a-z0-9_~{SPACE}-]", ""))
-    return F.substring(F.regexp_replace(kept, f"[{SPACE}-]+", "-"), 1, max_len)
+        for form in (letter, "ẞ" if letter == "ß" else letter.upper()):
+            simple = F.replace(simple, F.lit(form), F.lit(pair))
+    kept = F.trim(F.regexp_replace(simple, "[^a-z0-9_~ -]+", ""))
+    return F.substring(_single(F.replace(kept, F.lit(" "), F.lit("-")), "-"), 1, max_len)
 
 
 def last_extension(name: Column) -> Column:

@@ -113,6 +113,6 @@ def overlay_logo(pixels: DataFrame, logo: DataFrame, tiles: DataFrame, opacity:
 
     start = F.struct(*[F.col(c).cast("int").alias(c) for c in CHANNELS])
     drawn = pixels.join(touched, ["image_id", "x", "y"], "left").withColumn(
-        "_out", F.aggregate(F.coalesce("_layers", F.array().cast(touched.schema["_layers"].dataType)), start, blend)
+        "_out", F.when(F.col("_layers").isNull(), start).otherwise(F.aggregate("_layers", start, blend))
     )
     return drawn.withColumns({c: F.col("_out")[c] for c in CHANNELS}).select(*given)

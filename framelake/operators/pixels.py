@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import color
-from framelake.functions.numeric import as_column, clamp8, half_up8
+from framelake.functions.numeric import as_column, clamp8, half_up, half_up8
 from framelake.keyed import salted_lookup
 from framelake.operators.stencil import sharpen
 
@@ -36,9 +36,14 @@ def hsl_adjust(pixels: DataFrame, hue, saturation, lightness, skip_transparent=F
     """Turn the hue, scale saturation and lightness (100 = unchanged)."""
     same = (as_column(hue) == 100) & (as_column(saturation) == 100) & (as_column(lightness) == 100)
     given = list(pixels.columns)
-    shifted = pixels.withColumn("_hsl", color.shift_hsl(F.col("r"), F.col("g"), F.col("b"), hue, saturation, lightness))
-    new = {c: F.when(same, F.col(c)).otherwise(F.col("_hsl")[k]) for k, c in enumerate(CHANNELS)}
-    return _store(shifted, new, skip_transparent).select(*given)
+    moved = (F.col("_h") * 360.0 + (as_column(hue) - 100.0) * 3.6) % 360.0 / 360.0
+    shifted = color.with_hsl(pixels).withColumns({
+        "_h": moved,
+        "_s": F.least(F.col("_s") * (as_column(saturation) / 100.0), F.lit(1.0)),
+        "_l": F.least(F.col("_l") * (as_column(lightness) / 100.0), F.lit(1.0)),
+    }).withColumn("_h", F.when(F.col("_h") < 0.0, F.col("_h") + 1.0).otherwise(F.col("_h")))
+    new = {c: F.when(same, F.col(c)).otherwise(half_up8(F.col(f"_{c}") * 255.0)) for c in CHANNELS}
+    return _store(color.with_rgb(shifted), new, skip_transparent).select(*given)
 
 
 def rgb_scale(pixels: DataFrame, red, green, blue, skip_transparent=False) -> DataFrame:
@@ -54,10 +59,21 @@ def linear_contrast(pixels: DataFrame, brightness, contrast) -> DataFrame:
 
 
 def hls8_adjust(pixels: DataFrame, hue, saturation, lightness) -> DataFrame:
-    """Alternate hue/lightness/saturation in 8-bit HLS space."""
+    """Alternate hue/lightness/saturation on 8-bit HLS: hue 0..179, the others 0..255, stores truncate."""
     given = list(pixels.columns)
-    shifted = pixels.withColumn("_hls", color.shift_hls8(F.col("r"), F.col("g"), F.col("b"), hue, saturation, lightness))
-    return shifted.withColumns({c: F.col("_hls")[k] for k, c in enumerate(CHANNELS)}).select(*given)
+    turn = (as_column(hue) - 100.0) * 180.0 / 200.0
+
+    def scaled(value: Column, factor) -> Column:
+        return F.floor(F.least(F.greatest(value * (as_column(factor) / 100.0), F.lit(0.0)), F.lit(255.0))) / 255.0
+
+    stored = color.with_hsl(pixels).withColumns({
+        "_h": half_up(F.col("_h") * 180.0) % 180, "_l": half_up(F.col("_l") * 255.0), "_s": half_up(F.col("_s") * 255.0),
+    })
+    changed = stored.withColumns({
+        "_h": F.floor((F.col("_h") + turn + 180.0) % 180.0) / 180.0,
+        "_l": scaled(F.col("_l"), lightness), "_s": scaled(F.col("_s"), saturation),
+    })
+    return color.with_rgb(changed).withColumns({c: half_up8(F.col(f"_{c}") * 255.0) for c in CHANNELS}).select(*given)
 
 
 ADJUSTMENTS = ("brightness", "contrast", "hue", "saturation", "lightness", "sharpen",

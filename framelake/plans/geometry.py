@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from framelake.functions.numeric import half_up
 
-W, H = F.col("width"), F.col("height")
+def _width() -> Column:
+    return F.col("width")
+
+
+def _height() -> Column:
+    return F.col("height")
 
 
 def _sized(manifest: DataFrame, w: Column, h: Column) -> DataFrame:
@@ -18,59 +23,59 @@ def plan_resize(manifest: DataFrame, presets: DataFrame) -> DataFrame:
     """Target size from the preset named in ``preset_id``; without one the source size."""
     p = presets.select("preset_id", F.col("width").alias("_pw"), F.col("height").alias("_ph"))
     pw, ph = F.nullif(F.col("_pw"), F.lit(0)), F.nullif(F.col("_ph"), F.lit(0))
-    w = F.when(pw.isNotNull(), pw).when(ph.isNotNull(), half_up(W * (ph / H))).otherwise(W)
-    h = F.when(ph.isNotNull(), ph).when(pw.isNotNull(), half_up(H * (pw / W))).otherwise(H)
+    w = F.when(pw.isNotNull(), pw).when(ph.isNotNull(), half_up(_width() * (ph / _height()))).otherwise(_width())
+    h = F.when(ph.isNotNull(), ph).when(pw.isNotNull(), half_up(_height() * (pw / _width()))).otherwise(_height())
     return _sized(manifest.join(p, "preset_id", "left"), w, h).drop("_pw", "_ph")
 
 
 def plan_preview(manifest: DataFrame, max_width: int = 800) -> DataFrame:
     """Cap the width only."""
-    wide = W > max_width
-    return _sized(manifest, F.when(wide, max_width).otherwise(W), F.when(wide, half_up(H * (F.lit(float(max_width)) / W))).otherwise(H))
+    wide = _width() > max_width
+    return _sized(manifest, F.when(wide, max_width).otherwise(_width()), F.when(wide, half_up(_height() * (F.lit(float(max_width)) / _width()))).otherwise(_height()))
 
 
 def plan_thumbnail(manifest: DataFrame, max_side: int = 800) -> DataFrame:
     """Cap the longer side; the aspect ratio is formed before scaling."""
     side = F.lit(float(max_side))
-    wide, tall = (W >= H) & (W > max_side), (H > W) & (H > max_side)
+    wide, tall = (_width() >= _height()) & (_width() > max_side), (_height() > _width()) & (_height() > max_side)
     return _sized(
         manifest,
-        F.when(wide, side).when(tall, half_up(side * (W / H))).otherwise(W),
-        F.when(wide, half_up(side * (H / W))).when(tall, side).otherwise(H),
+        F.when(wide, side).when(tall, half_up(side * (_width() / _height()))).otherwise(_width()),
+        F.when(wide, half_up(side * (_height() / _width()))).when(tall, side).otherwise(_height()),
     )
 
 
 def plan_bounded_1200(manifest: DataFrame, bound: int = 1200) -> DataFrame:
     """Cap landscape images by width, all others by height, rounding the other side."""
     b = F.lit(float(bound))
-    wide, tall = (W > H) & (W > bound), H > bound
+    wide, tall = (_width() > _height()) & (_width() > bound), _height() > bound
     return _sized(
         manifest,
-        F.when(wide, b).when(tall, half_up(W * (b / H))).otherwise(W),
-        F.when(wide, half_up(H * (b / W))).when(tall, b).otherwise(H),
+        F.when(wide, b).when(tall, half_up(_width() * (b / _height()))).otherwise(_width()),
+        F.when(wide, half_up(_height() * (b / _width()))).when(tall, b).otherwise(_height()),
     )
 
 
 def plan_bounded_1600(manifest: DataFrame, bound: int = 1600) -> DataFrame:
     """Cap by the side that overflows more, flooring the other side."""
     b = F.lit(float(bound))
-    over = (W > bound) | (H > bound)
-    wide = (W / b) >= (H / b)
+    over = (_width() > bound) | (_height() > bound)
+    wide = (_width() / b) >= (_height() / b)
     return _sized(
         manifest,
-        F.when(over & wide, b).when(over, F.floor(W / (H / b))).otherwise(W),
-        F.when(over & wide, F.floor(H / (W / b))).when(over, b).otherwise(H),
+        F.when(over & wide, b).when(over, F.floor(_width() / (_height() / b))).otherwise(_width()),
+        F.when(over & wide, F.floor(_height() / (_width() / b))).when(over, b).otherwise(_height()),
     )
 
 
 def plan_letterbox(manifest: DataFrame, target_w: int, target_h: int) -> DataFrame:
     """Fit into a box: squares fill it, portrait pads left, landscape pads top; sides stay fractional."""
     tw, th = F.lit(float(target_w)), F.lit(float(target_h))
-    w = F.when(H > W, W / H * th).otherwise(tw)
-    h = F.when(W > H, H / W * tw).otherwise(th)
+    w = F.when(_height() > _width(), _width() / _height() * th).otherwise(tw)
+    h = F.when(_width() > _height(), _height() / _width() * tw).otherwise(th)
     return manifest.withColumns({
-        "box_x": F.when(H > W, F.floor((tw - w) / 2)).otherwise(F.lit(0)).cast("double"),
-        "box_y": F.when(W > H, F.floor((th - h) / 2)).otherwise(F.lit(0)).cast("double"),
+        "box_x": F.when(_height() > _width(), F.floor((tw - w) / 2)).otherwise(F.lit(0)).cast("double"),
+        "box_y": F.when(_width() > _height(), F.floor((th - h) / 2)).otherwise(F.lit(0)).cast("double"),
         "box_w": w, "box_h": h,
     })
 
@@ -107,11 +112,11 @@ def plan_adjustments(manifest: DataFrame, looks: DataFrame, neutral: dict[str, f
 
 def _anchor(w: Column, h: Column, position: Column) -> tuple[Column, Column]:
     """Upper left corner of a w x h box; 2 % margin; bottom right unless named otherwise."""
-    margin = F.least(W, H) * 0.02
+    margin = F.least(_width(), _height()) * 0.02
     left, top = position.isin("topLeft", "bottomLeft"), position.isin("topLeft", "topRight")
     middle, free = position == "center", position.isin("diagonal", "tile")
-    x = F.when(left, margin).when(middle, (W - w) / 2).when(free, 0.0).otherwise(W - w - margin)
-    y = F.when(top, margin).when(middle, (H - h) / 2).when(free, 0.0).otherwise(H - h - margin)
+    x = F.when(left, margin).when(middle, (_width() - w) / 2).when(free, 0.0).otherwise(_width() - w - margin)
+    y = F.when(top, margin).when(middle, (_height() - h) / 2).when(free, 0.0).otherwise(_height() - h - margin)
     return x, y
 
 
@@ -125,15 +130,15 @@ def plan_watermark_box(manifest: DataFrame, watermarks: DataFrame) -> DataFrame:
     ``watermarks``: ``watermark_id, enabled, type, position, size, logo_w, logo_h``.
     """
     aspect = F.col("logo_w") / F.col("logo_h")
-    base = F.least(W, H) * (F.col("size") / 100.0)
-    too_wide = base > W * 0.9
-    w = F.when(too_wide, W * 0.9).otherwise(base)
-    h = F.when(too_wide, W * 0.9 / aspect).otherwise(base / aspect)
+    base = F.least(_width(), _height()) * (F.col("size") / 100.0)
+    too_wide = base > _width() * 0.9
+    w = F.when(too_wide, _width() * 0.9).otherwise(base)
+    h = F.when(too_wide, _width() * 0.9 / aspect).otherwise(base / aspect)
     with_sides = _active(manifest, watermarks, "logo").where("logo_w is not null and logo_h is not null")
-    too_tall = F.col("_h") > H * 0.9
+    too_tall = F.col("_h") > _height() * 0.9
     fitted = with_sides.withColumns({"_w": w, "_h": h}).withColumns({
-        "box_w": half_up(F.when(too_tall, H * 0.9 * aspect).otherwise(F.col("_w"))).cast("int"),
-        "box_h": half_up(F.when(too_tall, H * 0.9).otherwise(F.col("_h"))).cast("int"),
+        "box_w": half_up(F.when(too_tall, _height() * 0.9 * aspect).otherwise(F.col("_w"))).cast("int"),
+        "box_h": half_up(F.when(too_tall, _height() * 0.9).otherwise(F.col("_h"))).cast("int"),
     })
     where = F.when(F.col("position") == "diagonal", "center").otherwise(F.col("position"))
     x, y = _anchor(F.col("box_w"), F.col("box_h"), where)
@@ -151,9 +156,9 @@ def plan_watermark_text(manifest: DataFrame, watermarks: DataFrame, text_metrics
     align = F.when(where.isin("topLeft", "bottomLeft"), "left").when(where.isin("topRight", "bottomRight"), "right").otherwise("center")
     shift = F.when(align == "left", 0.0).when(align == "right", tw).otherwise(tw / 2)
     return texts.withColumns({
-        "font_px": F.greatest(F.lit(10.0), F.least(W, H) * (F.col("size") / 100.0)),
-        "text_x": F.when(where == "diagonal", W / 2).when(where == "tile", 0.0).otherwise(x + shift),
-        "text_y": F.when(where == "diagonal", H / 2).when(where == "tile", 0.0).otherwise(y + th / 2),
+        "font_px": F.greatest(F.lit(10.0), F.least(_width(), _height()) * (F.col("size") / 100.0)),
+        "text_x": F.when(where == "diagonal", _width() / 2).when(where == "tile", 0.0).otherwise(x + shift),
+        "text_y": F.when(where == "diagonal", _height() / 2).when(where == "tile", 0.0).otherwise(y + th / 2),
         "align": align,
         "angle": F.when(where == "diagonal", -45.0).when(where == "tile", -30.0).otherwise(0.0),
     })
@@ -172,7 +177,7 @@ def plan_watermark_tiles(boxes: DataFrame, kind: str) -> DataFrame:
 
     return (
         boxes.where((step_x > 0) & (step_y > 0))
-        .withColumn("y", F.explode(origins(H, step_y)))
-        .withColumn("x", F.explode(origins(W, step_x)))
+        .withColumn("y", F.explode(origins(_height(), step_y)))
+        .withColumn("x", F.explode(origins(_width(), step_x)))
         .select("image_id", "x", "y")
     )
