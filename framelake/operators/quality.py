@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,16 +49,14 @@ def quality_kpis(pixels: DataFrame, manifest: DataFrame, tile: int = stencil.TIL
     names = ["n", "v1", "v2", "e1", "e2", "d1", "d2"]
     gray = to_gray(pixels)
 
-    def body(image, padded, _inside, place):
+    def sums_of(padded, place):
         plane = padded["v"]
         v = plane[1:-1, 1:-1][place]
         edge = stencil.weighted(plane, stencil.LAPLACIAN)[place]
         noise = np.abs(v - np.floor((stencil.weighted(plane, stencil.BINOMIAL3)[place] + 8.0) / 16.0))
-        sums = [float(len(v))] + [float(s) for x in (v, edge, noise) for s in (x.sum(), (x * x).sum())]
-        return pa.Table.from_arrays([pa.array([image])] + [pa.array([s]) for s in sums], names=["image_id", *names])
+        return [len(v)] + [s for x in (v, edge, noise) for s in (x.sum(), (x * x).sum())]
 
-    ddl = f"image_id {gray.schema['image_id'].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names)
-    sums = stencil.map_tiles(gray, ["v"], 1, "reflect101", body, ddl, tile)
+    sums = stencil.tile_sums(gray, ["v"], 1, "reflect101", sums_of, names, tile)
     total = sums.groupBy("image_id").agg(*[F.sum(n).alias(n) for n in names])
 
     def variance(first: str, second: str) -> Column:

@@ -7,6 +7,8 @@ pixels whatever the image size, so one giant image is many tasks.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,42 +64,81 @@ def _tiles_on(axis: str, size: str, radius: int, tile: int):
     return F.explode(F.sequence(first, last))
 
 
-def map_tiles(pixels: DataFrame, planes: list[str], radius: int, border: str, body, schema: str, tile: int = TILE) -> DataFrame:
-    """Run ``body(image_id, padded, inside, place) -> pa.Table`` once per tile.
+@dataclass(frozen=True)
+class Tile:
+    """One tile of a batch: its row range, which of those rows are its own, and where they sit."""
 
-    ``padded`` maps plane names to arrays grown by ``radius`` on every side; ``inside`` is the Arrow
-    table of the tile's own pixels and ``place`` their (row, column) inside the tile.
-    """
+    rows: slice
+    own: np.ndarray
+    place: tuple[np.ndarray, np.ndarray]
+    padded: dict[str, np.ndarray]
+
+
+def _tiled(pixels: DataFrame, radius: int, border: str, tile: int) -> DataFrame:
+    """Pixels with their tile, all rows of a tile next to each other in one partition."""
     if border not in ("skip", "reflect101"):
         raise ValueError(f"unknown border {border!r}")
     if radius >= tile:
         raise ValueError("the tile must be larger than the kernel radius")
-    tiled = pixels.withColumn("tx", _tiles_on("x", "width", radius, tile)).withColumn(
-        "ty", _tiles_on("y", "height", radius, tile)
+    keys = ["image_id", "tx", "ty"]
+    return (
+        pixels.withColumn("tx", _tiles_on("x", "width", radius, tile))
+        .withColumn("ty", _tiles_on("y", "height", radius, tile))
+        .repartition(*keys).sortWithinPartitions(*keys)
     )
 
+
+def _tile_starts(table: pa.Table) -> np.ndarray:
+    """Row numbers at which a new tile begins."""
+    images = table["image_id"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    new = np.ones(table.num_rows, dtype=bool)
+    new[1:] = np.diff(images) != 0
+    for key in ("tx", "ty"):
+        new[1:] |= np.diff(table[key].to_numpy()) != 0
+    return np.flatnonzero(new)
+
+
+def _whole_tiles(batches):
+    """Regroup Arrow batches so that no tile is cut; at most one tile is held back."""
+    held = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        cut = int(_tile_starts(table)[-1])
+        held = table.slice(cut)
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+    if held is not None:
+        yield held.combine_chunks()
+
+
+def _tiles(table: pa.Table, planes: list[str], radius: int, border: str, tile: int):
+    """Padded planes of every tile of a batch; outside pixels are mirrored (or repeated for "skip")."""
+    x, y, width, height, tx, ty = (table[c].to_numpy() for c in ("x", "y", "width", "height", "tx", "ty"))
+    values = {p: table[p].to_numpy(zero_copy_only=False) for p in planes}
+
     def axis(at: int, size: int):
         start, stop = at * tile, min(at * tile + tile, size)
         wanted = np.arange(start - radius, stop + radius)
         source = mirrored(wanted, size) if border == "reflect101" else np.clip(wanted, 0, size - 1)
-        return start, stop, max(start - radius, 0), source
-
-    def run(key, rows):
-        image, tx, ty = (k.as_py() for k in key)
-        x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
-        x0, x1, left, sx = axis(tx, rows["width"][0].as_py())
-        y0, y1, upper, sy = axis(ty, rows["height"][0].as_py())
-        shape = (max(int(sy.max()), y1 - 1) - upper + 1, max(int(sx.max()), x1 - 1) - left + 1)
+        base = min(int(source.min()), max(start - radius, 0))
+        return start, stop, base, max(int(source.max()), stop + radius) - base + 1, source
+
+    starts = _tile_starts(table)
+    for lo, hi in zip(starts, [*starts[1:], table.num_rows], strict=True):
+        rows = slice(int(lo), int(hi))
+        x0, x1, left, wide, sx = axis(int(tx[lo]), int(width[lo]))
+        y0, y1, upper, tall, sy = axis(int(ty[lo]), int(height[lo]))
+        gx, gy = x[rows], y[rows]
         padded = {}
-        for name in planes:
-            sheet = np.full(shape, np.nan)
-            sheet[y - upper, x - left] = rows[name].to_numpy(zero_copy_only=False)
+        for name, column in values.items():
+            sheet = np.full((tall, wide), np.nan)
+            sheet[gy - upper, gx - left] = column[rows]
             padded[name] = sheet[np.ix_(sy - upper, sx - left)]
-        own = (x >= x0) & (x < x1) & (y >= y0) & (y < y1)
-        inside = rows.filter(pa.array(own))
-        return body(image, padded, inside, (y[own] - y0, x[own] - x0))
-
-    return tiled.groupBy("image_id", "tx", "ty").applyInArrow(run, schema)
+        own = (gx >= x0) & (gx < x1) & (gy >= y0) & (gy < y1)
+        yield Tile(rows, own, (gy[own] - y0, gx[own] - x0), padded)
 
 
 def _ddl(pixels: DataFrame, names: list[str]) -> str:
@@ -107,18 +148,38 @@ def _ddl(pixels: DataFrame, names: list[str]) -> str:
 def stencil(pixels: DataFrame, planes: list[str], radius: int, border: str, compute, outputs: list[str], tile: int = TILE) -> DataFrame:
     """Add the double columns ``outputs``: ``compute(padded)`` returns one array per output."""
     keep = list(pixels.columns)
-    schema = pa.schema([(name, pa.float64()) for name in outputs])
 
-    def body(_image, padded, inside, place):
-        values = [v[place] for v in compute(padded)]
-        added = pa.Table.from_arrays([pa.array(v) for v in values], schema=schema)
-        out = inside.select(keep)
-        for name in outputs:
-            out = out.append_column(name, added[name])
-        return out
+    def run(batches):
+        for table in _whole_tiles(batches):
+            own = np.zeros(table.num_rows, dtype=bool)
+            results = [np.empty(table.num_rows) for _ in outputs]
+            for t in _tiles(table, planes, radius, border, tile):
+                own[t.rows] = t.own
+                for result, values in zip(results, compute(t.padded), strict=True):
+                    result[t.rows][t.own] = values[t.place]
+            out = table.select(keep).filter(pa.array(own))
+            for name, result in zip(outputs, results, strict=True):
+                out = out.append_column(name, pa.array(result[own]))
+            yield from out.to_batches()
 
     ddl = _ddl(pixels, keep) + ", " + ", ".join(f"{n} double" for n in outputs)
-    return map_tiles(pixels, planes, radius, border, body, ddl, tile)
+    return _tiled(pixels, radius, border, tile).mapInArrow(run, ddl)
+
+
+def tile_sums(pixels: DataFrame, planes: list[str], radius: int, border: str, compute, outputs: list[str], tile: int = TILE) -> DataFrame:
+    """One row per tile: ``image_id`` and the numbers ``compute(padded, place)`` returns."""
+
+    def run(batches):
+        for table in _whole_tiles(batches):
+            tiles = list(_tiles(table, planes, radius, border, tile))
+            rows = [compute(t.padded, t.place) for t in tiles]
+            out = table.select(["image_id"]).take(pa.array([t.rows.start for t in tiles]))
+            for k, name in enumerate(outputs):
+                out = out.append_column(name, pa.array([float(r[k]) for r in rows]))
+            yield from out.to_batches()
+
+    ddl = _ddl(pixels, ["image_id"]) + ", " + ", ".join(f"{n} double" for n in outputs)
+    return _tiled(pixels, radius, border, tile).mapInArrow(run, ddl)
 
 
 def convolve(pixels: DataFrame, kernel, border: str = "reflect101", planes: tuple[str, ...] = ("r", "g", "b"), tile: int = TILE) -> DataFrame:
