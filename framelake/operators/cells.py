@@ -217,8 +217,11 @@ def pair_kernel(algorithm: str, threshold: float):
     return kernel
 
 
-def first_kernel(algorithm: str, threshold: float):
-    """Per probe j the smallest passing i < j of the block: one row per probe, never all pairs."""
+def first_kernel(algorithm: str, threshold: float, block: int | None = None):
+    """Per probe j the smallest passing i < j: one row per probe, never all pairs.
+
+    With ``block`` only pairs from different index blocks of that size count.
+    """
 
     def kernel(di, dv, pi, pv):
         js, firsts = [], []
@@ -229,6 +232,8 @@ def first_kernel(algorithm: str, threshold: float):
             a, b = np.nonzero(np.abs(rough - threshold) <= BAND)
             ok[a, b] = passes(pair_scores(dv[a], vecs[b], algorithm), threshold, algorithm)
             ok &= di[:, None] < ids[None, :]
+            if block is not None:
+                ok &= (di // block)[:, None] != (ids // block)[None, :]
             hit = ok.any(axis=0)
             js.append(ids[hit])
             firsts.append(di[ok.argmax(axis=0)[hit]])  # data rows arrive sorted by id
@@ -237,19 +242,26 @@ def first_kernel(algorithm: str, threshold: float):
     return kernel
 
 
-def local_leaders(ids: np.ndarray, vectors: np.ndarray, algorithm: str, threshold: float) -> np.ndarray:
-    """Leaders of a bounded set of rows, taken one after the other in id order."""
+def local_leaders(ids: np.ndarray, vectors: np.ndarray, waiting: np.ndarray, algorithm: str, threshold: float) -> np.ndarray:
+    """Leaders among a bounded set of rows, taken one after the other in id order.
+
+    A ``waiting`` row depends on rows outside the set: it, and what only depends on it, stays open.
+    """
     order = np.argsort(ids)
-    ids, vectors = ids[order], vectors[order]
-    free = np.ones(len(ids), dtype=bool)
+    ids, vectors, open_ = ids[order], vectors[order], waiting[order].copy()
+    taken = np.zeros(len(ids), dtype=bool)
     leaders = []
     for at in range(len(ids)):
-        if not free[at]:
+        if taken[at]:
             continue
-        leaders.append(ids[at])
-        later = np.nonzero(free[at + 1 :])[0] + at + 1
+        later = np.nonzero(~taken[at + 1 :])[0] + at + 1
         score = pair_scores(np.broadcast_to(vectors[at], (len(later), vectors.shape[1])), vectors[later], algorithm)
-        free[later[passes(score, threshold, algorithm)]] = False
+        similar = later[passes(score, threshold, algorithm)]
+        if open_[at]:
+            open_[similar] = True
+        else:
+            leaders.append(ids[at])
+            taken[similar] = True
     return np.array(leaders, dtype=np.int64)
 
 

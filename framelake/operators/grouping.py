@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -21,6 +22,10 @@ from framelake.operators import cells, similarity
 from framelake.scratch import written
 
 
+# consecutive indices settled together in one task
+INDEX_BLOCK = 4096
+
+
 def _members(vertices: DataFrame, led: DataFrame, by: list[str]) -> DataFrame:
     """Vertices with their leader; a vertex nobody leads is its own leader."""
     return vertices.join(led, [*by, "original_index"], "left").withColumn(
@@ -28,6 +33,41 @@ def _members(vertices: DataFrame, led: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def _block_leaders(active: DataFrame, by: list[str]) -> DataFrame:
+    """Leaders that can be settled inside one block of ``INDEX_BLOCK`` consecutive indices.
+
+    Long chains (frames of a burst, each similar to the next) would otherwise cost a round per link.
+    A row with an undecided smaller neighbour in another block waits, and so does what depends on it.
+    A group holds at most one block's rows and the pairs between them.
+    """
+    home = F.floor(F.col("j") / INDEX_BLOCK)
+    inside = F.floor(F.col("i") / INDEX_BLOCK) == home
+    links = active.withColumn("i", F.when(inside, F.col("i")).otherwise(-1)).distinct().withColumn("block", home)
+    ddl = ", ".join([*(f"{c} {active.schema[c].dataType.simpleString()}" for c in by), "i long"])
+
+    def solve(rows: pa.Table) -> pa.Table:
+        i, j = rows["i"].to_numpy(), rows["j"].to_numpy()
+        leaders, waiting = set(), set(j[i < 0].tolist())
+        order = np.argsort(j, kind="stable")
+        later, starts = np.unique(j[order], return_index=True)
+        # rows that are nobody's later neighbour in this block and do not wait lead already
+        leaders.update(set(i[i >= 0].tolist()) - set(later.tolist()))
+        chosen = []
+        for v, before in zip(later.tolist(), np.split(i[order], starts[1:]), strict=True):
+            earlier = before.tolist()
+            if any(u in leaders for u in earlier):
+                continue
+            if v in waiting or any(u in waiting for u in earlier):
+                waiting.add(v)
+            else:
+                leaders.add(v)
+                chosen.append(v)
+        first = pa.array([0] * len(chosen), pa.int64())
+        return pa.table({**{c: rows[c].take(first) for c in by}, "i": pa.array(chosen, pa.int64())})
+
+    return links.groupBy(*by, "block").applyInArrow(solve, ddl)
+
+
 def group_duplicates(vertices: DataFrame, pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Group ``vertices(original_index)`` along ``pairs(i, j)``, i < j: adds ``leader_index``.
 
@@ -44,7 +84,10 @@ def group_duplicates(vertices: DataFrame, pairs: DataFrame, by: list[str] | None
     while True:
         # pairs are always the left side, so adaptive execution can split a hub with very many pairs
         covered = active.join(leads, i_key, "left_semi").select(*by, F.col("j").alias("v")).distinct()
-        undecided = written(undecided.join(covered, [*by, "v"], "left_anti"), "undecided")
+        undecided = written(
+            undecided.join(covered, [*by, "v"], "left_anti").join(leads.withColumnRenamed("i", "v"), [*by, "v"], "left_anti"),
+            "undecided",
+        )
         if undecided.isEmpty():
             break
         active = written(
@@ -53,8 +96,8 @@ def group_duplicates(vertices: DataFrame, pairs: DataFrame, by: list[str] | None
             "active",
         )
         beaten = active.select(*by, F.col("j").alias("v")).distinct()
-        leads = undecided.join(beaten, [*by, "v"], "left_anti").withColumnRenamed("v", "i")
-        undecided = beaten
+        free = undecided.join(beaten, [*by, "v"], "left_anti").withColumnRenamed("v", "i")
+        leads = written(free.unionByName(_block_leaders(active, by)), "leads")
         found.append(leads)
     leaders = reduce(DataFrame.unionByName, found)
     led = (
@@ -99,12 +142,12 @@ def group_embeddings(
     plan = cells.plan_cells(points, algorithm, **layout)
     radius, kernel = cells.metric_radius(algorithm, limit), cells.first_kernel(algorithm, limit)
 
-    def first_similar(data: DataFrame, probes: DataFrame) -> DataFrame:
+    def first_similar(data: DataFrame, probes: DataFrame, kernel) -> DataFrame:
         hits = cells.cell_join(data, probes, plan, radius, kernel, "j long, i long")
         return hits.groupBy("j").agg(F.min("i").alias("i"))
 
     # (j, i): the first row similar to j.  If that row leads, it is j's leader for good.
-    first = written(first_similar(points, points), "first")
+    first = written(first_similar(points, points, kernel), "first")
     beaten = first.select(F.col("j").alias("i"))
     reached = [first.join(beaten, "i", "left_anti")]
     leads = points.join(first.select(F.col("j").alias("id")), "id", "left_anti")
@@ -113,18 +156,17 @@ def group_embeddings(
     undecided, left = unsettled, unsettled.count()
     while left:
         # asked for all unsettled rows: a late leader may precede the one found for a row so far
-        reach = written(first_similar(leads, unsettled), "reach")
+        reach = written(first_similar(leads, unsettled, kernel), "reach")
         reached.append(reach)
-        undecided = written(undecided.join(reach.select(F.col("j").alias("id")), "id", "left_anti"), "undecided")
+        undecided = written(
+            undecided.join(reach.select(F.col("j").alias("id")), "id", "left_anti").join(leads.select("id"), "id", "left_anti"),
+            "undecided",
+        )
         left = undecided.count()
-        if 0 < left <= finish_rows:  # the count bounds the one task that finishes a long chain
-            leads = written(_finish(undecided, algorithm, limit), "leads")
-            reached.append(first_similar(leads, unsettled))
-            break
         if left:
-            beaten = written(first_similar(undecided, undecided).select(F.col("j").alias("id")), "beaten")
-            leads = undecided.join(beaten, "id", "left_anti")
-            undecided = undecided.join(beaten, "id", "left_semi")
+            # the count bounds the one block a small rest fits into
+            block = None if left <= finish_rows else INDEX_BLOCK
+            leads = written(_settle(undecided, algorithm, limit, block, first_similar), "leads")
     led = reduce(DataFrame.unionByName, reached).groupBy(F.col("j").alias("id")).agg(F.min("i").alias("leader_index"))
     grouped = vertices.join(led, "id", "left").withColumn("leader_index", F.coalesce("leader_index", "id"))
     spread = salted_lookup(
@@ -135,15 +177,24 @@ def group_embeddings(
     return written(spread.select("original_index", "leader_index"), "groups")
 
 
-def _finish(undecided: DataFrame, algorithm: str, limit: float) -> DataFrame:
-    """Leaders among a counted, small rest of rows, in one task."""
+def _settle(undecided: DataFrame, algorithm: str, limit: float, block: int | None, first_similar) -> DataFrame:
+    """Leaders that can be settled inside blocks of ``block`` consecutive indices (None: one block)."""
+    if block is None:
+        rows = undecided.withColumns({"waits": F.lit(False), "block": F.lit(0).cast("long")})
+    else:
+        outside = first_similar(undecided, undecided, cells.first_kernel(algorithm, limit, block)).select(
+            F.col("j").alias("id"), F.lit(True).alias("waits")
+        )
+        rows = undecided.join(outside, "id", "left").withColumns(
+            {"waits": F.coalesce("waits", F.lit(False)), "block": F.floor(F.col("id") / block)}
+        )
 
     def solve(rows: pa.Table) -> pa.Table:
-        ids, vecs = rows["id"].to_numpy(), cells.matrix(rows["vec"])
-        chosen = cells.local_leaders(ids, vecs, algorithm, limit)
+        ids, waits = rows["id"].to_numpy(), rows["waits"].to_numpy(zero_copy_only=False)
+        chosen = cells.local_leaders(ids, cells.matrix(rows["vec"]), waits, algorithm, limit)
         return rows.select(["id", "vec"]).filter(pc.is_in(rows["id"], pa.array(chosen)))
 
-    return undecided.withColumn("part", F.lit(0)).groupBy("part").applyInArrow(solve, "id long, vec array<float>")
+    return rows.groupBy("block").applyInArrow(solve, "id long, vec array<float>")
 
 
 def rank_groups(groups: DataFrame, rows_per_bucket: int = 1_000_000) -> DataFrame:

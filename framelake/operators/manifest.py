@@ -12,6 +12,9 @@ HEIC_EXTENSIONS = (".heic", ".heif")
 HEIC_MIMES = ("image/heic", "image/heif")
 HEIC_SIGNATURES = ("66747970686569", "6674797068656a", "66747970686576")
 
+# largest cap that is taken as a top-k
+TOP_ROWS = 100_000
+
 
 def detect_heic(manifest: DataFrame) -> DataFrame:
     """Add ``is_heic``: by extension or mime, else by the signature in ``content``."""
@@ -31,9 +34,15 @@ def source_format(manifest: DataFrame) -> DataFrame:
 
 
 def admit_batch(existing: DataFrame, new: DataFrame, cap: int = 100, order_by: str = "arrival") -> DataFrame:
-    """Existing images plus the first new ones, in arrival order, up to ``cap`` in total."""
+    """Existing images plus the first new ones, in arrival order, up to ``cap`` in total.
+
+    ``order_by`` must be unique.  A small cap is a top-k; a cap of millions is cut by row number, so
+    that the admitted rows never meet in one task.
+    """
     room = max(cap - existing.count(), 0)
-    return existing.unionByName(new.orderBy(order_by).limit(room))
+    if room <= TOP_ROWS:
+        return existing.unionByName(new.orderBy(order_by).limit(room))
+    return existing.unionByName(global_index(new, [order_by], "_at").where(F.col("_at") < room).drop("_at"))
 
 
 def assign_index(existing: DataFrame, new: DataFrame, order_by: list[str], rows_per_bucket: int = 1_000_000) -> DataFrame:

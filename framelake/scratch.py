@@ -38,3 +38,11 @@ def written(df: DataFrame, label: str = "cut") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme Spark resolves it to, for readers and writers outside of Spark."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    uri = system.makeQualified(target).toString()
+    return uri if "://" in uri else uri.replace(":/", ":///", 1)

@@ -10,7 +10,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.scratch import scratch_path
+from framelake.scratch import qualified, scratch_path
 from workload import tables as D
 
 PNG_BYTES = 332  # an uncompressed 8x8 RGBA file
@@ -31,7 +31,7 @@ def image_files(spark: SparkSession, sf_dir: str) -> str:
     """One PNG per embedding image, and a broken .jpg for every 50th; returns the folder."""
     folder = scratch_path(spark, "files")
     images: DataFrame = D.images(spark, sf_dir)
-    target = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    target = qualified(spark, folder)
 
     def write(batches):
         store, root = fs.FileSystem.from_uri(target)
