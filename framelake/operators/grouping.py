@@ -163,10 +163,12 @@ def group_embeddings(
             "undecided",
         )
         left = undecided.count()
+        if 0 < left <= finish_rows:  # the count bounds the one block that settles all of a small rest
+            leads = written(_settle(undecided, algorithm, limit, None, first_similar), "leads")
+            reached.append(first_similar(leads, unsettled, kernel))
+            break
         if left:
-            # the count bounds the one block a small rest fits into
-            block = None if left <= finish_rows else INDEX_BLOCK
-            leads = written(_settle(undecided, algorithm, limit, block, first_similar), "leads")
+            leads = written(_settle(undecided, algorithm, limit, INDEX_BLOCK, first_similar), "leads")
     led = reduce(DataFrame.unionByName, reached).groupBy(F.col("j").alias("id")).agg(F.min("i").alias("leader_index"))
     grouped = vertices.join(led, "id", "left").withColumn("leader_index", F.coalesce("leader_index", "id"))
     spread = salted_lookup(

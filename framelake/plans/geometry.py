@@ -80,8 +80,8 @@ def plan_letterbox(manifest: DataFrame, target_w: int, target_h: int) -> DataFra
     })
 
 
-def plan_encoding(manifest: DataFrame, rules: DataFrame, stage: str, fmt: str = "jpg") -> DataFrame:
-    """Output format, mime and quality of a stage.
+def plan_encoding(manifest: DataFrame, rules: list[dict], stage: str, fmt: str = "jpg") -> DataFrame:
+    """Output format, mime and quality of a stage, looked up in the fixed ``rules``.
 
     Transparent images are always png; thumbnails follow the source; conversions keep the asked
     format.  ``preset_quality`` (0-100, nullable) replaces the rule's quality where allowed.
@@ -92,16 +92,14 @@ def plan_encoding(manifest: DataFrame, rules: DataFrame, stage: str, fmt: str =
         target = F.when(F.col("mime") == "image/png", "png").otherwise("jpg")
     else:
         target = F.when(F.col("background_removed"), "png").otherwise("jpg" if stage == "edit" else fmt)
-    rule = rules.where(F.col("stage") == stage).select(
-        F.col("format").alias("output_format"), F.col("mime").alias("output_mime"), F.col("quality").alias("_q"), "preset_wins"
-    )
-    preset = F.when(F.col("preset_wins"), F.col("preset_quality") / 100.0)
-    return (
-        manifest.withColumn("output_format", target)
-        .join(rule, "output_format")
-        .withColumn("quality", F.coalesce(preset, "_q"))
-        .drop("_q", "preset_wins")
-    )
+    mime, quality = F.lit(None).cast("string"), F.lit(None).cast("double")
+    for rule in rules:
+        if rule["stage"] == stage:
+            hit = F.col("output_format") == rule["format"]
+            own = F.lit(rule["quality"]).cast("double")
+            mime = F.when(hit, rule["mime"]).otherwise(mime)
+            quality = F.when(hit, F.coalesce(F.col("preset_quality") / 100.0, own) if rule["preset_wins"] else own).otherwise(quality)
+    return manifest.withColumn("output_format", target).withColumns({"output_mime": mime, "quality": quality})
 
 
 def plan_adjustments(manifest: DataFrame, looks: DataFrame, neutral: dict[str, float]) -> DataFrame:

@@ -76,12 +76,6 @@ def looks(spark: SparkSession) -> DataFrame:
     return constant_table(spark, rows, schema)
 
 
-def encoding_rules(spark: SparkSession) -> DataFrame:
-    schema = pa.schema([("stage", pa.string()), ("format", pa.string()), ("mime", pa.string()),
-                        ("quality", pa.float64()), ("preset_wins", pa.bool_())])
-    return constant_table(spark, ENCODING_RULES, schema)
-
-
 def custom_preset(spark: SparkSession, width: str | None, height: str | None, quality: str | None, keep_aspect: bool) -> DataFrame:
     """The custom row from form input: unusable numbers fall back to 1080 wide, free height, quality 85."""
 

@@ -184,9 +184,8 @@ ENCODING_CASES = [("edit", "jpg"), ("download", "webp"), ("zip", "jpg"), ("conve
     CASE WHEN m0 = 'image/png' THEN 1.0e0 ELSE 0.95e0 END FROM m""")
 def plan_encoding(spark, sf_dir):
     m = D.manifest(spark, sf_dir).withColumn("preset_quality", F.when(F.col("image_id") % 3 == 0, 75))
-    rules = P.encoding_rules(spark)
     parts = [
-        G.plan_encoding(m, rules, stage, fmt).select("image_id", F.lit(stage).alias("stage"), "output_mime", "quality")
+        G.plan_encoding(m, P.ENCODING_RULES, stage, fmt).select("image_id", F.lit(stage).alias("stage"), "output_mime", "quality")
         for stage, fmt in ENCODING_CASES
     ]
     out = parts[0]
