@@ -24,6 +24,7 @@ from framelake.scratch import written
 
 # consecutive indices settled together in one task
 INDEX_BLOCK = 4096
+STAGE_GROWTH = 64
 
 
 def _members(vertices: DataFrame, led: DataFrame, by: list[str]) -> DataFrame:
@@ -115,14 +116,16 @@ def group_embeddings(
     id_col: str = "original_index",
     vec_col: str = "embedding",
     finish_rows: int = 4096,
+    stage_rows: int = 2_000_000,
     **layout,
 ) -> DataFrame:
     """Same groups straight from vectors, without ever materialising the pair table.
 
     Exact copies are collapsed first (a copy has the neighbours of its first occurrence, so it ends
     in the same group).  Each round then asks only for the *first* similar row of every row, which
-    the block kernels reduce before anything is shuffled: a dense cluster costs arithmetic, not
-    pairs.
+    the block kernels reduce before anything is shuffled.  Large corpora ask small indices first and
+    drop answered rows: a cluster with a third of all rows is settled by its first few members
+    instead of by all its pairs.
     """
     cells.check_algorithm(algorithm)
     limit = similarity.DEFAULT_THRESHOLDS[algorithm] if threshold is None else threshold
@@ -142,9 +145,19 @@ def group_embeddings(
     plan = cells.plan_cells(points, algorithm, **layout)
     radius, kernel = cells.metric_radius(algorithm, limit), cells.first_kernel(algorithm, limit)
 
+    cuts = _stage_cuts(points, plan.rows, stage_rows)
+
     def first_similar(data: DataFrame, probes: DataFrame, kernel) -> DataFrame:
-        hits = cells.cell_join(data, probes, plan, radius, kernel, "j long, i long")
-        return hits.groupBy("j").agg(F.min("i").alias("i"))
+        stages, hits = list(zip([None, *cuts], [*cuts, None], strict=True)), []
+        for low, high in stages:
+            part = data if low is None else data.where(F.col("id") >= low)
+            part = part if high is None else part.where(F.col("id") < high)
+            found = cells.cell_join(part, probes, plan, radius, kernel, "j long, i long").groupBy("j").agg(F.min("i").alias("i"))
+            if high is not None:  # what a smaller index range answers needs no other
+                found = written(found, "stage")
+                probes = probes.join(found.select(F.col("j").alias("id")), "id", "left_anti")
+            hits.append(found)
+        return reduce(DataFrame.unionByName, hits)
 
     # (j, i): the first row similar to j.  If that row leads, it is j's leader for good.
     first = written(first_similar(points, points, kernel), "first")
@@ -179,6 +192,19 @@ def group_embeddings(
     return written(spread.select("original_index", "leader_index"), "groups")
 
 
+def _stage_cuts(points: DataFrame, rows: int, stage_rows: int) -> list[int]:
+    """Index values that split a large corpus into ranges, each 64 times the one before."""
+    shares, share = [], 1.0
+    while rows * share > stage_rows:
+        share /= STAGE_GROWTH
+        shares.append(share)
+    if not shares:
+        return []
+    # approximate ranks are enough: the cuts only steer the order of work
+    found = points.stat.approxQuantile("id", sorted(shares), min(shares) / 4)
+    return sorted({int(v) for v in found})
+
+
 def _settle(undecided: DataFrame, algorithm: str, limit: float, block: int | None, first_similar) -> DataFrame:
     """Leaders that can be settled inside blocks of ``block`` consecutive indices (None: one block)."""
     if block is None:

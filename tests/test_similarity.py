@@ -114,6 +114,16 @@ def test_third_of_the_corpus_is_one_image(spark):
     assert {r[0]: r[1] for r in out.collect()} == sequential_groups(len(vectors), pairs)
 
 
+def test_near_copies_in_stages(spark):
+    """A dense cluster, its rows all different, asked in index ranges."""
+    vectors = clustered(8, clusters=6, size=20, spread=0.05)
+    vectors[::3] = vectors[0] + np.random.default_rng(1).normal(size=(40, 8)).astype(np.float32) * 0.01
+    pairs = brute_pairs(vectors, "cosine", 0.98)
+    assert len(grouping._stage_cuts(corpus(spark, vectors).withColumnRenamed("original_index", "id"), 120, 30)) == 1
+    out = grouping.group_embeddings(corpus(spark, vectors), "cosine", 0.98, stage_rows=30, finish_rows=2, rows_per_cell=40)
+    assert {r[0]: r[1] for r in out.collect()} == sequential_groups(len(vectors), pairs)
+
+
 def test_null_embeddings_are_excluded(spark):
     df = corpus(spark, [[1, 0], None, [1, 0.01]])
     assert [(r["i"], r["j"]) for r in similarity.similarity_join(df, "cosine", 0.9).collect()] == [(0, 2)]
