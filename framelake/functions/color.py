@@ -30,9 +30,12 @@ def luma(r: Column, g: Column, b: Column) -> Column:
 
 def with_hsl(pixels: DataFrame) -> DataFrame:
     """Add ``_h, _s, _l`` (0..1) of ``r, g, b``; on equal maxima red wins over green over blue."""
-    unit = pixels.withColumns({f"_{c}": F.col(c) / 255.0 for c in ("r", "g", "b")})
+    channels = ("r", "g", "b")
+    ends = pixels.withColumns({
+        **{f"_{c}": F.col(c) / 255.0 for c in channels},
+        "_top": F.greatest(*channels) / 255.0, "_low": F.least(*channels) / 255.0,
+    })
     r, g, b = F.col("_r"), F.col("_g"), F.col("_b")
-    ends = unit.withColumns({"_top": F.greatest(r, g, b), "_low": F.least(r, g, b)})
     top, low = F.col("_top"), F.col("_low")
     ends = ends.withColumns({"_span": F.nullif(top - low, F.lit(0.0)), "_l": (top + low) / 2.0})
     span, light = F.col("_span"), F.col("_l")
@@ -49,13 +52,19 @@ def with_hsl(pixels: DataFrame) -> DataFrame:
     })
 
 
+def _turned(t: Column) -> Column:
+    """A hue back in 0..1."""
+    return F.when(t < 0.0, t + 1.0).when(t > 1.0, t - 1.0).otherwise(t)
+
+
 def with_rgb(pixels: DataFrame) -> DataFrame:
     """Add ``_r, _g, _b`` (0..1) of ``_h, _s, _l``."""
     h, s, light = F.col("_h"), F.col("_s"), F.col("_l")
     thirds = {"_r": 1 / 3, "_g": 0.0, "_b": -1 / 3}
-    ready = pixels.withColumn("_q", F.when(light < 0.5, light * (s + 1.0)).otherwise(light + s - light * s)).withColumns(
-        {"_p": light * 2.0 - F.col("_q"), **{c: h + F.lit(third) for c, third in thirds.items()}}
-    ).withColumns({c: F.when(F.col(c) < 0.0, F.col(c) + 1.0).when(F.col(c) > 1.0, F.col(c) - 1.0).otherwise(F.col(c)) for c in thirds})
+    ready = pixels.withColumns({
+        "_q": F.when(light < 0.5, light * (s + 1.0)).otherwise(light + s - light * s),
+        **{c: _turned(h + F.lit(third)) for c, third in thirds.items()},
+    }).withColumn("_p", light * 2.0 - F.col("_q"))
     p, q = F.col("_p"), F.col("_q")
 
     def channel(t: Column) -> Column:

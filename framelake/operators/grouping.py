@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from framelake.keyed import global_index, salted_lookup
 from framelake.operators import cells, similarity
-from framelake.scratch import written
+from framelake.scratch import Intermediate, written
 
 
 # consecutive indices settled together in one task
@@ -76,7 +76,8 @@ def group_duplicates(vertices: DataFrame, pairs: DataFrame, by: list[str] | None
     """
     by = by or []
     j_key, i_key = [*by, "j"], [*by, "i"]
-    all_pairs = written(pairs.select(*by, "i", "j"), "pairs")
+    steps = Intermediate(pairs.sparkSession)
+    all_pairs = steps.write(pairs.select(*by, "i", "j"), "pairs")
     active = all_pairs
     # vertices without a smaller neighbour lead; only the others can still be undecided
     undecided = active.select(*by, F.col("j").alias("v")).distinct()
@@ -85,20 +86,20 @@ def group_duplicates(vertices: DataFrame, pairs: DataFrame, by: list[str] | None
     while True:
         # pairs are always the left side, so adaptive execution can split a hub with very many pairs
         covered = active.join(leads, i_key, "left_semi").select(*by, F.col("j").alias("v")).distinct()
-        undecided = written(
+        undecided = steps.write(
             undecided.join(covered, [*by, "v"], "left_anti").join(leads.withColumnRenamed("i", "v"), [*by, "v"], "left_anti"),
             "undecided",
         )
         if undecided.isEmpty():
             break
-        active = written(
+        active = steps.write(
             active.join(undecided.withColumnRenamed("v", "i"), i_key, "left_semi")
             .join(undecided.withColumnRenamed("v", "j"), j_key, "left_semi"),
             "active",
         )
         beaten = active.select(*by, F.col("j").alias("v")).distinct()
         free = undecided.join(beaten, [*by, "v"], "left_anti").withColumnRenamed("v", "i")
-        leads = written(free.unionByName(_block_leaders(active, by)), "leads")
+        leads = steps.write(free.unionByName(_block_leaders(active, by)), "leads")
         found.append(leads)
     leaders = reduce(DataFrame.unionByName, found)
     led = (
@@ -106,7 +107,9 @@ def group_duplicates(vertices: DataFrame, pairs: DataFrame, by: list[str] | None
         .groupBy(*by, F.col("j").alias("original_index"))
         .agg(F.min("i").alias("leader_index"))
     )
-    return written(_members(vertices, led, by), "groups")
+    result = written(_members(vertices, led, by), "groups")
+    steps.drop()
+    return result
 
 
 def group_embeddings(
@@ -137,7 +140,8 @@ def group_embeddings(
         alone = alone | ~F.exists("vec", lambda x: x != 0)
     digest = F.sha2(F.concat_ws(",", F.col("vec").cast("array<string>"), F.when(alone, F.col("id").cast("string"))), 256)
     keyed = images.withColumn("digest", digest)
-    vertices = written(
+    steps = Intermediate(embeddings.sparkSession)
+    vertices = steps.write(
         keyed.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("vec").alias("vec"), F.count(F.lit(1)).alias("copies")),
         "vertices",
     )
@@ -154,34 +158,34 @@ def group_embeddings(
             part = part if high is None else part.where(F.col("id") < high)
             found = cells.cell_join(part, probes, plan, radius, kernel, "j long, i long").groupBy("j").agg(F.min("i").alias("i"))
             if high is not None:  # what a smaller index range answers needs no other
-                found = written(found, "stage")
+                found = steps.write(found, "stage")
                 probes = probes.join(found.select(F.col("j").alias("id")), "id", "left_anti")
             hits.append(found)
         return reduce(DataFrame.unionByName, hits)
 
     # (j, i): the first row similar to j.  If that row leads, it is j's leader for good.
-    first = written(first_similar(points, points, kernel), "first")
+    first = steps.write(first_similar(points, points, kernel), "first")
     beaten = first.select(F.col("j").alias("i"))
     reached = [first.join(beaten, "i", "left_anti")]
     leads = points.join(first.select(F.col("j").alias("id")), "id", "left_anti")
     unsettled = first.join(beaten, "i", "left_semi").select(F.col("j").alias("id"))
-    unsettled = written(points.join(unsettled, "id", "left_semi"), "unsettled")
+    unsettled = steps.write(points.join(unsettled, "id", "left_semi"), "unsettled")
     undecided, left = unsettled, unsettled.count()
     while left:
         # asked for all unsettled rows: a late leader may precede the one found for a row so far
-        reach = written(first_similar(leads, unsettled, kernel), "reach")
+        reach = steps.write(first_similar(leads, unsettled, kernel), "reach")
         reached.append(reach)
-        undecided = written(
+        undecided = steps.write(
             undecided.join(reach.select(F.col("j").alias("id")), "id", "left_anti").join(leads.select("id"), "id", "left_anti"),
             "undecided",
         )
         left = undecided.count()
         if 0 < left <= finish_rows:  # the count bounds the one block that settles all of a small rest
-            leads = written(_settle(undecided, algorithm, limit, None, first_similar), "leads")
+            leads = steps.write(_settle(undecided, algorithm, limit, None, first_similar), "leads")
             reached.append(first_similar(leads, unsettled, kernel))
             break
         if left:
-            leads = written(_settle(undecided, algorithm, limit, INDEX_BLOCK, first_similar), "leads")
+            leads = steps.write(_settle(undecided, algorithm, limit, INDEX_BLOCK, first_similar), "leads")
     led = reduce(DataFrame.unionByName, reached).groupBy(F.col("j").alias("id")).agg(F.min("i").alias("leader_index"))
     grouped = vertices.join(led, "id", "left").withColumn("leader_index", F.coalesce("leader_index", "id"))
     spread = salted_lookup(
@@ -189,7 +193,9 @@ def group_embeddings(
         grouped.select("digest", "leader_index", "copies"),
         ["digest"], weight="copies", spread=["original_index"],
     )
-    return written(spread.select("original_index", "leader_index"), "groups")
+    result = written(spread.select("original_index", "leader_index"), "groups")
+    steps.drop()
+    return result
 
 
 def _stage_cuts(points: DataFrame, rows: int, stage_rows: int) -> list[int]:

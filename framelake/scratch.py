@@ -16,12 +16,13 @@ _local_roots: dict[str, str] = {}
 
 def scratch_root(spark: SparkSession) -> str:
     """Root folder for intermediate tables, shared by all executors."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app = context.applicationId
     if app not in _local_roots:
-        if spark.sparkContext.master.startswith("local"):
+        if context.master.startswith("local"):
             _local_roots[app] = tempfile.mkdtemp(prefix="spark-")
         else:
             _local_roots[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
@@ -40,6 +41,25 @@ def written(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Intermediate:
+    """Tables of a multi-step operator, dropped together once its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._paths = spark, []
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(self._spark, label)
+        self._paths.append(path)
+        df.write.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in self._paths:
+            target = self._spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(target, True)
+        self._paths.clear()
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` with the scheme Spark resolves it to, for readers and writers outside of Spark."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
