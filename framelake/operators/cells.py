@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# width of the band around a threshold in which pairs are re-scored in element order
+# smallest band around a threshold in which pairs are re-scored in element order
 BAND = 1e-7
 SLICE = 512
 
@@ -102,6 +102,14 @@ def rough_scores(a: np.ndarray, b: np.ndarray, algorithm: str) -> np.ndarray:
     return distances(a, b, algorithm)
 
 
+def band(a: np.ndarray, b: np.ndarray, algorithm: str, threshold: float) -> float:
+    """How far a rough score near the threshold may be off; long vectors cancel more digits."""
+    if algorithm != "euclidean":
+        return BAND
+    longest = (a * a).sum(axis=1).max() + (b * b).sum(axis=1).max()
+    return BAND + 1e-14 * longest * np.sqrt(a.shape[1]) / max(abs(threshold), 1e-12)
+
+
 def passes(scores: np.ndarray, threshold: float, algorithm: str) -> np.ndarray:
     """Strict threshold test."""
     return scores < threshold if LOWER_IS_BETTER[algorithm] else scores > threshold
@@ -141,13 +149,15 @@ def _placed(vectors: DataFrame, layout: CellLayout, radius: float | None) -> Dat
             if batch.num_rows == 0:
                 continue
             table = pa.Table.from_batches([batch])
-            gap = distances(in_metric_space(matrix(table["vec"]), algorithm), pivots.value, algorithm)
+            points = in_metric_space(matrix(table["vec"]), algorithm)
+            gap = distances(points, pivots.value, algorithm)
             nearest = gap.argmin(axis=1)
             if radius is None:
                 row, cell = np.arange(len(nearest)), nearest
             else:
                 reach = table["radius"].to_numpy()[:, None] if own_radius else radius
-                row, cell = np.nonzero(gap <= gap.min(axis=1, keepdims=True) + 2.0 * reach + 1e-6)
+                rounding = 1e-6 * np.maximum(1.0, np.abs(points).max(axis=1, keepdims=True, initial=0.0) + gap.min(axis=1, keepdims=True))
+                row, cell = np.nonzero(gap <= gap.min(axis=1, keepdims=True) + 2.0 * reach + rounding)
             out = table.select(["id", "vec"]).take(pa.array(row))
             yield from out.append_column("cell", pa.array(cell, pa.int32())).cast(schema).to_batches()
 
@@ -199,10 +209,10 @@ def cell_join(data: DataFrame, probes: DataFrame, layout: CellLayout, radius: fl
 
 def pair_kernel(algorithm: str, threshold: float):
     """Every (i, j, score) with i < j that passes the threshold."""
-    slack = -BAND if LOWER_IS_BETTER[algorithm] else BAND
 
     def kernel(di, dv, pi, pv):
-        parts = []
+        parts, width = [], band(dv, pv, algorithm, threshold)
+        slack = -width if LOWER_IS_BETTER[algorithm] else width
         for lo in range(0, len(pi), SLICE):
             rough = rough_scores(dv, pv[lo : lo + SLICE], algorithm)
             near = passes(rough, threshold - slack, algorithm) & (di[:, None] < pi[None, lo : lo + SLICE])
@@ -224,12 +234,12 @@ def first_kernel(algorithm: str, threshold: float, block: int | None = None):
     """
 
     def kernel(di, dv, pi, pv):
-        js, firsts = [], []
+        js, firsts, width = [], [], band(dv, pv, algorithm, threshold)
         for lo in range(0, len(pi), SLICE):
             ids, vecs = pi[lo : lo + SLICE], pv[lo : lo + SLICE]
             rough = rough_scores(dv, vecs, algorithm)
             ok = passes(rough, threshold, algorithm)
-            a, b = np.nonzero(np.abs(rough - threshold) <= BAND)
+            a, b = np.nonzero(np.abs(rough - threshold) <= width)
             ok[a, b] = passes(pair_scores(dv[a], vecs[b], algorithm), threshold, algorithm)
             ok &= di[:, None] < ids[None, :]
             if block is not None:

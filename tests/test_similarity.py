@@ -68,6 +68,15 @@ def test_join_and_both_groupings_equal_brute_force(spark, algorithm, threshold,
     assert {r["original_index"]: r["leader_index"] for r in direct.collect()} == wanted
 
 
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_long_vectors_lose_no_pairs(spark, layout):
+    rng = np.random.default_rng(4)
+    vectors = np.float32(clustered(6) * 0.1 + 30_000 + rng.integers(0, 2, (120, 1)) * 500)
+    pairs = brute_pairs(vectors, "euclidean", 0.05)
+    rows = similarity.similarity_join(corpus(spark, vectors), "euclidean", 0.05, **layout).collect()
+    assert pairs and {(r["i"], r["j"]) for r in rows} == pairs
+
+
 def test_strict_threshold(spark):
     df = corpus(spark, [[0, 0], [3, 4], [3, 4.5]])
     assert similarity.similarity_join(df, "euclidean", 5.0).count() == 1
