@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 # smallest band around a threshold in which pairs are re-scored in element order
 BAND = 1e-7
-SLICE = 512
+# probes scored against a block at once, vector values gathered at once, rows placed at once
+SLICE, PIECE_VALUES, PLACE_ROWS = 512, 4_000_000, 1024
 
 LOWER_IS_BETTER = {"cosine": False, "euclidean": True, "manhattan": True}
 
@@ -33,7 +34,7 @@ class CellLayout:
     algorithm: str
     pivots: np.ndarray | None
     rows: int
-    block_rows: int = 4096
+    block_rows: int = 2048
 
 
 def check_algorithm(algorithm: str) -> None:
@@ -95,6 +96,13 @@ def pair_scores(a: np.ndarray, b: np.ndarray, algorithm: str) -> np.ndarray:
     return np.sqrt(total) if algorithm == "euclidean" else total
 
 
+def scores_at(data: np.ndarray, probes: np.ndarray, a: np.ndarray, b: np.ndarray, algorithm: str) -> np.ndarray:
+    """Scores of the chosen (data row, probe row) pairs, in pieces of bounded memory."""
+    step = max(1, PIECE_VALUES // max(data.shape[1], 1))
+    pieces = [pair_scores(data[a[k : k + step]], probes[b[k : k + step]], algorithm) for k in range(0, len(a), step)]
+    return np.concatenate(pieces) if pieces else np.zeros(0)
+
+
 def rough_scores(a: np.ndarray, b: np.ndarray, algorithm: str) -> np.ndarray:
     """All-against-all scores by matrix product; off by rounding only."""
     if algorithm == "cosine":
@@ -120,7 +128,7 @@ def plan_cells(
     algorithm: str,
     rows_per_cell: int = 20_000,
     max_pivots: int = 4096,
-    block_rows: int = 4096,
+    block_rows: int = 2048,
 ) -> CellLayout:
     """Choose pivots for ``vectors(id, vec)``; at most ``max_pivots`` vectors reach the driver."""
     check_algorithm(algorithm)
@@ -146,20 +154,19 @@ def _placed(vectors: DataFrame, layout: CellLayout, radius: float | None) -> Dat
 
     def place(batches):
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            table = pa.Table.from_batches([batch])
-            points = in_metric_space(matrix(table["vec"]), algorithm)
-            gap = distances(points, pivots.value, algorithm)
-            nearest = gap.argmin(axis=1)
-            if radius is None:
-                row, cell = np.arange(len(nearest)), nearest
-            else:
-                reach = table["radius"].to_numpy()[:, None] if own_radius else radius
-                rounding = 1e-6 * np.maximum(1.0, np.abs(points).max(axis=1, keepdims=True, initial=0.0) + gap.min(axis=1, keepdims=True))
-                row, cell = np.nonzero(gap <= gap.min(axis=1, keepdims=True) + 2.0 * reach + rounding)
-            out = table.select(["id", "vec"]).take(pa.array(row))
-            yield from out.append_column("cell", pa.array(cell, pa.int32())).cast(schema).to_batches()
+            for start in range(0, batch.num_rows, PLACE_ROWS):  # bounds the distance matrix
+                table = pa.Table.from_batches([batch.slice(start, PLACE_ROWS)])
+                points = in_metric_space(matrix(table["vec"]), algorithm)
+                gap = distances(points, pivots.value, algorithm)
+                nearest = gap.min(axis=1, keepdims=True)
+                if radius is None:
+                    row, cell = np.arange(len(gap)), gap.argmin(axis=1)
+                else:
+                    reach = table["radius"].to_numpy()[:, None] if own_radius else radius
+                    rounding = 1e-6 * np.maximum(1.0, np.abs(points).max(axis=1, keepdims=True) + nearest)
+                    row, cell = np.nonzero(gap <= nearest + 2.0 * reach + rounding)
+                out = table.select(["id", "vec"]).take(pa.array(row))
+                yield from out.append_column("cell", pa.array(cell, pa.int32())).cast(schema).to_batches()
 
     return vectors.mapInArrow(place, "id long, vec array<float>, cell int")
 
@@ -218,7 +225,7 @@ def pair_kernel(algorithm: str, threshold: float):
             near = passes(rough, threshold - slack, algorithm) & (di[:, None] < pi[None, lo : lo + SLICE])
             a, b = np.nonzero(near)
             b = b + lo
-            score = pair_scores(dv[a], pv[b], algorithm)
+            score = scores_at(dv, pv, a, b, algorithm)
             keep = passes(score, threshold, algorithm)
             parts.append((di[a[keep]], pi[b[keep]], score[keep]))
         i, j, score = (np.concatenate(p) for p in zip(*parts, strict=True))
@@ -240,7 +247,7 @@ def first_kernel(algorithm: str, threshold: float, block: int | None = None):
             rough = rough_scores(dv, vecs, algorithm)
             ok = passes(rough, threshold, algorithm)
             a, b = np.nonzero(np.abs(rough - threshold) <= width)
-            ok[a, b] = passes(pair_scores(dv[a], vecs[b], algorithm), threshold, algorithm)
+            ok[a, b] = passes(scores_at(dv, vecs, a, b, algorithm), threshold, algorithm)
             ok &= di[:, None] < ids[None, :]
             if block is not None:
                 ok &= (di // block)[:, None] != (ids // block)[None, :]
@@ -265,8 +272,15 @@ def local_leaders(ids: np.ndarray, vectors: np.ndarray, waiting: np.ndarray, alg
         if taken[at]:
             continue
         later = np.nonzero(~taken[at + 1 :])[0] + at + 1
-        score = pair_scores(np.broadcast_to(vectors[at], (len(later), vectors.shape[1])), vectors[later], algorithm)
-        similar = later[passes(score, threshold, algorithm)]
+        if len(later) == 0:
+            similar = later
+        else:
+            own, others = vectors[at : at + 1], vectors[later]
+            rough = rough_scores(own, others, algorithm)[0]
+            ok = passes(rough, threshold, algorithm)
+            near = np.flatnonzero(np.abs(rough - threshold) <= band(own, others, algorithm, threshold))
+            ok[near] = passes(scores_at(own, others, np.zeros_like(near), near, algorithm), threshold, algorithm)
+            similar = later[ok]
         if open_[at]:
             open_[similar] = True
         else:
@@ -287,7 +301,7 @@ def nearest_kernel(k: int):
             kept = min(k, len(di))
             floor = -np.partition(-rough, kept - 1, axis=0)[kept - 1]
             a, b = np.nonzero((rough >= floor[None, :] - BAND) & np.isfinite(rough))
-            score = pair_scores(dv[a], vecs[b], "cosine")
+            score = scores_at(dv, vecs, a, b, "cosine")
             order = np.lexsort((di[a], -score, b))
             a, b, score = a[order], b[order], score[order]
             place = np.arange(len(b)) - np.searchsorted(b, b, side="left")
