@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import quality_classifier, quality_rules, secrets, spans, token_counts
+from framelake.llm import mixing, piece_sampling, pii, quality_classifier, quality_rules, secrets, simhash, spans, token_counts, topk_search, url_filter
 from framelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,11 +34,37 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.sampled_segmentations(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pii_spans(table(spark, sf_dir, "documents"))
+    s = F.col("spans")
+    return found.select(
+        "doc_id", *[spans.count_of(s, k).alias(f"n_{k}") for k in pii.BASE_KINDS],
+        spans.base_sha256(s, pii.BASE_KINDS).alias("base_sha256"), spans.joined(s).alias("spans"),
+    )
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = url_filter.rule_table(spark, url_filter.RULES + url_filter.BLOCKED_HOSTS)
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"), rules)
+
+
 @query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = quality_rules.text_statistics(table(spark, sf_dir, "documents")).checkpoint()
@@ -46,3 +72,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(stats, rules).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
+@query
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_search.quantised(table(spark, sf_dir, "embeddings")).checkpoint()
+    return topk_search.top_k(vectors.where(F.col("vec_id") % 20 == 0), vectors)
