@@ -43,15 +43,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(stats: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """Rows of ``stats`` with a 0/1 label that a model may learn from, at most ``max_rows`` of them.
+    """One row of ``stats`` per document with a 0/1 ``label`` that a model may learn from, about ``max_rows`` of them at most.
 
-    The bound is the documented size of the training sample; the rows are the ones with the smallest
-    hash of their id, so the sample does not depend on partitioning.
+    The bound is the documented size of the training sample: of n labelled ids those stay whose hash is
+    in the first ``max_rows / n`` of its range, so the sample depends on ids alone.
     """
     known = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
     )
-    return (
-        stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    )
+    parts = 1 << 20
+    within = min(parts, parts * max_rows // max(1, known.count()))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < within)
+    values = [c for c in stats.columns if c != "doc_id"]
+    one = stats.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("_label", *values)).alias("_row"))
+    return one.select("doc_id", "_row.*")

@@ -217,7 +217,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -
     per row, repeated rows included; null and empty texts are scored like a text without words.
     """
     features = pooled(docs, word_vectors(context_sums(docs))).checkpoint()
-    sample = labelled_sample(features, labels, "quality", max_rows).select("features", "_label").toArrow()
+    sample = labelled_sample(features, labels, "quality", max_rows).select("doc_id", "features", "_label").toArrow().sort_by("doc_id")
     x = np.array(sample.column("features").to_pylist(), np.float64).reshape(len(sample), DIMENSIONS + 2)
     net = train(x, sample.column("_label").to_numpy())
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])

@@ -198,7 +198,7 @@ def fit_rules(stats: DataFrame, labels: DataFrame, max_rows: int = 50_000, **opt
     """Learn from at most ``max_rows`` labelled rows (quality 0 is the class to reject); a few numbers per row reach the driver."""
     named = features()
     sample = labelled_sample(stats.where(~base_failed()), labels, "quality", max_rows)
-    rows = sample.select("_label", *[c.alias(k) for k, c in named.items()]).toArrow()
+    rows = sample.select("doc_id", "_label", *[c.alias(k) for k, c in named.items()]).toArrow().sort_by("doc_id")
     x = {k: rows.column(k).to_numpy() for k in named}
     return learn_rules(x, rows.column("_label").to_numpy() == 0, **options)
 
