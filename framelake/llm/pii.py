@@ -242,13 +242,15 @@ def _weights(values: dict[str, tuple[float, float]]) -> dict[str, float]:
 
 def chosen(found: Column, weights: dict[str, dict[str, float]]) -> Column:
     """Base spans, and looser candidates whose classifier probability is at least ``ACCEPT``; as (kind, start, end)."""
+    def total(features: Column, w: dict[str, float]) -> Column:
+        by_value = F.create_map(*[x for k, v in sorted(w.items()) for x in (F.lit(k), F.lit(v))])
+        return F.aggregate(features, F.lit(w["prior"]), lambda s, f: s + F.coalesce(by_value[f], F.lit(0.0)))
+
     def score(c: Column) -> Column:
         value = F.lit(0.0)
         for kind in LOOSE_KINDS:
             if kind in weights:
-                w = F.create_map(*[x for k, v in sorted(weights[kind].items()) for x in (F.lit(k), F.lit(v))])
-                total = F.aggregate(c.features, F.lit(weights[kind]["prior"]), lambda s, f, w=w: s + F.coalesce(w[f], F.lit(0.0)))
-                value = F.when(c.kind == kind, 1 / (1 + F.exp(-total))).otherwise(value)
+                value = F.when(c.kind == kind, 1 / (1 + F.exp(-total(c.features, weights[kind])))).otherwise(value)
         return value
 
     kept = F.filter(found, lambda c: c.kind.isin(*BASE_KINDS) | (score(c) >= ACCEPT))

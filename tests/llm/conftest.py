@@ -1,0 +1,9 @@
+import pytest
+
+
+@pytest.fixture(scope="session", autouse=True)
+def checkpoint_folder(spark, tmp_path_factory):
+    """A checkpoint folder where the session has none."""
+    context = spark.sparkContext
+    if not (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()):
+        context.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
