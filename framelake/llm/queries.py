@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import mixing, piece_sampling, pii, quality_classifier, quality_rules, secrets, simhash, spans, token_counts, topk_search, url_filter
+from framelake.llm import checks, mixing, piece_sampling, pii, quality_classifier, quality_rules, secrets, simhash, spans, token_counts, topk_search, url_filter
 from framelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {
+    "op3_source_mixing": checks.SOURCE_MIXING, "op7_url_filter": checks.URL_FILTER, "op10_exact_topk": checks.EXACT_TOPK,
+}
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
