@@ -3,47 +3,16 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Most range buckets `global_index` cuts a table into; also the size of its one broadcast table.
-MAX_RANGE_BUCKETS = 512
-SAMPLES_PER_BUCKET = 32
-
+from framelake.scratch import checkpointed
 
 def constant_table(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> DataFrame:
     """A fixed table as a local relation, so the optimizer knows its (tiny) size."""
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema))
 
 
-def _range_cuts(df: DataFrame, order_by: list[str], buckets: int) -> list[tuple]:
-    """Split points of the order key from a bounded, repeatable sample (smallest key hashes)."""
-    picked = (
-        df.select(*order_by)
-        .orderBy(F.xxhash64(*order_by))
-        .limit(buckets * SAMPLES_PER_BUCKET)
-        .orderBy(*order_by)
-        .collect()
-    )
-    step = len(picked) / buckets
-    cuts = [tuple(picked[int(step * k)]) for k in range(1, buckets)]
-    return sorted(set(cuts), key=cuts.index)
-
-
-def _bucket_of(order_by: list[str], cuts: list[tuple]) -> Column:
-    """Binary search over the split points as a balanced CASE tree."""
-    key = F.struct(*[F.col(c) for c in order_by])
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        at = F.struct(*[F.lit(v).alias(c) for v, c in zip(cuts[mid], order_by, strict=True)])
-        return F.when(key < at, search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    return search(0, len(cuts))
-
-
 def global_index(
     df: DataFrame,
     order_by: list[str],
@@ -53,27 +22,23 @@ def global_index(
 ) -> DataFrame:
     """Number rows 0,1,2,... in the total order ``order_by`` without a single-task window.
 
-    Inputs of at most ``rows_per_bucket`` rows are numbered by one window (the count is the proof
-    that it fits).  Larger inputs are cut into key ranges; rows are numbered inside each range and
-    shifted by the row count of the ranges before it.  ``order_by`` must be unique per row.
+    Rows are dealt to key ranges of about ``rows_per_bucket`` rows, sorted inside and computed once;
+    a row's number is its place in its range plus the rows of the ranges before it.  The only
+    broadcast table has one row per range.  ``order_by`` must be unique per row.
     """
-    buckets = min(-(-df.count() // rows_per_bucket), MAX_RANGE_BUCKETS)
-    if buckets <= 1:
-        return df.withColumn(out, (F.row_number().over(Window.orderBy(*order_by)) + (start - 1)).cast("long"))
-    cuts = _range_cuts(df, order_by, buckets)
-    ranged = df.withColumn("_range", _bucket_of(order_by, cuts))
+    ranges = max(1, -(-df.count() // rows_per_bucket))
+    ranged = df.repartitionByRange(ranges, *order_by).sortWithinPartitions(*order_by)
+    # range number in the upper bits, place in the range in the lower 33
+    placed = checkpointed(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    range_of, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy("_range")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = placed.groupBy(range_of.alias("_range")).agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
-    inside = Window.partitionBy("_range").orderBy(*order_by)
-    # offsets has at most MAX_RANGE_BUCKETS rows
     return (
-        ranged.join(F.broadcast(offsets), "_range")
-        .withColumn(out, (F.row_number().over(inside) + F.col("_offset") + (start - 1)).cast("long"))
-        .drop("_range", "_offset")
+        placed.withColumn("_range", range_of).join(F.broadcast(offsets), "_range")
+        .withColumn(out, (place + F.col("_offset") + start).cast("long"))
+        .drop("_range", "_offset", "_at")
     )
 
 

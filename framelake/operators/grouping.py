@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from framelake.keyed import global_index, salted_lookup
 from framelake.operators import cells, similarity
-from framelake.scratch import Intermediate, written
+from framelake.scratch import Intermediate, checkpointed
 
 
 # consecutive indices settled together in one task
@@ -74,9 +74,12 @@ def group_duplicates(vertices: DataFrame, pairs: DataFrame, by: list[str] | None
 
     ``by`` names extra key columns present in both inputs; each combination is grouped on its own.
     """
-    by = by or []
+    with Intermediate(pairs.sparkSession) as steps:
+        return _group_pairs(vertices, pairs, by or [], steps)
+
+
+def _group_pairs(vertices: DataFrame, pairs: DataFrame, by: list[str], steps: Intermediate) -> DataFrame:
     j_key, i_key = [*by, "j"], [*by, "i"]
-    steps = Intermediate(pairs.sparkSession)
     all_pairs = steps.write(pairs.select(*by, "i", "j"), "pairs")
     active = all_pairs
     # vertices without a smaller neighbour lead; only the others can still be undecided
@@ -107,9 +110,7 @@ def group_duplicates(vertices: DataFrame, pairs: DataFrame, by: list[str] | None
         .groupBy(*by, F.col("j").alias("original_index"))
         .agg(F.min("i").alias("leader_index"))
     )
-    result = written(_members(vertices, led, by), "groups")
-    steps.drop()
-    return result
+    return checkpointed(_members(vertices, led, by))
 
 
 def group_embeddings(
@@ -133,6 +134,13 @@ def group_embeddings(
     cells.check_algorithm(algorithm)
     limit = similarity.DEFAULT_THRESHOLDS[algorithm] if threshold is None else threshold
     images = similarity.valid_vectors(embeddings, id_col, vec_col)
+    with Intermediate(embeddings.sparkSession) as steps:
+        return _group_vectors(images, algorithm, limit, finish_rows, stage_rows, steps, layout)
+
+
+def _group_vectors(
+    images: DataFrame, algorithm: str, limit: float, finish_rows: int, stage_rows: int, steps: Intermediate, layout: dict
+) -> DataFrame:
     self_similar = limit > 1e-6 if cells.LOWER_IS_BETTER[algorithm] else limit < 1.0 - 1e-6
     # exact copies share a digest; rows that are not similar to themselves must stay apart
     alone = F.lit(not self_similar)
@@ -140,7 +148,6 @@ def group_embeddings(
         alone = alone | ~F.exists("vec", lambda x: x != 0)
     digest = F.sha2(F.concat_ws(",", F.col("vec").cast("array<string>"), F.when(alone, F.col("id").cast("string"))), 256)
     keyed = images.withColumn("digest", digest)
-    steps = Intermediate(embeddings.sparkSession)
     vertices = steps.write(
         keyed.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("vec").alias("vec"), F.count(F.lit(1)).alias("copies")),
         "vertices",
@@ -193,9 +200,7 @@ def group_embeddings(
         grouped.select("digest", "leader_index", "copies"),
         ["digest"], weight="copies", spread=["original_index"],
     )
-    result = written(spread.select("original_index", "leader_index"), "groups")
-    steps.drop()
-    return result
+    return checkpointed(spread.select("original_index", "leader_index"))
 
 
 def _stage_cuts(points: DataFrame, rows: int, stage_rows: int) -> list[int]:

@@ -12,9 +12,6 @@ HEIC_EXTENSIONS = (".heic", ".heif")
 HEIC_MIMES = ("image/heic", "image/heif")
 HEIC_SIGNATURES = ("66747970686569", "6674797068656a", "66747970686576")
 
-# largest cap that is taken as a top-k
-TOP_ROWS = 100_000
-
 
 def detect_heic(manifest: DataFrame) -> DataFrame:
     """Add ``is_heic``: by extension or mime, else by the signature in ``content``."""
@@ -33,15 +30,13 @@ def source_format(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("original_format", F.coalesce(F.nullif(part, F.lit("")), F.lit("unknown")))
 
 
-def admit_batch(existing: DataFrame, new: DataFrame, cap: int = 100, order_by: str = "arrival") -> DataFrame:
+def admit_batch(existing: DataFrame, new: DataFrame, cap: int, order_by: str = "arrival") -> DataFrame:
     """Existing images plus the first new ones, in arrival order, up to ``cap`` in total.
 
-    ``order_by`` must be unique.  A small cap is a top-k; a cap of millions is cut by row number, so
-    that the admitted rows never meet in one task.
+    The cap is the caller's rule.  ``order_by`` must be unique; rows are cut by row number, so the
+    admitted ones never meet in one task, whatever the cap.
     """
     room = max(cap - existing.count(), 0)
-    if room <= TOP_ROWS:
-        return existing.unionByName(new.orderBy(order_by).limit(room))
     return existing.unionByName(global_index(new, [order_by], "_at").where(F.col("_at") < room).drop("_at"))
 
 
@@ -51,11 +46,13 @@ def assign_index(existing: DataFrame, new: DataFrame, order_by: list[str], rows_
     return numbered.withColumn("image_id", F.col("original_index").cast("string"))
 
 
-def split_failures(df: DataFrame, result_col: str, name_col: str = "name") -> tuple[DataFrame, DataFrame]:
-    """Rows with a result, and error rows with a message."""
+def split_failures(df: DataFrame, result_col: str, name_col: str = "name", reason_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows with a result, and error rows whose message names the image and, where one is known, the reason."""
     failed = F.col(result_col).isNull()
-    errors = df.where(failed).drop(result_col).withColumn("error", F.concat(F.lit("Could not process "), name_col))
-    return df.where(~failed), errors
+    message = F.concat(F.lit("No result for "), F.col(name_col))
+    if reason_col:
+        message = F.concat(message, F.coalesce(F.concat(F.lit(": "), F.col(reason_col)), F.lit("")))
+    return df.where(~failed), df.where(failed).drop(result_col).withColumn("error", message)
 
 
 def delete_images(manifest: DataFrame, seo: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from framelake.operators import stencil
 from framelake.operators.pixels import to_gray
-from framelake.scratch import written
+from framelake.scratch import checkpointed
 
 # measure -> True when smaller is better
 METRICS = {"sharpness": False, "noise_level": True, "contrast": False, "exposure": False, "resolution": False}
@@ -133,7 +133,7 @@ def select_keepers(ranked: DataFrame, kpis: DataFrame, manifest: DataFrame) -> t
     ``ranked`` is the output of ``rank_groups`` with ``image_id``.
     """
     sets = ranked.where("is_duplicate")
-    best = written(best_in_group(sets, kpis, require_all=False), "best")  # used twice, measured once
+    best = checkpointed(best_in_group(sets, kpis, require_all=False))  # used twice, measured once
     chosen = ranked.where(~F.col("is_duplicate")).select("image_id").unionByName(best.select("image_id"))
     leaders = sets.where(F.col("original_index") == F.col("leader_index")).select("leader_index", "group_size")
     warnings = leaders.join(best, "leader_index", "left_anti").select(

@@ -1,11 +1,13 @@
 """Shared-folder tables: how lineage is cut and intermediate results survive executor loss.
 
-Everything is written below the folder the cluster names in ``spark.checkpoint.dir``.  Only where
-that is unset (local runs, tests) a folder of our own is chosen.
+Everything is written below the folder the cluster names in ``spark.checkpoint.dir``.  Only a local
+session may leave it unset; it gets a folder of its own, which goes when the process ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,18 +17,20 @@ _local_roots: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Root folder for intermediate tables, shared by all executors."""
+    """Root folder for intermediate tables, shared by all executors; also the session's checkpoint folder."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    app = context.applicationId
-    if app not in _local_roots:
-        if context.master.startswith("local"):
+    if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = context.applicationId
+        if app not in _local_roots:
             _local_roots[app] = tempfile.mkdtemp(prefix="spark-")
-        else:
-            _local_roots[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return _local_roots[app]
+            atexit.register(shutil.rmtree, _local_roots[app], ignore_errors=True)
+        named = _local_roots[app]
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -34,19 +38,35 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/framelake-{label}-{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the checkpoint folder.
+
+    The files belong to the frame: Spark's cleaner deletes them when nothing refers to it any more
+    (``spark.cleaner.referenceTracking.cleanCheckpoints``).
+    """
+    scratch_root(df.sparkSession)
+    return df.checkpoint()
+
+
 def written(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: a lineage cut computed exactly once."""
+    """Write ``df`` as Parquet to the shared folder and read it back: a table that stays for others to read."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Intermediate:
-    """Tables of a multi-step operator, dropped together once its result is written."""
+    """Tables of a multi-step operator, dropped together once its result is computed, or when a step fails."""
 
     def __init__(self, spark: SparkSession):
         self._spark, self._paths = spark, []
 
+    def __enter__(self) -> Intermediate:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
     def write(self, df: DataFrame, label: str) -> DataFrame:
         path = scratch_path(self._spark, label)
         self._paths.append(path)

@@ -10,7 +10,7 @@ from framelake.operators import projection as P
 from framelake.operators import quality as K
 from framelake.operators import similarity as S
 from framelake.operators.tensors import unpack_pixels
-from framelake.scratch import written
+from framelake.scratch import checkpointed
 from workload import tables as D
 from workload.pixel_queries import SQL_KPIS
 from workload.registry import query
@@ -216,12 +216,12 @@ def plot_viewport(spark, sf_dir):
 
 
 def _judged(spark, sf_dir):
-    ranked = written(_ranked(spark, sf_dir).withColumn("image_id", F.col("original_index")), "ranked")
+    ranked = checkpointed(_ranked(spark, sf_dir).withColumn("image_id", F.col("original_index")))
     sizes = D.image_sizes(spark, sf_dir)
     # only members of duplicate sets are unpacked and measured
     members = ranked.where("is_duplicate and image_id % 11 <> 0").select("image_id")
     wanted = unpack_pixels(D.images(spark, sf_dir).join(members, "image_id", "left_semi"))
-    return ranked, written(K.quality_kpis(wanted, sizes), "kpis"), sizes
+    return ranked, checkpointed(K.quality_kpis(wanted, sizes)), sizes
 
 
 SQL_JUDGED = f"{SQL_RANKED}, {D.SQL_PIXELS}, {SQL_KPIS}, ks AS (SELECT rk.*, kp.*, kp.width * kp.height AS resolution FROM rk JOIN kp ON image_id = original_index WHERE is_duplicate AND image_id % 11 <> 0)"
