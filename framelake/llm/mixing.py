@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.llm.common import WORD
+from framelake.scratch import checkpointed
 
 WEIGHTS = (3, 1, 2)
 SLOT_BITS = 18
@@ -125,8 +126,8 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     and is never taken; a null source is a source of its own; an empty table gives two empty tables.
     Only doc_id, text, source, lang and n_chars are read, so other columns cannot clash.
     """
-    sizes = sized(docs).checkpoint()
-    targets = source_targets(sizes).checkpoint()
+    sizes = checkpointed(sized(docs))
+    targets = checkpointed(source_targets(sizes))
     placed = placed_documents(sizes, targets)
     return placed, mixed_pieces(placed, schedule(targets))
 

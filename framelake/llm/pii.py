@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.scratch import checkpointed
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 LOOSE_KINDS = ("spoken_email", "local_phone", "national_id")
 KINDS = (*BASE_KINDS, *LOOSE_KINDS)
@@ -263,7 +265,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     A null or empty text has no spans.  Spans of different kinds may overlap.  Only doc_id and text are
     read.  Candidates are written once and serve both the fit and the decision.
     """
-    found = docs.select("doc_id", candidates(F.col("text")).alias("candidates")).checkpoint()
+    found = checkpointed(docs.select("doc_id", candidates(F.col("text")).alias("candidates")))
     return found.select("doc_id", chosen(F.col("candidates"), fit(found)).alias("spans"))
 
 
@@ -282,7 +284,7 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redacted_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data taken out of ``text`` (null stays null) and ``n_chars`` counted anew; every row stays."""
-    weights = fit(docs.select(candidates(F.col("text")).alias("candidates")).where(F.size("candidates") > 0).checkpoint())
+    weights = fit(checkpointed(docs.select(candidates(F.col("text")).alias("candidates")).where(F.size("candidates") > 0)))
     out = docs.withColumn("_spans", chosen(candidates(F.col("text")), weights)).withColumn("text", redacted(F.col("text"), F.col("_spans")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

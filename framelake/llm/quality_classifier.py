@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framelake.llm.common import held_out, labelled_sample
+from framelake.scratch import checkpointed
 
 BUCKETS, DIMENSIONS, NONZERO = 1 << 14, 64, 4
 SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -216,7 +217,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -
     labelled documents that are not held out; labels, lang, source and doc_id are no inputs.  One row
     per row, repeated rows included; null and empty texts are scored like a text without words.
     """
-    features = pooled(docs, word_vectors(context_sums(docs))).checkpoint()
+    features = checkpointed(pooled(docs, word_vectors(context_sums(docs))))
     sample = labelled_sample(features, labels, "quality", max_rows).select("doc_id", "features", "_label").toArrow().sort_by("doc_id")
     x = np.array(sample.column("features").to_pylist(), np.float64).reshape(len(sample), DIMENSIONS + 2)
     net = train(x, sample.column("_label").to_numpy())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm import checks, mixing, piece_sampling, pii, quality_classifier, quality_rules, secrets, simhash, spans, token_counts, topk_search, url_filter
 from framelake.llm.common import table
+from framelake.scratch import checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {
@@ -69,7 +70,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = quality_rules.text_statistics(table(spark, sf_dir, "documents")).checkpoint()
+    stats = checkpointed(quality_rules.text_statistics(table(spark, sf_dir, "documents")))
     rules = quality_rules.fit_rules(stats, table(spark, sf_dir, "labels"))
     return quality_rules.apply_rules(stats, rules).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -84,5 +85,5 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = topk_search.quantised(table(spark, sf_dir, "embeddings")).checkpoint()
+    vectors = checkpointed(topk_search.quantised(table(spark, sf_dir, "embeddings")))
     return topk_search.top_k(vectors.where(F.col("vec_id") % 20 == 0), vectors)

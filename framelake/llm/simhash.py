@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from framelake.llm.common import arrow_rows
+from framelake.scratch import checkpointed
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and width
@@ -169,7 +170,7 @@ def components(links: DataFrame) -> DataFrame:
     def signature(df: DataFrame):
         return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    edges = links.checkpoint()
+    edges = checkpointed(links)
     before = None
     while (now := signature(edges)) != before:
         before = now
@@ -178,10 +179,10 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b").distinct()
         up = large.groupBy("b").agg(F.min("a").alias("m"))
         moved = large.join(up, "b")
-        edges = (
+        edges = checkpointed(
             moved.select(F.col("m").alias("a"), "b")
             .union(moved.where(F.col("a") != F.col("m")).select(F.col("m").alias("a"), F.col("a").alias("b")))
-            .distinct().checkpoint()
+            .distinct()
         )
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
@@ -193,8 +194,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Rows without a ``doc_id`` link like others and get their component's id (null if no row of it has
     one).  Texts without words have fingerprint zero.  Only doc_id and text are read.
     """
-    marked = fingerprints(docs).checkpoint()
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first")).checkpoint()
+    marked = checkpointed(fingerprints(docs))
+    nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = components(fingerprint_links(nodes))
     linked = found.union(found.select(F.col("root").alias("node"), "root").distinct())
     named = nodes.join(linked, nodes.fp == linked.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

@@ -170,7 +170,7 @@ def all_segmentations(pieces, weights, text):
         if s and s[0] not in weights:
             raw = s[0].encode()
             for ids, w in walk(s[1:]):
-                yield (*[pieces.byte_id[b] for b in raw], *ids), pieces.byte_weight ** len(raw) * w
+                yield (*[pieces.byte_id[b] for b in raw], *ids), math.exp(pieces.log_byte * len(raw)) * w
     found = list(walk("▁" + text.replace(" ", "▁")))
     total = sum(w for _, w in found)
     return {ids: w / total for ids, w in found}
@@ -184,7 +184,7 @@ def test_sampling_against_all_segmentations(library):
         first, pairs, n = {}, {}, 3000
         for key in range(n):
             out = sampler.sample(text, key)
-            ids = [tuple(x[0]) for x in out]
+            ids = [tuple(x[0].tolist()) for x in out]
             assert len(set(ids)) == len(ids) == min(4, len(exact))
             assert all(a[2] >= b[2] for a, b in pairwise(out))
             for i, (_, log_p, _, inclusion) in zip(ids, out, strict=True):
