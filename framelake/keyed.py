@@ -29,8 +29,8 @@ def global_index(
     ranges = max(1, -(-df.count() // rows_per_bucket))
     ranged = df.repartitionByRange(ranges, *order_by).sortWithinPartitions(*order_by)
     # range number in the upper bits, place in the range in the lower 33
-    placed = checkpointed(ranged.withColumn("_at", F.monotonically_increasing_id()))
-    range_of, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    placed = checkpointed(ranged.withColumn("_placed", F.monotonically_increasing_id()))
+    range_of, place = F.shiftright("_placed", 33), F.col("_placed").bitwiseAND((1 << 33) - 1)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy(range_of.alias("_range")).agg(F.count(F.lit(1)).alias("_n")).select(
         "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
@@ -38,7 +38,7 @@ def global_index(
     return (
         placed.withColumn("_range", range_of).join(F.broadcast(offsets), "_range")
         .withColumn(out, (place + F.col("_offset") + start).cast("long"))
-        .drop("_range", "_offset", "_at")
+        .drop("_range", "_offset", "_placed")
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 # model: pa.Table of input rows -> dict of output columns, one value per row
 Model = Callable[[pa.Table], dict]
 Factory = Callable[[], Model]
+NO_VALUE = "the model gave no value"
 
 
 def _process_cache() -> dict:
@@ -25,13 +26,15 @@ def _score(model: Model, rows: pa.Table, names: list[str]) -> tuple[dict, list]:
     """Outputs and errors of a batch; a failing batch is retried row by row."""
     try:
         out = model(rows)
-        return {n: list(out[n]) for n in names}, [None] * rows.num_rows
+        values = {n: list(out[n]) for n in names}
+        return values, [NO_VALUE if all(values[n][k] is None for n in names) else None for k in range(rows.num_rows)]
     except Exception:
         values, errors = {n: [] for n in names}, []
         for k in range(rows.num_rows):
             try:
                 one = model(rows.slice(k, 1))
-                picked, error = {n: list(one[n])[0] for n in names}, None
+                picked = {n: list(one[n])[0] for n in names}
+                error = NO_VALUE if all(v is None for v in picked.values()) else None
             except Exception as problem:  # a bad image never fails the job
                 picked, error = dict.fromkeys(names), str(problem)
             for n in names:
@@ -43,7 +46,8 @@ def _score(model: Model, rows: pa.Table, names: list[str]) -> tuple[dict, list]:
 def infer_with_fallback(df: DataFrame, factories: list[tuple[str, Factory]], schema: str, id_col: str = "image_id") -> DataFrame:
     """Score rows with the first model variant that loads: ``id, outputs, variant, error``.
 
-    A variant is loaded once per worker process.  When none loads every row carries the error.
+    A variant is loaded once per worker process, and goes when the process starts on another call.  When
+    none loads every row carries the error; a row without any output value is an error too.
     """
     spark = df.sparkSession
     outputs = spark.createDataFrame([], schema).schema
@@ -60,6 +64,8 @@ def infer_with_fallback(df: DataFrame, factories: list[tuple[str, Factory]], sch
     def load():
         cache = _process_cache()
         if run not in cache:
+            for old in [k for k in cache if not k.startswith("__")]:  # a worker holds the models of one call at most
+                del cache[old]
             problems = []
             for variant, factory in factories:
                 try:

@@ -54,19 +54,20 @@ def to_tensor(pixels: DataFrame, gray: bool = False) -> DataFrame:
 
 
 def from_tensor(tensors: DataFrame) -> DataFrame:
-    """NCHW RGB floats in 0..1 -> opaque pixel table."""
-    height, width = F.col("tensor.dims")[2], F.col("tensor.dims")[3]
+    """NCHW floats in 0..1 -> pixel table; one channel is gray, a fourth one alpha, without it pixels are opaque."""
+    channels, height, width = F.col("tensor.dims")[1], F.col("tensor.dims")[2], F.col("tensor.dims")[3]
     area, data = height * width, F.col("tensor.data")
 
     def plane(k: int) -> Column:
-        return F.slice(data, area * k + 1, area).alias("rgb"[k])
+        place = F.when(channels == 1, 0).otherwise(k)
+        part = F.slice(data, (area * place + 1).cast("int"), area)
+        return (part if k < 3 else F.when(channels == 4, part).otherwise(F.array_repeat(F.lit(1.0).cast("float"), area))).alias("rgba"[k])
 
-    framed = tensors.select("image_id", height.alias("height"), width.alias("width"), plane(0), plane(1), plane(2))
-    cells = F.posexplode(F.arrays_zip("r", "g", "b"))
+    framed = tensors.select("image_id", height.alias("height"), width.alias("width"), *[plane(k) for k in range(4)])
+    cells = F.posexplode(F.arrays_zip("r", "g", "b", "a"))
     return framed.select("image_id", "width", "height", cells.alias("pos", "p")).select(
         "image_id",
         (F.col("pos") % F.col("width")).cast("int").alias("x"),
         F.floor(F.col("pos") / F.col("width")).cast("int").alias("y"),
-        *[clamp8(F.col("p")[c].cast("double") * 255.0).alias(c) for c in ("r", "g", "b")],
-        F.lit(255).alias("a"), "width", "height",
+        *[clamp8(F.col("p")[c].cast("double") * 255.0).alias(c) for c in "rgba"], "width", "height",
     )

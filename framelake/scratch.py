@@ -80,6 +80,12 @@ class Intermediate:
         self._paths.clear()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` with the scheme Spark resolves it to, for readers and writers outside of Spark."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

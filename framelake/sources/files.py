@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions.text import last_extension
+from framelake.scratch import checkpointed
 
 
 def file_name(path: Column) -> Column:
@@ -31,18 +32,21 @@ def scan_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def scan_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Decode image files: ``(images, errors)``; a file that cannot be decoded is reported, never fatal.
+    """Decode the image files below ``path``: ``(images, errors)``; a file that cannot be decoded is reported, never fatal.
 
-    ``images``: ``name, width, height, channels, data`` with interleaved BGR(A) or gray bytes.
+    ``images``: ``path, name, width, height, channels, data`` with interleaved BGR(A) or gray bytes.  ``path`` is
+    the one ``scan_manifest`` lists and tells files with the same name apart.
     """
-    read = spark.read.format("image").load(path).select("image.*")
-    name = F.url_decode(file_name(F.col("origin"))).alias("name")
-    images = read.where(F.col("width") > 0).select(name, "width", "height", F.col("nChannels").alias("channels"), "data")
-    errors = read.where(F.col("width") <= 0).select(name, F.lit("cannot be decoded").alias("error"))
+    read = spark.read.format("image").option("recursiveFileLookup", "true").load(path).select("image.*")
+    # the reader escapes the path like a URL, but for the plus sign
+    plain = F.regexp_replace(F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B"))), "^([A-Za-z0-9]+):///", "$1:/")
+    read = read.withColumn("path", plain).withColumn("name", file_name(F.col("path")))
+    images = read.where(F.col("width") > 0).select("path", "name", "width", "height", F.col("nChannels").alias("channels"), "data")
+    errors = read.where(F.col("width") <= 0).select("path", "name", F.lit("cannot be decoded").alias("error"))
     return images, errors
 
 
-def split_channels(images: DataFrame, id_col: str = "name") -> DataFrame:
+def split_channels(images: DataFrame, id_col: str = "path") -> DataFrame:
     """Interleaved bytes -> row-major ``r, g, b, a`` arrays (opaque where there is no alpha)."""
     arrow = pa.schema([(c, pa.list_(pa.int32())) for c in ("r", "g", "b", "a")])
     id_type = images.schema[id_col].dataType.simpleString()
@@ -74,9 +78,11 @@ def export_images(df: DataFrame, path: str, payload_col: str = "payload") -> tup
     Rows without a payload become error rows next to the export.
     """
     spark = df.sparkSession
+    schema = df.schema
+    df = checkpointed(df)  # planned and computed once for both outputs
     ready = F.col(payload_col).isNotNull()
     df.where(ready).write.partitionBy("output_format").parquet(f"{path}/images")
     failed = df.where(~ready).select("image_id", "file_name", F.lit("no image data").alias("error"))
     failed.write.parquet(f"{path}/errors")
-    exported = spark.read.schema(df.schema).parquet(f"{path}/images")
+    exported = spark.read.schema(schema).parquet(f"{path}/images")
     return exported, spark.read.schema(failed.schema).parquet(f"{path}/errors")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.keyed import global_index
+from framelake.scratch import exists
 from framelake.sources.files import manifest_columns
 
 BINARY_FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -25,10 +25,7 @@ def stream_images(spark: SparkSession, path: str, sink: str, checkpoint: str, gl
 
     def append(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        try:
-            before = session.read.parquet(sink).where(F.col("batch_id") < batch_id).count()
-        except AnalysisException:  # no batch has been written yet
-            before = 0
+        before = session.read.parquet(sink).where(F.col("batch_id") < batch_id).count() if exists(session, sink) else 0
         numbered = global_index(batch, ["name", "path"], "original_index", before)
         numbered.withColumn("image_id", F.col("original_index").cast("string")).write.mode("overwrite").parquet(
             f"{sink}/batch_id={batch_id}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.operators.status import counting_columns, latest_per_image, with_pending
+from framelake.operators.status import change_cells, counting_columns, latest_per_image, with_pending
 
 
 def upsert_to(df: DataFrame, sink: str, checkpoint: str, **trigger):
@@ -28,20 +28,21 @@ def latest_status_stream(status_log: DataFrame) -> DataFrame:
     return latest_per_image(status_log)
 
 
-def pending_counts_stream(status_log: DataFrame, by: list[str]) -> DataFrame:
-    """Running submitted / finished / failed / pending counts."""
-    return with_pending(status_log.groupBy(*by).agg(*counting_columns()))
+def pending_counts_stream(status_log: DataFrame) -> DataFrame:
+    """Running submitted / finished / failed / pending counts per image that has messages."""
+    counts = status_log.groupBy("image_id").agg(*counting_columns())
+    has_result = (F.col("finished") + F.col("failed") > 0).cast("long")
+    return with_pending(counts.withColumns({"images": F.lit(1).cast("long"), "results": has_result}))
 
 
-def debounce_changes_stream(changes: DataFrame, gap: str = "300 milliseconds", lateness: str = "1 minute") -> DataFrame:
-    """Last change of every burst: a session closes after ``gap`` of silence.
+def debounce_cells_to(changes: DataFrame, sink: str, checkpoint: str, gap_seconds: float = 0.3, **trigger):
+    """Fold every micro-batch into its own ``change_cells`` folder of ``sink``.
 
-    The watermark bounds how long a session waits for late changes; closed sessions are appended.
+    A stream keeps no state for it: ``quiet_changes`` over the whole table combines the folders, so open
+    bursts show at any time and a change is never too late.
     """
-    payload = [c for c in changes.columns if c not in ("key", "ts", "event_id")]
-    return (
-        changes.withWatermark("ts", lateness)
-        .groupBy("key", F.session_window("ts", gap).alias("_burst"))
-        .agg(F.max(F.struct("ts", "event_id", *payload)).alias("_last"))
-        .select("key", "_last.*")
-    )
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        change_cells(batch, gap_seconds).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+
+    return changes.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**trigger).start()

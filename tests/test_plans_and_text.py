@@ -75,8 +75,8 @@ def test_heic_by_name_mime_and_bytes(spark):
 
 def test_admit_batch_respects_the_cap(spark):
     old, new = spark.range(98).withColumnRenamed("id", "arrival"), spark.range(200, 210).withColumnRenamed("id", "arrival")
-    assert manifest.admit_batch(old, new).count() == 100
-    assert manifest.admit_batch(spark.range(120).withColumnRenamed("id", "arrival"), new).count() == 120
+    assert manifest.admit_batch(old, new, 100).count() == 100
+    assert manifest.admit_batch(spark.range(120).withColumnRenamed("id", "arrival"), new, 100).count() == 120
 
 
 def test_caption_runs_keep_order(spark):
@@ -104,7 +104,28 @@ def test_signature_depends_on_order_and_settings(spark):
     df = spark.createDataFrame(rows, "request_id string, settings string, pos int, image_id int")
     sig = {r["request_id"]: r["signature"] for r in status.request_signatures(df).collect()}
     assert sig["a"] == sig["d"] and len(set(sig.values())) == 3
-    assert {r["request_id"] for r in status.apply_once(df, status.request_signatures(df.where("request_id = 'a'"))).collect()} == {"b", "c"}
+    ledger = status.request_signatures(df.where("request_id = 'a'")).withColumn("applied_at", F.lit(1))
+    assert {r["request_id"] for r in status.apply_once(df, ledger).collect()} == {"b", "c", "d"}
+
+
+def test_repeated_rows_change_the_signature_and_only_the_last_one_blocks(spark):
+    rows = [("1", "s", 0, 7), ("1", "s", 0, 7), ("2", "s", 0, 8), ("2", "s", 0, 8), ("3", "s", 0, 7), ("3", "s", 0, 7), ("4", "s", 0, 7), ("4", "s", 0, 7)]
+    df = spark.createDataFrame(rows, "request_id string, settings string, pos int, image_id int")
+    empty = spark.createDataFrame([], "signature string, applied_at int")
+    assert {r["request_id"] for r in status.apply_once(df, empty).collect()} == {"1", "2", "3"}
+    applied = status.request_signatures(df).where("request_id in ('1', '2')").withColumn("applied_at", F.col("request_id"))
+    assert {r["request_id"] for r in status.apply_once(df.where("request_id > '2'"), applied).collect()} == {"3"}
+    last = applied.where("request_id = '1'")
+    assert status.apply_once(df.where("request_id > '2'"), last).collect() == []
+
+
+def test_readiness_needs_images_and_all_results(spark):
+    log = "event_id int, ts timestamp, image_id int, status string, progress int, message string"
+    rows = [(1, None, 1, "processing", 0, ""), (2, None, 1, "extraction_complete", 0, ""), (3, None, 2, "processing", 0, ""), (4, None, 2, "error", 0, "")]
+    df, ids = spark.createDataFrame(rows, log), lambda *k: spark.createDataFrame([(x,) for x in k], "image_id int")
+    ready = lambda d, m: status.pending_counts(d, m).first()["ready"]
+    assert ready(df, ids(1, 2)) and not ready(df, ids(1, 2, 3)) and not ready(df.where("event_id < 4"), ids(1, 2))
+    assert not ready(df, ids()) and not ready(df.limit(0), ids(1)) and ready(df, ids(1))
 
 
 def test_percent_rounds_half_up(spark):

@@ -44,20 +44,30 @@ def latest_status(spark, sf_dir):
 
 SQL_COUNTS = """SELECT {by}count(*) FILTER (status = 'processing') AS submitted, count(*) FILTER (status = 'extraction_complete') AS finished,
   count(*) FILTER (status = 'error') AS failed FROM st {group}"""
-SQL_PENDING = "*, submitted - finished - failed AS pending, (submitted = finished + failed) AS ready"
+SQL_PENDING = """*, submitted - finished - failed AS pending,
+  images > 0 AND submitted - finished - failed = 0 AND results = images AS ready"""
+# every image with messages, and as many without
+SQL_IMAGES = "us AS (SELECT DISTINCT image_id FROM st UNION SELECT image_id + 1000000 FROM st)"
 
 
-@query("pending_counts", f"WITH {ST}, c AS ({SQL_COUNTS.format(by='', group='')}) SELECT {SQL_PENDING} FROM c")
+@query("pending_counts", f"""WITH {ST}, {SQL_IMAGES}, c AS ({SQL_COUNTS.format(by='', group='')}),
+  n AS (SELECT *, (SELECT count(*) FROM us) AS images,
+    (SELECT count(DISTINCT image_id) FROM st WHERE status IN ('extraction_complete', 'error')) AS results FROM c) SELECT {SQL_PENDING} FROM n""")
 def pending_counts(spark, sf_dir):
-    return S.pending_counts(_log(spark, sf_dir))
+    return S.pending_counts(_log(spark, sf_dir), _users(spark, sf_dir))
 
 
 SQL_COUNTS_BY = SQL_COUNTS.format(by="image_id, ", group="GROUP BY image_id")
 
 
-@query("pending_counts_by_image", f"WITH {ST}, c AS ({SQL_COUNTS_BY}) SELECT {SQL_PENDING} FROM c")
+SQL_ONE = "*, CAST(1 AS BIGINT) AS images, CAST(CASE WHEN finished + failed > 0 THEN 1 ELSE 0 END AS BIGINT) AS results"
+
+
+@query("pending_counts_by_image", f"""WITH {ST}, {SQL_IMAGES}, c AS ({SQL_COUNTS_BY}),
+  a AS (SELECT image_id, coalesce(submitted, 0) AS submitted, coalesce(finished, 0) AS finished, coalesce(failed, 0) AS failed FROM us LEFT JOIN c USING (image_id)),
+  n AS (SELECT {SQL_ONE} FROM a) SELECT {SQL_PENDING} FROM n""")
 def pending_counts_by_image(spark, sf_dir):
-    return S.pending_counts(_log(spark, sf_dir), ["image_id"])
+    return S.pending_counts(_log(spark, sf_dir), _users(spark, sf_dir), ["image_id"])
 
 
 @query("progress_percent", f"""WITH {MF}, s AS (SELECT image_id, row_number() OVER (ORDER BY original_index) - 1 AS i, count(*) OVER () AS n FROM mf)
@@ -90,19 +100,26 @@ def debounce_changes(spark, sf_dir):
 
 
 def _requests(spark, sf_dir):
-    k = F.col("p_partkey")
-    return D.table(spark, sf_dir, "part").select(
-        (k % 20).alias("request_id"), F.concat(F.lit("opacity="), (k % 5).cast("string")).alias("settings"),
-        k.alias("pos"), k.alias("image_id"),
-    )
-
-
-@query("apply_once", """WITH r AS (SELECT p_partkey % 20 AS request_id, 'opacity=' || (p_partkey % 5) AS settings, md5(p_partkey || '|' || p_partkey) AS h FROM part),
-  s AS (SELECT request_id, settings, count(*) AS images, bit_xor(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS a, bit_xor(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS b FROM r GROUP BY ALL)
-  SELECT request_id, settings, images, sha256(concat_ws('|', settings, images, a, b)) AS signature FROM s WHERE request_id % 3 <> 0""")
+    """60 requests over 20 image sets: each of 40 requests twice in a row, then two sets in turn."""
+    k, j = F.col("p_partkey"), F.col("request_id")
+    of_set = F.when(j < 40, F.floor(j / 2) % 20).otherwise(j % 2)
+    which = spark.range(60).withColumnRenamed("id", "request_id").withColumn("image_set", of_set)
+    return D.table(spark, sf_dir, "part").withColumn("image_set", k % 20).join(F.broadcast(which), "image_set").select(
+        "request_id", F.concat(F.lit("opacity="), (k % 5).cast("string")).alias("settings"), k.alias("pos"), k.alias("image_id"))
+
+
+@query("apply_once", """WITH w AS (SELECT j AS request_id, CASE WHEN j < 40 THEN (j // 2) % 20 ELSE j % 2 END AS s FROM range(60) t(j)),
+  r AS (SELECT request_id, 'opacity=' || (p_partkey % 5) AS settings, md5(p_partkey || '|' || p_partkey) AS h FROM part JOIN w ON p_partkey % 20 = s),
+  f AS (SELECT request_id, settings, count(*) AS images, bit_xor(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS a, bit_xor(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS b,
+    sum(CAST(CAST('0x' || substr(h, 1, 15) AS BIGINT) AS HUGEINT)) AS c FROM r GROUP BY ALL),
+  g AS (SELECT request_id, settings, images, sha256(concat_ws('|', settings, images, a, b, c)) AS signature FROM f),
+  o AS (SELECT *, coalesce(lag(signature) OVER (ORDER BY request_id), (SELECT signature FROM g WHERE request_id = 0)) AS before FROM g)
+  SELECT request_id, settings, images, signature FROM o WHERE signature <> before""")
 def apply_once(spark, sf_dir):
     requests = _requests(spark, sf_dir)
-    return S.apply_once(requests, S.request_signatures(requests.where("request_id % 3 = 0")))
+    ledger = S.request_signatures(requests.where("request_id < 2 or request_id = 8")).select(
+        "signature", F.when(F.col("request_id") == 8, 1).otherwise(2).alias("applied_at"))
+    return S.apply_once(requests, ledger)
 
 
 @query("pageview_url", f"WITH {UP} SELECT page_id, origin || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url FROM up")
@@ -216,10 +233,10 @@ def scan_manifest(spark, sf_dir):
 def scan_images(spark, sf_dir):
     """Decoded pixels, summed with their position so that order and channel mix-ups show."""
     images, errors = A.scan_images(spark, image_files(spark, sf_dir))
-    p = unpack_pixels(A.split_channels(images))
+    p = unpack_pixels(A.split_channels(images, "name"))
     place = F.col("y") * F.col("width") + F.col("x") + 1
     sums = p.groupBy(F.col("image_id").alias("name"), "width", "height").agg(*[F.sum(F.col(c) * place).alias(c) for c in "rgba"])
-    return sums.withColumn("error", F.lit(None).cast("string")).unionByName(errors, allowMissingColumns=True)
+    return sums.withColumn("error", F.lit(None).cast("string")).unionByName(errors.drop("path"), allowMissingColumns=True)
 
 
 @query("export_images", f"""WITH {D.SQL_PIXELS}, n AS (SELECT vec_id AS image_id, 'img_' || vec_id || '_' || row_number() OVER (ORDER BY vec_id) || CASE WHEN vec_id % 5 = 0 THEN '.png' ELSE '.jpg' END AS file_name,
@@ -270,19 +287,17 @@ def latest_status_stream(spark, sf_dir):
     return RS.newest(spark.read.parquet(sink), ["image_id"])
 
 
-@query("pending_counts_stream", f"WITH {ST}, c AS ({SQL_COUNTS_BY}) SELECT {SQL_PENDING} FROM c")
+@query("pending_counts_stream", f"WITH {ST}, c AS ({SQL_COUNTS_BY}), n AS (SELECT {SQL_ONE} FROM c) SELECT {SQL_PENDING} FROM n")
 def pending_counts_stream(spark, sf_dir):
     sink = scratch_path(spark, "pending")
-    counts = RS.pending_counts_stream(D.status_log(_event_stream(spark, sf_dir)), ["image_id"])
+    counts = RS.pending_counts_stream(D.status_log(_event_stream(spark, sf_dir)))
     _drain(RS.upsert_to(counts, sink, scratch_path(spark, "progress"), availableNow=True))
     return RS.newest(spark.read.parquet(sink), ["image_id"])
 
 
-@query("debounce_changes_stream", f"""WITH {SQL_LAST} SELECT key, event_id, setting, value FROM kept
-  WHERE epoch_ms(ts) + 3600000 <= (SELECT epoch_ms(max(ts)) - 60000 FROM events)""")
+@query("debounce_changes_stream", f"WITH {SQL_LAST} SELECT key, event_id, setting, value FROM kept")
 def debounce_changes_stream(spark, sf_dir):
     sink = scratch_path(spark, "debounced")
-    kept = RS.debounce_changes_stream(_changes(_event_stream(spark, sf_dir)), "1 hour", "1 minute")
-    running = kept.writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch_path(spark, "progress"))
-    _drain(running.trigger(availableNow=True).start())
-    return spark.read.schema(kept.schema).parquet(sink).select("key", "event_id", "setting", "value")
+    changes = _changes(_event_stream(spark, sf_dir))
+    _drain(RS.debounce_cells_to(changes, sink, scratch_path(spark, "progress"), HOUR, availableNow=True))
+    return S.quiet_changes(spark.read.parquet(sink).drop("batch_id"), HOUR).select("key", "event_id", "setting", "value")

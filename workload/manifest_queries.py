@@ -60,9 +60,11 @@ def _results(spark, sf_dir):
 
 @query("split_failures", f"""WITH {MF} SELECT image_id, name || '.ok' AS result, CAST(NULL AS VARCHAR) AS error
   FROM mf WHERE mime NOT IN ('image/heif', '') UNION ALL
-  SELECT image_id, NULL, 'Could not process ' || name FROM mf WHERE mime IN ('image/heif', '')""")
+  SELECT image_id, NULL, 'No result for ' || name || CASE WHEN mime = '' THEN '' ELSE ': ' || mime || ' cannot be read' END
+  FROM mf WHERE mime IN ('image/heif', '')""")
 def split_failures(spark, sf_dir):
-    ok, errors = M.split_failures(_results(spark, sf_dir), "result")
+    reason = F.when(F.col("mime") != "", F.concat("mime", F.lit(" cannot be read")))
+    ok, errors = M.split_failures(_results(spark, sf_dir).withColumn("reason", reason), "result", reason_col="reason")
     text = F.lit(None).cast("string")
     return ok.select("image_id", "result", text.alias("error")).unionByName(errors.select("image_id", text.alias("result"), "error"))
 
@@ -119,11 +121,11 @@ def _presets(spark):
 
 @query("resolve_preset", f"""WITH {SQL_PRESETS}, m AS (SELECT p_partkey, {PRESET_OF} AS preset_id FROM part)
   SELECT p_partkey AS image_id, preset_id, CAST(width AS INTEGER) AS preset_w, CAST(height AS INTEGER) AS preset_h,
-  CAST(quality AS INTEGER) AS preset_quality FROM m JOIN pre USING (preset_id)""")
+  CAST(quality AS INTEGER) AS preset_quality FROM m LEFT JOIN pre USING (preset_id)""")
 def resolve_preset(spark, sf_dir):
     chosen = _presets(spark).select("preset_id", F.col("width").alias("preset_w"), F.col("height").alias("preset_h"),
                                     F.col("quality").alias("preset_quality"))
-    return _with_preset(spark, sf_dir).select("image_id", "preset_id").join(chosen, "preset_id")
+    return _with_preset(spark, sf_dir).select("image_id", "preset_id").join(chosen, "preset_id", "left")
 
 
 @query("plan_resize", f"""WITH {MF}, {SQL_PRESETS}, m AS (SELECT image_id, mf.width AS w, mf.height AS h, pre.width AS pw, pre.height AS ph

@@ -292,10 +292,10 @@ def to_tensor_gray(spark, sf_dir):
 
 @query("from_tensor", f"""WITH t AS (SELECT vec_id AS image_id, list_transform(embedding, lambda v: CAST(v::DOUBLE + 0.5e0 AS FLOAT)::DOUBLE) AS d FROM embeddings)
   SELECT image_id, CAST(i % 4 AS INTEGER) AS x, CAST(i // 4 AS INTEGER) AS y, {store('d[i + 1] * 255e0')} AS r, {store('d[i + 17] * 255e0')} AS g,
-  {store('d[i + 33] * 255e0')} AS b, CAST(255 AS INTEGER) AS a FROM t, range(16) k(i)""")
+  {store('d[i + 33] * 255e0')} AS b, {store('d[i + 49] * 255e0')} AS a FROM t, range(16) k(i)""")
 def from_tensor(spark, sf_dir):
-    data = F.transform(F.slice("embedding", 1, 48), lambda v: (v.cast("double") + 0.5).cast("float"))
-    dims = F.array(F.lit(1), F.lit(3), F.lit(4), F.lit(4))
+    data = F.transform("embedding", lambda v: (v.cast("double") + 0.5).cast("float"))
+    dims = F.array(F.lit(1), F.lit(4), F.lit(4), F.lit(4))
     tensors = D.vectors(spark, sf_dir).select("image_id", F.struct(dims.alias("dims"), data.alias("data")).alias("tensor"))
     return N.from_tensor(tensors).select(*OUT)
 
