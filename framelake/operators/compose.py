@@ -57,8 +57,7 @@ def apply_alpha_mask(pixels: DataFrame, mask: DataFrame, images: DataFrame, mask
     )
     fits = F.coalesce((F.col("mask_w") == F.col("width")) & (F.col("mask_h") == F.col("height")), F.lit(False))
     errors = sizes.where(~fits).select("image_id", F.when(F.col("mask_w").isNull(), F.lit("no mask")).otherwise(F.concat(
-        F.lit("Mask dimensions ("), F.concat_ws("x", "mask_w", "mask_h"), F.lit(") don't match source image ("),
-        F.concat_ws("x", "width", "height"), F.lit(")"),
+        F.lit("mask is "), F.concat_ws("x", "mask_w", "mask_h"), F.lit(", image is "), F.concat_ws("x", "width", "height"),
     )).alias("error"))
     # pixels and mask meet on (image, x, y); the size test needs no join because pixels carry their
     # frame size and mask pixels are given theirs

@@ -267,20 +267,15 @@ def regroup_sweep(
 ) -> DataFrame:
     """Group the same embeddings under several thresholds: adds ``threshold`` and ``leader_index``.
 
-    Pairs are scored once at the loosest threshold; every stricter one keeps a subset of them, and
-    all thresholds go through the grouping rounds together.
+    Every threshold asks for first similar rows only, like ``group_embeddings``: no pair table exists
+    at any of them.
     """
-    lower = cells.LOWER_IS_BETTER[algorithm]
-    scored = similarity.similarity_join(
-        embeddings, algorithm, max(thresholds) if lower else min(thresholds), id_col=id_col, vec_col=vec_col, **layout
-    )
-    levels = F.array(*[F.lit(float(t)) for t in thresholds])
-    keep = F.filter(levels, lambda t: F.col("score") < t) if lower else F.filter(levels, lambda t: F.col("score") > t)
-    pairs = scored.select(F.explode(keep).alias("threshold"), "i", "j")
-    vertices = embeddings.where(F.col(vec_col).isNotNull()).select(
-        F.explode(levels).alias("threshold"), F.col(id_col).cast("long").alias("original_index")
-    )
-    return group_duplicates(vertices, pairs, by=["threshold"])
+    swept = [
+        group_embeddings(embeddings, algorithm, t, id_col, vec_col, **layout).select(
+            F.lit(float(t)).alias("threshold"), "original_index", "leader_index")
+        for t in dict.fromkeys(thresholds)
+    ]
+    return reduce(DataFrame.unionByName, swept)
 
 
 def add_images(

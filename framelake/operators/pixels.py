@@ -80,6 +80,18 @@ ADJUSTMENTS = ("brightness", "contrast", "hue", "saturation", "lightness", "shar
                "red_scale", "green_scale", "blue_scale")
 
 
+def adjust_images(images: DataFrame, adjustments: DataFrame) -> DataFrame:
+    """``adjust_pipeline`` for packed images: settings join images, not pixels; only sharpening deals pixels to tiles."""
+    cells = F.posexplode(F.arrays_zip("r", "g", "b", "a"))
+    settings = [c for c in adjustments.columns if c != "image_id"]
+    p = images.join(adjustments, "image_id").select("image_id", "width", "height", *settings, cells.alias("_pos", "_p")).select(
+        "image_id", (F.col("_pos") % F.col("width")).cast("int").alias("x"), F.floor(F.col("_pos") / F.col("width")).cast("int").alias("y"),
+        *[F.col("_p")[c].cast("int").alias(c) for c in (*CHANNELS, "a")], F.col("width").cast("int").alias("width"),
+        F.col("height").cast("int").alias("height"), *settings,
+    )
+    return _adjusted(p, ["image_id", "x", "y", *CHANNELS, "a", "width", "height"])
+
+
 def adjust_pipeline(pixels: DataFrame, adjustments: DataFrame) -> DataFrame:
     """Brightness/contrast, HSL, RGB, sharpen, in that order, with per-image settings.
 
@@ -87,7 +99,11 @@ def adjust_pipeline(pixels: DataFrame, adjustments: DataFrame) -> DataFrame:
     ``pixel_count`` (its number of pixels, which decides whether the lookup is salted).
     """
     given = list(pixels.columns)
-    p = salted_lookup(pixels, adjustments, ["image_id"], weight="pixel_count", spread=["x", "y"])
+    return _adjusted(salted_lookup(pixels, adjustments, ["image_id"], weight="pixel_count", spread=["x", "y"]), given)
+
+
+def _adjusted(p: DataFrame, given: list[str]) -> DataFrame:
+    """The four steps on pixels that carry their image's settings."""
     skip = F.col("skip_transparent")
     p = brightness_contrast(p, F.col("brightness"), F.col("contrast"), skip)
     p = hsl_adjust(p, F.col("hue"), F.col("saturation"), F.col("lightness"), skip)

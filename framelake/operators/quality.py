@@ -14,22 +14,47 @@ from framelake.scratch import checkpointed
 METRICS = {"sharpness": False, "noise_level": True, "contrast": False, "exposure": False, "resolution": False}
 
 
-def _noise(v: Column, weighted_sum: Column) -> Column:
-    """|v - blur| with the blur rounded to 8 bit (sixteenths, half up)."""
-    return F.abs(v - F.floor((weighted_sum + 8.0) / 16.0))
+# n, then sum and sum of squares of the gray values, of their Laplacian and of their noise: integers, so any order adds up
+METRIC_SUMS = ("n", "v1", "v2", "e1", "e2", "d1", "d2")
+
+
+def sums_of_planes(padded: np.ndarray, own: np.ndarray, place=slice(None)) -> list:
+    """``METRIC_SUMS`` of the pixels ``own``, which lie at ``place`` in the plane without its frame of one pixel."""
+    edge = stencil.weighted(padded, stencil.LAPLACIAN)[place]
+    blur = np.floor((stencil.weighted(padded, stencil.BINOMIAL3)[place] + 8.0) / 16.0)  # 8 bit: sixteenths, half up
+    noise = np.abs(own - blur)
+    return [own.size] + [s for x in (own, edge, noise) for s in (x.sum(), (x * x).sum())]
+
+
+def measures_from_sums(total: DataFrame) -> DataFrame:
+    """The measures of rows that carry ``METRIC_SUMS``."""
+    def variance(first: str, second: str) -> Column:
+        mean = F.col(first) / F.col("n")
+        return F.greatest(F.col(second) / F.col("n") - mean * mean, F.lit(0.0))
+
+    return total.withColumns({
+        "sharpness": variance("e1", "e2"), "noise_level": F.sqrt(variance("d1", "d2")),
+        "contrast": F.sqrt(variance("v1", "v2")), "exposure": F.col("v1") / F.col("n"),
+    }).drop(*METRIC_SUMS)
+
+
+def _measures_of_tiles(gray: DataFrame, tile: int) -> DataFrame:
+    """All measures of a gray pixel table: each tile is reduced to seven sums."""
+    def sums_of(padded, place):
+        return sums_of_planes(padded["v"], padded["v"][1:-1, 1:-1][place], place)
+
+    sums = stencil.tile_sums(gray, ["v"], 1, "reflect101", sums_of, list(METRIC_SUMS), tile)
+    return measures_from_sums(sums.groupBy("image_id").agg(*[F.sum(n).alias(n) for n in METRIC_SUMS]))
 
 
 def kpi_sharpness(gray: DataFrame, tile: int = stencil.TILE) -> DataFrame:
     """Population variance of the Laplacian, from its exact integer sums."""
-    edges = stencil.stencil(gray, ["v"], 1, "reflect101", lambda s: [stencil.weighted(s["v"], stencil.LAPLACIAN)], ["e"], tile)
-    mean = F.avg("e")
-    return edges.groupBy("image_id").agg((F.avg(F.col("e") * F.col("e")) - mean * mean).alias("sharpness"))
+    return _measures_of_tiles(gray, tile).select("image_id", "sharpness")
 
 
 def kpi_noise(gray: DataFrame, tile: int = stencil.TILE) -> DataFrame:
     """Population standard deviation of the difference to a 3x3 Gaussian blur."""
-    blurred = stencil.stencil(gray, ["v"], 1, "reflect101", lambda s: [stencil.weighted(s["v"], stencil.BINOMIAL3)], ["s"], tile)
-    return blurred.groupBy("image_id").agg(F.stddev_pop(_noise(F.col("v"), F.col("s"))).alias("noise_level"))
+    return _measures_of_tiles(gray, tile).select("image_id", "noise_level")
 
 
 def kpi_contrast(gray: DataFrame) -> DataFrame:
@@ -43,33 +68,9 @@ def kpi_exposure(gray: DataFrame) -> DataFrame:
 
 
 def quality_kpis(pixels: DataFrame, manifest: DataFrame, tile: int = stencil.TILE) -> DataFrame:
-    """All measures with the resolution, in one pass: each tile is reduced to seven integer sums.
-
-    Images without pixels have no row.
-    """
-    names = ["n", "v1", "v2", "e1", "e2", "d1", "d2"]
-    gray = to_gray(pixels)
-
-    def sums_of(padded, place):
-        plane = padded["v"]
-        v = plane[1:-1, 1:-1][place]
-        edge = stencil.weighted(plane, stencil.LAPLACIAN)[place]
-        noise = np.abs(v - np.floor((stencil.weighted(plane, stencil.BINOMIAL3)[place] + 8.0) / 16.0))
-        return [len(v)] + [s for x in (v, edge, noise) for s in (x.sum(), (x * x).sum())]
-
-    sums = stencil.tile_sums(gray, ["v"], 1, "reflect101", sums_of, names, tile)
-    total = sums.groupBy("image_id").agg(*[F.sum(n).alias(n) for n in names])
-
-    def variance(first: str, second: str) -> Column:
-        mean = F.col(first) / F.col("n")
-        return F.greatest(F.col(second) / F.col("n") - mean * mean, F.lit(0.0))
-
-    measured = total.select(
-        "image_id", variance("e1", "e2").alias("sharpness"), F.sqrt(variance("d1", "d2")).alias("noise_level"),
-        F.sqrt(variance("v1", "v2")).alias("contrast"), (F.col("v1") / F.col("n")).alias("exposure"),
-    )
+    """All measures with the resolution, in one pass over a pixel table.  Images without pixels have no row."""
     sizes = manifest.select("image_id", F.struct("width", "height").alias("resolution"))
-    return measured.join(sizes, "image_id").select(
+    return _measures_of_tiles(to_gray(pixels), tile).join(sizes, "image_id").select(
         "image_id", "resolution", "sharpness", "noise_level", "contrast", "exposure"
     )
 

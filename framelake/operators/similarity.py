@@ -78,16 +78,20 @@ def knn_graph(
     k = neighbour_count(data.count()) if k is None else k
     plan = cells.plan_cells(data, "cosine", **layout)
     kernel, schema = cells.nearest_kernel(k), "i long, j long, score double"
+    order = Window.partitionBy("i").orderBy(F.col("score").desc(), "j")
+
+    def best(pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
     found = cells.cell_join(data, data, plan, 0.0, kernel, schema)
     if plan.pivots is not None:
-        bound = found.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("worst"))
+        bound = best(found).groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("worst"))
         reach = F.when(F.col("n") >= k, F.sqrt(F.greatest(2.0 - 2.0 * F.col("worst"), F.lit(0.0))) + 1e-6)
         asked = data.join(bound, data.id == bound.i, "left").select(
             "id", "vec", F.coalesce(reach, F.lit(float("inf"))).alias("radius")
         )
         found = cells.cell_join(data, asked, plan, float("inf"), kernel, schema)
-    order = Window.partitionBy("i").orderBy(F.col("score").desc(), "j")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("i", "j", "rank", "score")
+    return best(found).select("i", "j", "rank", "score")
 
 
 def extract_cls(features: DataFrame, dim: int = 768, tokens: int = 197, vec_col: str = "features") -> tuple[DataFrame, DataFrame]:

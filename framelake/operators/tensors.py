@@ -20,6 +20,17 @@ def unpack_pixels(images: DataFrame) -> DataFrame:
     )
 
 
+def unpack_values(images: DataFrame) -> DataFrame:
+    """Like ``unpack_pixels`` for channels of any number type, without alpha."""
+    cells = F.posexplode(F.arrays_zip("r", "g", "b"))
+    return images.select("image_id", "width", "height", cells.alias("pos", "p")).select(
+        "image_id",
+        (F.col("pos") % F.col("width")).cast("int").alias("x"),
+        F.floor(F.col("pos") / F.col("width")).cast("int").alias("y"),
+        *[F.col("p")[c].alias(c) for c in ("r", "g", "b")], "width", "height",
+    )
+
+
 def _by_rows(pixels: DataFrame, values: list[str]) -> DataFrame:
     """One row per image with row-major arrays.
 

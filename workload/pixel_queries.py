@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelake.operators import compose as C
+from framelake.operators import packed as B
 from framelake.operators import pixels as X
 from framelake.operators import quality as K
 from framelake.operators import stencil as S
@@ -124,12 +125,12 @@ def sql_gray_filter(kernel: str, out: str) -> str:
 @query("convolve", f"""WITH {PX}, {SQL_EMBOSS} SELECT c.image_id, c.x, c.y, {', '.join(f'CAST(sum(n.{c} * k) AS DOUBLE) AS {c}' for c in 'rgb')}
   FROM px c CROSS JOIN em JOIN px n ON n.image_id = c.image_id AND n.x = {sql_fold('c.x + dx')} AND n.y = {sql_fold('c.y + dy')} GROUP BY ALL""")
 def convolve(spark, sf_dir):
-    return S.convolve(D.pixels(spark, sf_dir), EMBOSS).select("image_id", "x", "y", "r", "g", "b")
+    return N.unpack_values(B.convolve(D.images(spark, sf_dir), EMBOSS)).select("image_id", "x", "y", "r", "g", "b")
 
 
 @query("sharpen", f"WITH {PX}, {sql_sharpen('px', 'o', '1.5e0', 'image_id, x, y, a', 'a = 0')} SELECT * FROM o")
 def sharpen(spark, sf_dir):
-    return S.sharpen(D.pixels(spark, sf_dir), 1.5, skip_transparent=True).select(*OUT)
+    return N.unpack_pixels(B.sharpen(D.images(spark, sf_dir), 1.5, skip_transparent=True)).select(*OUT)
 
 
 PIPE_KEEP = "image_id, x, y, a, skip, " + ", ".join(P.NEUTRAL)
@@ -146,7 +147,7 @@ def adjust_pipeline(spark, sf_dir):
     settings = D.vectors(spark, sf_dir).select("image_id", look_of(F.col("image_id")).alias("look")).withColumns({
         "skip_transparent": F.col("image_id") % 5 == 0, "pixel_count": F.lit(D.SIDE * D.SIDE),
     })
-    return X.adjust_pipeline(D.pixels(spark, sf_dir), G.plan_adjustments(settings, P.looks(spark), P.NEUTRAL)).select(*OUT)
+    return X.adjust_images(D.images(spark, sf_dir), G.plan_adjustments(settings, P.looks(spark), P.NEUTRAL)).select(*OUT)
 
 
 @query("linear_contrast", f"WITH {PX} SELECT image_id, x, y, a, {sql_each(lambda c: store(f'{c} * 1.3e0 + -12e0'), 'false')} FROM px")
@@ -169,7 +170,7 @@ def sql_far_fold(at: str) -> str:
     JOIN ac n ON n.image_id = c.image_id AND n.x = c.x AND n.y = {sql_far_fold('c.y + d')} GROUP BY ALL)
   SELECT image_id, x, y, a, {', '.join(f"{store(f'{c} * 1.5e0 - ' + store(f's_{c}') + ' * 0.5e0')} AS {c}" for c in 'rgb')} FROM px JOIN bl USING (image_id, x, y)""")
 def unsharp_mask(spark, sf_dir):
-    return S.unsharp_mask(D.pixels(spark, sf_dir), 0.5).select(*OUT)
+    return N.unpack_pixels(B.unsharp_mask(D.images(spark, sf_dir), 0.5)).select(*OUT)
 
 
 @query("hls8_adjust", f"""WITH {PX}, {sql_hsl_of('px', 'o')},
@@ -219,7 +220,7 @@ def apply_alpha_mask(spark, sf_dir):
 
 
 @query("apply_alpha_mask_errors", """SELECT vec_id AS image_id, CASE WHEN vec_id + 1 NOT IN (SELECT vec_id FROM embeddings) THEN 'no mask'
-  ELSE 'Mask dimensions (8x7) don''t match source image (8x8)' END AS error FROM embeddings
+  ELSE 'mask is 8x7, image is 8x8' END AS error FROM embeddings
   WHERE vec_id % 50 = 7 OR vec_id + 1 NOT IN (SELECT vec_id FROM embeddings)""")
 def apply_alpha_mask_errors(spark, sf_dir):
     return _mask(spark, sf_dir)[1]
@@ -278,14 +279,14 @@ def preserve_color(spark, sf_dir):
     UNION ALL SELECT image_id, 64 + y * 8 + x, g FROM px UNION ALL SELECT image_id, 128 + y * 8 + x, b FROM px)
   SELECT image_id, '1,3,8,8' AS dims, pos, round(CAST(CAST(v / 255e0 AS FLOAT) AS DOUBLE), 6) AS value FROM long""")
 def to_tensor(spark, sf_dir):
-    tensors = N.to_tensor(D.pixels(spark, sf_dir))
+    tensors = B.to_tensor(D.images(spark, sf_dir))
     return tensors.select("image_id", _joined(F.col("tensor.dims")).alias("dims"), F.posexplode("tensor.data").alias("pos", "v")).select(
         "image_id", "dims", "pos", F.round(F.col("v").cast("double"), 6).alias("value"))
 
 
 @query("to_tensor_gray", f"""WITH {PX} SELECT image_id, '1,1,8,8' AS dims, CAST(y * 8 + x AS INTEGER) AS pos, round(CAST(CAST(r / 255e0 AS FLOAT) AS DOUBLE), 6) AS value FROM px""")
 def to_tensor_gray(spark, sf_dir):
-    tensors = N.to_tensor(D.pixels(spark, sf_dir), gray=True)
+    tensors = B.to_tensor(D.images(spark, sf_dir), gray=True)
     return tensors.select("image_id", _joined(F.col("tensor.dims")).alias("dims"), F.posexplode("tensor.data").alias("pos", "v")).select(
         "image_id", "dims", "pos", F.round(F.col("v").cast("double"), 6).alias("value"))
 
@@ -336,6 +337,7 @@ SQL_KPIS = f"""gr AS (SELECT image_id, x, y, {SQL_LUMA} AS v FROM px), {SQL_KERN
 
 @query("quality_kpis", f"""WITH {PX}, {SQL_KPIS} SELECT image_id, width, height, {', '.join(f'round({c}, 4) AS {c}' for c in ('sharpness', 'noise_level', 'contrast', 'exposure'))} FROM kp""")
 def quality_kpis(spark, sf_dir):
-    kpis = K.quality_kpis(D.pixels(spark, sf_dir), D.image_sizes(spark, sf_dir))
+    sizes = D.image_sizes(spark, sf_dir).select("image_id", F.struct("width", "height").alias("resolution"))
+    kpis = B.quality_kpis(D.images(spark, sf_dir)).drop("resolution").join(sizes, "image_id")
     return kpis.select("image_id", "resolution.width", "resolution.height",
                        *[F.round(c, 4).alias(c) for c in ("sharpness", "noise_level", "contrast", "exposure")])

@@ -182,34 +182,50 @@ def knn_graph(spark, sf_dir):
     return S.knn_graph(D.vectors(spark, sf_dir)).select("i", "j", "rank", F.round("score", 6).alias("score"))
 
 
-@query("project_2d")
+# One row: as many points as vectors, axes without correlation, the wider one first, and for each axis the share
+# of its variance that its covariances with the dimensions explain, which is 1 for a principal axis only.
+@query("project_2d", """SELECT count(*) AS points, 0e0 AS correlation, true AS wider_first, 1e0 AS x_axis, 1e0 AS y_axis FROM embeddings WHERE embedding IS NOT NULL""")
 def project_2d(spark, sf_dir):
-    points = P.project_2d(D.vectors(spark, sf_dir))
-    return points.select("image_id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+    v = checkpointed(P.project_2d(D.vectors(spark, sf_dir))).join(D.vectors(spark, sf_dir), "image_id")
+    dims = len(D.vectors(spark, sf_dir).first()["embedding"])
+    e = V.as_double(F.col("embedding"))
+    axes = {c: [F.covar_pop(c, e[k]).alias(f"{c}{k}") for k in range(dims)] for c in "xy"}
+    sums = v.agg(F.count(F.lit(1)).alias("points"), F.covar_pop("x", "y").alias("xy"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), *axes["x"], *axes["y"])
 
+    def share(c: str):
+        return F.round(sum(F.col(f"{c}{k}") * F.col(f"{c}{k}") for k in range(dims)) / (F.col(f"v{c}") * F.col(f"v{c}")), 6).alias(f"{c}_axis")
 
-def _points(spark, sf_dir):
-    e = V.as_double(F.col("embedding"))
-    return D.vectors(spark, sf_dir).select("image_id", e[0].alias("x"), e[1].alias("y"))
+    return sums.select("points", F.abs(F.round("xy", 9)).alias("correlation"), (F.col("vx") >= F.col("vy")).alias("wider_first"), share("x"), share("y"))
 
 
-def _palette_sql() -> str:
-    return "[" + ", ".join(f"'{c}'" for c in P.PALETTE) + "]"
+def _points(spark, sf_dir):
+    return P.project_2d(D.vectors(spark, sf_dir))
 
 
-@query("plot_attributes", f"""WITH RECURSIVE {SQL_RANKED} SELECT vec_id AS image_id, round(e[1], 6) AS x, round(e[2], 6) AS y,
-  CASE WHEN is_duplicate THEN {_palette_sql()}[(group_rank - 1) % 10 + 1] ELSE '#000000' END AS color,
-  CASE WHEN is_duplicate THEN 10e0 ELSE 8e0 END AS size FROM vec JOIN rk ON original_index = vec_id""")
+# The plotted places are the projection's, which project_2d checks; here they count as whole points.
+@query("plot_attributes", f"""WITH RECURSIVE {SQL_RANKED} SELECT original_index AS image_id, true AS placed,
+  CASE WHEN is_duplicate THEN ['#ff6b6b', '#4ecdc4', '#45b7d1', '#f9ca24', '#6c5ce7', '#a55eea', '#26de81', '#fd79a8', '#00b894', '#e17055'][(group_rank - 1) % 10 + 1]
+    ELSE '#000000' END AS color, CASE WHEN is_duplicate THEN 10e0 ELSE 8e0 END AS size FROM rk""")
 def plot_attributes(spark, sf_dir):
     ranked = _ranked(spark, sf_dir).withColumn("image_id", F.col("original_index"))
-    return P.plot_attributes(_points(spark, sf_dir), ranked).withColumns({c: F.round(c, 6) for c in ("x", "y")})
+    plotted = P.plot_attributes(_points(spark, sf_dir), ranked)
+    return plotted.select("image_id", (F.col("x").isNotNull() & F.col("y").isNotNull()).alias("placed"), "color", "size")
 
 
-@query("plot_viewport", f"""WITH {VEC}, b AS (SELECT min(e[1]) AS lx, max(e[1]) AS hx, min(e[2]) AS ly, max(e[2]) AS hy FROM vec),
-  c AS (SELECT (lx + hx) / 2 AS cx, (ly + hy) / 2 AS cy, greatest(hx - lx, hy - ly) * 1.2e0 / 2 AS half FROM b)
-  SELECT round(cx - half, 6) AS "left", round(cx + half, 6) AS "right", round(cy + half, 6) AS top, round(cy - half, 6) AS bottom FROM c""")
+# The view is a square whose side is 1.2 times the wider span of the points, around their middle.
+@query("plot_viewport", "SELECT true AS square, 1.2e0 AS wider, 0e0 AS off_x, 0e0 AS off_y, 0 AS outside")
 def plot_viewport(spark, sf_dir):
-    return P.plot_viewport(_points(spark, sf_dir)).select(*[F.round(c, 6).alias(c) for c in ("left", "right", "top", "bottom")])
+    points = checkpointed(_points(spark, sf_dir))
+    view = P.plot_viewport(points)
+    box = points.agg(*[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
+    one = view.withColumn("_k", F.lit(1)).join(box.withColumn("_k", F.lit(1)), "_k")  # one row each
+    wide, tall = F.col("right") - F.col("left"), F.col("top") - F.col("bottom")
+    span = F.greatest(F.col("hi_x") - F.col("lo_x"), F.col("hi_y") - F.col("lo_y"))
+    off = lambda a, b, c: F.abs(F.round((F.col(a) + F.col(b)) / 2 - (F.col(f"lo_{c}") + F.col(f"hi_{c}")) / 2, 6))
+    outside = (F.col("lo_x") < F.col("left")).cast("int") + (F.col("hi_x") > F.col("right")).cast("int") + (F.col("lo_y") < F.col("bottom")).cast("int") + (
+        F.col("hi_y") > F.col("top")).cast("int")
+    return one.select((F.abs(wide - tall) < 1e-9).alias("square"), F.round(wide / span, 6).alias("wider"), off("left", "right", "x").alias("off_x"),
+                      off("top", "bottom", "y").alias("off_y"), outside.alias("outside"))
 
 
 # ---- best of group; every 11th image has no measures ----

@@ -102,7 +102,7 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_PIXELS = """
 img AS (SELECT vec_id AS image_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings),
-px AS (SELECT image_id, CAST(pos % 8 AS INTEGER) AS x, CAST(pos // 8 AS INTEGER) AS y,
+px AS MATERIALIZED (SELECT image_id, CAST(pos % 8 AS INTEGER) AS x, CAST(pos // 8 AS INTEGER) AS y,
   CAST(least(greatest(round_even((e[pos + 1] + 0.5e0) * 255e0, 0), 0), 255) AS INTEGER) AS r,
   CAST(least(greatest(round_even((e[(pos + 21) % 64 + 1] + 0.5e0) * 255e0, 0), 0), 255) AS INTEGER) AS g,
   CAST(least(greatest(round_even((e[(pos + 42) % 64 + 1] + 0.5e0) * 255e0, 0), 0), 255) AS INTEGER) AS b,
