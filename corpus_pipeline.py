@@ -18,8 +18,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules learned from ``labels``: rejected documents go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rules = quality_rules.fit_rules(quality_rules.text_statistics(docs), labels)
-    judged = quality_rules.apply_rules(quality_rules.text_statistics(docs, COLUMNS), rules)
+    rules = quality_rules.fit_rules_on_texts(docs, labels)
+    judged = quality_rules.apply_rules(quality_rules.text_statistics(docs, COLUMNS[1:]), rules)
     return judged.where("kept").select(*COLUMNS)
 
 

@@ -34,7 +34,7 @@ def arrow_rows(df: DataFrame, row: Callable[[], Callable[..., tuple]], inputs: l
                 columns = [pa.array(list(v), type=f.type) for v, f in zip(zip(*made, strict=True), target, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
 
-    return df.select(*inputs).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys(inputs)).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -42,8 +42,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(stats: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """One row of ``stats`` per document with a 0/1 ``label`` that a model may learn from, about ``max_rows`` of them at most.
+def training_ids(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
+    """``doc_id`` and ``_label`` of about ``max_rows`` documents at most that a model may learn from.
 
     The bound is the documented size of the training sample: of n labelled ids those stay whose hash is
     in the first ``max_rows / n`` of its range, so the sample depends on ids alone.
@@ -54,7 +54,12 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, label: str, max_rows: i
     )
     parts = 1 << 20
     within = min(parts, parts * max_rows // max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < within)
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < within)
+
+
+def labelled_sample(stats: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
+    """One row of ``stats`` per document of ``training_ids``, with its ``_label``."""
     values = [c for c in stats.columns if c != "doc_id"]
-    one = stats.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("_label", *values)).alias("_row"))
+    one = stats.join(F.broadcast(training_ids(labels, label, max_rows)), "doc_id").groupBy("doc_id").agg(
+        F.min(F.struct("_label", *values)).alias("_row"))
     return one.select("doc_id", "_row.*")

@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelake.llm.common import arrow_rows, labelled_sample
+from framelake.llm.common import arrow_rows, labelled_sample, training_ids
 
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks",
-          "n_distinct_words", "n_chars")
+          "n_distinct_words", "n_code_points")
 _LOWER = bytes(range(97, 123))
 _UPPER, _DIGITS, _MARKS = bytes(range(65, 91)), b"0123456789", b".,;:!?"
 
@@ -72,7 +72,7 @@ def text_counts(text: str | None) -> tuple[int, ...]:
     )
 
 
-def text_statistics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def text_statistics(docs: DataFrame, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """``doc_id``, the columns ``keep`` and ``COUNTS`` of every whole text; one row per row, null texts count as empty."""
     schema = T.StructType([
         T.StructField("doc_id", T.LongType()), *[docs.schema[c] for c in keep], *[T.StructField(c, T.LongType()) for c in COUNTS],
@@ -92,7 +92,7 @@ def base_failed() -> Column:
 def features(prefix: str = "") -> dict[str, Column]:
     """Ratios the learner sees, from the counts."""
     c = {name: F.col(prefix + name).cast("double") for name in COUNTS}
-    at_least_one = {name: F.greatest(c[name], F.lit(1.0)) for name in ("n_words", "n_chars", "n_lines", "word_chars")}
+    at_least_one = {name: F.greatest(c[name], F.lit(1.0)) for name in ("n_words", "n_lines", "word_chars")}
     return {
         "word_length": c["word_chars"] / at_least_one["n_words"],
         "symbol_share": c["n_symbols"] / at_least_one["n_words"],
@@ -203,6 +203,12 @@ def fit_rules(stats: DataFrame, labels: DataFrame, max_rows: int = 50_000, **opt
     return learn_rules(x, rows.column("_label").to_numpy() == 0, **options)
 
 
+def fit_rules_on_texts(docs: DataFrame, labels: DataFrame, max_rows: int = 50_000, **options) -> list[Rule]:
+    """``fit_rules`` where no statistics exist yet: only the texts of the training sample are read for it."""
+    few = docs.join(F.broadcast(training_ids(labels, "quality", max_rows).select("doc_id")), "doc_id", "left_semi")
+    return fit_rules(text_statistics(few), labels, max_rows, **options)
+
+
 def keep_expression(rules: list[Rule]) -> Column:
     """The decision list as one ordered conditional: false at the first rule that fires, else true."""
     columns = features()
