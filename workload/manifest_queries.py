@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import text as T
@@ -173,27 +176,29 @@ def plan_letterbox(spark, sf_dir):
     return p.select("image_id", "box_x", "box_y", F.round("box_w", 6).alias("box_w"), F.round("box_h", 6).alias("box_h"))
 
 
-ENCODING_CASES = [("edit", "jpg"), ("download", "webp"), ("zip", "jpg"), ("convert", "avif"), ("thumbnail", "jpg")]
+# every stage with every format it can be asked for
+ENCODING_CASES = [("edit", "jpg"), ("download", "jpg"), ("download", "webp"), ("zip", "jpg"), ("zip", "webp"), ("convert", "jpg"), ("convert", "png"),
+                  ("convert", "webp"), ("convert", "avif"), ("thumbnail", "jpg")]
 
 
-@query("plan_encoding", f"""WITH {MF}, m AS (SELECT image_id, mime AS m0, background_removed AS bg,
-    CASE WHEN image_id % 3 = 0 THEN 75 END AS pq FROM mf)
-  SELECT image_id, 'edit' AS stage, CASE WHEN bg THEN 'image/png' ELSE 'image/jpeg' END AS output_mime, coalesce(pq / 100e0, 0.85e0) AS quality FROM m
-  UNION ALL SELECT image_id, 'download', CASE WHEN bg THEN 'image/png' ELSE 'image/webp' END, CASE WHEN bg THEN 1.0e0 ELSE 0.8e0 END FROM m
-  UNION ALL SELECT image_id, 'zip', CASE WHEN bg THEN 'image/png' ELSE 'image/jpeg' END, CASE WHEN NOT bg THEN 0.9e0 END FROM m
-  UNION ALL SELECT image_id, 'convert', 'image/avif', coalesce(pq / 100e0, 0.95e0) FROM m
-  UNION ALL SELECT image_id, 'thumbnail', CASE WHEN m0 = 'image/png' THEN 'image/png' ELSE 'image/jpeg' END,
-    CASE WHEN m0 = 'image/png' THEN 1.0e0 ELSE 0.95e0 END FROM m""")
+@query("plan_encoding", f"""WITH {MF}, m AS (SELECT image_id, mime AS m0, background_removed AS bg, CASE WHEN image_id % 3 = 0 THEN 75 END AS pq FROM mf),
+  asked(stage, asked) AS (VALUES ('edit', 'jpg'), ('download', 'jpg'), ('download', 'webp'), ('zip', 'jpg'), ('zip', 'webp'), ('convert', 'jpg'),
+    ('convert', 'png'), ('convert', 'webp'), ('convert', 'avif'), ('thumbnail', 'jpg')),
+  t AS (SELECT m.*, stage, asked, CASE WHEN stage = 'convert' THEN asked WHEN stage = 'thumbnail' THEN CASE WHEN m0 = 'image/png' THEN 'png' ELSE 'jpg' END
+    WHEN bg THEN 'png' WHEN stage = 'edit' THEN 'jpg' ELSE asked END AS f FROM m CROSS JOIN asked)
+  SELECT image_id, stage, asked, CASE WHEN f = 'jpg' AND stage <> 'convert' THEN 'image/jpeg' ELSE 'image/' || f END AS output_mime,
+    CASE stage WHEN 'edit' THEN coalesce(pq / 100e0, 0.85e0) WHEN 'convert' THEN coalesce(pq / 100e0, 0.95e0)
+      WHEN 'download' THEN CASE f WHEN 'jpg' THEN 0.9e0 WHEN 'webp' THEN 0.8e0 ELSE 1.0e0 END
+      WHEN 'zip' THEN CASE WHEN f <> 'png' THEN 0.9e0 END
+      ELSE CASE WHEN f = 'png' THEN 1.0e0 ELSE 0.95e0 END END AS quality FROM t""")
 def plan_encoding(spark, sf_dir):
     m = D.manifest(spark, sf_dir).withColumn("preset_quality", F.when(F.col("image_id") % 3 == 0, 75))
     parts = [
-        G.plan_encoding(m, P.ENCODING_RULES, stage, fmt).select("image_id", F.lit(stage).alias("stage"), "output_mime", "quality")
+        G.plan_encoding(m, P.ENCODING_RULES, stage, fmt).select(
+            "image_id", F.lit(stage).alias("stage"), F.lit(fmt).alias("asked"), "output_mime", "quality")
         for stage, fmt in ENCODING_CASES
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 LOOK_NAMES = [*P.LOOKS, "plain"]

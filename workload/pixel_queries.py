@@ -10,8 +10,11 @@ from framelake.operators import pixels as X
 from framelake.operators import quality as K
 from framelake.operators import stencil as S
 from framelake.operators import tensors as N
+from framelake.operators.naming import export_name
 from framelake.plans import geometry as G
 from framelake.plans import tables as P
+from framelake.scratch import scratch_path
+from framelake.sources.files import export_images
 from workload import tables as D
 from workload.manifest_queries import SQL_LOOK_OF, SQL_LOOKS, LOOK_NAMES, look_of
 from workload.registry import query
@@ -62,7 +65,7 @@ def sql_hsl(src: str, out: str, hue: str, sat: str, light: str, keep: str, skip:
   {sql_rgb_of(f'{out}_d', out, keep, skip)}"""
 
 
-def sql_sharpen(src: str, out: str, s: str, keep: str, skip: str) -> str:
+def sql_sharpen(src: str, out: str, s: str, keep: str, skip: str, side: int = 8) -> str:
     def around(c: str) -> str:
         return f"""lag({c}) OVER (PARTITION BY image_id, x ORDER BY y) AS t_{c}, lead({c}) OVER (PARTITION BY image_id, x ORDER BY y) AS d_{c},
       lag({c}) OVER (PARTITION BY image_id, y ORDER BY x) AS l_{c}, lead({c}) OVER (PARTITION BY image_id, y ORDER BY x) AS r_{c}"""
@@ -70,7 +73,7 @@ def sql_sharpen(src: str, out: str, s: str, keep: str, skip: str) -> str:
     def total(c: str) -> str:
         return store(f"t_{c} * -({s}) + l_{c} * -({s}) + {c} * (1 + 4 * ({s})) + r_{c} * -({s}) + d_{c} * -({s})")
 
-    border = "x = 0 OR y = 0 OR x = 7 OR y = 7"
+    border = f"x = 0 OR y = 0 OR x = {side - 1} OR y = {side - 1}"
     return f"""{out}_n AS (SELECT *, {around('r')}, {around('g')}, {around('b')} FROM {src}),
   {out} AS (SELECT {keep}, {sql_each(total, f'{border} OR ({s}) <= 0 OR ({skip})')} FROM {out}_n)"""
 
@@ -203,6 +206,43 @@ def area_resize(spark, sf_dir):
     return C.area_resize(D.pixels(spark, sf_dir), plan).select(*OUT)
 
 
+# Plan, resize, adjust, pack, name, encode and export the selected images, then read the export.
+@query("edit_export", f"""WITH {PX}, p AS (SELECT *, 4 AS m FROM px WHERE image_id % 4 <> 1),
+  c AS (SELECT image_id, tx.i AS tx, ty.i AS ty, r, g, b, a FROM p JOIN range(4) tx(i) ON x // 2 = tx.i JOIN range(4) ty(i) ON y // 2 = ty.i),
+  rs AS (SELECT image_id, CAST(tx AS INTEGER) AS x, CAST(ty AS INTEGER) AS y, {', '.join(f"{store(f'CAST(sum({c}) AS DOUBLE) / 4')} AS {c}" for c in 'rgba')}
+    FROM c GROUP BY image_id, tx, ty),
+  {SQL_LOOKS}, p0 AS (SELECT rs.*, image_id % 5 = 0 AS skip, {', '.join(f'looks.{c}' for c in P.NEUTRAL)}
+    FROM rs JOIN looks ON look = {SQL_LOOK_OF}[image_id % {len(LOOK_NAMES)} + 1]),
+  p1 AS (SELECT {PIPE_KEEP}, {sql_each(lambda c: sql_brightness(c, 'brightness', 'contrast'), PIPE_SKIP)} FROM p0),
+  {sql_hsl('p1', 'p2', 'hue', 'saturation', 'lightness', PIPE_KEEP, f'({PIPE_SKIP}) OR (hue = 100 AND saturation = 100 AND lightness = 100)')},
+  p3 AS (SELECT {PIPE_KEEP}, {sql_each(lambda c: store(f"{c} * {dict(r='red', g='green', b='blue')[c]}_scale"), PIPE_SKIP)} FROM p2),
+  {sql_sharpen('p3', 'p4', 'least(sharpen, 2e0)', 'image_id, x, y, a', PIPE_SKIP, side=4)},
+  sums AS (SELECT image_id, {', '.join(f'CAST(sum({c} * (y * 4 + x + 1)) AS BIGINT) AS {c}' for c in 'rgba')} FROM p4 GROUP BY image_id),
+  n AS (SELECT image_id, row_number() OVER (ORDER BY image_id) AS k FROM sums)
+  SELECT image_id, 'img_' || image_id || '_' || k || CASE WHEN image_id % 5 = 0 THEN '.png' ELSE '.webp' END AS file_name,
+    CASE WHEN image_id % 5 = 0 THEN 'png' ELSE 'webp' END AS output_format, CASE WHEN image_id % 5 = 0 THEN 'image/png' ELSE 'image/webp' END AS output_mime,
+    CASE WHEN image_id % 5 = 0 THEN 1e0 ELSE 0.8e0 END AS quality, r, g, b, a FROM sums JOIN n USING (image_id)""")
+def edit_export(spark, sf_dir):
+    chosen = F.col("image_id") % 4 != 1
+    side, cut = F.lit(4), F.col("image_id") % 5 == 0
+    ids = D.vectors(spark, sf_dir).where(chosen).select("image_id", "original_index")
+    plan = ids.select("image_id", side.alias("target_w"), side.alias("target_h"), F.lit(D.SIDE * D.SIDE).alias("pixel_count"))
+    settings = ids.select("image_id", look_of(F.col("image_id")).alias("look"), cut.alias("skip_transparent"), F.lit(16).alias("pixel_count"))
+    small = C.area_resize(D.pixels(spark, sf_dir).where(chosen), plan)
+    edited = N.pack_pixels(X.adjust_pipeline(small, G.plan_adjustments(settings, P.looks(spark), P.NEUTRAL)))
+    manifest = ids.select("image_id", "original_index", cut.alias("background_removed"), F.lit(None).cast("int").alias("preset_quality"),
+                          F.concat(F.lit("img_"), F.col("image_id").cast("string"), F.lit(".jpg")).alias("name"), F.lit(None).cast("string").alias("seo_name"))
+    coded = G.plan_encoding(export_name(manifest, "webp", ["original_index"]), P.ENCODING_RULES, "download", "webp")
+    payload = edited.select("image_id", F.struct("r", "g", "b", "a").alias("payload"))
+    rows = coded.join(payload, "image_id", "left").select("image_id", "file_name", "output_format", "output_mime", "quality", "payload")
+    done, _ = export_images(rows, scratch_path(spark, "edited"))
+
+    def weighed(c: str):
+        return F.aggregate(F.transform(f"payload.{c}", lambda v, k: (v * (k + 1)).cast("long")), F.lit(0).cast("long"), lambda t, v: t + v).alias(c)
+
+    return done.select("image_id", "file_name", "output_format", "output_mime", "quality", *[weighed(c) for c in "rgba"])
+
+
 def _mask(spark, sf_dir):
     """Red channel of the next image; every 50th mask has lost its last line."""
     p, short = D.pixels(spark, sf_dir), F.col("image_id") % 50 == 7
