@@ -129,7 +129,7 @@ def pageview_url(spark, sf_dir):
 
 # ---- sitemap: page paths, plus the root and some excluded paths per page ----
 
-LOCALE_LIST = "['" + "', '".join(M.LOCALES) + "']"
+LOCALE_LIST = "['en', 'de', 'nl', 'fr', 'pl', 'cs', 'ru', 'uk']"
 SQL_PATHS = f"""{UP}, pt AS (SELECT page_id, CASE page_id % 10 WHEN 0 THEN '/' WHEN 1 THEN '/api/' || page_id WHEN 2 THEN '/404' WHEN 3 THEN '/server-sitemap-' || page_id
     ELSE path END AS path FROM up),
   ps AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS seg FROM pt),

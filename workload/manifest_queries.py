@@ -204,15 +204,22 @@ def plan_encoding(spark, sf_dir):
 LOOK_NAMES = [*P.LOOKS, "plain"]
 
 
-def _sql_looks() -> str:
-    rows = []
-    for name, given in P.LOOKS.items():
-        rows.append("(" + ", ".join([f"'{name}'"] + [f"{float(given.get(c, neutral))!r}e0" for c, neutral in P.NEUTRAL.items()]) + ")")
-    rows.append("(" + ", ".join(["'plain'"] + [f"{v!r}e0" for v in P.NEUTRAL.values()]) + ")")
-    return "looks AS (SELECT * FROM (VALUES " + ", ".join(rows) + ") t(look, " + ", ".join(P.NEUTRAL) + "))"
-
-
-SQL_LOOKS = _sql_looks()
+# fixed values, written out so that a wrong constant of the library shows
+SQL_LOOKS = """looks AS (SELECT * FROM (VALUES
+  ('vivid', 0.0e0, 10.0e0, 100.0e0, 120.0e0, 110.0e0, 0.0e0, 1.0e0, 1.0e0, 1.0e0),
+  ('sharp', 10.0e0, 15.0e0, 100.0e0, 100.0e0, 100.0e0, 1.5e0, 1.0e0, 1.0e0, 1.0e0),
+  ('classic', 0.0e0, 0.0e0, 100.0e0, 90.0e0, 105.0e0, 0.0e0, 1.1e0, 1.0e0, 0.9e0),
+  ('clean', 10.0e0, 5.0e0, 100.0e0, 95.0e0, 105.0e0, 0.2e0, 1.0e0, 1.0e0, 1.0e0),
+  ('white-bg', 25.0e0, 15.0e0, 100.0e0, 90.0e0, 115.0e0, 0.2e0, 1.0e0, 1.0e0, 1.0e0),
+  ('dramatic', 5.0e0, 25.0e0, 100.0e0, 110.0e0, 95.0e0, 0.3e0, 1.0e0, 1.0e0, 1.0e0),
+  ('jewelry', 10.0e0, 15.0e0, 100.0e0, 85.0e0, 108.0e0, 0.4e0, 1.05e0, 1.02e0, 1.1e0),
+  ('soft-product', 15.0e0, 5.0e0, 100.0e0, 105.0e0, 110.0e0, 0.0e0, 1.02e0, 1.02e0, 1.0e0),
+  ('textile', 8.0e0, 12.0e0, 100.0e0, 110.0e0, 103.0e0, 0.2e0, 1.02e0, 1.0e0, 0.98e0),
+  ('food', 5.0e0, 18.0e0, 100.0e0, 115.0e0, 105.0e0, 0.2e0, 1.05e0, 1.03e0, 0.97e0),
+  ('furniture', 8.0e0, 10.0e0, 100.0e0, 95.0e0, 102.0e0, 0.5e0, 1.03e0, 1.0e0, 0.95e0),
+  ('transparent', 12.0e0, 20.0e0, 100.0e0, 85.0e0, 112.0e0, 0.3e0, 0.98e0, 1.0e0, 1.04e0),
+  ('plain', 0.0e0, 0.0e0, 100.0e0, 100.0e0, 100.0e0, 0.0e0, 1.0e0, 1.0e0, 1.0e0)
+) t(look, brightness, contrast, hue, saturation, lightness, sharpen, red_scale, green_scale, blue_scale))"""
 SQL_LOOK_OF = "[" + ", ".join(f"'{x}'" for x in LOOK_NAMES) + "]"
 
 

@@ -8,7 +8,6 @@ from framelake.operators import compose as C
 from framelake.operators import packed as B
 from framelake.operators import pixels as X
 from framelake.operators import quality as K
-from framelake.operators import stencil as S
 from framelake.operators import tensors as N
 from framelake.operators.naming import export_name
 from framelake.plans import geometry as G
@@ -158,8 +157,8 @@ def linear_contrast(spark, sf_dir):
     return X.linear_contrast(D.pixels(spark, sf_dir), -12, 30).select(*OUT)
 
 
-TAPS = S.gaussian_taps(3.0)
-SQL_TAPS = "tp AS (SELECT * FROM (VALUES " + ", ".join(f"({k - len(TAPS) // 2}, {w!r}e0)" for k, w in enumerate(TAPS)) + ") t(d, k))"
+# a Gaussian of sigma 3 over 19 places, summing to one
+SQL_TAPS = "tp AS (SELECT d, exp(-(d * d) / 18e0) / sum(exp(-(d * d) / 18e0)) OVER () AS k FROM range(-9, 10) t(d))"
 
 
 def sql_far_fold(at: str) -> str:
