@@ -187,6 +187,17 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
+def _joined_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``doc_id, fp`` of every row; ``fp, root, component_id`` of every fingerprint)."""
+    marked = checkpointed(fingerprints(docs))
+    nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    found = components(fingerprint_links(nodes))
+    linked = found.union(found.select(F.col("root").alias("node"), "root").distinct())
+    named = nodes.join(linked, nodes.fp == linked.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return marked, named.join(smallest, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs``.
 
@@ -194,13 +205,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Rows without a ``doc_id`` link like others and get their component's id (null if no row of it has
     one).  Texts without words have fingerprint zero.  Only doc_id and text are read.
     """
-    marked = checkpointed(fingerprints(docs))
-    nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(fingerprint_links(nodes))
-    linked = found.union(found.select(F.col("root").alias("node"), "root").distinct())
-    named = nodes.join(linked, nodes.fp == linked.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = named.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id")
+    marked, named = _joined_components(docs)
+    ids = named.select(F.col("fp").alias("_fp"), "component_id")
     return marked.join(ids, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
@@ -209,7 +215,19 @@ def hexadecimal(fp: str = "fp") -> Column:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """Rows whose ``doc_id`` is the smallest of its component; of rows that share that id, one stays."""
-    kept = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return stay.dropDuplicates(["doc_id"])
+    """One row of each component: the one with the smallest ``doc_id``; rows that share that id are one document.
+
+    A component none of whose rows has a ``doc_id`` keeps one of its rows.
+    """
+    marked, named = _joined_components(docs)
+    ids = checkpointed(named)
+    first = ids.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias("_kept")).distinct()
+    stay = docs.join(first, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    # the texts of rows without an id are marked again, to find their component
+    nameless = docs.where(F.col("doc_id").isNull())
+    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
+    at = docs.columns.index("text")
+    again = arrow_rows(nameless, lambda: lambda *row: (*row, fingerprint(row[at])), docs.columns, schema)
+    alone = ids.where(F.col("component_id").isNull()).select(F.col("fp").alias("_node"), F.col("root").alias("_root"))
+    rest = again.join(alone, F.col("_fp") == F.col("_node")).dropDuplicates(["_root"]).select(*docs.columns)
+    return stay.unionByName(rest)

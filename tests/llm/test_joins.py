@@ -203,6 +203,9 @@ def test_copies_nulls_and_empty(spark):
     assert [r.component_id for r in rows if r.doc_id is None] == [7]
     assert sorted(r.doc_id for r in simhash.first_of_each(docs).collect()) == [0, 5, 7]
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
+    nameless = docs.where("doc_id >= 5").selectExpr("CAST(NULL AS BIGINT) AS doc_id", *docs.columns[1:])
+    kept = simhash.first_of_each(docs.where("doc_id < 5").unionAll(nameless)).collect()
+    assert sorted((r.doc_id is None, r.text or "") for r in kept) == [(False, "x y z"), (True, ""), (True, "q")]
 
 
 # ---- op10 ----
