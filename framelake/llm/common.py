@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ROWS_AT_ONCE = 256  # rows of a batch that are Python objects at one time
+
+
+def rows_in(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch as Python values, a few at a time."""
+    for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+        yield from zip(*(c.to_pylist() for c in batch.slice(start, ROWS_AT_ONCE).columns), strict=True)
+
+
 def arrow_rows(df: DataFrame, row: Callable[[], Callable[..., tuple]], inputs: list[str], schema: StructType) -> DataFrame:
     """Map every row of ``inputs`` to one row of ``schema`` in Arrow batches.
 
@@ -28,11 +37,13 @@ def arrow_rows(df: DataFrame, row: Callable[[], Callable[..., tuple]], inputs: l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = row()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
                 made = [function(*values) for values in zip(*(batch.column(c).to_pylist() for c in inputs), strict=True)]
                 columns = [pa.array(list(v), type=f.type) for v, f in zip(zip(*made, strict=True), target, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
+        pa.default_memory_pool().release_unused()
 
     return df.select(*dict.fromkeys(inputs)).mapInArrow(run, schema)
 
