@@ -3,9 +3,13 @@
 * Every source gets a target number of words by weight; a target stops at ``most_epochs`` times the
   source's size and the excess goes to the others by weight (water filling, one sorted pass over the
   table of sources, which has one row per source).
-* The mix has ``2**SLOT_BITS`` slots of equal length.  Slot ``n`` is the van der Corput point of ``n``: the
-  reversed bits of ``n``, mapped through the cumulative targets to a source.  Any stretch of the schedule
-  holds each source in its share, and over the whole schedule a source gets its share to one slot.
+* The mix has slots of equal length, at least about ``2**SLOT_BITS`` and more where a slot would pass
+  ``MOST_BLOCK`` words.  Slot ``n`` is the van der Corput point of ``n``: the reversed bits of ``n``, mapped
+  through the cumulative slots of the sources to a source.  Any stretch of the schedule holds each source
+  in its share.  The last slot of a source is cut where its target ends, so a source gets its target to the
+  word, however small it is beside a slot.
+* With ``slot_bits`` given, the rule of the SQL check holds instead: ``2**slot_bits`` slots, whole slots
+  only, and a source whose target is below a slot may get none.
 * The documents of a source are laid end to end in the order of a hash, epoch after epoch, and cut into
   blocks as long as a slot.  The k-th slot of a source takes its k-th block: an equi-join on
   (source, k).
@@ -24,6 +28,7 @@ from framelake.scratch import checkpointed
 
 WEIGHTS = (3, 1, 2)
 SLOT_BITS = 18
+MOST_BLOCK = 1024  # words of a slot at most; larger corpora have more slots
 PREFIX = 3  # hexadecimal digits: 4096 runs of documents in a source
 RUN_BITS = 10  # slots in a run: 1024
 UNIT = 1024  # targets are cut to 1/1024 word before they become slot borders, so borders are exact
@@ -41,12 +46,14 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most_epochs: int = 2,
-                   slot_bits: int = SLOT_BITS) -> DataFrame:
+                   slot_bits: int | None = None) -> DataFrame:
     """One row per source: ``sid`` (place by code point, null last), ``source_size``, ``target``, ``block`` (words of a slot),
-    ``first_slot`` and ``end_slot`` (its places on the grid of points)."""
+    ``words`` (what the mix takes of it), ``first_slot`` and ``end_slot`` (its places on the grid of points).
+
+    Targets are rounded to words by their running sum.  ``slot_bits``: whole slots of a grid of fixed size."""
     everything = Window.partitionBy()
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    slots = 1 << slot_bits
+    slots = 1 << (SLOT_BITS if slot_bits is None else slot_bits)
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     placed = per_source.select(
         "source", "source_size", (F.row_number().over(by_name) - 1).alias("sid"), F.sum("source_size").over(everything).alias("total"),
@@ -60,22 +67,38 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     shared = F.max(F.when(~F.col("full"), F.col("level"))).over(everything)
     target = F.when(F.col("full"), most).otherwise(F.col("weight") * shared)
     block = F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("total") / F.lit(float(slots)))).cast("long")
+    if slot_bits is None:
+        block = F.least(block, F.lit(MOST_BLOCK).cast("long"))
     cut = levelled.select("source", "sid", "source_size", target.alias("target"), block.alias("block"))
     units = F.floor(F.col("target") * UNIT).cast("long")
     end = F.sum(units).over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
-    return cut.withColumn("_end", end).withColumn("_begin", F.col("_end") - units).select(
-        "source", "sid", "source_size", "target", "block",
-        F.expr(f"(_begin + block * {UNIT} - 1) div (block * {UNIT})").alias("first_slot"),
-        F.expr(f"(_end + block * {UNIT} - 1) div (block * {UNIT})").alias("end_slot"),
-    )
-
-
-def schedule(targets: DataFrame, slot_bits: int = SLOT_BITS) -> DataFrame:
-    """``slot`` (place in the mix), ``sid`` and ``k``: the how-many-eth slot of its source it is, from 0."""
-    point = F.explode(F.sequence("first_slot", F.col("end_slot") - 1))
+    bounded = cut.withColumn("_end", end).withColumn("_begin", F.col("_end") - units)
+    up = lambda x, by: F.expr(f"({x} + {by} - 1) div ({by})")
+    if slot_bits is None:
+        own = bounded.withColumn("words", up("_end", UNIT) - up("_begin", UNIT)).withColumn("_n", up("words", "block"))
+        placed = own.withColumn("end_slot", F.sum("_n").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+            "first_slot", F.col("end_slot") - F.col("_n"))
+    else:
+        placed = bounded.withColumn("first_slot", up("_begin", f"block * {UNIT}")).withColumn("end_slot", up("_end", f"block * {UNIT}")).withColumn(
+            "words", F.col("block") * (F.col("end_slot") - F.col("first_slot")))
+    return placed.select("source", "sid", "source_size", "target", "block", "words", "first_slot", "end_slot")
+
+
+def schedule(targets: DataFrame, slot_bits: int | None = None) -> DataFrame:
+    """``slot`` (place in the mix), ``sid`` and ``k``: the how-many-eth slot of its source it is, from 0.
+
+    Without ``slot_bits`` the grid is the smallest power of two that holds all slots; places without a slot stay empty.
+    """
+    if slot_bits is None:
+        points = targets.agg(F.max("end_slot")).first()[0] or 1
+        slot_bits = max(1, (points - 1).bit_length())
+    # a row of targets becomes runs first, so that no task makes all slots of a large source
+    first = F.explode(F.sequence("first_slot", F.col("end_slot") - 1, F.lit(1 << RUN_BITS).cast("long")))
+    point = F.explode(F.sequence("_from", F.least(F.col("_from") + (1 << RUN_BITS), F.col("end_slot")) - 1))
     reversed_bits = F.conv(F.reverse(F.lpad(F.bin("_point"), slot_bits, "0")), 2, 10).cast("long")
     slots = (
-        targets.where(F.col("end_slot") > F.col("first_slot")).select("sid", point.alias("_point"))
+        targets.where(F.col("end_slot") > F.col("first_slot")).select("sid", "end_slot", first.alias("_from"))
+        .repartition("sid", "_from").select("sid", point.alias("_point"))
         .select("sid", reversed_bits.alias("slot")).withColumn("_run", F.shiftright("slot", RUN_BITS))
     )
     runs = slots.groupBy("sid", "_run").agg(F.count(F.lit(1)).alias("_n"))
@@ -87,7 +110,7 @@ def schedule(targets: DataFrame, slot_bits: int = SLOT_BITS) -> DataFrame:
 
 def placed_documents(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """Every row with its source's figures, ``begin`` (its first word in the source's hash order) and the row key (sid, run, place)."""
-    named = targets.select(F.col("source").alias("_source"), "sid", "source_size", "target", "block")
+    named = targets.select(F.col("source").alias("_source"), "sid", "source_size", "target", "block", "words")
     if targets.count() <= BROADCAST_SOURCES:  # one short row per source
         named = F.broadcast(named)
     shuffled = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
@@ -108,18 +131,18 @@ def placed_documents(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 def mixed_pieces(placed: DataFrame, slots: DataFrame, most_epochs: int = 2) -> DataFrame:
     """What the mix takes: one row per slot and document piece, with ``epoch``, ``from_word`` and ``to_word`` (end exclusive) of the document."""
     copies = placed.where(F.col("size") > 0).select(
-        "sid", "run", "place", "size", "block", F.col("begin"), F.col("source_size"),
+        "sid", "run", "place", "size", "block", "words", F.col("begin"), F.col("source_size"),
         F.explode(F.sequence(F.lit(0), F.lit(most_epochs - 1))).alias("epoch"),
-    ).withColumn("_at", F.col("begin") + F.col("source_size") * F.col("epoch"))
-    blocks = copies.withColumn("k", F.explode(F.expr("sequence(_at div block, (_at + size - 1) div block)")))
+    ).withColumn("_at", F.col("begin") + F.col("source_size") * F.col("epoch")).where("_at < words")
+    blocks = copies.withColumn("k", F.explode(F.expr("sequence(_at div block, (least(_at + size, words) - 1) div block)")))
     return blocks.join(slots, ["sid", "k"]).select(
         "slot", "sid", "run", "place", "epoch",
         F.greatest(F.lit(0), F.col("k") * F.col("block") - F.col("_at")).alias("from_word"),
-        F.least(F.col("size"), (F.col("k") + 1) * F.col("block") - F.col("_at")).alias("to_word"),
+        F.least(F.col("size"), F.col("words") - F.col("_at"), (F.col("k") + 1) * F.col("block") - F.col("_at")).alias("to_word"),
     )
 
 
-def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, slot_bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(placed documents, pieces the mix takes), joined by (sid, run, place).
 
     Every row of ``documents`` is placed, repeated rows each for themselves.  A null text has size 0
@@ -127,14 +150,14 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Only doc_id, text, source, lang and n_chars are read, so other columns cannot clash.
     """
     sizes = checkpointed(sized(docs))
-    targets = checkpointed(source_targets(sizes))
+    targets = checkpointed(source_targets(sizes, slot_bits=slot_bits))
     placed = placed_documents(sizes, targets)
-    return placed, mixed_pieces(placed, schedule(targets))
+    return placed, mixed_pieces(placed, schedule(targets, slot_bits))
 
 
-def taken_words(docs: DataFrame) -> DataFrame:
+def taken_words(docs: DataFrame, slot_bits: int | None = None) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every row."""
-    placed, pieces = mix(docs)
+    placed, pieces = mix(docs, slot_bits)
     key = ["sid", "run", "place"]
     taken = pieces.groupBy(*key).agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
     return placed.join(taken, key, "left").select(

@@ -39,7 +39,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken_words(table(spark, sf_dir, "documents"))
+    return mixing.taken_words(table(spark, sf_dir, "documents"), mixing.SLOT_BITS)  # whole slots, as its SQL check has them
 
 
 @query

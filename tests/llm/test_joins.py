@@ -96,6 +96,24 @@ def test_mixed_documents_hold_the_words_taken(spark):
     assert out[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars", "extra"}
 
 
+def test_sources_below_a_slot_get_their_target(spark):
+    rows = [(k, "w " * 50_000, "big") for k in range(60)] + [(1000 + k, "a b c d e", f"tail{k:02d}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(8)
+    per = {r.source: r.w for r in mixing.mixed_documents(docs).selectExpr(
+        "source", "size(regexp_extract_all(text, '[a-z]+', 0)) AS w").groupBy("source").agg({"w": "sum"}).toDF("source", "w").collect()}
+    total = 60 * 50_000 + 60 * 5
+    assert all(per.get(f"tail{k:02d}") == 10 for k in range(60))  # two epochs; a slot has 18 words
+    assert abs(per["big"] - (1.5 * total - 600)) <= 1
+
+
+def test_slots_grow_with_the_corpus(spark):
+    sizes = spark.createDataFrame([("big", 10**10), ("mid", 10**8), ("s1", 700), ("s2", 3)], "source string, size bigint")
+    targets = {r.source: r for r in mixing.source_targets(sizes).collect()}
+    assert {t.block for t in targets.values()} == {mixing.MOST_BLOCK}
+    assert all(abs(t.words - t.target) <= 1 for t in targets.values()) and targets["s2"].words == 6
+    assert all(t.end_slot - t.first_slot == -(-t.words // t.block) for t in targets.values())
+
+
 # ---- op7 ----
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
