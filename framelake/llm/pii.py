@@ -14,6 +14,9 @@ where the match before it ended.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +35,8 @@ EXPRESSIONS = {
     "local_phone": r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
-# A text without this has no match of the kind.
-NEEDED = {"email": "@", "phone": "+", "spoken_email": "at", "national_id": "-", "ip": "."}
+# A text without any of these has no match of the kind.
+NEEDED = {"email": "@", "phone": "+", "spoken_email": "[(", "national_id": "-", "ip": "."}
 # Gazetteers.
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "it", "eu", "ch", "at")
 CALLING_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49",
@@ -71,7 +74,7 @@ def _matches(text: Column, kind: str) -> Column:
     folded = F.aggregate(pairs, start, step, lambda s: s.out)
     some = F.size(found) > 0
     if kind in NEEDED:
-        some = F.contains(text, F.lit(NEEDED[kind])) & some
+        some = reduce(or_, [F.contains(text, F.lit(c)) for c in NEEDED[kind]]) & some
     return F.when(some, folded).otherwise(start.out)
 
 

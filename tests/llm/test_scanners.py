@@ -6,6 +6,7 @@ from zlib import crc32
 
 import pytest
 from helpers import ODD_TEXTS, SF_DIR, documents, frame
+from pyspark.sql import functions as F
 
 from framelake.llm import pii, secrets
 from framelake.llm.queries import QUERIES
@@ -137,6 +138,13 @@ def test_context_decides_looser_spans(spark):
     assert not any(s.kind == "local_phone" for k in range(len(named), len(named) + len(bare)) for s in got[k])
 
 
+def test_spoken_emails_need_no_lower_case(spark):
+    texts = ["JOHN [AT] ACME [DOT] ORG", "x (At) y.org", "日本語 X[aT]Y(DOT)DE", "at X AT Y", "X [AT Y.ORG"]
+    rows = frame(spark, texts).select("doc_id", pii.candidates(F.col("text")).alias("c")).collect()
+    got = {r.doc_id: [(c.kind, texts[r.doc_id][c.start:c.end]) for c in r.c] for r in rows}
+    assert got == {0: [("spoken_email", texts[0])], 1: [("spoken_email", texts[1])], 2: [("spoken_email", texts[2][4:])], 3: [], 4: []}
+
+
 def test_redaction_keeps_rows_and_nulls(spark):
     texts = [None, "", "mail a.b@c.de, or +1 (017) 555-7713.", "4111111111111111 is hex too", "plain"]
     out = {r.doc_id: r for r in pii.redacted_documents(frame(spark, texts).selectExpr("*", "7 AS _x")).collect()}
