@@ -10,13 +10,17 @@ chained by a running sum.
 
 Texts are cut at white space first; white space never joins, composes or survives in this
 vocabulary, so each chunk has its own counts, kept in a bounded table per task.
+
+The stored table has an entry for every code point that is not white space, inside chunks too, so a text
+without spaces can be cut anywhere.  What a cut changes besides the last piece is counted for that prefix
+alone: a contraction cut short, a combining mark that joins what stands before it, a special string.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
-from itertools import accumulate
 
 import ahocorasick
 import public_tokenizers
@@ -183,22 +187,107 @@ class PrefixCounter:
     def count(self, text: str) -> int:
         return sum(self.chunk_counts(text))
 
+    def _spans(self, normal: str) -> list[tuple[int, int, str]]:
+        """Begin, end and byte symbols of the pieces of a normalised chunk."""
+        return [(a, b, piece) for piece, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+
+    def _clusters(self, chunk: str) -> list[tuple[str, str]]:
+        """The chunk in parts that normalise each for itself, with their normal forms."""
+        normalize = self.library.normalizer.normalize_str
+        if chunk.isascii():
+            return [(c, n) for c, n in zip(chunk, normalize(chunk), strict=True)]
+        known: dict[str, str] = {}
+        out: list[tuple[str, str]] = []
+        for c in chunk:
+            n = known.get(c)
+            if n is None:
+                n = known[c] = normalize(c)
+            if out:
+                before, made = out[-1]
+                if unicodedata.combining(c) or not c.isascii() and normalize(before + c) != made + n:
+                    out[-1] = (before + c, normalize(before + c))
+                    continue
+            out.append((c, n))
+        return out
+
+    def _plain_prefixes(self, chunk: str) -> list[int]:
+        """``counts[j]``: tokens of the first ``j`` code points of a chunk in which no special string is seen."""
+        clusters = self._clusters(chunk)
+        normal = "".join(n for _, n in clusters)
+        if normal != self.library.normalizer.normalize_str(chunk):
+            return [self._count_plain(chunk[:j]) for j in range(len(chunk) + 1)]
+        at = [0] * (len(normal) + 1)  # tokens of every prefix of the normal form
+        starts: list[int] = []  # of the pieces
+        total = done = 0
+        for a, b, piece in self._spans(normal):
+            at[done:a + 1] = [total] * (a + 1 - done)
+            starts.append(a)
+            inner = self.piece_prefixes(piece)
+            symbols = 0
+            for x in range(a + 1, b + 1):
+                symbols += len(normal[x - 1].encode())
+                at[x] = total + inner[symbols]
+            if piece[0] == "'" and b - a > 1 and normal[a + 1].isalpha():  # a contraction, which its own prefixes are not
+                for x in range(a + 1, b):
+                    at[x] = total + self._count_plain(normal[a:x])
+            total, done = at[b], b
+        at[done:] = [total] * (len(normal) + 1 - done)
+        counts, x = [0], 0
+        for raw, made in clusters:
+            for j in range(1, len(raw)):  # a prefix that ends inside a cluster: its last two pieces may be others
+                k = bisect_right(starts, x) - 2
+                begin = starts[k] if k > 0 else 0
+                counts.append(at[begin] + self._count_plain(normal[begin:x] + raw[:j]))
+            x += len(made)
+            counts.append(at[x])
+        return counts
+
+    def _count_plain(self, chunk: str) -> int:
+        return sum(map(self._count_piece, self.pieces(chunk)))
+
+    def chunk_prefixes(self, chunk: str) -> list[int]:
+        """``counts[j]``: tokens of the first ``j`` code points of a text without white space."""
+        counts, begin = [0], 0
+        if "<|" in chunk:
+            for found in re.finditer("|".join(map(re.escape, self.special)), chunk):
+                base = counts[-1]  # a special string is one token, its own prefixes are plain text
+                counts += [base + n for n in self._plain_prefixes(chunk[begin:found.end() - 1])[1:]]
+                before = self._count_plain(chunk[begin:found.start()])
+                counts.append(base + before + 1)
+                begin = found.end()
+        base = counts[-1]
+        return counts + [base + n for n in self._plain_prefixes(chunk[begin:])[1:]]
+
     def prefix_table(self, text: str) -> tuple[list[int], list[int]]:
-        """Ends (code points) of the chunks of ``text``, and the tokens of the text up to each end."""
-        return [m.end() for m in CHUNK.finditer(text)], list(accumulate(self.chunk_counts(text)))
+        """Ends of all prefixes of ``text`` that end in a code point other than white space, and the tokens of each."""
+        ends: list[int] = []
+        sums: list[int] = []
+        total, known = 0, {}
+        for m in CHUNK.finditer(text):
+            chunk = m[0]
+            counts = known.get(chunk)
+            if counts is None:
+                counts = self.chunk_prefixes(chunk)
+                if len(chunk) <= REMEMBERED_CHARS:
+                    known[chunk] = counts
+            ends.extend(range(m.start() + 1, m.end() + 1))
+            sums.extend(total + n for n in counts[1:])
+            total += counts[-1]
+        return ends, sums
 
     def count_prefix(self, text: str, chars: int, made: tuple[list[int], list[int]] | None = None) -> int:
-        """Tokens of ``text[:chars]``, from the table and the chunk that the cut falls into."""
+        """Tokens of ``text[:chars]``, from the table alone."""
         ends, sums = made or self.prefix_table(text)
         k = bisect_right(ends, chars)
-        before, begin = (sums[k - 1], ends[k - 1]) if k else (0, 0)
-        return before + sum(map(self.count_chunk, CHUNK.findall(text[begin:chars])))
+        return sums[k - 1] if k else 0
 
     def longest_within(self, text: str, budget: int, made: tuple[list[int], list[int]] | None = None) -> int:
-        """Length of the longest run of whole chunks from the start that costs at most ``budget`` tokens."""
+        """Length of the longest prefix, without white space at its end, that costs at most ``budget`` tokens.
+
+        A longer prefix may cost less than a shorter one, so the last that fits counts.
+        """
         ends, sums = made or self.prefix_table(text)
-        k = bisect_right(sums, budget)
-        return ends[k - 1] if k else 0
+        return next((end for end, n in zip(reversed(ends), reversed(sums), strict=True) if n <= budget), 0)
 
 
 def _path(vocabulary: str) -> str:
@@ -231,7 +320,7 @@ def token_counts(docs: DataFrame, limit: int = 2048, vocabulary: str = VOCABULAR
 
 
 def prefix_table(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id``, ``ends`` and ``sums``: the stored counts, one entry per chunk (null text: empty arrays)."""
+    """``doc_id``, ``ends`` and ``sums``: the stored counts, one entry per code point but white space (null text: empty arrays)."""
     schema = T.StructType([
         T.StructField("doc_id", T.LongType()),
         T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("sums", T.ArrayType(T.LongType())),
@@ -245,12 +334,12 @@ def prefix_table(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def truncate_to_budget(docs: DataFrame, tables: DataFrame, budget: int) -> DataFrame:
-    """Cut each text after its last chunk within ``budget`` tokens, from the stored table alone.
+    """Cut each text to its longest prefix within ``budget`` tokens, from the stored table alone.
 
     ``tables`` must have one row per ``doc_id``; texts without a table row, and null texts, become empty.
     """
-    n = F.size(F.filter("sums", lambda s: s <= budget))
-    cut = tables.select("doc_id", F.when(n > 0, F.element_at("ends", n)).otherwise(F.lit(0)).alias("_cut"))
+    fitting = F.filter(F.arrays_zip("ends", "sums"), lambda x: x["sums"] <= budget)  # sums may fall inside a chunk
+    cut = tables.select("doc_id", F.coalesce(F.try_element_at(fitting, F.lit(-1))["ends"], F.lit(0)).alias("_cut"))
     return docs.join(cut, "doc_id", "left").withColumn(
         "text", F.coalesce(F.substring(F.col("text"), F.lit(1), F.coalesce(F.col("_cut"), F.lit(0)).cast("int")), F.lit(""))
     ).drop("_cut")

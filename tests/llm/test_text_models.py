@@ -46,6 +46,21 @@ def test_piece_prefixes(counter):
         assert counter.piece_prefixes(piece) == [library_count(counter, piece[:k]) for k in range(len(piece) + 1)]
 
 
+def test_texts_without_spaces_are_cut_inside(spark, counter):
+    chinese = "".join(chr(0x4E00 + k * 37 % 5000) for k in range(5000))
+    texts = [chinese, "abcDEF0123+/" * 420, "short https://example.com/" + "path-it's/" * 40, "e\u0301" * 40 + "x<|endoftext|>'re", "각" * 30]
+    docs = frame(spark, texts)
+    cut = {r.doc_id: r.text for r in token_counts.truncate_to_budget(docs, token_counts.prefix_table(docs), 100).collect()}
+    for k, text in enumerate(texts):
+        counts = counter.prefix_table(text)[1] if " " not in text else None
+        size = len(cut[k])
+        assert size and cut[k] == text[:size] and library_count(counter, cut[k]) <= 100
+        assert size == len(text) or library_count(counter, text[:size + 1]) > 100
+        for j in range(1, len(text) + 1, 97 if len(text) > 1000 else 1) if counts else ():
+            assert counts[j - 1] == library_count(counter, text[:j]), (k, j)
+    assert len(cut[0]) > 20 and counter.longest_within(chinese, 100) == len(cut[0])
+
+
 def test_token_query_and_truncation(spark, counter):
     rows = {r.doc_id: r for r in QUERIES["op5_token_counts"](spark, SF_DIR).collect()}
     docs = documents()
