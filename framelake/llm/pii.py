@@ -137,6 +137,15 @@ def _class_of(char: Column) -> Column:
     return F.when(char == "", "end").when(char.rlike(r"^\s$"), "space").when(char.rlike(r"^[\p{L}\p{N}_]$"), "word").otherwise("sign")
 
 
+def _form(kind: str, m: Column) -> Column:
+    """The shape of a looser match, one of a small closed set: signs of a number, or local part and brackets of a spoken e-mail."""
+    form = F.regexp_replace(F.regexp_replace(m, "[0-9]+", "9"), r"[\p{L}_%+]+", "a")
+    if kind != "spoken_email":
+        return form  # 15 shapes of a local phone, one of a national id
+    head = F.regexp_extract(F.regexp_replace(form, "[a9.-]{2,}", "w"), r"^[^\[(]*[\[(]a[\])]\x20?", 0)
+    return F.concat(head, F.when(m.rlike(r"[\[(](?i:dot)[\])]"), F.lit("[")).otherwise(F.lit(".")))
+
+
 def _candidate(text: Column, kind: str, s: Column) -> Column:
     """A match with its votes and the features of the classifier."""
     before = F.substring(text, F.greatest(s.start - REACH, F.lit(0)) + 1, s.start - F.greatest(s.start - REACH, F.lit(0)))
@@ -153,7 +162,7 @@ def _candidate(text: Column, kind: str, s: Column) -> Column:
         F.concat(F.lit("digits "), F.least(digits, F.lit(20)).cast("string")),
         F.concat(F.lit("left "), _class_of(left)), F.concat(F.lit("right "), _class_of(right)),
         F.concat(F.lit("named "), named.cast("string")),
-        F.concat(F.lit("form "), F.regexp_replace(F.regexp_replace(s.m, "[0-9]+", "9"), r"[\p{L}_%+]+", "a").substr(1, 12)),
+        *([F.concat(F.lit("form "), _form(kind, s.m))] if kind in LOOSE_KINDS else []),
     )
     return F.struct(F.lit(kind).alias("kind"), s.start.alias("start"), s.end.alias("end"), votes.alias("votes"), features.alias("features"))
 
@@ -209,31 +218,25 @@ def _em(patterns: Column) -> Column:
 def fit(found: DataFrame) -> dict[str, dict[str, float]]:
     """Weights of the span classifier per kind: ``prior`` and one per feature value.
 
-    ``found`` has ``candidates``.  Counts cover all of them; what reaches the driver is one number per kind
-    and feature value (lengths, digit counts and classes are bounded; ``form`` keeps its most frequent
-    ``FORMS`` values, the rest weigh nothing).
+    ``found`` has ``candidates``.  Counts cover all of them; only the looser kinds are weighed, and what
+    reaches the driver is one number per kind and feature value, all of which are bounded (see ``_form``).
     """
     each = found.select(F.explode("candidates").alias("c")).select("c.kind", "c.votes", "c.features")
     patterns = each.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n"))
     rows = patterns.groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("votes", F.col("n").cast("double").alias("n")))).alias("rows"))
     posterior = rows.select("kind", F.explode(F.arrays_zip(F.col("rows.votes").alias("votes"), _em(F.col("rows")).alias("p"))).alias("x")).select(
         "kind", "x.votes", "x.p")
-    soft = each.groupBy("kind", "votes", "features").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(posterior), ["kind", "votes"])
+    soft = each.where(F.col("kind").isin(*LOOSE_KINDS)).groupBy("kind", "votes", "features").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(posterior), ["kind", "votes"])
     counts = soft.select(
         "kind", F.explode(F.array_append("features", F.lit("prior"))).alias("feature"), (F.col("n") * F.col("p")).alias("a"),
         (F.col("n") * (1 - F.col("p"))).alias("b"),
     ).groupBy("kind", "feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    fixed = counts.where(~F.col("feature").startswith("form "))
-    forms = counts.where(F.col("feature").startswith("form ")).orderBy(F.desc(F.col("a") + F.col("b")), "kind", "feature").limit(FORMS)
     table: dict[str, dict[str, tuple[float, float]]] = {}
-    for r in fixed.union(forms).collect():
+    for r in counts.collect():
         table.setdefault(r.kind, {})[r.feature] = (r.a, r.b)
     return {kind: _weights(values) for kind, values in table.items()}
 
 
-FORMS = 500
-
-
 def _weights(values: dict[str, tuple[float, float]]) -> dict[str, float]:
     from math import log
 

@@ -145,6 +145,17 @@ def test_spoken_emails_need_no_lower_case(spark):
     assert got == {0: [("spoken_email", texts[0])], 1: [("spoken_email", texts[1])], 2: [("spoken_email", texts[2][4:])], 3: [], 4: []}
 
 
+def test_forms_of_looser_kinds_do_not_compete(spark):
+    parts = [f"{k:011b}" for k in range(700)]
+    mails = ["".join(("a9" if n % 2 == 0 else ".-")[int(b)] for n, b in enumerate(p)) + "@b.de" for p in parts] * 2
+    spoken = [f"{a}{o}at{c}{d}" for a in ("x", "7", "x.7", "a-b-c", "x_y") for o in (" [", "(", "[") for c in ("] ", ")") for d in ("b.de", "b [dot] de", "9-x.b.de")]
+    texts = [" ".join(mails[k::20]) for k in range(20)] + ["call 217 555-0123 now"] + spoken
+    weights = pii.fit(frame(spark, texts).select(pii.candidates(F.col("text")).alias("candidates")))
+    assert "form 9 9-9" in weights["local_phone"]
+    forms = {f for f in weights["spoken_email"] if f.startswith("form ")}
+    assert {"form a [a] .", "form 9(a)[", "form w[a] ."} <= forms and len(forms) <= 160
+
+
 def test_redaction_keeps_rows_and_nulls(spark):
     texts = [None, "", "mail a.b@c.de, or +1 (017) 555-7713.", "4111111111111111 is hex too", "plain"]
     out = {r.doc_id: r for r in pii.redacted_documents(frame(spark, texts).selectExpr("*", "7 AS _x")).collect()}
