@@ -259,3 +259,29 @@ def test_proof_keeps_every_member():
         ids, best = shard.best(-1, q, 20)
         order = np.lexsort((np.arange(4000), -scores))[:20]
         assert list(ids) == list(order) and list(best) == list(scores[order])
+
+
+def test_repeated_query_rows_take_no_places():
+    rng = np.random.default_rng(4)
+    q = rng.integers(-30, 30, 24)
+    # six rows of the query, then candidates that are all its halves or less: without room for the six the last members fall out
+    matrix = np.concatenate([np.tile(q, (6, 1)), np.array([q // 2] * 19), rng.integers(-3, 3, (3975, 24))])
+    ids = np.concatenate([np.full(6, 7), np.arange(100, 100 + len(matrix) - 6)])
+    shard = topk_search.Shard(ids, matrix)
+    scores = matrix @ q
+    for few in (topk_search.FEW, 0.0):
+        for k in (20, 40):
+            topk_search.FEW, kept = few, topk_search.FEW
+            try:
+                got, best = shard.best(7, q, k)
+            finally:
+                topk_search.FEW = kept
+            other = np.flatnonzero(ids != 7)
+            order = other[np.lexsort((ids[other], -scores[other]))[:k]]
+            assert list(got) == list(ids[order]) and list(best) == list(scores[order])
+    # scores with no ties, own rows many: the scan runs to its end and keeps k best only
+    spread = np.zeros((3000, 1), np.int64)
+    spread[:, 0] = np.arange(3000)
+    shard = topk_search.Shard(np.where(np.arange(3000) >= 2700, -5, np.arange(3000)), spread)
+    got, _ = shard.best(-5, np.array([1]), 20)
+    assert list(got) == list(range(2699, 2679, -1))
