@@ -40,9 +40,13 @@ def words(text: Column) -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``source``, ``size`` and ``row_hash`` (of text, lang and n_chars where present; equal rows have equal hashes)."""
-    rest = [F.col(c) for c in ("text", "lang", "n_chars") if c in docs.columns]
-    return docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64(*rest).alias("row_hash"))
+    """``doc_id``, ``source``, ``size`` and ``row_hash`` (see ``_row_hash``)."""
+    return docs.select("doc_id", "source", words(F.col("text")).alias("size"), _row_hash(docs).alias("row_hash"))
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    """Hash of source, text, lang and n_chars where present; equal rows have equal hashes."""
+    return F.xxhash64(*[F.col(c) for c in ("source", "text", "lang", "n_chars") if c in docs.columns])
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most_epochs: int = 2,
@@ -114,12 +118,17 @@ def placed_documents(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     if targets.count() <= BROADCAST_SOURCES:  # one short row per source
         named = F.broadcast(named)
     shuffled = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    # rows without an id share one place in the order: they are dealt by size and hash, which order them too
+    nameless = F.md5(F.lit("mix:").cast("binary"))
+    by_hash = F.lpad(F.hex("row_hash"), 16, "0")
+    part = F.when(F.col("doc_id").isNull(), F.concat(F.lit("1"), F.lpad(F.col("size").cast("string"), 12, "0"), F.substring(by_hash, 1, 2))).otherwise(
+        F.when(F.col("_order") < nameless, "0").otherwise("2"))
     rows = sizes.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_order", shuffled).withColumn(
-        "run", F.substring("_order", 1, PREFIX))
+        "run", F.concat(F.substring("_order", 1, PREFIX), part))
     runs = rows.groupBy("sid", "run").agg(F.sum("size").alias("_words"))
     before = Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = runs.select("sid", "run", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("sid", "run").orderBy("_order", "doc_id", "size", "row_hash")
+    inside = Window.partitionBy("sid", "run").orderBy("_order", "doc_id", "size", by_hash)
     return (
         rows.withColumn("place", F.row_number().over(inside))
         .withColumn("_within", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
@@ -170,12 +179,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     placed, pieces = mix(docs)
     key = ["sid", "run", "place"]
     spans = pieces.groupBy(*key, "epoch").agg(F.min("from_word").alias("a"), F.max("to_word").alias("b"))
-    takes = placed.join(spans, key).groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("size", "epoch", "a", "b")).alias("_takes"))
-    rest = [F.col(c) for c in ("text", "lang", "n_chars") if c in docs.columns]
-    own = [c for c in docs.columns if c != "doc_id"]
-    once = docs.withColumn("_hash", F.xxhash64(*rest)).groupBy("doc_id", "_hash").agg(*[F.first(c).alias(c) for c in own])
-    takes = takes.select(F.col("doc_id").alias("_doc"), F.col("row_hash").alias("_row"), "_takes")
-    joined = once.join(takes, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_row")))
+    takes = placed.join(spans, key).groupBy("doc_id", "source", "row_hash").agg(F.collect_list(F.struct("size", "epoch", "a", "b")).alias("_takes"))
+    own = [c for c in docs.columns if c not in ("doc_id", "source")]
+    once = docs.withColumn("_hash", _row_hash(docs)).groupBy("doc_id", "source", "_hash").agg(*[F.first(c).alias(c) for c in own])
+    takes = takes.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("row_hash").alias("_row"), "_takes")
+    joined = once.join(takes, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_hash") == F.col("_row")))
     one = joined.select(*docs.columns, F.explode("_takes").alias("_t"))
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("_t.a") + 1).cast("int"),
                                 (F.col("_t.b") - F.col("_t.a")).cast("int")), " ")

@@ -106,6 +106,17 @@ def test_sources_below_a_slot_get_their_target(spark):
     assert abs(per["big"] - (1.5 * total - 600)) <= 1
 
 
+def test_equal_rows_of_two_sources_stay_apart(spark):
+    rows = [(d, f"w{k} " * 5, s) for d in (1, None) for k in range(40) for s in ("x", "y", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    sizes = mixing.sized(docs)
+    targets = mixing.source_targets(sizes)
+    got = {r.source: r.w for r in mixing.mixed_documents(docs).selectExpr("source", "size(split(trim(text), ' ')) AS w").groupBy("source").agg(
+        {"w": "sum"}).toDF("source", "w").collect()}
+    assert got == {r.source: r.words for r in targets.collect()}
+    assert mixing.placed_documents(sizes, targets).where("doc_id IS NULL").select("sid", "run").distinct().count() > 60
+
+
 def test_slots_grow_with_the_corpus(spark):
     sizes = spark.createDataFrame([("big", 10**10), ("mid", 10**8), ("s1", 700), ("s2", 3)], "source string, size bigint")
     targets = {r.source: r for r in mixing.source_targets(sizes).collect()}
