@@ -46,3 +46,28 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.e, b.e) A
   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+IMPORTANCE_RESAMPLING = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+u AS MATERIALIZED (SELECT r, unnest(w) AS f FROM d),
+crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+v AS (SELECT f, list_transform(range(len(hex(f)) // 2), lambda i: CAST('0x' || substr(hex(f), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS bytes
+  FROM (SELECT f FROM u UNION SELECT f FROM b)),
+k AS MATERIALIZED (SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295, bytes),
+    lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]))) % 10000 AS bucket FROM v, crc),
+s AS (SELECT bucket, count(*) AS s FROM u JOIN k USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN k USING (f) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000e0 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(s), 0) FROM s) + 10000 AS DOUBLE)
+    / (CAST(s + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(t), 0) FROM t) + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT r, CAST(sum(gain) AS BIGINT) AS weight FROM u JOIN k USING (f) JOIN g USING (bucket) GROUP BY r),
+e AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000e0 * ln(-ln(
+    (CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0))) AS BIGINT) AS score
+  FROM d LEFT JOIN w USING (r)),
+o AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, weight, n_features) AS place, count(*) OVER () AS n
+  FROM e WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * 10 // 100 THEN place END AS rank FROM o
+UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM e WHERE n_features < 20"""
