@@ -73,6 +73,11 @@ class Intermediate:
         df.write.parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
+    def own(self, path: str) -> str:
+        """A folder below the scratch root that others write; it is dropped with the tables."""
+        self._paths.append(path)
+        return path
+
     def drop(self) -> None:
         for path in self._paths:
             target = self._spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -86,6 +91,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether a path names one file, in whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isFile()
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` with the scheme Spark resolves it to, for readers and writers outside of Spark."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
