@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import checks, importance_resampling, mixing, piece_sampling, pii, quality_classifier, quality_rules, secrets, simhash, spans, token_counts, topk_search, url_filter
+from framelake.llm import checks, filter_audit, importance_resampling, mixing, piece_sampling, pii, quality_classifier, quality_rules, secrets, simhash, spans, token_counts, topk_search, url_filter
 from framelake.llm.common import table
 from framelake.scratch import checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {
     "op3_source_mixing": checks.SOURCE_MIXING, "op7_url_filter": checks.URL_FILTER, "op10_exact_topk": checks.EXACT_TOPK,
-    "op12_importance_resampling": checks.IMPORTANCE_RESAMPLING,
+    "op11_filter_audit": checks.FILTER_AUDIT, "op12_importance_resampling": checks.IMPORTANCE_RESAMPLING,
 }
 
 
@@ -90,6 +90,11 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors.where(F.col("vec_id") % 20 == 0), vectors)
 
 
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
 @query
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
