@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import checks, filter_audit, importance_resampling, mixing, piece_sampling, pii, quality_classifier, quality_rules, secrets, simhash, spans, token_counts, topk_search, url_filter
+from framelake.llm import checks, filter_audit, importance_resampling, mixing, piece_sampling, pii, quality_classifier, quality_rules, secrets, setsketch, simhash, spans, token_counts, topk_search, url_filter
 from framelake.llm.common import table
 from framelake.scratch import checkpointed
 
@@ -98,3 +98,8 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
