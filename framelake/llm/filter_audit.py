@@ -8,12 +8,13 @@ The files of a table are read as available-now micro-batches of a stream.
    once, and the smallest id goes to the state of its text.
 3. The state of a text is its smallest id so far and the rows that hold it.  Where a smaller id arrives, or one
    that is not the smallest after all, the counts of the rows that lose their place are retracted
-   from their mask and added to the mask with E.
+   from their mask and added to the mask with E.  About ``TEXTS_HELD`` texts, by digest, share one state key, so that
+   calling the state function costs little beside its work.
 4. Counts and retractions are appended to a table of deltas; their sums per part and mask are the part
    counters.  There are at most 32 masks, so all orders follow from the counters alone.
 
 A third of all rows may have one text: what is shuffled is at most one row of a text per task and flush.  The
-state store is on disk with a copy in the shared folder, so lost executors and a restarted driver go on from the
+state is written to the shared folder after every batch, so lost executors and a restarted driver go on from the
 last batch; a later call over the same folder reads the new files only.
 """
 
@@ -24,6 +25,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import permutations
+from zlib import crc32
 
 import pandas as pd
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from framelake.llm.common import rows_in
-from framelake.scratch import Intermediate, checkpointed, is_file, scratch_path
+from framelake.scratch import Intermediate, checkpointed, exists, is_file, scratch_path
 
 FILTERS = "ABCDE"
 SHORT, REPEATED, UPPER, SYMBOL, COPY = 1, 2, 4, 8, 16  # bits of the five filters
@@ -44,7 +46,9 @@ HELD = 100_000  # texts that a task combines before it passes them on
 GOOD, TOXIC = 1, 2
 
 _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
-_COUNT, _TEXT = b"\x01", b"\x00"  # first byte of a key: counts that pass through, texts that have a state
+TEXTS_HELD = 128  # texts that share a state key, on average
+ROWS_IN_MEMORY = 200_000  # texts of a partition of the state, some 20 MB
+COUNT_KEYS = 64  # keys below zero, for counts that pass the state by
 
 
 def text_mask(text: str | None) -> int:
@@ -85,20 +89,19 @@ def label_flags(labels: DataFrame) -> DataFrame:
         (flag("quality", GOOD) + flag("toxic", TOXIC)).alias("flags"))
 
 
-def _combined(marked: DataFrame) -> DataFrame:
-    """The rows of a task by text: ``key`` and, for texts, the smallest id with its rows; for counts, their sum.
+def _combined(marked: DataFrame, keys: int) -> DataFrame:
+    """The rows of a task by text: for texts their state key, digest and smallest id with its rows; for counts, their sum.
 
     A row without id fails no E and makes no other row fail it; it is a count only.
     """
-    schema = "key binary, doc_id bigint, part string, mask int, flags int, n bigint"
+    schema = "state_key bigint, text binary, doc_id bigint, part string, mask int, flags int, n bigint"
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def out(firsts: dict, counts: dict) -> pa.RecordBatch:
-        rows = [(_TEXT + key, doc_id, *held, n) for key, (doc_id, holders) in firsts.items() for held, n in holders.items()]
-        for (part, mask, flags), n in counts.items():
-            key = _COUNT + blake2b(f"{mask}:{flags}:{part}".encode(), digest_size=16).digest()
-            rows.append((key, None, part, mask, flags, n))
-        columns = zip(*rows, strict=True) if rows else [[]] * 6
+        rows = [(int.from_bytes(key[:8]) % keys, key, doc_id, *held, n)
+                for key, (doc_id, holders) in firsts.items() for held, n in holders.items()]
+        rows += [(-1 - crc32(repr(held).encode()) % COUNT_KEYS, None, None, *held, n) for held, n in counts.items() if n]
+        columns = zip(*rows, strict=True) if rows else [[]] * len(target)
         return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,18 +112,8 @@ def _combined(marked: DataFrame) -> DataFrame:
                 held = part, mask, flags
                 if doc_id is None:
                     counts[held] += n
-                    continue
-                before = firsts.get(key)
-                if before is None or doc_id < before[0]:
-                    if before is not None:
-                        _lose(before[1], counts)
-                    firsts[key] = doc_id, {held: n}
-                    counts[held] += n
-                elif doc_id == before[0]:
-                    before[1][held] = before[1].get(held, 0) + n
-                    counts[held] += n
                 else:
-                    counts[part, mask | COPY, flags] += n
+                    _arrive(firsts, counts, key, doc_id, held, n, True)
             if len(firsts) >= HELD:
                 yield out(firsts, counts)
                 firsts, counts = {}, defaultdict(int)
@@ -129,6 +122,26 @@ def _combined(marked: DataFrame) -> DataFrame:
     return marked.select("key", "doc_id", "part", "mask", "flags", "n").mapInArrow(run, schema)
 
 
+def _arrive(firsts: dict, counts: dict, key: bytes, doc_id: int, held: tuple, n: int, new: bool) -> bool:
+    """``n`` rows of a text arrive: the smallest id stays in ``firsts``, counts change; whether ``firsts`` changed.
+
+    ``new``: the rows are not counted yet; else they are counted as rows of the smallest id.
+    """
+    before = firsts.get(key)
+    if new:
+        counts[held] += n
+    if before is not None and doc_id > before[0]:
+        _lose({held: n}, counts)
+        return False
+    if before is not None and doc_id == before[0]:
+        before[1][held] = before[1].get(held, 0) + n
+        return True
+    if before is not None:
+        _lose(before[1], counts)
+    firsts[key] = doc_id, {held: n}
+    return True
+
+
 def _lose(holders: dict, counts: dict) -> None:
     """Rows that counted as the first of their text are retracted and fail E from now on."""
     for (part, mask, flags), n in holders.items():
@@ -136,52 +149,47 @@ def _lose(holders: dict, counts: dict) -> None:
         counts[part, mask | COPY, flags] += n
 
 
-STATE = "doc_id bigint, parts array<string>, masks array<int>, flags array<int>, counts array<bigint>"
+STATE = "texts array<binary>, doc_ids array<bigint>, parts array<string>, masks array<int>, flags array<int>, counts array<bigint>"
 DELTA = "part string, mask int, flags int, n bigint"
 
 
 def _settled(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Counts pass through; the state of a text keeps its smallest id, and what turns out not to be the first is retracted."""
+    """Counts pass through; the state keeps the smallest id of every text, and what turns out not to be the first is retracted."""
     deltas: dict[tuple, int] = defaultdict(int)
-    is_text = key[0][:1] == _TEXT
-    if is_text and state.exists:
-        doc_id, parts, masks, flags, counts = state.get
-        first = doc_id, dict(zip(zip(parts, masks, flags, strict=True), counts, strict=True))
-    else:
-        first = None
+    firsts: dict[bytes, tuple[int, dict]] = {}
+    if state.exists:
+        for text, doc_id, *held, n in zip(*state.get, strict=True):
+            firsts.setdefault(bytes(text), (doc_id, {}))[1][tuple(held)] = n
     changed = False
     for frame in frames:
-        columns = [frame[c].tolist() for c in ("doc_id", "part", "mask", "flags", "n")]
-        for doc_id, part, mask, flag, n in zip(*columns, strict=True):
-            held = part, mask, flag
-            if not is_text:
-                deltas[held] += n
-            elif first is None or doc_id < first[0]:
-                if first is not None:
-                    _lose(first[1], deltas)
-                first, changed = (int(doc_id), {held: n}), True
-            elif doc_id == first[0]:
-                first[1][held] = first[1].get(held, 0) + n
-                changed = True
-            else:
-                _lose({held: n}, deltas)
+        columns = [frame[c].tolist() for c in ("part", "mask", "flags", "n")]
+        if key[0] < 0:
+            for *held, n in zip(*columns, strict=True):
+                deltas[tuple(held)] += n
+            continue
+        ids = frame["doc_id"].astype("int64").tolist()
+        for text, doc_id, *held, n in zip(frame["text"].tolist(), ids, *columns, strict=True):
+            changed |= _arrive(firsts, deltas, bytes(text), doc_id, tuple(held), n, False)
     if changed:
-        held, counts = zip(*first[1].items(), strict=True)
-        parts, masks, flags = zip(*held, strict=True)
-        state.update((first[0], list(parts), list(masks), list(flags), list(counts)))
-    rows = [(*held, n) for held, n in deltas.items() if n]
-    if rows:
-        yield pd.DataFrame(rows, columns=["part", "mask", "flags", "n"])
+        rows = [(text, doc_id, *held, n) for text, (doc_id, holders) in firsts.items() for held, n in holders.items()]
+        state.update(tuple(map(list, zip(*rows, strict=True))))
+    made = [(*held, n) for held, n in deltas.items() if n]
+    if made:
+        yield pd.DataFrame(made, columns=["part", "mask", "flags", "n"])
+
 
+def _stream_session(spark: SparkSession, rows: int) -> SparkSession:
+    """A session of the same context for streams with a state of about ``rows`` texts.
 
-def _stream_session(spark: SparkSession) -> SparkSession:
-    """A session of the same context whose streams keep their state on disk, in bounded memory."""
+    The state of a partition is held in memory below ``ROWS_IN_MEMORY`` texts, else on disk in bounded memory.
+    """
     own = spark.newSession()
     for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         own.conf.set(name, spark.conf.get(name))
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
-    own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
+    if rows > ROWS_IN_MEMORY * int(spark.conf.get("spark.sql.shuffle.partitions")):
+        own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+        own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
     return own
 
 
@@ -190,8 +198,9 @@ def audit_new_files(spark: SparkSession, documents: str, labels: DataFrame, fold
 
     ``folder`` must be shared by driver and executors.  The state of all texts stays there for the next call.
     """
-    own = _stream_session(spark)
     seen = spark.read.parquet(documents)
+    keys = _state_keys(spark, seen, folder)
+    own = _stream_session(spark, keys * TEXTS_HELD)
     files = max(1, -(-len(seen.inputFiles()) // batches))
     known = label_flags(labels).select(F.col("doc_id").alias("_labelled"), "flags", F.lit(0).alias("_no_id"))
     known.write.mode("overwrite").parquet(f"{folder}/labels")
@@ -202,8 +211,8 @@ def audit_new_files(spark: SparkSession, documents: str, labels: DataFrame, fold
     # rows without an id meet no label; their digest spreads them over the tasks of the join
     marked = _marked(stream).withColumn("_spread", F.when(F.col("doc_id").isNull(), F.xxhash64("key")).otherwise(0))
     joined = marked.join(flags, (F.col("doc_id") == F.col("_labelled")) & (F.col("_spread") == F.col("_no_id")), "left")
-    combined = _combined(joined.withColumn("flags", F.coalesce("flags", F.lit(0))))
-    deltas = combined.groupBy("key").applyInPandasWithState(_settled, DELTA, STATE, "append", GroupStateTimeout.NoTimeout)
+    combined = _combined(joined.withColumn("flags", F.coalesce("flags", F.lit(0))), keys)
+    deltas = combined.groupBy("state_key").applyInPandasWithState(_settled, DELTA, STATE, "append", GroupStateTimeout.NoTimeout)
     run = (
         deltas.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/deltas")
         .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
@@ -211,6 +220,14 @@ def audit_new_files(spark: SparkSession, documents: str, labels: DataFrame, fold
     run.awaitTermination()
 
 
+def _state_keys(spark: SparkSession, documents: DataFrame, folder: str) -> int:
+    """How many keys the state of ``folder`` has: chosen by the rows of the first call, then kept."""
+    place = f"{folder}/state_keys"
+    if not exists(spark, place):
+        documents.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / TEXTS_HELD)).alias("keys")).write.parquet(place)
+    return spark.read.parquet(place).first()[0]
+
+
 def part_counters(spark: SparkSession, folder: str) -> DataFrame:
     """``part, mask, n, n_good, n_toxic``: rows by source and set of failed filters, after all retractions."""
     deltas = spark.read.schema(DELTA).parquet(f"{folder}/deltas")
