@@ -1,21 +1,26 @@
 """Exact vector joins by metric cells.
 
 All joins below run on one layout.  Pivots (a bounded sample) split the space into cells; every data
-row lives in the cell of its nearest pivot.  A probe with search radius ``t`` visits each cell whose
-pivot is at most ``2 t`` farther away than its own nearest pivot: by the triangle inequality no other
-cell can hold a row within ``t``.  A cell is cut into blocks of bounded size and each (data block,
-probe block) pair is one task-sized group, so a cell that holds a third of the corpus becomes many
+row lives in the cell of its nearest pivot.  A cell that holds too many rows gets pivots of its own, so dense
+regions are cut as finely as thin ones.  A probe with search radius ``t`` visits each cell whose
+pivot is at most ``2 t`` farther away than its own nearest pivot, on both levels: by the triangle inequality no other
+cell can hold a row within ``t``.  A cell is cut into blocks of bounded size and each pair of blocks is one
+task-sized group, so a cell that holds a third of the corpus becomes many
 groups instead of one.  The block kernels are numpy on Arrow batches.
 
+A join of a corpus with itself looks at every pair once: two rows of one cell meet in an unordered pair of
+blocks, rows of different cells meet in the lower cell, and a kernel answers in both directions.
+
 Cosine runs in the same metric: on unit vectors ``cos > t`` means ``L2 < sqrt(2 - 2 t)``.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +34,27 @@ LOWER_IS_BETTER = {"cosine": False, "euclidean": True, "manhattan": True}
 
 @dataclass(frozen=True)
 class CellLayout:
-    """How a corpus is cut: pivot vectors (in metric space) and the block size."""
+    """How a corpus is cut: pivot vectors (in metric space) of the first level, own pivots of crowded cells, block size."""
 
     algorithm: str
     pivots: np.ndarray | None
     rows: int
     block_rows: int = 2048
+    inner: dict[int, np.ndarray] = field(default_factory=dict)
+
+    def first_cells(self) -> np.ndarray:
+        """Number of the first cell of every first-level pivot; a crowded one has as many cells as inner pivots."""
+        sizes = [len(self.inner[k]) if k in self.inner else 1 for k in range(len(self.pivots))]
+        return np.concatenate([[0], np.cumsum(sizes)])
+
+
+@dataclass(frozen=True)
+class Rows:
+    """One side of a block pair: ids in rising order, vectors, and the set of levels each row takes part in (bits)."""
+
+    ids: np.ndarray
+    vecs: np.ndarray
+    levels: np.ndarray
 
 
 def check_algorithm(algorithm: str) -> None:
@@ -129,8 +149,13 @@ def plan_cells(
     rows_per_cell: int = 20_000,
     max_pivots: int = 4096,
     block_rows: int = 2048,
+    pivot_bytes: int = 256 << 20,
 ) -> CellLayout:
-    """Choose pivots for ``vectors(id, vec)``; at most ``max_pivots`` vectors reach the driver."""
+    """Choose pivots for ``vectors(id, vec)``.
+
+    At most ``max_pivots`` vectors of the first level and ``pivot_bytes`` of both levels reach the driver and are
+    broadcast.  A first-level cell of more than twice ``rows_per_cell`` rows gets pivots of its own.
+    """
     check_algorithm(algorithm)
     rows = vectors.count()
     cells = min(rows // rows_per_cell, max_pivots)
@@ -138,175 +163,264 @@ def plan_cells(
         return CellLayout(algorithm, None, rows, block_rows)
     sample = vectors.orderBy(F.xxhash64("id")).limit(cells).select("vec").toArrow()
     pivots = np.unique(in_metric_space(matrix(sample["vec"]), algorithm), axis=0)
-    return CellLayout(algorithm, pivots, rows, block_rows)
-
-
-def _placed(vectors: DataFrame, layout: CellLayout, radius: float | None) -> DataFrame:
-    """Rows with their cell: the nearest pivot (radius None) or every cell within reach.
-
-    A probe may carry its own ``radius`` column, which then wins over the argument.
+    flat = CellLayout(algorithm, pivots, rows, block_rows)
+    placed = _placed(_with_levels(vectors), flat, None, "home").select("id", "vec", "cell")
+    crowded = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * rows_per_cell).collect()}
+    if not crowded:
+        return flat
+    room = max(0, pivot_bytes // (8 * pivots.shape[1]) - len(pivots))
+    share = min(1.0, room / max(1, sum(crowded.values()) // rows_per_cell))
+    # of a crowded cell one row in so many, by hash: about ``room`` rows of all cells together at most
+    parts, wanted = 1 << 30, F.create_map(*[F.lit(x) for k, n in crowded.items() for x in (k, int((1 << 30) * share * max(2, n // rows_per_cell) / n))])
+    drawn = placed.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)) < wanted[F.col("cell")]).limit(room).select("cell", "vec").toArrow()
+    if not drawn.num_rows:
+        return flat
+    found, cell = in_metric_space(matrix(drawn["vec"]), algorithm), drawn["cell"].to_numpy()
+    inner = {int(k): np.unique(found[cell == k], axis=0) for k in np.unique(cell)}
+    return CellLayout(algorithm, pivots, rows, block_rows, {k: v for k, v in inner.items() if len(v) > 1})
+
+
+def _with_levels(vectors: DataFrame) -> DataFrame:
+    return vectors if "levels" in vectors.columns else vectors.withColumn("levels", F.lit(-1).cast("long"))
+
+
+def _placed(vectors: DataFrame, layout: CellLayout, radius: float | None, mode: str) -> DataFrame:
+    """Rows ``id, vec, levels`` with their ``cell`` and whether they are a ``visitor`` there.
+
+    mode ``home``: the nearest pivot's cell; ``visit``: every cell within reach, as visitors; ``away``: these but the
+    home cell; ``once``: the home cell, and as visitors the cells within reach that come before it.
+    A row may carry its own ``radius`` column, which then wins over the argument.
     """
     if layout.pivots is None:
-        return vectors.select("id", "vec", F.lit(0).alias("cell"))
-    pivots = vectors.sparkSession.sparkContext.broadcast(layout.pivots)  # at most max_pivots rows
+        rows = vectors.select("id", "vec", "levels", F.lit(0).alias("cell"), F.lit(mode in ("visit", "away")).alias("visitor"))
+        return rows.where(F.lit(mode != "away"))
+    shared = vectors.sparkSession.sparkContext.broadcast((layout.pivots, layout.inner, layout.first_cells()))  # within pivot_bytes
     algorithm, own_radius = layout.algorithm, "radius" in vectors.columns
-    schema = pa.schema([("id", pa.int64()), ("vec", pa.list_(pa.float32())), ("cell", pa.int32())])
+    schema = pa.schema([("id", pa.int64()), ("vec", pa.list_(pa.float32())), ("levels", pa.int64()), ("cell", pa.int32()), ("visitor", pa.bool_())])
 
     def place(batches):
+        pivots, inner, first = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, PLACE_ROWS):  # bounds the distance matrix
                 table = pa.Table.from_batches([batch.slice(start, PLACE_ROWS)])
                 points = in_metric_space(matrix(table["vec"]), algorithm)
-                gap = distances(points, pivots.value, algorithm)
-                nearest = gap.min(axis=1, keepdims=True)
-                if radius is None:
-                    row, cell = np.arange(len(gap)), gap.argmin(axis=1)
+                size = np.abs(points).max(axis=1)
+                reach = np.zeros(len(points)) if radius is None else table["radius"].to_numpy() if own_radius else np.full(len(points), radius)
+
+                def near(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                    """Nearest centre of every row; (place in rows, centre) within reach."""
+                    gap = distances(points[rows], centres, algorithm)
+                    nearest = gap.min(axis=1, keepdims=True)
+                    rounding = 1e-6 * np.maximum(1.0, size[rows][:, None] + nearest)
+                    return gap.argmin(axis=1), *np.nonzero(gap <= nearest + 2.0 * reach[rows][:, None] + rounding)
+
+                outer, row, visited = near(np.arange(len(points)), pivots)
+                home = first[outer]
+                rows, cell = [], []
+                for k in np.unique(visited if radius is not None else outer):
+                    here = row[visited == k] if radius is not None else np.flatnonzero(outer == k)
+                    if int(k) in inner:
+                        closest, at, sub = near(here, inner[int(k)])
+                        living = outer[here] == k
+                        home[here[living]] = first[k] + closest[living]
+                        rows.append(here[at])
+                        cell.append(first[k] + sub)
+                    else:
+                        rows.append(here)
+                        cell.append(np.full(len(here), first[k]))
+                row, cell = np.concatenate(rows), np.concatenate(cell)
+                everyone = np.arange(len(points))
+                if mode == "home":
+                    row, cell, visitor = everyone, home, np.zeros(len(points), bool)
+                elif mode == "once":
+                    before = cell < home[row]
+                    row, cell = np.concatenate([everyone, row[before]]), np.concatenate([home, cell[before]])
+                    visitor = np.arange(len(row)) >= len(points)
                 else:
-                    reach = table["radius"].to_numpy()[:, None] if own_radius else radius
-                    rounding = 1e-6 * np.maximum(1.0, np.abs(points).max(axis=1, keepdims=True) + nearest)
-                    row, cell = np.nonzero(gap <= nearest + 2.0 * reach + rounding)
-                out = table.select(["id", "vec"]).take(pa.array(row))
-                yield from out.append_column("cell", pa.array(cell, pa.int32())).cast(schema).to_batches()
+                    if mode == "away":
+                        row, cell = row[cell != home[row]], cell[cell != home[row]]
+                    visitor = np.ones(len(row), bool)
+                out = table.select(["id", "vec", "levels"]).take(pa.array(row))
+                yield from out.append_column("cell", pa.array(cell, pa.int32())).append_column("visitor", pa.array(visitor)).cast(schema).to_batches()
 
-    return vectors.mapInArrow(place, "id long, vec array<float>, cell int")
+    return vectors.mapInArrow(place, "id long, vec array<float>, levels long, cell int, visitor boolean")
 
 
-def cell_join(data: DataFrame, probes: DataFrame, layout: CellLayout, radius: float, kernel, schema: str) -> DataFrame:
-    """Run ``kernel(data_ids, data, probe_ids, probes) -> pa.Table`` on every block pair that can match.
+def _rows(table: pa.Table) -> Rows:
+    table = table.sort_by("id")
+    return Rows(table["id"].to_numpy(), matrix(table["vec"]), table["levels"].to_numpy())
 
-    ``data`` and ``probes`` have columns ``id LONG, vec ARRAY<FLOAT>``.
+
+def cell_join(data: DataFrame, probes: DataFrame, layout: CellLayout, radius: float, kernel, schema: str, mode: str = "visit") -> DataFrame:
+    """Run ``kernel(data: Rows, probes: Rows, False) -> pa.Table`` on every block pair that can match.
+
+    ``data`` and ``probes`` have columns ``id LONG, vec ARRAY<FLOAT>`` and may have ``levels LONG``.  ``mode="away"``
+    leaves the probes' home cells out.
+    """
+    homes = _placed(_with_levels(data), layout, None, "home")
+    visits = _placed(_with_levels(probes), layout, radius, mode)
+    return _in_blocks(homes.union(visits), layout, kernel, schema, among_homes=False)
+
+
+def cell_self_join(points: DataFrame, layout: CellLayout, radius: float | None, kernel, schema: str) -> DataFrame:
+    """Run ``kernel(a: Rows, b: Rows, both) -> pa.Table`` so that every pair of ``points`` that can match is seen once.
+
+    ``both``: pairs count in either direction; else ``a`` is ``b`` or only the direction from a to b is asked.
+    ``radius`` None: only rows of the same cell meet.
     """
-    homes = _placed(data, layout, None)
-    visits = _placed(probes, layout, radius)
+    placed = _placed(_with_levels(points), layout, radius, "home" if radius is None else "once")
+    return _in_blocks(placed, layout, kernel, schema, among_homes=True)
 
-    def block_counts(rows: DataFrame, out: str) -> DataFrame:
-        return rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(layout.block_rows)).cast("int").alias(out))
 
+def _in_blocks(placed: DataFrame, layout: CellLayout, kernel, schema: str, among_homes: bool) -> DataFrame:
+    """Rows of a cell in blocks: homes come first, visitors after them; a group is a pair of blocks with a home block in it."""
+    blocks = lambda visiting: F.ceil(F.count_if(F.col("visitor") == visiting) / F.lit(layout.block_rows)).cast("int")
     if layout.pivots is None:  # one cell of at most layout.rows rows
-        blocks = F.lit(max(1, -(-layout.rows // layout.block_rows)))
-        homes, visits = [side.withColumns({"n_data": blocks, "n_probe": blocks}) for side in (homes, visits)]
+        most = F.lit(max(1, -(-layout.rows // layout.block_rows)))
+        counted = placed.withColumns({"homes": most, "visitors": F.lit(0) if among_homes else most})
     else:
-        # one row per cell, so at most max_pivots rows: safe to broadcast
-        grid = F.broadcast(block_counts(homes, "n_data").join(block_counts(visits, "n_probe"), "cell"))
-        homes, visits = homes.join(grid, "cell"), visits.join(grid, "cell")
-    left = (
-        homes
-        .withColumn("db", F.pmod(F.xxhash64("id"), F.col("n_data")).cast("int"))
-        .withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("n_probe") - 1)))
-        .select("cell", "db", "pb", "id", "vec")
-    )
-    right = (
-        visits
-        .withColumn("pb", F.pmod(F.xxhash64("id"), F.col("n_probe")).cast("int"))
-        .withColumn("db", F.explode(F.sequence(F.lit(0), F.col("n_data") - 1)))
-        .select(*[F.col(c).alias(f"probe_{c}") for c in ("cell", "db", "pb", "id", "vec")])
+        # one row per cell, and cells are bounded by pivot_bytes: safe to broadcast
+        grid = placed.groupBy("cell").agg(blocks(False).alias("homes"), blocks(True).alias("visitors")).where("homes > 0")
+        counted = placed.join(F.broadcast(grid), "cell")
+    spread = F.xxhash64("id")
+    own = F.when(F.col("visitor"), F.col("homes") + F.pmod(spread, F.col("visitors"))).otherwise(F.pmod(spread, F.col("homes"))).cast("int")
+    # a visitor meets all home blocks; a home block meets the visitors and, in a self-join, the other home blocks
+    low = F.lit(0) if among_homes else F.when(F.col("visitor"), F.lit(0)).otherwise(F.col("homes"))
+    high = F.when(F.col("visitor"), F.col("homes")).otherwise(F.col("homes") + F.col("visitors"))
+    dealt = (
+        counted.withColumn("_own", own).where(low < high)
+        .withColumn("_other", F.explode(F.sequence(low, high - 1)))
+        .select("cell", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"),
+                (F.col("_own") > F.col("_other")).alias("second"), "visitor", "id", "vec", "levels")
     )
-    keys = ["cell", "db", "pb"]
     empty = pa.schema([])
 
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        if a.num_rows == 0 or b.num_rows == 0:
+    def run(group: pa.Table) -> pa.Table:
+        second = group["second"]
+        a, b = group.filter(pc.invert(second)), group.filter(second)
+        alone = group["x"][0] == group["y"][0]
+        if not a.num_rows or not (alone or b.num_rows):
             return empty.empty_table()
-        a = a.sort_by("id")
-        out = kernel(a["id"].to_numpy(), matrix(a["vec"]), b["probe_id"].to_numpy(), matrix(b["probe_vec"]))
+        left = _rows(a)
+        out = kernel(left, left, False) if alone else kernel(left, _rows(b), among_homes)
         return out if out.num_rows else empty.empty_table()
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*[f"probe_{c}" for c in keys])).applyInArrow(run, schema)
+    return dealt.groupBy("cell", "x", "y").applyInArrow(run, schema)
 
 
 def pair_kernel(algorithm: str, threshold: float):
     """Every (i, j, score) with i < j that passes the threshold."""
 
-    def kernel(di, dv, pi, pv):
-        parts, width = [], band(dv, pv, algorithm, threshold)
+    def kernel(a: Rows, b: Rows, both: bool) -> pa.Table:
+        parts, width = [], band(a.vecs, b.vecs, algorithm, threshold)
         slack = -width if LOWER_IS_BETTER[algorithm] else width
-        for lo in range(0, len(pi), SLICE):
-            rough = rough_scores(dv, pv[lo : lo + SLICE], algorithm)
-            near = passes(rough, threshold - slack, algorithm) & (di[:, None] < pi[None, lo : lo + SLICE])
-            a, b = np.nonzero(near)
-            b = b + lo
-            score = scores_at(dv, pv, a, b, algorithm)
+        for lo in range(0, len(b.ids), SLICE):
+            near = passes(rough_scores(a.vecs, b.vecs[lo : lo + SLICE], algorithm), threshold - slack, algorithm)
+            ids = b.ids[None, lo : lo + SLICE]
+            near &= (a.ids[:, None] != ids) if both else (a.ids[:, None] < ids)
+            x, y = np.nonzero(near)
+            y = y + lo
+            # the scalar formula takes the smaller index first
+            score = scores_at(a.vecs, b.vecs, x, y, algorithm)
             keep = passes(score, threshold, algorithm)
-            parts.append((di[a[keep]], pi[b[keep]], score[keep]))
+            i, j = a.ids[x[keep]], b.ids[y[keep]]
+            parts.append((np.minimum(i, j), np.maximum(i, j), score[keep]))
         i, j, score = (np.concatenate(p) for p in zip(*parts, strict=True))
         return pa.table({"i": i, "j": j, "score": score})
 
     return kernel
 
 
-def first_kernel(algorithm: str, threshold: float, block: int | None = None):
-    """Per probe j the smallest passing i < j: one row per probe, never all pairs.
+def first_kernel(algorithm: str, thresholds: list[float], block: int | None = None):
+    """Per row j and level the smallest passing i < j: one row per j and level, never all pairs.
 
+    Level ``n`` is ``thresholds[n]``; a pair counts at the levels that both rows take part in.
     With ``block`` only pairs from different index blocks of that size count.
     """
 
-    def kernel(di, dv, pi, pv):
-        js, firsts, width = [], [], band(dv, pv, algorithm, threshold)
-        for lo in range(0, len(pi), SLICE):
-            ids, vecs = pi[lo : lo + SLICE], pv[lo : lo + SLICE]
-            rough = rough_scores(dv, vecs, algorithm)
-            ok = passes(rough, threshold, algorithm)
-            a, b = np.nonzero(np.abs(rough - threshold) <= width)
-            ok[a, b] = passes(scores_at(dv, vecs, a, b, algorithm), threshold, algorithm)
-            ok &= di[:, None] < ids[None, :]
-            if block is not None:
-                ok &= (di // block)[:, None] != (ids // block)[None, :]
-            hit = ok.any(axis=0)
-            js.append(ids[hit])
-            firsts.append(di[ok.argmax(axis=0)[hit]])  # data rows arrive sorted by id
-        return pa.table({"j": np.concatenate(js), "i": np.concatenate(firsts)})
+    def first(ok: np.ndarray, data: np.ndarray, probes: np.ndarray, level: int) -> tuple:
+        hit = ok.any(axis=0)
+        found = data[ok.argmax(axis=0)[hit]]  # rows arrive sorted by id
+        return probes[hit], np.full(len(found), level, np.int32), found
+
+    def kernel(a: Rows, b: Rows, both: bool) -> pa.Table:
+        parts, widths = [], [band(a.vecs, b.vecs, algorithm, t) for t in thresholds]
+        for lo in range(0, len(b.ids), SLICE):
+            ids, vecs, levels = b.ids[lo : lo + SLICE], b.vecs[lo : lo + SLICE], b.levels[lo : lo + SLICE]
+            rough = rough_scores(a.vecs, vecs, algorithm)
+            earlier, later = a.ids[:, None] < ids[None, :], a.ids[:, None] > ids[None, :]
+            apart = None if block is None else (a.ids // block)[:, None] != (ids // block)[None, :]
+            for level, (threshold, width) in enumerate(zip(thresholds, widths, strict=True)):
+                ok = passes(rough, threshold, algorithm)
+                x, y = np.nonzero(np.abs(rough - threshold) <= width)
+                ok[x, y] = passes(scores_at(a.vecs, vecs, x, y, algorithm), threshold, algorithm)
+                ok &= (a.levels >> level & 1).astype(bool)[:, None] & (levels >> level & 1).astype(bool)[None, :]
+                if apart is not None:
+                    ok &= apart
+                parts.append(first(ok & earlier, a.ids, ids, level))
+                if both:
+                    parts.append(first((ok & later).T, ids, a.ids, level))
+        j, level, i = (np.concatenate(p) for p in zip(*parts, strict=True))
+        return pa.table({"j": j, "level": level, "i": i})
 
     return kernel
 
 
-def local_leaders(ids: np.ndarray, vectors: np.ndarray, waiting: np.ndarray, algorithm: str, threshold: float) -> np.ndarray:
-    """Leaders among a bounded set of rows, taken one after the other in id order.
+def local_leaders(ids: np.ndarray, vectors: np.ndarray, waiting: np.ndarray, algorithm: str, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(leaders, leader of every row or -1) among a bounded set of rows, taken one after the other in id order.
 
     A ``waiting`` row depends on rows outside the set: it, and what only depends on it, stays open.
     """
     order = np.argsort(ids)
     ids, vectors, open_ = ids[order], vectors[order], waiting[order].copy()
-    taken = np.zeros(len(ids), dtype=bool)
-    leaders = []
-    for at in range(len(ids)):
-        if taken[at]:
-            continue
-        later = np.nonzero(~taken[at + 1 :])[0] + at + 1
-        if len(later) == 0:
-            similar = later
-        else:
-            own, others = vectors[at : at + 1], vectors[later]
-            rough = rough_scores(own, others, algorithm)[0]
+    led, leaders = np.full(len(ids), -1, np.int64), []
+    width = band(vectors, vectors, algorithm, threshold) if len(ids) else 0.0
+    for lo in range(0, len(ids), SLICE):
+        asked = lo + np.flatnonzero(led[lo : lo + SLICE] < 0)
+        scores = rough_scores(vectors[asked], vectors[lo:], algorithm)
+        for at, rough in zip(asked.tolist(), scores, strict=True):
+            if led[at] >= 0:
+                continue
             ok = passes(rough, threshold, algorithm)
-            near = np.flatnonzero(np.abs(rough - threshold) <= band(own, others, algorithm, threshold))
-            ok[near] = passes(scores_at(own, others, np.zeros_like(near), near, algorithm), threshold, algorithm)
-            similar = later[ok]
-        if open_[at]:
-            open_[similar] = True
-        else:
-            leaders.append(ids[at])
-            taken[similar] = True
-    return np.array(leaders, dtype=np.int64)
+            near = np.flatnonzero(np.abs(rough - threshold) <= width)
+            if len(near):
+                ok[near] = passes(scores_at(vectors, vectors, np.full(len(near), at), lo + near, algorithm), threshold, algorithm)
+            ok[: at - lo + 1] = False
+            similar = lo + np.flatnonzero(ok & (led[lo:] < 0))
+            if open_[at]:
+                open_[similar] = True
+            else:
+                leaders.append(at)
+                led[at] = ids[at]
+                led[similar] = ids[at]
+    out = np.empty(len(ids), np.int64)
+    out[order] = led
+    return ids[np.array(leaders, np.int64)], out
 
 
 def nearest_kernel(k: int):
     """Per probe its k best cosine matches of the block, ties to the smaller id."""
 
-    def kernel(di, dv, pi, pv):
+    def best(rough: np.ndarray, data: Rows, probes: Rows) -> tuple:
+        kept = min(k, len(data.ids))
+        floor = -np.partition(-rough, kept - 1, axis=0)[kept - 1]
+        a, b = np.nonzero((rough >= floor[None, :] - BAND) & np.isfinite(rough))
+        score = scores_at(data.vecs, probes.vecs, a, b, "cosine")
+        order = np.lexsort((data.ids[a], -score, b))
+        a, b, score = a[order], b[order], score[order]
+        place = np.arange(len(b)) - np.searchsorted(b, b, side="left")
+        top = place < k
+        return probes.ids[b[top]], data.ids[a[top]], score[top]
+
+    def kernel(a: Rows, b: Rows, both: bool) -> pa.Table:
         parts = []
-        for lo in range(0, len(pi), SLICE):
-            ids, vecs = pi[lo : lo + SLICE], pv[lo : lo + SLICE]
-            rough = rough_scores(dv, vecs, "cosine")
-            rough[di[:, None] == ids[None, :]] = -np.inf
-            kept = min(k, len(di))
-            floor = -np.partition(-rough, kept - 1, axis=0)[kept - 1]
-            a, b = np.nonzero((rough >= floor[None, :] - BAND) & np.isfinite(rough))
-            score = scores_at(dv, vecs, a, b, "cosine")
-            order = np.lexsort((di[a], -score, b))
-            a, b, score = a[order], b[order], score[order]
-            place = np.arange(len(b)) - np.searchsorted(b, b, side="left")
-            top = place < k
-            parts.append((ids[b[top]], di[a[top]], score[top]))
+        for lo in range(0, len(b.ids), SLICE):
+            some = Rows(*(x[lo : lo + SLICE] for x in (b.ids, b.vecs, b.levels)))
+            rough = rough_scores(a.vecs, some.vecs, "cosine")
+            rough[a.ids[:, None] == some.ids[None, :]] = -np.inf
+            parts.append(best(rough, a, some))
+            if both:
+                parts.append(best(np.ascontiguousarray(rough.T), some, a))
         i, j, score = (np.concatenate(p) for p in zip(*parts, strict=True))
         return pa.table({"i": i, "j": j, "score": score})
 

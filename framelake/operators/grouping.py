@@ -24,7 +24,10 @@ from framelake.scratch import Intermediate, checkpointed
 
 # consecutive indices settled together in one task
 INDEX_BLOCK = 4096
+DOUBLINGS = 16
 STAGE_GROWTH = 64
+MOST_LEVELS = 60  # thresholds of one run: a set of them is the bits of a long
+PAIRS_AT_ONCE = 1_000_000  # pairs of one block that a task settles
 
 
 def _members(vertices: DataFrame, led: DataFrame, by: list[str]) -> DataFrame:
@@ -34,15 +37,15 @@ def _members(vertices: DataFrame, led: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _block_leaders(active: DataFrame, by: list[str]) -> DataFrame:
-    """Leaders that can be settled inside one block of ``INDEX_BLOCK`` consecutive indices.
+def _block_leaders(active: DataFrame, by: list[str], width: int) -> DataFrame:
+    """Leaders that can be settled inside one block of ``width`` consecutive indices.
 
     Long chains (frames of a burst, each similar to the next) would otherwise cost a round per link.
     A row with an undecided smaller neighbour in another block waits, and so does what depends on it.
     A group holds at most one block's rows and the pairs between them.
     """
-    home = F.floor(F.col("j") / INDEX_BLOCK)
-    inside = F.floor(F.col("i") / INDEX_BLOCK) == home
+    home = F.floor(F.col("j") / width)
+    inside = F.floor(F.col("i") / width) == home
     links = active.withColumn("i", F.when(inside, F.col("i")).otherwise(-1)).distinct().withColumn("block", home)
     ddl = ", ".join([*(f"{c} {active.schema[c].dataType.simpleString()}" for c in by), "i long"])
 
@@ -102,7 +105,7 @@ def _group_pairs(vertices: DataFrame, pairs: DataFrame, by: list[str], steps: In
         )
         beaten = active.select(*by, F.col("j").alias("v")).distinct()
         free = undecided.join(beaten, [*by, "v"], "left_anti").withColumnRenamed("v", "i")
-        leads = steps.write(free.unionByName(_block_leaders(active, by)), "leads")
+        leads = steps.write(free.unionByName(_block_leaders(active, by, _block_width(active, PAIRS_AT_ONCE, "j"))), "leads")
         found.append(leads)
     leaders = reduce(DataFrame.unionByName, found)
     led = (
@@ -133,16 +136,47 @@ def group_embeddings(
     """
     cells.check_algorithm(algorithm)
     limit = similarity.DEFAULT_THRESHOLDS[algorithm] if threshold is None else threshold
+    return regroup_sweep(embeddings, algorithm, [limit], id_col, vec_col, finish_rows, stage_rows, **layout).drop("threshold")
+
+
+def regroup_sweep(
+    embeddings: DataFrame, algorithm: str, thresholds: list[float], id_col: str = "original_index",
+    vec_col: str = "embedding", finish_rows: int = 4096, stage_rows: int = 2_000_000, **layout,
+) -> DataFrame:
+    """Group the same embeddings under several thresholds: adds ``threshold`` and ``leader_index``.
+
+    All thresholds are levels of one run: copies, pivots and placement are made once, a block pass scores a
+    pair once and returns the first similar row at every level, and a round settles rows at all levels.
+    """
+    cells.check_algorithm(algorithm)
     images = similarity.valid_vectors(embeddings, id_col, vec_col)
+    levels = sorted({float(t) for t in thresholds})
+    # rows that are not similar to themselves keep their copies apart, so such levels are run by themselves
+    self_similar = lambda t: t > 1e-6 if cells.LOWER_IS_BETTER[algorithm] else t < 1.0 - 1e-6
+    runs = [run for wanted in (True, False) if (run := [t for t in levels if self_similar(t) == wanted])]
+    runs = [run[k : k + MOST_LEVELS] for run in runs for k in range(0, len(run), MOST_LEVELS)]
     with Intermediate(embeddings.sparkSession) as steps:
-        return _group_vectors(images, algorithm, limit, finish_rows, stage_rows, steps, layout)
+        grouped = [_group_vectors(images, algorithm, run, self_similar(run[0]), finish_rows, stage_rows, steps, layout) for run in runs]
+        return reduce(DataFrame.unionByName, grouped)
+
+
+def _levels_of(rows: DataFrame, key: str) -> DataFrame:
+    """``id`` and the set of levels (bits) in which ``key`` occurs in rows with a ``level``."""
+    return rows.groupBy(F.col(key).alias("id")).agg(F.expr("bit_or(shiftleft(1L, level))").alias("_bits"))
+
+
+def _without(rows: DataFrame, *gone: DataFrame) -> DataFrame:
+    """``rows(id, vec, levels)`` less the levels of ``gone(id, _bits)``; rows without a level left go."""
+    for bits in gone:
+        left = F.col("levels").bitwiseAND(F.bitwise_not(F.coalesce("_bits", F.lit(0).cast("long"))))
+        rows = rows.join(bits, "id", "left").withColumn("levels", left).drop("_bits")
+    return rows.where("levels != 0")
 
 
 def _group_vectors(
-    images: DataFrame, algorithm: str, limit: float, finish_rows: int, stage_rows: int, steps: Intermediate, layout: dict
+    images: DataFrame, algorithm: str, limits: list[float], self_similar: bool, finish_rows: int, stage_rows: int, steps: Intermediate, layout: dict
 ) -> DataFrame:
-    self_similar = limit > 1e-6 if cells.LOWER_IS_BETTER[algorithm] else limit < 1.0 - 1e-6
-    # exact copies share a digest; rows that are not similar to themselves must stay apart
+    """``threshold, original_index, leader_index`` at all ``limits``; level n is ``limits[n]``."""
     alone = F.lit(not self_similar)
     if algorithm == "cosine":
         alone = alone | ~F.exists("vec", lambda x: x != 0)
@@ -152,55 +186,69 @@ def _group_vectors(
         keyed.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("vec").alias("vec"), F.count(F.lit(1)).alias("copies")),
         "vertices",
     )
-    points = vertices.select("id", "vec")
+    everyone = (1 << len(limits)) - 1
+    points = vertices.select("id", "vec", F.lit(everyone).cast("long").alias("levels"))
     plan = cells.plan_cells(points, algorithm, **layout)
-    radius, kernel = cells.metric_radius(algorithm, limit), cells.first_kernel(algorithm, limit)
+    if plan.rows <= finish_rows:  # one block settles a corpus of bounded size
+        led = _settle_all(points, algorithm, limits)
+    else:
+        led = _led_in_rounds(points, plan, algorithm, limits, finish_rows, stage_rows, steps)
+    places = vertices.select("id", "digest", "copies", F.explode(F.array(*[F.lit(n) for n in range(len(limits))])).alias("level"))
+    grouped = places.join(led, ["id", "level"], "left").withColumn("leader_index", F.coalesce("leader_index", "id"))
+    per_digest = grouped.groupBy("digest").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("level", "leader_index")).alias("_led"))
+    spread = salted_lookup(
+        keyed.select(F.col("id").alias("original_index"), "digest"), per_digest, ["digest"], weight="copies", spread=["original_index"],
+    )
+    threshold = F.element_at(F.array(*[F.lit(t) for t in limits]), F.col("_l.level") + 1).alias("threshold")
+    return checkpointed(spread.select("original_index", F.explode("_led").alias("_l")).select(threshold, "original_index", "_l.leader_index"))
+
 
+def _led_in_rounds(
+    points: DataFrame, plan: cells.CellLayout, algorithm: str, limits: list[float], finish_rows: int, stage_rows: int, steps: Intermediate
+) -> DataFrame:
+    """``id, level, leader_index`` of the rows that another row leads."""
+    loosest = max(limits) if cells.LOWER_IS_BETTER[algorithm] else min(limits)
+    radius, kernel, schema = cells.metric_radius(algorithm, loosest), cells.first_kernel(algorithm, limits), "j long, level int, i long"
     cuts = _stage_cuts(points, plan.rows, stage_rows)
+    smallest = lambda found: found.groupBy("j", "level").agg(F.min("i").alias("i"))
 
     def first_similar(data: DataFrame, probes: DataFrame, kernel) -> DataFrame:
+        if data is probes and not cuts:
+            return smallest(cells.cell_self_join(data, plan, radius, kernel, schema))
         stages, hits = list(zip([None, *cuts], [*cuts, None], strict=True)), []
         for low, high in stages:
             part = data if low is None else data.where(F.col("id") >= low)
             part = part if high is None else part.where(F.col("id") < high)
-            found = cells.cell_join(part, probes, plan, radius, kernel, "j long, i long").groupBy("j").agg(F.min("i").alias("i"))
+            found = smallest(cells.cell_join(part, probes, plan, radius, kernel, schema))
             if high is not None:  # what a smaller index range answers needs no other
                 found = steps.write(found, "stage")
-                probes = probes.join(found.select(F.col("j").alias("id")), "id", "left_anti")
+                probes = _without(probes, _levels_of(found, "j"))
             hits.append(found)
         return reduce(DataFrame.unionByName, hits)
 
-    # (j, i): the first row similar to j.  If that row leads, it is j's leader for good.
+    # (j, level, i): the first row similar to j.  If that row leads, it is j's leader for good.
     first = steps.write(first_similar(points, points, kernel), "first")
-    beaten = first.select(F.col("j").alias("i"))
-    reached = [first.join(beaten, "i", "left_anti")]
-    leads = points.join(first.select(F.col("j").alias("id")), "id", "left_anti")
-    unsettled = first.join(beaten, "i", "left_semi").select(F.col("j").alias("id"))
-    unsettled = steps.write(points.join(unsettled, "id", "left_semi"), "unsettled")
+    beaten = first.select(F.col("j").alias("i"), "level")
+    reached = [first.join(beaten, ["i", "level"], "left_anti")]
+    leads = _without(points, _levels_of(first, "j"))
+    open_at = _levels_of(first.join(beaten, ["i", "level"], "left_semi"), "j")
+    unsettled = steps.write(points.join(open_at, "id").select("id", "vec", F.col("_bits").alias("levels")), "unsettled")
     undecided, left = unsettled, unsettled.count()
     while left:
         # asked for all unsettled rows: a late leader may precede the one found for a row so far
         reach = steps.write(first_similar(leads, unsettled, kernel), "reach")
         reached.append(reach)
-        undecided = steps.write(
-            undecided.join(reach.select(F.col("j").alias("id")), "id", "left_anti").join(leads.select("id"), "id", "left_anti"),
-            "undecided",
-        )
+        undecided = steps.write(_without(undecided, _levels_of(reach, "j"), leads.select("id", F.col("levels").alias("_bits"))), "undecided")
         left = undecided.count()
-        if 0 < left <= finish_rows:  # the count bounds the one block that settles all of a small rest
-            leads = steps.write(_settle(undecided, algorithm, limit, None, first_similar), "leads")
+        if not left:
+            break
+        width = None if left <= finish_rows else _block_width(undecided, finish_rows)
+        leads = steps.write(_settle(undecided, algorithm, limits, width, first_similar), "leads")
+        if width is None:
             reached.append(first_similar(leads, unsettled, kernel))
             break
-        if left:
-            leads = steps.write(_settle(undecided, algorithm, limit, INDEX_BLOCK, first_similar), "leads")
-    led = reduce(DataFrame.unionByName, reached).groupBy(F.col("j").alias("id")).agg(F.min("i").alias("leader_index"))
-    grouped = vertices.join(led, "id", "left").withColumn("leader_index", F.coalesce("leader_index", "id"))
-    spread = salted_lookup(
-        keyed.select(F.col("id").alias("original_index"), "digest"),
-        grouped.select("digest", "leader_index", "copies"),
-        ["digest"], weight="copies", spread=["original_index"],
-    )
-    return checkpointed(spread.select("original_index", "leader_index"))
+    led = reduce(DataFrame.unionByName, reached)
+    return led.groupBy(F.col("j").alias("id"), "level").agg(F.min("i").alias("leader_index"))
 
 
 def _stage_cuts(points: DataFrame, rows: int, stage_rows: int) -> list[int]:
@@ -216,24 +264,52 @@ def _stage_cuts(points: DataFrame, rows: int, stage_rows: int) -> list[int]:
     return sorted({int(v) for v in found})
 
 
-def _settle(undecided: DataFrame, algorithm: str, limit: float, block: int | None, first_similar) -> DataFrame:
+def _block_width(rows: DataFrame, most: int, index: str = "id") -> int:
+    """The widest range of indices, doubled from ``INDEX_BLOCK``, of which no aligned one holds more than ``most`` of ``rows``.
+
+    (``INDEX_BLOCK`` itself where even that holds more.)  As rounds leave fewer rows, blocks grow.
+    """
+    base = rows.groupBy(F.floor(F.col(index) / INDEX_BLOCK).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    wider = base.select("n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(DOUBLINGS)), lambda k: F.floor(F.col("b") / F.pow(F.lit(2), k)))).alias("k", "b"))
+    largest = wider.groupBy("k", "b").agg(F.sum("n").alias("n")).groupBy("k").agg(F.max("n").alias("n")).where(F.col("n") <= most)
+    return INDEX_BLOCK << (largest.agg(F.max("k")).first()[0] or 0)
+
+
+def _settle_all(points: DataFrame, algorithm: str, limits: list[float]) -> DataFrame:
+    """``id, level, leader_index`` of a set of rows that one task can hold."""
+    def solve(rows: pa.Table) -> pa.Table:
+        ids, vectors = rows["id"].to_numpy(), cells.matrix(rows["vec"])
+        open_ = np.zeros(len(ids), bool)
+        led = [cells.local_leaders(ids, vectors, open_, algorithm, t)[1] for t in limits]
+        levels = np.repeat(np.arange(len(limits), dtype=np.int32), len(ids))
+        return pa.table({"id": np.tile(ids, len(limits)), "level": levels, "leader_index": np.concatenate(led)})
+
+    return points.withColumn("block", F.lit(0)).groupBy("block").applyInArrow(solve, "id long, level int, leader_index long")
+
+
+def _settle(undecided: DataFrame, algorithm: str, limits: list[float], block: int | None, first_similar) -> DataFrame:
     """Leaders that can be settled inside blocks of ``block`` consecutive indices (None: one block)."""
+    none = F.lit(0).cast("long")
     if block is None:
-        rows = undecided.withColumns({"waits": F.lit(False), "block": F.lit(0).cast("long")})
+        rows = undecided.withColumns({"waits": none, "block": none})
     else:
-        outside = first_similar(undecided, undecided, cells.first_kernel(algorithm, limit, block)).select(
-            F.col("j").alias("id"), F.lit(True).alias("waits")
-        )
+        outside = _levels_of(first_similar(undecided, undecided, cells.first_kernel(algorithm, limits, block)), "j")
         rows = undecided.join(outside, "id", "left").withColumns(
-            {"waits": F.coalesce("waits", F.lit(False)), "block": F.floor(F.col("id") / block)}
+            {"waits": F.coalesce("_bits", none), "block": F.floor(F.col("id") / block)}
         )
 
     def solve(rows: pa.Table) -> pa.Table:
-        ids, waits = rows["id"].to_numpy(), rows["waits"].to_numpy(zero_copy_only=False)
-        chosen = cells.local_leaders(ids, cells.matrix(rows["vec"]), waits, algorithm, limit)
-        return rows.select(["id", "vec"]).filter(pc.is_in(rows["id"], pa.array(chosen)))
+        ids, vectors = rows["id"].to_numpy(), cells.matrix(rows["vec"])
+        levels, waits = rows["levels"].to_numpy(), rows["waits"].to_numpy()
+        chosen = np.zeros(len(ids), np.int64)
+        for level, limit in enumerate(limits):
+            at = np.flatnonzero(levels >> level & 1)
+            leaders, _ = cells.local_leaders(ids[at], vectors[at], (waits[at] >> level & 1).astype(bool), algorithm, limit)
+            chosen[np.isin(ids, leaders)] |= 1 << level
+        keep = pa.array(np.flatnonzero(chosen))
+        return rows.select(["id", "vec"]).take(keep).append_column("levels", pa.array(chosen[chosen != 0]))
 
-    return rows.groupBy("block").applyInArrow(solve, "id long, vec array<float>")
+    return rows.groupBy("block").applyInArrow(solve, "id long, vec array<float>, levels long")
 
 
 def rank_groups(groups: DataFrame, rows_per_bucket: int = 1_000_000) -> DataFrame:
@@ -261,31 +337,29 @@ def group_counts(ranked: DataFrame) -> DataFrame:
     )
 
 
-def regroup_sweep(
-    embeddings: DataFrame, algorithm: str, thresholds: list[float], id_col: str = "original_index",
-    vec_col: str = "embedding", **layout,
-) -> DataFrame:
-    """Group the same embeddings under several thresholds: adds ``threshold`` and ``leader_index``.
-
-    Every threshold asks for first similar rows only, like ``group_embeddings``: no pair table exists
-    at any of them.
-    """
-    swept = [
-        group_embeddings(embeddings, algorithm, t, id_col, vec_col, **layout).select(
-            F.lit(float(t)).alias("threshold"), "original_index", "leader_index")
-        for t in dict.fromkeys(thresholds)
-    ]
-    return reduce(DataFrame.unionByName, swept)
-
-
 def add_images(
-    old_embeddings: DataFrame, old_pairs: DataFrame, new_embeddings: DataFrame, algorithm: str = "cosine",
+    old_embeddings: DataFrame, old_groups: DataFrame, new_embeddings: DataFrame, algorithm: str = "cosine",
     threshold: float | None = None, id_col: str = "original_index", vec_col: str = "embedding", **layout,
 ) -> DataFrame:
-    """Group the union of old and new images; only new x all pairs are computed."""
-    everything = old_embeddings.select(id_col, vec_col).unionByName(new_embeddings.select(id_col, vec_col))
-    fresh = similarity.similarity_join(
-        everything, algorithm, threshold, probes=new_embeddings, id_col=id_col, vec_col=vec_col, **layout
-    )
-    vertices = everything.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("original_index"))
-    return group_duplicates(vertices, old_pairs.select("i", "j").unionByName(fresh.select("i", "j")))
+    """Groups of old and new images together, from the groups of the old ones (``original_index, leader_index``).
+
+    New images come after all old ones, so old groups stay as they are.  A new image joins the smallest old leader it is
+    similar to; what no old leader takes is grouped among itself.  Cost is new images times leaders; pairs are
+    never kept.  New images that come before an old one could take its members: then everything is grouped anew.
+    """
+    cells.check_algorithm(algorithm)
+    limit = similarity.DEFAULT_THRESHOLDS[algorithm] if threshold is None else threshold
+    old = similarity.valid_vectors(old_embeddings, id_col, vec_col)
+    new = similarity.valid_vectors(new_embeddings, id_col, vec_col)
+    last, first = old.agg(F.max("id")).first()[0], new.agg(F.min("id")).first()[0]
+    if last is None or first is None or first <= last:
+        return group_embeddings(old.unionByName(new), algorithm, limit, "id", "vec", **layout)
+    leaders = old_groups.where(F.col("original_index") == F.col("leader_index")).select(F.col("leader_index").alias("id"))
+    index = old.join(leaders, "id", "left_semi")
+    plan = cells.plan_cells(index, algorithm, **layout)
+    with Intermediate(old_embeddings.sparkSession) as steps:
+        found = cells.cell_join(index, new, plan, cells.metric_radius(algorithm, limit), cells.first_kernel(algorithm, [limit]), "j long, level int, i long")
+        taken = steps.write(found.groupBy(F.col("j").alias("original_index")).agg(F.min("i").alias("leader_index")), "taken")
+        rest = new.join(taken.select(F.col("original_index").alias("id")), "id", "left_anti")
+        grouped = group_embeddings(rest, algorithm, limit, "id", "vec", **layout)
+        return checkpointed(old_groups.select("original_index", "leader_index").unionByName(taken).unionByName(grouped))

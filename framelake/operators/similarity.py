@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from framelake.functions import vectors as V
 from framelake.keyed import constant_table
 from framelake.operators import cells
+from framelake.scratch import checkpointed
 
 # fixed values: threshold range, default, slider step and direction of each algorithm
 SIMILARITY_CONFIG = [
@@ -53,8 +54,10 @@ def similarity_join(
     data = valid_vectors(embeddings, id_col, vec_col)
     asked = data if probes is None else valid_vectors(probes, id_col, vec_col)
     plan = cells.plan_cells(data, algorithm, **layout)
-    return cells.cell_join(data, asked, plan, cells.metric_radius(algorithm, threshold),
-                           cells.pair_kernel(algorithm, threshold), "i long, j long, score double")
+    radius, kernel, schema = cells.metric_radius(algorithm, threshold), cells.pair_kernel(algorithm, threshold), "i long, j long, score double"
+    if probes is None:
+        return cells.cell_self_join(data, plan, radius, kernel, schema)
+    return cells.cell_join(data, asked, plan, radius, kernel, schema)
 
 
 def neighbour_count(rows: int) -> int:
@@ -72,7 +75,7 @@ def knn_graph(
     """Exact k nearest neighbours by cosine: ``(i, j, rank, score)``; all-zero vectors have none.
 
     Round one searches the home cell only, which bounds the k-th distance of every row; round two
-    visits just the other cells that bound cannot exclude.
+    visits just the other cells that bound cannot exclude, and keeps the first round's rows.
     """
     data = valid_vectors(embeddings, id_col, vec_col).where(F.exists("vec", lambda x: x != 0))
     k = neighbour_count(data.count()) if k is None else k
@@ -83,14 +86,15 @@ def knn_graph(
     def best(pairs: DataFrame) -> DataFrame:
         return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    found = cells.cell_join(data, data, plan, 0.0, kernel, schema)
+    found = cells.cell_self_join(data, plan, None, kernel, schema)
     if plan.pivots is not None:
-        bound = best(found).groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("worst"))
+        found = checkpointed(best(found).drop("rank"))
+        bound = found.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("worst"))
         reach = F.when(F.col("n") >= k, F.sqrt(F.greatest(2.0 - 2.0 * F.col("worst"), F.lit(0.0))) + 1e-6)
         asked = data.join(bound, data.id == bound.i, "left").select(
             "id", "vec", F.coalesce(reach, F.lit(float("inf"))).alias("radius")
         )
-        found = cells.cell_join(data, asked, plan, float("inf"), kernel, schema)
+        found = found.unionByName(cells.cell_join(data, asked, plan, float("inf"), kernel, schema, "away"))
     return best(found).select("i", "j", "rank", "score")
 
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from framelake.operators import cells, grouping, similarity
 
@@ -156,14 +157,87 @@ def test_nearest_neighbours_equal_brute_force(spark, layout):
     assert {(r["i"], r["j"], r["rank"]) for r in out} == wanted
 
 
-def test_adding_images_equals_grouping_everything(spark):
+@pytest.mark.parametrize("layout", LAYOUTS)
+@pytest.mark.parametrize("new", ["original_index >= 80", "original_index < 15", "original_index < 0", "original_index >= 0"])
+def test_adding_images_equals_grouping_everything(spark, new, layout):
     vectors = clustered(9)
     df = corpus(spark, vectors)
-    old, new = df.where("original_index < 80"), df.where("original_index >= 80")
-    out = grouping.add_images(old, similarity.similarity_join(old, "cosine", 0.98), new, "cosine", 0.98)
+    old = df.where(f"not ({new})")
+    out = grouping.add_images(old, grouping.group_embeddings(old, "cosine", 0.98), df.where(new), "cosine", 0.98, **layout)
     assert {r[0]: r[1] for r in out.collect()} == sequential_groups(len(vectors), brute_pairs(vectors, "cosine", 0.98))
 
 
+@pytest.mark.parametrize("layout", LAYOUTS)
+@pytest.mark.parametrize("algorithm,thresholds", [("cosine", [0.9, 0.97, 0.98, 1.0, -0.2]), ("euclidean", [0.3, 0.5, 0.0]), ("manhattan", [1.2])])
+def test_sweep_equals_one_grouping_per_threshold(spark, algorithm, thresholds, layout):
+    vectors = clustered(3)
+    vectors[5], vectors[17], vectors[90] = vectors[60], 0.0, 0.0
+    swept = grouping.regroup_sweep(corpus(spark, vectors), algorithm, [*thresholds, thresholds[0]], finish_rows=3, stage_rows=60, **layout)
+    found = {}
+    for r in swept.collect():
+        found.setdefault(r["threshold"], {})[r["original_index"]] = r["leader_index"]
+    assert swept.count() == len(vectors) * len(thresholds)
+    for t in thresholds:
+        assert found[t] == sequential_groups(len(vectors), brute_pairs(vectors, algorithm, t))
+
+
+def jobs_of(spark, function):
+    """Spark jobs that ``function`` runs."""
+    group = f"count-{id(function)}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        function()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_three_thresholds_take_the_jobs_of_one(spark):
+    df = corpus(spark, clustered(3))
+    count = lambda thresholds: jobs_of(spark, lambda: grouping.regroup_sweep(df, "cosine", thresholds, finish_rows=3, rows_per_cell=25).collect())
+    assert count([0.9, 0.95, 0.98]) <= 1.5 * max(count([t]) for t in (0.9, 0.95, 0.98))
+
+
+def test_long_chain_of_pairs_takes_few_jobs(spark):
+    n = 32_768
+    pairs = spark.range(n - 1).select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"))
+    out = []
+    assert jobs_of(spark, lambda: out.extend(grouping.group_duplicates(spark.range(n).withColumnRenamed("id", "original_index"), pairs).collect())) <= 50
+    assert all(r[1] == r[0] - r[0] % 2 for r in out) and len(out) == n
+
+
+def crowded(seed, rows=400, dim=6):
+    """A third of the rows in one dense region, no two alike."""
+    rng = np.random.default_rng(seed)
+    vectors = rng.normal(size=(rows, dim))
+    vectors[: rows // 3] = vectors[0] + rng.normal(size=(rows // 3, dim)) * 0.02
+    return np.float32(rng.permutation(vectors))
+
+
+def test_crowded_cells_get_pivots_of_their_own(spark):
+    vectors = crowded(1)
+    df = corpus(spark, vectors)
+    points = similarity.valid_vectors(df, "original_index", "embedding")
+    plan = cells.plan_cells(points, "euclidean", rows_per_cell=20, max_pivots=8, block_rows=16)
+    assert plan.inner and plan.first_cells()[-1] > len(plan.pivots)
+    assert {(r["i"], r["j"]) for r in similarity.similarity_join(df, "euclidean", 0.05, rows_per_cell=20, max_pivots=8, block_rows=16).collect()} == brute_pairs(vectors, "euclidean", 0.05)
+    bounded = cells.plan_cells(points, "euclidean", rows_per_cell=20, max_pivots=8, pivot_bytes=0)
+    assert not bounded.inner
+    near = similarity.knn_graph(df, k=3, rows_per_cell=20, max_pivots=8, block_rows=16)
+    assert near.count() == 3 * len(vectors)
+
+
+def test_shuffled_rows_grow_with_the_corpus(spark):
+    """Copies of rows made for block pairs: four times the rows, at most five times the copies, although a third is one region."""
+    def copies(rows):
+        points = similarity.valid_vectors(corpus(spark, crowded(2, rows)), "original_index", "embedding")
+        plan = cells.plan_cells(points, "euclidean", rows_per_cell=50, max_pivots=8, block_rows=64)
+        seen = cells.cell_self_join(points, plan, 0.01, lambda a, b, both: pa.table({"n": pa.array([len(a.ids) + len(b.ids)], pa.int64())}), "n long")
+        return sum(r["n"] for r in seen.collect())
+
+    assert copies(4000) <= 5 * copies(1000)
+
+
 def test_projection_matches_numpy(spark):
     from framelake.operators.projection import project_2d
 

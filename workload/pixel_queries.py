@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framelake.operators import compose as C
 from framelake.operators import packed as B
 from framelake.operators import pixels as X
 from framelake.operators import quality as K
@@ -149,7 +148,7 @@ def adjust_pipeline(spark, sf_dir):
     settings = D.vectors(spark, sf_dir).select("image_id", look_of(F.col("image_id")).alias("look")).withColumns({
         "skip_transparent": F.col("image_id") % 5 == 0, "pixel_count": F.lit(D.SIDE * D.SIDE),
     })
-    return X.adjust_images(D.images(spark, sf_dir), G.plan_adjustments(settings, P.looks(spark), P.NEUTRAL)).select(*OUT)
+    return N.unpack_pixels(B.adjust(D.images(spark, sf_dir), G.plan_adjustments(settings, P.looks(spark), P.NEUTRAL))).select(*OUT)
 
 
 @query("linear_contrast", f"WITH {PX} SELECT image_id, x, y, a, {sql_each(lambda c: store(f'{c} * 1.3e0 + -12e0'), 'false')} FROM px")
@@ -202,7 +201,7 @@ def to_gray(spark, sf_dir):
 def area_resize(spark, sf_dir):
     side = F.when(F.col("image_id") % 2 == 0, 4).otherwise(3)
     plan = D.vectors(spark, sf_dir).select("image_id", side.alias("target_w"), side.alias("target_h"), F.lit(D.SIDE * D.SIDE).alias("pixel_count"))
-    return C.area_resize(D.pixels(spark, sf_dir), plan).select(*OUT)
+    return N.unpack_pixels(B.area_resize(D.images(spark, sf_dir), plan)).select(*OUT)
 
 
 # Plan, resize, adjust, pack, name, encode and export the selected images, then read the export.
@@ -227,8 +226,8 @@ def edit_export(spark, sf_dir):
     ids = D.vectors(spark, sf_dir).where(chosen).select("image_id", "original_index")
     plan = ids.select("image_id", side.alias("target_w"), side.alias("target_h"), F.lit(D.SIDE * D.SIDE).alias("pixel_count"))
     settings = ids.select("image_id", look_of(F.col("image_id")).alias("look"), cut.alias("skip_transparent"), F.lit(16).alias("pixel_count"))
-    small = C.area_resize(D.pixels(spark, sf_dir).where(chosen), plan)
-    edited = N.pack_pixels(X.adjust_pipeline(small, G.plan_adjustments(settings, P.looks(spark), P.NEUTRAL)))
+    small = B.area_resize(D.images(spark, sf_dir).where(chosen), plan)
+    edited = B.adjust(small, G.plan_adjustments(settings, P.looks(spark), P.NEUTRAL))
     manifest = ids.select("image_id", "original_index", cut.alias("background_removed"), F.lit(None).cast("int").alias("preset_quality"),
                           F.concat(F.lit("img_"), F.col("image_id").cast("string"), F.lit(".jpg")).alias("name"), F.lit(None).cast("string").alias("seo_name"))
     coded = G.plan_encoding(export_name(manifest, "webp", ["original_index"]), P.ENCODING_RULES, "download", "webp")
@@ -244,18 +243,24 @@ def edit_export(spark, sf_dir):
 
 def _mask(spark, sf_dir):
     """Red channel of the next image; every 50th mask has lost its last line."""
-    p, short = D.pixels(spark, sf_dir), F.col("image_id") % 50 == 7
-    moved = p.select((F.col("image_id") - 1).alias("image_id"), "x", "y", F.col("r").alias("m"), "width", "height")
-    mask = moved.where(~(short & (F.col("y") == D.SIDE - 1))).withColumn("height", F.when(short, D.SIDE - 1).otherwise(F.col("height")))
-    own = D.vectors(spark, sf_dir).select("image_id", F.lit(D.SIDE).alias("width"), F.lit(D.SIDE).alias("height"))
-    masks = own.select((F.col("image_id") - 1).alias("image_id"), "width", "height").withColumn("height", F.when(short, D.SIDE - 1).otherwise(F.col("height")))
-    return C.apply_alpha_mask(p, mask, own, masks)
+    images = D.images(spark, sf_dir)
+    short, area = F.col("image_id") % 50 == 7, D.SIDE * D.SIDE
+    masks = images.select((F.col("image_id") - 1).alias("image_id"), "width", "height", F.col("r").alias("m")).withColumns({
+        "height": F.when(short, D.SIDE - 1).otherwise(F.col("height")), "m": F.when(short, F.slice("m", 1, area - D.SIDE)).otherwise(F.col("m")),
+    })
+    return B.apply_alpha_mask(images, masks)
+
 
+# one row of channel values per pair of neighbours, then one row per pixel
+SQL_MASKED = f"""WITH e AS MATERIALIZED (SELECT vec_id AS image_id, list_transform(embedding, lambda v: {store('(v::DOUBLE + 0.5e0) * 255e0')}) AS v FROM embeddings),
+  j AS MATERIALIZED (SELECT p.image_id, p.v, m.v AS m FROM e p JOIN e m ON m.image_id = p.image_id + 1 WHERE p.image_id % 50 <> 7)
+  SELECT image_id, CAST(k % 8 AS INTEGER) AS x, CAST(k // 8 AS INTEGER) AS y, v[k + 1] AS r, v[(k + 21) % 64 + 1] AS g, v[(k + 42) % 64 + 1] AS b, m[k + 1] AS a
+  FROM (SELECT *, unnest(range(64)) AS k FROM j)"""
 
-@query("apply_alpha_mask", f"""WITH {PX} SELECT p.image_id, p.x, p.y, p.r, p.g, p.b, m.r AS a FROM px p
-  JOIN px m ON m.image_id = p.image_id + 1 AND m.x = p.x AND m.y = p.y WHERE p.image_id % 50 <> 7""")
+
+@query("apply_alpha_mask", SQL_MASKED)
 def apply_alpha_mask(spark, sf_dir):
-    return _mask(spark, sf_dir)[0].select(*OUT)
+    return N.unpack_pixels(_mask(spark, sf_dir)[0]).select(*OUT)
 
 
 @query("apply_alpha_mask_errors", """SELECT vec_id AS image_id, CASE WHEN vec_id + 1 NOT IN (SELECT vec_id FROM embeddings) THEN 'no mask'
@@ -265,36 +270,60 @@ def apply_alpha_mask_errors(spark, sf_dir):
     return _mask(spark, sf_dir)[1]
 
 
-def sql_layer(src: str, out: str, tx: str, ty: str) -> str:
-    """One logo drawn over ``src``."""
+# Four kinds of images by id: tiled logo, logo at the lower right, logo in the middle, none.  The logo is the upper left
+# 3 x 2 corner of image 0; each kind plans its own size.
+SQL_PLANS = """pl(kind, size, place) AS (VALUES (0, 30e0, 'tile'), (1, 50e0, 'bottomRight'), (2, 80e0, 'center')),
+  bx AS (SELECT *, CAST(floor(8 * size / 100 + 0.5e0) AS INTEGER) AS w, CAST(floor(8 * size / 100 / 1.5e0 + 0.5e0) AS INTEGER) AS h FROM pl),
+  ti AS MATERIALIZED (SELECT kind, w, h, CAST(floor(i * w * 1.5e0 + 0.5e0) AS INTEGER) AS tx, CAST(floor(j * h * 1.5e0 + 0.5e0) AS INTEGER) AS ty
+      FROM bx, range(20) a(i), range(20) b(j) WHERE place = 'tile' AND i * w * 1.5e0 < 8 + w * 1.5e0 AND j * h * 1.5e0 < 8 + h * 1.5e0
+    UNION ALL SELECT kind, w, h, CAST(floor(CASE WHEN place = 'center' THEN (8 - w) / 2e0 ELSE 8 - w - 0.16e0 END + 0.5e0) AS INTEGER),
+      CAST(floor(CASE WHEN place = 'center' THEN (8 - h) / 2e0 ELSE 8 - h - 0.16e0 END + 0.5e0) AS INTEGER) FROM bx WHERE place <> 'tile'),
+  lg AS MATERIALIZED (SELECT * FROM px WHERE image_id = 0 AND x < 3 AND y < 2)"""
+
+
+def sql_scaled() -> str:
+    """The logo at every planned size: area average, colours weighted by alpha."""
+    weight = "(least((l.x + 1) * w, (u + 1) * 3) - greatest(l.x * w, u * 3)) * (least((l.y + 1) * h, (v + 1) * 2) - greatest(l.y * h, v * 2))"
+    mixed = ", ".join(f"CASE WHEN sum(a * k) = 0 THEN 0 ELSE {store(f'CAST(sum({c} * a * k) AS DOUBLE) / sum(a * k)')} END AS {c}" for c in "rgb")
+    return f"""wt AS (SELECT kind, w, h, u, v, l.r, l.g, l.b, l.a, {weight} AS k FROM bx, range(8) a(u), range(8) b(v), lg l
+      WHERE u < w AND v < h AND (l.x + 1) * w > u * 3 AND (u + 1) * 3 > l.x * w AND (l.y + 1) * h > v * 2 AND (v + 1) * 2 > l.y * h),
+  sc AS MATERIALIZED (SELECT kind, u, v, {mixed}, {store('CAST(sum(a * k) AS DOUBLE) / sum(k)')} AS a FROM wt GROUP BY kind, u, v)"""
+
+
+def sql_drawn() -> str:
+    """Every pixel with the one tile that covers it (tiles of a plan do not overlap)."""
     top = "(l.a / 255e0 * 0.4e0)"
     whole = f"({top} + s.a / 255e0 * (1 - {top}))"
 
     def mixed(c: str) -> str:
         value = f"(l.{c} * {top} + s.{c} * (s.a / 255e0 * (1 - {top}))) / nullif({whole}, 0)"
-        return f"CASE WHEN l.x IS NULL THEN s.{c} WHEN {whole} = 0 THEN 0 ELSE {store(value)} END AS {c}"
+        return f"CASE WHEN l.u IS NULL THEN s.{c} WHEN {whole} = 0 THEN 0 ELSE {store(value)} END AS {c}"
 
-    return f"""{out} AS (SELECT s.image_id, s.x, s.y, {', '.join(mixed(c) for c in 'rgb')},
-    CASE WHEN l.x IS NULL THEN s.a ELSE {store(f'{whole} * 255e0')} END AS a
-    FROM {src} s LEFT JOIN lg l ON l.x = s.x - ({tx}) AND l.y = s.y - ({ty}))"""
+    return f"""cv AS MATERIALIZED (SELECT kind, tx + u AS x, ty + v AS y, u, sc.r, sc.g, sc.b, sc.a FROM ti JOIN sc USING (kind))
+  SELECT s.image_id, s.x, s.y, {', '.join(mixed(c) for c in 'rgb')}, CASE WHEN l.u IS NULL THEN s.a ELSE {store(f'{whole} * 255e0')} END AS a
+  FROM px s LEFT JOIN cv l ON l.kind = s.image_id % 4 AND l.x = s.x AND l.y = s.y"""
 
 
-@query("overlay_logo", f"""WITH {PX}, lg AS (SELECT * FROM px WHERE image_id = 0 AND x < 3 AND y < 3),
-  {sql_layer('px', 'one', 's.image_id % 4', '1')}, {sql_layer('one', 'two', 's.image_id % 4 + 2', '2')} SELECT * FROM two""")
+@query("overlay_logo", f"WITH {PX}, {SQL_PLANS}, {sql_scaled()}, {sql_drawn()}")
 def overlay_logo(spark, sf_dir):
-    p = D.pixels(spark, sf_dir)
-    logo = p.where("image_id = 0 and x < 3 and y < 3").select(F.col("x").alias("lx"), F.col("y").alias("ly"), "r", "g", "b", "a")
-    k = F.col("image_id") % 4
-    tiles = D.vectors(spark, sf_dir).select("image_id", F.explode(F.array(
-        F.struct((k + 0.25).alias("x"), F.lit(0.5).alias("y")), F.struct((k + 1.5).alias("x"), F.lit(2.0).alias("y")),
-    )).alias("t")).select("image_id", "t.*")
-    return C.overlay_logo(p, logo, tiles, 0.4).select(*OUT)
+    images, kind = D.images(spark, sf_dir), F.col("image_id") % 4
+    part = lambda c: F.concat(F.slice(c, 1, 3), F.slice(c, D.SIDE + 1, 3)).alias(c)
+    logos = images.where("image_id = 0").select(F.lit("own").alias("logo_id"), F.lit(3).alias("width"), F.lit(2).alias("height"), *[part(c) for c in "rgba"])
+    watermarks = logos.select(F.col("logo_id"), F.col("width").alias("logo_w"), F.col("height").alias("logo_h"), F.explode(F.array(*[
+        F.struct(F.lit(k).cast("long").alias("watermark_id"), F.lit(s).alias("size"), F.lit(p).alias("position"), F.lit(k < 3).alias("enabled"))
+        for k, (s, p) in enumerate([(30.0, "tile"), (50.0, "bottomRight"), (80.0, "center"), (60.0, "center")])])).alias("w")).select(
+        "logo_id", "logo_w", "logo_h", "w.*", F.lit("logo").alias("type"))
+    boxes = G.plan_watermark_box(images.select("image_id", "width", "height", kind.alias("watermark_id")), watermarks)
+    tiled = F.col("position") == "tile"
+    tiles = G.plan_watermark_tiles(boxes.where(tiled), "logo").join(boxes.select("image_id", "logo_id", "box_w", "box_h"), "image_id")
+    single = boxes.where(~tiled).select("image_id", F.col("box_x").alias("x"), F.col("box_y").alias("y"), "logo_id", "box_w", "box_h")
+    return N.unpack_pixels(B.overlay_logo(images, logos, tiles.unionByName(single), 0.4)).select(*OUT)
 
 
 def _stretched(spark, sf_dir):
-    p = D.pixels(spark, sf_dir)
-    model_output = p.select("image_id", "x", "y", (F.col("g") / 255.0).alias("v"), "width", "height")
-    return p, X.stretch_gamma(model_output)
+    images = D.images(spark, sf_dir)
+    model_output = images.select("image_id", "width", "height", F.transform("g", lambda v: v / 255.0).alias("v"))
+    return images, B.stretch_gamma(model_output)
 
 
 SQL_STRETCH = f"""lum AS (SELECT image_id, x, y, g / 255e0 AS v FROM px), sp AS (SELECT image_id, min(v) AS lo, max(v) AS hi FROM lum GROUP BY image_id),
@@ -303,15 +332,16 @@ SQL_STRETCH = f"""lum AS (SELECT image_id, x, y, g / 255e0 AS v FROM px), sp AS
 
 @query("stretch_gamma", f"WITH {PX}, {SQL_STRETCH} SELECT * FROM sg")
 def stretch_gamma(spark, sf_dir):
-    return _stretched(spark, sf_dir)[1].select("image_id", "x", "y", "v")
+    planes = _stretched(spark, sf_dir)[1].select("image_id", "width", "height", *[F.col("v").alias(c) for c in "rgba"])
+    return N.unpack_pixels(planes).select("image_id", "x", "y", F.col("r").alias("v"))
 
 
 @query("preserve_color", f"""WITH {PX}, {SQL_STRETCH}, j AS (SELECT px.*, v, r * 0.299e0 + g * 0.587e0 + b * 0.114e0 AS base FROM px JOIN sg USING (image_id, x, y))
   SELECT image_id, x, y, {', '.join(f"CASE WHEN base > 5 THEN {half8(f'{c} * least(greatest(v / base, 0.2e0), 2e0)')} ELSE v END AS {c}" for c in 'rgb')},
   CAST(255 AS INTEGER) AS a FROM j""")
 def preserve_color(spark, sf_dir):
-    p, luma = _stretched(spark, sf_dir)
-    return X.preserve_color(luma, p).select(*OUT)
+    images, luma = _stretched(spark, sf_dir)
+    return N.unpack_pixels(B.preserve_color(luma, images)).select(*OUT)
 
 
 @query("to_tensor", f"""WITH {PX}, long AS (SELECT image_id, CAST(y * 8 + x AS INTEGER) AS pos, r AS v FROM px
@@ -350,12 +380,12 @@ SQL_NOISE = "abs(v - floor((s + 8) / 16))"
 
 @query("kpi_sharpness", f"WITH {PX}, {SQL_GRAY}, {SQL_KERNELS}, {sql_gray_filter('lap', 'e')} SELECT image_id, round(avg(s * s) - avg(s) * avg(s), 4) AS sharpness FROM e GROUP BY image_id")
 def kpi_sharpness(spark, sf_dir):
-    return K.kpi_sharpness(D.gray(spark, sf_dir)).select("image_id", F.round("sharpness", 4).alias("sharpness"))
+    return B.quality_kpis(D.gray_images(spark, sf_dir)).select("image_id", F.round("sharpness", 4).alias("sharpness"))
 
 
 @query("kpi_noise", f"WITH {PX}, {SQL_GRAY}, {SQL_KERNELS}, {sql_gray_filter('bin', 'e')} SELECT image_id, round(stddev_pop({SQL_NOISE}), 4) AS noise_level FROM e GROUP BY image_id")
 def kpi_noise(spark, sf_dir):
-    return K.kpi_noise(D.gray(spark, sf_dir)).select("image_id", F.round("noise_level", 4).alias("noise_level"))
+    return B.quality_kpis(D.gray_images(spark, sf_dir)).select("image_id", F.round("noise_level", 4).alias("noise_level"))
 
 
 @query("kpi_contrast", f"WITH {PX}, {SQL_GRAY} SELECT image_id, round(stddev_pop(v), 4) AS contrast FROM gr GROUP BY image_id")

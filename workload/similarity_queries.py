@@ -172,7 +172,7 @@ def add_images(spark, sf_dir):
     v = D.vectors(spark, sf_dir)
     size = v.agg(F.max("original_index")).first()[0] + 1
     old, new = v.where(F.col("original_index") < size * 3 // 4), v.where(F.col("original_index") >= size * 3 // 4)
-    return G.add_images(old, S.similarity_join(old, "cosine", LIMITS["cosine"]), new, "cosine", LIMITS["cosine"])
+    return G.add_images(old, G.group_embeddings(old, "cosine", LIMITS["cosine"]), new, "cosine", LIMITS["cosine"])
 
 
 @query("knn_graph", f"""WITH {VEC}, s AS (SELECT a.vec_id AS i, b.vec_id AS j, {COSINE} AS score FROM vec a JOIN vec b ON a.vec_id <> b.vec_id),

@@ -53,6 +53,11 @@ def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).select("image_id", "x", "y", F.col("r").alias("v"), "width", "height")
 
 
+def gray_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed images whose three channels are the red one, so that their luma is the gray plane."""
+    return images(spark, sf_dir).select("image_id", "width", "height", *[F.col("r").alias(c) for c in "rgb"], "a")
+
+
 def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest of the embedding images."""
     return vectors(spark, sf_dir).select(
