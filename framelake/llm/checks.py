@@ -13,17 +13,24 @@ levelled AS (SELECT *, (1.5e0 * total - 2e0 * coalesce(CAST(sum(source_size) OVE
 filled AS (SELECT *, level >= 2e0 * source_size / weight AS is_full FROM levelled),
 targeted AS (SELECT *, CASE WHEN is_full THEN 2e0 * source_size
       ELSE weight * max(CASE WHEN NOT is_full THEN level END) OVER () END AS target,
-    CAST(greatest(1, ceil(1.5e0 * total / 262144e0)) AS BIGINT) AS block FROM filled),
+    CAST(least(1024, greatest(1, ceil(1.5e0 * total / 262144e0))) AS BIGINT) AS block FROM filled),
 cut AS (SELECT *, CAST(sum(CAST(floor(target * 1024e0) AS BIGINT)) OVER (ORDER BY sid) AS BIGINT) AS e,
     CAST(floor(target * 1024e0) AS BIGINT) AS u FROM targeted),
-lim AS (SELECT source, source_size, target,
-    block * ((e + block * 1024 - 1) // (block * 1024) - (e - u + block * 1024 - 1) // (block * 1024)) AS words FROM cut),
-laid AS (SELECT d.doc_id, d.size, l.source_size, l.target, l.words,
+own AS (SELECT *, (e + 1023) // 1024 - (e - u + 1023) // 1024 AS words FROM cut),
+lim AS MATERIALIZED (SELECT *, CAST(sum((words + block - 1) // block) OVER (ORDER BY sid) AS BIGINT) AS end_slot, (words + block - 1) // block AS n FROM own),
+bits AS (SELECT greatest(1, length(bin(max(end_slot) - 1))) AS b FROM lim WHERE end_slot > 0),
+point AS (SELECT sid, unnest(range(end_slot - n, end_slot)) AS p FROM lim),
+slots AS MATERIALIZED (SELECT sid, slot, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS k FROM (
+  SELECT sid, list_sum(list_transform(range(b), lambda i: ((p >> CAST(i AS BIGINT)) & 1) << CAST(b - 1 - i AS BIGINT))) AS slot FROM point, bits)),
+laid AS MATERIALIZED (SELECT row_number() OVER () AS r, d.doc_id, d.size, l.sid, l.source_size, l.target, l.words, l.block,
     CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS b
-  FROM d JOIN lim l ON d.source IS NOT DISTINCT FROM l.source)
-SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(size, words - b)) + greatest(0, least(size, words - b - source_size)) AS BIGINT) AS taken
-FROM laid"""
+  FROM d JOIN lim l ON d.source IS NOT DISTINCT FROM l.source),
+piece AS (SELECT r, sid, block, words, size, b + source_size * ep AS f, unnest(range((b + source_size * ep) // block, (least(b + source_size * ep + size, words) - 1) // block + 1)) AS k
+  FROM laid, (VALUES (0), (1)) e(ep) WHERE size > 0 AND b + source_size * ep < words),
+got AS (SELECT r, CAST(sum(least(f + size, words, (k + 1) * block) - greatest(f, k * block)) AS BIGINT) AS taken, min(slot) AS first_slot, count(*) AS pieces
+  FROM piece JOIN slots USING (sid, k) GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, CAST(first_slot AS BIGINT) AS first_slot, coalesce(pieces, 0) AS pieces
+FROM laid LEFT JOIN got USING (r)"""
 
 URL_FILTER = r"""
 WITH p AS (SELECT page_id,

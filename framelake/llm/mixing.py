@@ -8,11 +8,9 @@
   through the cumulative slots of the sources to a source.  Any stretch of the schedule holds each source
   in its share.  The last slot of a source is cut where its target ends, so a source gets its target to the
   word, however small it is beside a slot.
-* With ``slot_bits`` given, the rule of the SQL check holds instead: ``2**slot_bits`` slots, whole slots
-  only, and a source whose target is below a slot may get none.
 * The documents of a source are laid end to end in the order of a hash, epoch after epoch, and cut into
   blocks as long as a slot.  The k-th slot of a source takes its k-th block: an equi-join on
-  (source, k).
+  (source, k).  A document's place in the mix is the first slot that takes a piece of it.
 
 Nothing gathers a source in one task: hash order is summed by hash prefix first (``PREFIX`` digits),
 slot ranks by runs of slots.
@@ -49,15 +47,13 @@ def _row_hash(docs: DataFrame) -> Column:
     return F.xxhash64(*[F.col(c) for c in ("source", "text", "lang", "n_chars") if c in docs.columns])
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most_epochs: int = 2,
-                   slot_bits: int | None = None) -> DataFrame:
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most_epochs: int = 2) -> DataFrame:
     """One row per source: ``sid`` (place by code point, null last), ``source_size``, ``target``, ``block`` (words of a slot),
     ``words`` (what the mix takes of it), ``first_slot`` and ``end_slot`` (its places on the grid of points).
 
-    Targets are rounded to words by their running sum.  ``slot_bits``: whole slots of a grid of fixed size."""
+    Targets are rounded to words by their running sum."""
     everything = Window.partitionBy()
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    slots = 1 << (SLOT_BITS if slot_bits is None else slot_bits)
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     placed = per_source.select(
         "source", "source_size", (F.row_number().over(by_name) - 1).alias("sid"), F.sum("source_size").over(everything).alias("total"),
@@ -70,32 +66,25 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     levelled = placed.withColumn("level", level).withColumn("full", F.col("level") >= most / F.col("weight"))
     shared = F.max(F.when(~F.col("full"), F.col("level"))).over(everything)
     target = F.when(F.col("full"), most).otherwise(F.col("weight") * shared)
-    block = F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("total") / F.lit(float(slots)))).cast("long")
-    if slot_bits is None:
-        block = F.least(block, F.lit(MOST_BLOCK).cast("long"))
+    block = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("total") / F.lit(float(1 << SLOT_BITS))))).cast("long")
     cut = levelled.select("source", "sid", "source_size", target.alias("target"), block.alias("block"))
     units = F.floor(F.col("target") * UNIT).cast("long")
     end = F.sum(units).over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
     bounded = cut.withColumn("_end", end).withColumn("_begin", F.col("_end") - units)
     up = lambda x, by: F.expr(f"({x} + {by} - 1) div ({by})")
-    if slot_bits is None:
-        own = bounded.withColumn("words", up("_end", UNIT) - up("_begin", UNIT)).withColumn("_n", up("words", "block"))
-        placed = own.withColumn("end_slot", F.sum("_n").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-            "first_slot", F.col("end_slot") - F.col("_n"))
-    else:
-        placed = bounded.withColumn("first_slot", up("_begin", f"block * {UNIT}")).withColumn("end_slot", up("_end", f"block * {UNIT}")).withColumn(
-            "words", F.col("block") * (F.col("end_slot") - F.col("first_slot")))
+    own = bounded.withColumn("words", up("_end", UNIT) - up("_begin", UNIT)).withColumn("_n", up("words", "block"))
+    placed = own.withColumn("end_slot", F.sum("_n").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+        "first_slot", F.col("end_slot") - F.col("_n"))
     return placed.select("source", "sid", "source_size", "target", "block", "words", "first_slot", "end_slot")
 
 
-def schedule(targets: DataFrame, slot_bits: int | None = None) -> DataFrame:
+def schedule(targets: DataFrame) -> DataFrame:
     """``slot`` (place in the mix), ``sid`` and ``k``: the how-many-eth slot of its source it is, from 0.
 
-    Without ``slot_bits`` the grid is the smallest power of two that holds all slots; places without a slot stay empty.
+    The grid is the smallest power of two that holds all slots; places without a slot stay empty.
     """
-    if slot_bits is None:
-        points = targets.agg(F.max("end_slot")).first()[0] or 1
-        slot_bits = max(1, (points - 1).bit_length())
+    points = targets.agg(F.max("end_slot")).first()[0] or 1
+    slot_bits = max(1, (points - 1).bit_length())
     # a row of targets becomes runs first, so that no task makes all slots of a large source
     first = F.explode(F.sequence("first_slot", F.col("end_slot") - 1, F.lit(1 << RUN_BITS).cast("long")))
     point = F.explode(F.sequence("_from", F.least(F.col("_from") + (1 << RUN_BITS), F.col("end_slot")) - 1))
@@ -151,7 +140,7 @@ def mixed_pieces(placed: DataFrame, slots: DataFrame, most_epochs: int = 2) -> D
     )
 
 
-def mix(docs: DataFrame, slot_bits: int | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(placed documents, pieces the mix takes), joined by (sid, run, place).
 
     Every row of ``documents`` is placed, repeated rows each for themselves.  A null text has size 0
@@ -159,27 +148,34 @@ def mix(docs: DataFrame, slot_bits: int | None = None) -> tuple[DataFrame, DataF
     Only doc_id, text, source, lang and n_chars are read, so other columns cannot clash.
     """
     sizes = checkpointed(sized(docs))
-    targets = checkpointed(source_targets(sizes, slot_bits=slot_bits))
+    targets = checkpointed(source_targets(sizes))
     placed = placed_documents(sizes, targets)
-    return placed, mixed_pieces(placed, schedule(targets, slot_bits))
+    return placed, mixed_pieces(placed, schedule(targets))
 
 
-def taken_words(docs: DataFrame, slot_bits: int | None = None) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for every row."""
-    placed, pieces = mix(docs, slot_bits)
+def taken_words(docs: DataFrame) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` for every row, and its place in the mix.
+
+    ``first_slot``: the first slot that takes a piece of the row (null: none does); ``pieces``: how many pieces are taken.
+    """
+    placed, pieces = mix(docs)
     key = ["sid", "run", "place"]
-    taken = pieces.groupBy(*key).agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    taken = pieces.groupBy(*key).agg(
+        F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("pieces"))
     return placed.join(taken, key, "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot", F.coalesce("pieces", F.lit(0)).alias("pieces")
     )
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mixed corpus with the columns of ``docs``: one row per document and epoch taken, cut where the mix ends inside it."""
+    """The mixed corpus with the columns of ``docs``: one row per document and epoch taken, cut where the mix ends inside it.
+
+    Rows come in the order of the schedule, by the first slot that takes a piece of the document in that epoch.
+    """
     placed, pieces = mix(docs)
     key = ["sid", "run", "place"]
-    spans = pieces.groupBy(*key, "epoch").agg(F.min("from_word").alias("a"), F.max("to_word").alias("b"))
-    takes = placed.join(spans, key).groupBy("doc_id", "source", "row_hash").agg(F.collect_list(F.struct("size", "epoch", "a", "b")).alias("_takes"))
+    spans = pieces.groupBy(*key, "epoch").agg(F.min("from_word").alias("a"), F.max("to_word").alias("b"), F.min("slot").alias("slot"))
+    takes = placed.join(spans, key).groupBy("doc_id", "source", "row_hash").agg(F.collect_list(F.struct("slot", "size", "epoch", "a", "b")).alias("_takes"))
     own = [c for c in docs.columns if c not in ("doc_id", "source")]
     once = docs.withColumn("_hash", _row_hash(docs)).groupBy("doc_id", "source", "_hash").agg(*[F.first(c).alias(c) for c in own])
     takes = takes.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("row_hash").alias("_row"), "_takes")
@@ -191,4 +187,4 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     cut = one.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    return cut.orderBy("_t.slot", "_t.epoch").select(*docs.columns)

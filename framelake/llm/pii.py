@@ -58,24 +58,68 @@ EM_ROUNDS = 12
 ACCEPT = 0.9
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, combine) -> Column:
+    """``combine`` of every element of an array of int with all before it.
+
+    Runs of about the square root of the length are folded by themselves and shifted by the result of the
+    runs before, as a fold copies what it has so far at every step.
+    """
+    empty = F.array().cast("array<int>")
+    fold = lambda xs: F.aggregate(xs, empty, lambda out, x: F.array_append(
+        out, F.when(F.size(out) == 0, x).otherwise(combine(F.try_element_at(out, F.lit(-1)), x)).cast("int")))
+
+    def cut(xs: Column) -> Column:
+        length = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.size(xs), length), lambda at: F.slice(xs, at, length))
+
+    def joined(runs: Column) -> Column:
+        return _let(fold(F.transform(runs, lambda run: F.element_at(run, -1))), lambda ends: F.flatten(F.transform(
+            runs, lambda run, k: F.when(k == 0, run).otherwise(F.transform(run, lambda x: combine(F.get(ends, k - 1), x).cast("int"))))))
+
+    return _let(values, lambda xs: F.when(F.size(xs) == 0, empty).otherwise(
+        _let(F.transform(cut(xs), fold), joined)))
+
+
 def _matches(text: Column, kind: str) -> Column:
-    """All matches of a kind as ``(m, start, end)``; the pieces between them give the offsets."""
+    """All matches of a kind as ``(m, start, end, before, after)``; the pieces between them give offsets and surroundings.
+
+    ``before``: the last ``REACH`` code points before the match; ``after``: the first one after it.
+    """
     expression = F.lit(EXPRESSIONS[kind])
     found = F.regexp_extract_all(text, expression, F.lit(0))
     between = F.split(text, expression, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,start:int,end:int>>").alias("out"))
-
-    def step(state: Column, pair: Column) -> Column:
-        begin = state.at + F.length(pair.b)
-        end = begin + F.length(pair.m)
-        return F.struct(end.alias("at"), F.array_append(state.out, F.struct(pair.m.alias("m"), begin.alias("start"), end.alias("end"))).alias("out"))
-
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
-    folded = F.aggregate(pairs, start, step, lambda s: s.out)
-    some = F.size(found) > 0
+    none = F.array().cast("array<struct<m:string,start:int,end:int,before:string,after:string>>")
+
+    def surrounded(x: Column) -> Column:
+        # x: matches m with the piece b before each, and what follows each
+        def of(ends: Column) -> Column:
+            def one(p: Column, k: Column) -> Column:
+                end = F.get(ends, k)
+                # a match has four code points at least, so ten matches and pieces before reach far enough
+                earlier = F.slice(x.pairs, F.greatest(k - 9, F.lit(1)), F.least(k, F.lit(10)))
+                near = F.concat(F.array_join(F.transform(earlier, lambda q: F.concat(q.b, q.m)), ""), p.b)
+                before = F.when(F.length(p.b) >= REACH, F.right(p.b, F.lit(REACH))).otherwise(F.right(near, F.lit(REACH)))
+                return F.struct(p.m.alias("m"), (end - F.length(p.m)).alias("start"), end.alias("end"), before.alias("before"), F.get(x.after, k).alias("after"))
+
+            return F.transform(x.pairs, one)
+
+        return _let(_running(F.transform(x.pairs, lambda p: F.length(p.b) + F.length(p.m)), lambda s, v: s + v), of)
+
+    def located(y: Column) -> Column:
+        n = F.size(y.found)
+        pairs = F.zip_with(y.found, F.slice(y.between, 1, n), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
+        after = F.zip_with(F.slice(y.between, 2, n), F.slice(y.found, 2, n), lambda b, m: F.left(F.concat(b, F.coalesce(m, F.lit(""))), F.lit(1)))
+        return F.when(n > 0, _let(F.struct(pairs.alias("pairs"), after.alias("after")), surrounded)).otherwise(none)
+
+    whole = _let(F.struct(found.alias("found"), between.alias("between")), located)
     if kind in NEEDED:
-        some = reduce(or_, [F.contains(text, F.lit(c)) for c in NEEDED[kind]]) & some
-    return F.when(some, folded).otherwise(start.out)
+        return F.when(reduce(or_, [F.contains(text, F.lit(c)) for c in NEEDED[kind]]), whole).otherwise(none)
+    return whole
 
 
 def _digits(m: Column) -> Column:
@@ -146,11 +190,10 @@ def _form(kind: str, m: Column) -> Column:
     return F.concat(head, F.when(m.rlike(r"[\[(](?i:dot)[\])]"), F.lit("[")).otherwise(F.lit(".")))
 
 
-def _candidate(text: Column, kind: str, s: Column) -> Column:
+def _candidate(kind: str, s: Column) -> Column:
     """A match with its votes and the features of the classifier."""
-    before = F.substring(text, F.greatest(s.start - REACH, F.lit(0)) + 1, s.start - F.greatest(s.start - REACH, F.lit(0)))
-    left, right = F.right(before, F.lit(1)), F.substring(text, s.end + 1, F.lit(1))
-    named = before.rlike(CONTEXT[kind])
+    left, right = F.right(s.before, F.lit(1)), s.after
+    named = s.before.rlike(CONTEXT[kind])
     vote = lambda yes: F.when(yes, YES).otherwise(NO)
     votes = F.array(
         vote(_strict(kind, s.m)), vote(_known(kind, s.m)), F.when(named, YES).otherwise(ABSTAIN),
@@ -173,20 +216,18 @@ def candidates(text: Column) -> Column:
 
     def of(kind: str) -> Column:
         found = F.filter(_matches(whole, kind), lambda s: _valid(kind, s.m))
-        return F.transform(found, lambda s: _candidate(whole, kind, s))
+        return F.transform(found, lambda s: F.struct(s.start.alias("start"), F.lit(KINDS.index(kind)).alias("n"), _candidate(kind, s).alias("s")))
 
-    base = F.concat(*[of(k) for k in BASE_KINDS])
-    loose = F.concat(*[of(k) for k in LOOSE_KINDS])
-    free = F.transform(F.array(base), lambda b: F.concat(b, F.filter(
-        loose, lambda s: ~F.exists(b, lambda t: (s.start < t.end) & (t.start < s.end)))))[0]
-    place = F.create_map(*[x for n, k in enumerate(KINDS) for x in (F.lit(k), F.lit(n))])
-    return F.transform(
-        F.array_sort(F.transform(free, lambda s: F.struct(s.start.alias("start"), place[s.kind].alias("n"), s.alias("s")))), lambda x: x.s)
+    loose = lambda x: x.n >= len(BASE_KINDS)
 
+    def free(found: Column) -> Column:
+        # in order of starts: how far base spans before reach, and where the next base span starts
+        reach = _running(F.transform(found, lambda x: F.when(loose(x), 0).otherwise(x.s.end)), F.greatest)
+        following = F.reverse(_running(F.transform(F.reverse(found), lambda x: F.when(loose(x), (1 << 31) - 1).otherwise(x.start)), F.least))
+        return _let(F.struct(reach.alias("reach"), following.alias("following")), lambda y: F.filter(
+            found, lambda x, k: ~loose(x) | ((F.get(y.reach, k) <= x.start) & (F.get(y.following, k) >= x.s.end))))
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.transform(F.array(value), body)[0]
+    return F.transform(_let(F.array_sort(F.concat(*[of(k) for k in KINDS])), free), lambda x: x.s)
 
 
 def _em(patterns: Column) -> Column:
@@ -275,17 +316,30 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", chosen(F.col("candidates"), fit(found)).alias("spans"))
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """``text`` with every span replaced by its kind in angle brackets; overlapping spans are replaced once, together."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+PIECE = 4096  # code points of the pieces into which a text is cut, so that a part is found without walking from its begin
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = s.start >= state.at
-        grown = F.concat(state.out, F.array(F.substring(text, state.at + 1, s.start - state.at), F.concat(F.lit("<"), F.upper(s.kind), F.lit(">"))))
-        return F.struct(F.greatest(state.at, s.end).alias("at"), F.when(fresh, grown).otherwise(state.out).alias("out"))
 
-    tail = lambda s: F.concat(F.array_join(s.out, ""), F.substring(text, s.at + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, tail)).otherwise(text)
+def redacted(text: Column, spans: Column) -> Column:
+    """``text`` with every span replaced by its kind in angle brackets; overlapping spans are replaced once, together."""
+    def replaced(x: Column) -> Column:
+        def part(begin: Column, end: Column) -> Column:
+            first, last = F.floor(begin / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+            head = lambda k, a, n: F.substring(F.coalesce(F.get(x.pieces, k), F.lit("")), a, n)
+            return F.when(first == last, head(first, begin - first * PIECE + 1, end - begin)).otherwise(F.concat(
+                head(first, begin - first * PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(x.pieces, first + 2, last - first - 1), ""),
+                head(last, F.lit(1), end - last * PIECE)))
+
+        def one(s: Column, k: Column) -> Column:
+            return F.concat(part(F.when(k == 0, 0).otherwise(F.get(x.reach, k - 1)), s.start), F.lit("<"), F.upper(s.kind), F.lit(">"))
+
+        fresh = lambda s, k: (k == 0) | (s.start >= F.get(x.reach, k - 1))
+        kept = F.transform(x.spans, lambda s, k: F.when(fresh(s, k), one(s, k)).otherwise(""))
+        return F.concat(F.array_join(kept, ""), part(F.element_at(x.reach, -1), x.length))
+
+    known = F.struct(
+        spans.alias("spans"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"), F.length(text).alias("length"),
+        _running(F.transform(spans, lambda s: s.end), F.greatest).alias("reach"))
+    return F.when(F.size(spans) > 0, _let(known, replaced)).otherwise(text)
 
 
 def redacted_documents(docs: DataFrame) -> DataFrame:

@@ -54,9 +54,10 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp`` (signed 64-bit) of every whole text; null texts are empty texts; one row per row."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
-    return arrow_rows(docs, lambda: lambda doc_id, text: (doc_id, fingerprint(text)), ["doc_id", "text"], schema)
+    """``doc_id``, ``fp`` (signed 64-bit) and ``text_hash`` of every whole text; null texts are empty texts; one row per row."""
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "fp", "text_hash")])
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return arrow_rows(rows, lambda: lambda doc_id, text, text_hash: (doc_id, fingerprint(text), text_hash), rows.columns, schema)
 
 
 def linked_forest(a: np.ndarray, tile: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +189,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _joined_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``doc_id, fp`` of every row; ``fp, root, component_id`` of every fingerprint)."""
+    """(``doc_id, fp, text_hash`` of every row; ``fp, root, component_id`` of every fingerprint)."""
     marked = checkpointed(fingerprints(docs))
     nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = components(fingerprint_links(nodes))
@@ -215,19 +216,17 @@ def hexadecimal(fp: str = "fp") -> Column:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each component: the one with the smallest ``doc_id``; rows that share that id are one document.
+    """One row of each component: the one with the smallest ``doc_id``, then the smallest text hash.
 
-    A component none of whose rows has a ``doc_id`` keeps one of its rows.
+    Rows of one id and unlike texts are documents of their own; a row that repeats id and text is the same document.  A component
+    none of whose rows has a ``doc_id`` keeps one of its rows.
     """
     marked, named = _joined_components(docs)
-    ids = checkpointed(named)
-    first = ids.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias("_kept")).distinct()
-    stay = docs.join(first, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    # the texts of rows without an id are marked again, to find their component
-    nameless = docs.where(F.col("doc_id").isNull())
-    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
-    at = docs.columns.index("text")
-    again = arrow_rows(nameless, lambda: lambda *row: (*row, fingerprint(row[at])), docs.columns, schema)
-    alone = ids.where(F.col("component_id").isNull()).select(F.col("fp").alias("_node"), F.col("root").alias("_root"))
-    rest = again.join(alone, F.col("_fp") == F.col("_node")).dropDuplicates(["_root"]).select(*docs.columns)
-    return stay.unionByName(rest)
+    # id and text tell rows apart; rows without an id come last and are told apart by their text alone
+    identity = ["_nameless", "_handle", "_text"]
+    of = lambda text_hash: [F.col("doc_id").isNull(), F.coalesce("doc_id", text_hash), text_hash]
+    own = F.struct(*[c.alias(n) for c, n in zip(of(F.col("text_hash")), identity, strict=True)])
+    first = marked.groupBy("fp").agg(F.min(own).alias("_first")).join(named.select("fp", "root"), "fp")
+    chosen = first.groupBy("root").agg(F.min("_first").alias("_first")).select("_first.*")
+    rows = docs.withColumns(dict(zip(identity, of(F.xxhash64("text")), strict=True)))
+    return rows.join(chosen, identity, "left_semi").dropDuplicates(identity).select(*docs.columns)

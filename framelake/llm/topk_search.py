@@ -61,7 +61,7 @@ class Shard:
         """Ids and scores of the k best vectors but the query's own, ties to the smaller id."""
         n, d = self.matrix.shape
         own = int(np.count_nonzero(self.ids == query_id))  # rows with the query's id are no candidates but take places
-        possible = self._possible(q, k + own) if n > 4 * (k + own) else np.arange(n)
+        possible = self._possible(q, k + own) if d and n > 4 * (k + own) else np.arange(n)
         scores = self.matrix[possible] @ q
         other = self.ids[possible] != query_id
         ids, scores = self.ids[possible][other], scores[other]

@@ -10,13 +10,13 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from helpers import ODD_TEXTS, SCHEMA, SF_DIR, documents, frame
 from pyspark.sql import functions as F
 
 from framelake.llm import filter_audit as audit
 from framelake.llm import importance_resampling as resampling
 from framelake.llm import setsketch
 from framelake.llm.queries import QUERIES
-from tests.llm.helpers import ODD_TEXTS, SCHEMA, SF_DIR, documents, frame
 
 WORDS = [f"w{k}" for k in range(400)]
 LABELS = "doc_id bigint, quality int, toxic int"

@@ -7,7 +7,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
-from helpers import ODD_TEXTS, SF_DIR, documents, frame
+from helpers import ODD_TEXTS, SCHEMA, SF_DIR, documents, frame
 from xxhash import xxh64_intdigest
 
 from framelake.llm import mixing, simhash, topk_search, url_filter
@@ -63,20 +63,21 @@ def test_targets_stop_at_two_epochs_and_are_met(spark):
 
 def test_schedule_is_van_der_corput_and_blocks_are_met_once(spark):
     sizes = mixing.sized(spark.createDataFrame([(k, "w " * 100, f"s{k % 3}") for k in range(300)], "doc_id bigint, text string, source string"))
-    targets = mixing.source_targets(sizes, slot_bits=6)
+    targets = mixing.source_targets(sizes)
     t = {r.sid: r for r in targets.collect()}
-    slots = sorted(mixing.schedule(targets, 6).collect(), key=lambda r: r.slot)
+    slots = sorted(mixing.schedule(targets).collect(), key=lambda r: r.slot)
     seen = {}
     for r in slots:
-        point = int(f"{r.slot:06b}"[::-1], 2)
+        point = int(f"{r.slot:016b}"[::-1], 2)  # 45,000 slots of one word
         assert t[r.sid].first_slot <= point < t[r.sid].end_slot and r.k == seen.get(r.sid, 0)
         seen[r.sid] = r.k + 1
-    pieces = mixing.mixed_pieces(mixing.placed_documents(sizes, targets), mixing.schedule(targets, 6)).collect()
+    pieces = mixing.mixed_pieces(mixing.placed_documents(sizes, targets), mixing.schedule(targets)).collect()
     by_slot = {}
     for p in pieces:
         by_slot[p.slot] = by_slot.get(p.slot, 0) + p.to_word - p.from_word
-    for r in slots:  # the last block of a source that is taken whole ends with its last epoch
-        assert by_slot[r.slot] == min(t[r.sid].block, 2 * t[r.sid].source_size - r.k * t[r.sid].block)
+    assert len(slots) == 45_000
+    for r in slots:
+        assert by_slot[r.slot] == min(t[r.sid].block, t[r.sid].words - r.k * t[r.sid].block)
 
 
 def test_repeated_rows_and_empty_tables(spark):
@@ -106,6 +107,25 @@ def test_sources_below_a_slot_get_their_target(spark):
     assert abs(per["big"] - (1.5 * total - 600)) <= 1
 
 
+def test_query_takes_tiny_sources_whole(spark):
+    rows = [(k, "w " * 30_000, "big") for k in range(90)] + [(1000 + k, "a b c", f"tail{k:02d}") for k in range(40)]
+    got = mixing.taken_words(spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(8)).collect()
+    tail = [r for r in got if r.doc_id >= 1000]
+    assert [r.taken for r in tail] == [6] * 40 and all(r.first_slot is not None and r.pieces >= 2 for r in tail)
+    per = {}
+    for r in got:
+        per.setdefault(r.source_size, [r.target, 0])[1] += r.taken
+    assert all(abs(target - taken) <= 1 for size, (target, taken) in per.items() if size > 3)
+
+
+def test_mix_comes_in_slot_order(spark):
+    docs = spark.createDataFrame([(k, "w " * 50, f"s{k % 3}") for k in range(120)], "doc_id bigint, text string, source string")
+    first = {r.doc_id: r.first_slot for r in mixing.taken_words(docs).collect()}
+    out = [r.doc_id for r in mixing.mixed_documents(docs).collect()]
+    seen = list(dict.fromkeys(out))
+    assert seen == sorted(seen, key=first.get) and {d for d, s in first.items() if s is not None} == set(out)
+
+
 def test_equal_rows_of_two_sources_stay_apart(spark):
     rows = [(d, f"w{k} " * 5, s) for d in (1, None) for k in range(40) for s in ("x", "y", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
@@ -237,6 +257,14 @@ def test_copies_nulls_and_empty(spark):
     assert sorted((r.doc_id is None, r.text or "") for r in kept) == [(False, "x y z"), (True, ""), (True, "q")]
 
 
+def test_unlike_texts_of_one_id_both_stay(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join(rng.choices([f"w{k}" for k in range(500)], k=80)) for _ in range(3))
+    rows = [(1, a, "en", "s", 0), (1, b, "en", "s", 0), (2, c, "en", "s", 0), (1, a, "en", "s", 0), (9, b, "en", "s", 0)]
+    kept = simhash.first_of_each(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS _text", "2 AS _handle")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (1, b), (2, c)])
+
+
 # ---- op10 ----
 
 def test_top_k_against_all_pairs(spark):
@@ -296,3 +324,11 @@ def test_repeated_query_rows_take_no_places():
     shard = topk_search.Shard(np.where(np.arange(3000) >= 2700, -5, np.arange(3000)), spread)
     got, _ = shard.best(-5, np.array([1]), 20)
     assert list(got) == list(range(2699, 2679, -1))
+
+
+def test_vectors_without_components(spark):
+    """Empty vectors score 0 with each other; ties go to the smaller id."""
+    vectors = topk_search.quantised(spark.createDataFrame([(k, []) for k in range(120)], "vec_id bigint, embedding array<float>"))
+    got = topk_search.top_k(vectors.where("vec_id % 40 = 0"), vectors, 3).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [
+        (0, 1, 1, 0), (0, 2, 2, 0), (0, 3, 3, 0), (40, 1, 0, 0), (40, 2, 1, 0), (40, 3, 2, 0), (80, 1, 0, 0), (80, 2, 1, 0), (80, 3, 2, 0)]

@@ -163,3 +163,37 @@ def test_redaction_keeps_rows_and_nulls(spark):
     assert out[2].text == "mail <EMAIL>, or <PHONE>." and out[3].text == "<CARD> is hex too"
     assert out[2].n_chars == len(out[2].text)
     assert pii.redacted_documents(frame(spark, texts).limit(0)).collect() == []
+
+
+def test_many_matches_of_one_text_take_time_in_proportion(spark):
+    """12,500 matches in one text; spans, surroundings and the redacted text as a plain search has them."""
+    import time
+
+    text = "ip 1.2.3.4 " + "1.2.3.4 " * 12_499
+    docs = frame(spark, [text])
+    begin = time.perf_counter()
+    (row,) = pii.pii_spans(docs).collect()
+    assert time.perf_counter() - begin < 10 and len(row.spans) == 12_500
+    assert [(s.start, s.end) for s in row.spans] == [m.span() for m in re.finditer(r"1\.2\.3\.4", text)]
+    (out,) = pii.redacted_documents(docs).collect()
+    assert out.text == text.replace("1.2.3.4", "<IP>")
+
+
+def test_redaction_across_pieces_and_outside_the_basic_plane(spark):
+    text = "😀" * 4090 + " a.b@c.org " + "é" * 5000 + "😀 10.0.0.1 and a@b.example.com+34 600 123 456 7 end" + "y" * 9000
+    (out,) = pii.redacted_documents(frame(spark, [text])).collect()
+    spans = pii.pii_spans(frame(spark, [text])).first().spans
+    want, at = "", 0
+    for s in spans:
+        if s.start >= at:
+            want += text[at:s.start] + f"<{s.kind.upper()}>"
+        at = max(at, s.end)
+    assert out.text == want + text[at:] and len(spans) >= 3
+
+
+def test_running_folds(spark):
+    for n in (0, 1, 2, 3, 10, 99, 100, 101, 1000):
+        values = [(k * 37) % 23 - 5 for k in range(n)]
+        row = spark.createDataFrame([(values,)], "v array<int>").select(
+            pii._running(F.col("v"), lambda a, b: a + b).alias("s"), pii._running(F.col("v"), F.greatest).alias("m")).first()
+        assert row.s == [sum(values[:k + 1]) for k in range(n)] and row.m == [max(values[:k + 1]) for k in range(n)]
