@@ -2,7 +2,7 @@
 
 * **Registers.**  ``REGISTERS`` hash functions turn the shingles of a document into exponential values; a register
   keeps ``floor(1 - log_b(minimum))``, cut to 16 bits.  Registers of a union are the larger ones of its parts, so
-  long texts are sketched piece by piece.  Equal shingle sets are one node.
+  long texts are sketched piece by piece.  Equal shingle sets are one node with a number of its own.
 * **Candidates.**  Runs of ``BAND`` registers are the keys of ``BANDS`` bands.  At a similarity of 0.85 a pair shares
   no key with probability (1 - 0.85^5)^24, below one in a million.
 * **Estimate.**  For two sketches the numbers of larger, smaller and equal registers and both set sizes give
@@ -31,14 +31,15 @@ from xxhash import xxh64_intdigest
 
 from framelake.llm.common import ROWS_AT_ONCE
 from framelake.llm.simhash import components
-from framelake.scratch import checkpointed
+from framelake.scratch import Intermediate, checkpointed
 
 SHINGLE, PERCENT = 5, 85
 BANDS, BAND = 24, 5
 REGISTERS = BANDS * BAND
 BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 1
 UNLIKELY = 20.0  # natural logarithm of the odds against the threshold beyond which a pair is dropped
-TILE = 512
+TILE = 256
+PAIRS_AT_ONCE = 1 << 15
 COLUMNS_AT_ONCE, KEPT_WORDS = 4096, 1 << 18
 
 _constants = np.random.default_rng(42)
@@ -109,7 +110,7 @@ def likely_similarity(na: np.ndarray, nb: np.ndarray, larger: np.ndarray, smalle
 
     low, high = np.zeros(len(u)), np.minimum(u / v, v / u)
     ratio = (np.sqrt(5) - 1) / 2
-    for _ in range(48):  # the likelihood has one peak
+    for _ in range(24):  # the likelihood has one peak
         left, right = high - ratio * (high - low), low + ratio * (high - low)
         rising = logarithm(left) < logarithm(right)
         low, high = np.where(rising, left, low), np.where(rising, high, right)
@@ -151,36 +152,37 @@ def _handles(docs: DataFrame) -> DataFrame:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """``doc_id, nameless, handle, n`` (set size), ``node`` (digest of the set) and ``sketch`` of every row."""
+    """``doc_id, nameless, handle, n`` (set size), ``digest`` of the set and ``sketch`` of every row."""
     def function() -> Callable[[pa.RecordBatch], list]:
         known = _Known()
 
         def one(batch: pa.RecordBatch) -> list:
             sets = [shingle_set(t, known) for t in batch.column("text").to_pylist()]
-            nodes = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            return [*(batch.column(c) for c in ("doc_id", "nameless", "handle")), list(map(len, sets)), nodes, [r.tobytes() for r in sketches(sets)]]
+            digests = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            return [*(batch.column(c) for c in ("doc_id", "nameless", "handle")), list(map(len, sets)), digests, [r.tobytes() for r in sketches(sets)]]
 
         return one
 
-    return _arrow_chunks(_handles(docs), function, "doc_id bigint, nameless boolean, handle bigint, n bigint, node binary, sketch binary")
+    return _arrow_chunks(_handles(docs), function, "doc_id bigint, nameless boolean, handle bigint, n bigint, digest binary, sketch binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, hashes`` of the nodes of ``wanted`` (``node, nameless, handle``); only their texts are shuffled."""
-    texts = _handles(docs).join(wanted.select("nameless", "handle", F.col("node").alias("_wanted")), ["nameless", "handle"]).select("text", "_wanted")
+    """``node, hashes`` of the nodes of ``wanted`` (``node, digest, nameless, handle``); only their texts are shuffled."""
+    texts = _handles(docs).join(wanted.select("node", "digest", "nameless", "handle"), ["nameless", "handle"]).select("text", "node", "digest")
 
     def function() -> Callable[[pa.RecordBatch], list]:
         known = _Known()
 
         def one(batch: pa.RecordBatch) -> list:
             sets = [shingle_set(t, known).tobytes() for t in batch.column("text").to_pylist()]
-            made = [(w, s) for w, s in zip(batch.column("_wanted").to_pylist(), sets, strict=True) if blake2b(s, digest_size=16).digest() == w]
-            return [[w for w, _ in made], [s for _, s in made]]
+            nodes, digests = (batch.column(c).to_pylist() for c in ("node", "digest"))
+            made = [(n, s) for n, d, s in zip(nodes, digests, sets, strict=True) if blake2b(s, digest_size=16).digest() == d]
+            return [[n for n, _ in made], [s for _, s in made]]
 
         return one
 
     # rows that share an id and a text give their node twice
-    return _arrow_chunks(texts, function, "node binary, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    return _arrow_chunks(texts, function, "node bigint, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
 
 
 def _registers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -207,7 +209,7 @@ def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     sized = _pair(pairs, nodes, ["n", "sketch"]).where(
         100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")).select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch")
-    return _arrow_chunks(sized, function, "a binary, b binary, similarity double")
+    return _arrow_chunks(sized, function, "a bigint, b bigint, similarity double")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -221,7 +223,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         return one
 
-    return _arrow_chunks(_pair(pairs, sets, ["hashes"]).select("a", "b", "a_hashes", "b_hashes"), function, "a binary, b binary")
+    return _arrow_chunks(_pair(pairs, sets, ["hashes"]).select("a", "b", "a_hashes", "b_hashes"), function, "a bigint, b bigint")
 
 
 def tile_links(labels: np.ndarray, second: np.ndarray, registers: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -236,39 +238,35 @@ def tile_links(labels: np.ndarray, second: np.ndarray, registers: np.ndarray, se
     if alone:
         first = other = np.arange(n)
     bands = np.ascontiguousarray(registers).view(f"V{2 * BAND}").reshape(n, BANDS)
-    bands = np.stack([np.unique(bands[:, t], return_inverse=True)[1].reshape(-1) for t in range(BANDS)], axis=1)
-    parent = {k: k for k in labels.tolist()}
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
+    bands = np.stack([np.unique(bands[:, t], return_inverse=True)[1].reshape(-1) for t in range(BANDS)])
+    part = np.unique(labels, return_inverse=True)[1]  # the component of every node, as far as it is known here
+    meets = np.zeros((len(first), len(other)), bool)
+    for band in bands:
+        meets |= band[first][:, None] == band[other][None, :]
+    meets &= part[first][:, None] != part[other][None, :]
+    if alone:
+        meets = np.triu(meets, 1)
+    x, y = np.nonzero(meets)
+    for at in range(0, len(x), PAIRS_AT_ONCE):
+        u, v = x[at:at + PAIRS_AT_ONCE], y[at:at + PAIRS_AT_ONCE]
+        a, b = first[u], other[v]
+        meets[u, v] = possible(sizes[a], sizes[b], registers[a], registers[b], percent)[1]
     # which sets of the second side hold a hash
     values, owner = np.concatenate([sets[k] for k in other]), np.repeat(np.arange(len(other)), sizes[other])
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
     found = []
     for at, a in enumerate(first.tolist()):
-        b = other[at + 1:] if alone else other
-        b = b[(labels[b] != labels[a]) & (bands[b] == bands[a]).any(1)]
-        if not len(b):
-            continue
-        _, may = possible(np.full(len(b), sizes[a]), sizes[b], np.broadcast_to(registers[a], (len(b), REGISTERS)), registers[b], percent)
-        b = b[may]
-        b = b[[root(k) != root(labels[a]) for k in labels[b].tolist()]] if len(b) else b
+        b = np.flatnonzero(meets[at] & (part[other] != part[a]))
         if not len(b):
             continue
         begin, end = np.searchsorted(values, sets[a], "left"), np.searchsorted(values, sets[a], "right")
         lengths = end - begin
         places = np.arange(int(lengths.sum())) + np.repeat(begin - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-        both = np.zeros(n, np.int64)
-        both[other] = np.bincount(owner[places], minlength=len(other))
-        for k in b[100 * both[b] >= percent * (sizes[a] + sizes[b] - both[b])].tolist():
-            x, y = root(labels[a]), root(labels[k])
-            if x != y:
-                parent[max(x, y)] = min(x, y)
+        both = np.bincount(owner[places], minlength=len(other))[b]
+        for k in other[b[100 * both >= percent * (sizes[a] + sizes[other[b]] - both)]].tolist():
+            if part[a] != part[k]:
+                part[part == part[k]] = part[a]
                 found.append((a, k))
     return found
 
@@ -288,41 +286,38 @@ def _tiled_links(members: DataFrame, percent: int) -> DataFrame:
         .select("coarse", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), (F.col("_own") > F.col("_other")).alias("second"),
                 "node", "label", "n", "sketch", "hashes")
     )
-    out = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def search(group: pa.Table) -> pa.Table:
-        names = group.column("label").to_pylist()
-        number = {x: k for k, x in enumerate(sorted(set(names)))}
         sets = [np.frombuffer(s, np.uint64) for s in group.column("hashes").to_pylist()]
-        pairs = tile_links(np.array([number[x] for x in names]), group.column("second").to_numpy(), _registers(group.column("sketch")), sets, percent)
-        nodes = group.column("node").to_pylist()
-        return pa.Table.from_arrays([pa.array([nodes[p[e]] for p in pairs], pa.binary()) for e in (0, 1)], schema=out)
-
-    return dealt.groupBy("coarse", "i", "j").applyInArrow(search, "a binary, b binary")
-
+        pairs = tile_links(group.column("label").to_numpy(), group.column("second").to_numpy(), _registers(group.column("sketch")), sets, percent)
+        nodes = group.column("node").to_numpy()
+        return pa.Table.from_arrays([pa.array(nodes[[p[e] for p in pairs]] if pairs else [], pa.int64()) for e in (0, 1)], schema=out)
 
-def _ordered(links: DataFrame) -> DataFrame:
-    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+    return dealt.groupBy("coarse", "i", "j").applyInArrow(search, "a bigint, b bigint")
 
 
-def _root_of(found: DataFrame) -> DataFrame:
-    """``node, root`` with a row for the roots too."""
-    return found.union(found.select(F.col("root").alias("node"), "root").distinct())
+def _connected(links: DataFrame) -> DataFrame:
+    """``node, root`` of all nodes with a link ``a, b``, roots included."""
+    ordered = links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    with Intermediate(links.sparkSession) as steps:  # read as a table: what the optimizer knows of the links' origin misleads its unions
+        found = components(steps.write(ordered, "links"))
+    return checkpointed(found.union(found.select(F.col("root").alias("node"), "root").distinct()))
 
 
 def set_links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links ``a, b`` that connect all nodes (``node, n, sketch, nameless, handle``) as the links on full sets do."""
+    """Links ``a, b`` that connect all nodes (``node, digest, n, sketch, nameless, handle``) as the links on full sets do."""
     band = lambda t: F.xxhash64(F.lit(t), F.substring("sketch", 2 * BAND * t + 1, 2 * BAND))
     keyed = nodes.select("node", F.posexplode(F.array(*[band(t) for t in range(BANDS)])).alias("t", "key"))
     keys = keyed.groupBy("t", "key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1")
     meeting = checkpointed(keyed.join(keys, ["t", "key"]))
-    wanted = meeting.select("node").distinct().join(nodes.select("node", "nameless", "handle"), "node")
+    wanted = meeting.select("node").distinct().join(nodes.select("node", "digest", "nameless", "handle"), "node")
     sets = checkpointed(full_sets(docs, wanted))
     spokes = meeting.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     near = checkpointed(estimated(spokes, nodes, percent))
     best = near.groupBy("a").agg(F.max(F.struct("similarity", "b")).alias("_b")).select("a", F.col("_b.b").alias("b"))
-    first = checkpointed(_ordered(verified(best, sets, percent)))
-    labels = checkpointed(_root_of(components(first)))
+    first = checkpointed(verified(best, sets, percent))
+    labels = _connected(first)
     label = lambda name, of: labels.select(F.col("node").alias(of), F.col("root").alias(name))
     mixed = (
         meeting.where("node != hub").join(label("_l", "node"), "node", "left").join(label("_h", "hub"), "hub", "left")
@@ -332,7 +327,7 @@ def set_links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> Data
         .where(F.col("_may") | (F.col("many") > 2)).select("t", "key").distinct()
     )
     left = checkpointed(meeting.join(mixed, ["t", "key"], "left_semi"))
-    coarse = _root_of(components(_ordered(left.select(F.col("node").alias("a"), F.col("hub").alias("b")))))
+    coarse = _connected(left.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     members = (
         coarse.select("node", F.col("root").alias("coarse")).join(label("_l", "node"), "node", "left")
         .select("node", "coarse", F.coalesce("_l", "node").alias("label"))
@@ -351,14 +346,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     together.  Empty tables give empty results.  Only doc_id and text are read, so other columns cannot clash.
     """
     marked = checkpointed(sketched(docs))
-    nodes = checkpointed(marked.where("n > 0").groupBy("node").agg(
+    nodes = checkpointed(marked.where("n > 0").groupBy("digest").agg(
         F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("nameless", "handle")).alias("_h"),
-    ).select("node", "first", "n", "sketch", "_h.nameless", "_h.handle"))
-    found = _root_of(components(_ordered(set_links(docs, nodes, percent))))
-    named = nodes.select("node", "first").join(found, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    named = checkpointed(named)
+    ).select(F.monotonically_increasing_id().alias("node"), "digest", "first", "n", "sketch", "_h.nameless", "_h.handle"))
+    found = _connected(set_links(docs, nodes, percent))
+    named = nodes.select("node", "digest", "first").join(found, "node", "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = named.join(smallest, "root").select("node", "component_id")
+    ids = named.join(smallest, "root").select("digest", "component_id")
     own: Column = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return marked.select("doc_id", "n", "node").join(ids, "node", "left").select(
+    return marked.select("doc_id", "n", "digest").join(ids, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
