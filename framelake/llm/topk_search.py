@@ -3,8 +3,8 @@
 Components become integers ``floor(scale * x)``.  The index is cut into shards by a hash of the vector id.
 In a shard every dimension has its postings ordered by value, so all vectors with the same value in a
 dimension are one *segment* with one impact.  For a query, segments are processed by descending size of
-their contribution ``|q_d * v|``; one addition per posting keeps both the partial score and the number of
-dimensions seen.  With ``c`` the next contribution, what a vector may still gain or lose is at most ``c`` times
+their contribution ``|q_d * v|``; one addition per posting keeps both the partial score and, in its lowest bits, the
+number of dimensions seen.  With ``c`` the next contribution, what a vector may still gain or lose is at most ``c`` times
 its unseen dimensions, so lower and upper bounds follow.  The scan stops only when the vectors whose
 upper bound reaches the k-th best lower bound are few; they are the only possible members, and all of
 them are scored exactly.  Nothing is dropped without that proof, and when it never comes the scan ends
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 SCALE = 64.0
 SHARD_ROWS, QUERY_ROWS = 16_384, 1_024
-STEPS = 10  # proofs are tried after each tenth of the postings
-FEW = 0.03  # possible members, as a share of the shard, that are cheaper to score than to wait for
+PROOFS = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 1.0)  # shares of the postings after which a proof is tried
+POSTINGS_AT_ONCE = 1 << 17
+FEW = 0.2  # possible members, as a share of the shard, that are cheaper to score than to wait for
 
 
 def quantised(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
@@ -44,7 +45,8 @@ class Shard:
         self.ids, self.matrix = ids, matrix
         n, d = matrix.shape
         order = np.argsort(matrix, axis=0, kind="stable")
-        self.postings = np.ascontiguousarray(order.T).reshape(-1)  # dimension after dimension
+        self.postings = np.ascontiguousarray(order.T.astype(np.int32)).reshape(-1)  # dimension after dimension
+        self.largest = np.abs(matrix).max(axis=0) if n else np.zeros(d, np.int64)
         begins, dims, values = [], [], []
         for k in range(d):
             column = matrix[order[:, k], k]
@@ -76,22 +78,35 @@ class Shard:
         order = np.argsort(-size, kind="stable")
         lengths = (self.ends - self.begins)[order]
         done = np.cumsum(lengths)
-        partial, seen = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        bits = int(d).bit_length()
+        most = int(np.abs(q) @ self.largest) + 1  # no partial score is larger
+        exact = most << bits < 1 << 53  # a sum of both in one double
+        weight = ((gain << bits) + 1 if exact else gain).astype(np.float64)
+        total, partial, seen = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
         at = 0
-        for step in range(1, STEPS + 1):
-            stop = len(order) if step == STEPS else int(np.searchsorted(done, done[-1] * step // STEPS, "right"))
+        for share in PROOFS:
+            stop = len(order) if share == 1.0 else int(np.searchsorted(done, done[-1] * share, "right"))
             if stop == at:
                 continue
-            part, runs = order[at:stop], lengths[at:stop]
-            # all postings of these segments: their places are the runs begin, begin + 1, ...
-            first = np.concatenate([[0], np.cumsum(runs)[:-1]])
-            places = np.arange(int(runs.sum())) + np.repeat(self.begins[part] - first, runs)
-            members = self.postings[places]
-            partial += np.bincount(members, np.repeat(gain[part], runs), n).astype(np.int64)
-            seen += np.bincount(members, minlength=n)
-            at = stop
-            open_gain = int(size[order[at]]) if at < len(order) else 0
-            slack = open_gain * (d - seen)
+            while at < stop:  # postings of some segments at a time, so that they stay in the processor's cache
+                before = int(done[at - 1]) if at else 0
+                to = min(stop, max(at + 1, int(np.searchsorted(done, before + POSTINGS_AT_ONCE, "right"))))
+                part, runs = order[at:to], lengths[at:to]
+                # all postings of these segments: their places are the runs begin, begin + 1, ...
+                first = done[at:to] - runs - before
+                places = np.arange(int(done[to - 1]) - before, dtype=np.int32) + np.repeat((self.begins[part] - first).astype(np.int32), runs)
+                members = self.postings[places]
+                added = np.bincount(members, np.repeat(weight[part], runs), n)
+                if exact:
+                    total += added
+                else:
+                    partial += added.astype(np.int64)
+                    seen += np.bincount(members, minlength=n)
+                at = to
+            if exact:
+                both = total.astype(np.int64)
+                partial, seen = both >> bits, both & ((1 << bits) - 1)
+            slack = (int(size[order[at]]) if at < len(order) else 0) * (d - seen)
             low = np.partition(partial - slack, n - k)[n - k]
             possible = np.flatnonzero(partial + slack >= low)
             if len(possible) <= max(4 * k, FEW * n):
