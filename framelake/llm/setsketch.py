@@ -10,7 +10,7 @@
   the threshold.  Nothing else is decided by a sketch.
 * **Verify.**  1. Every node meets the best estimated hub (smallest node) of its keys, on full sets: one pair
   per node, however large a key is, which settles tight groups.  2. Keys whose nodes are still in several
-  components are joined to coarse groups.  Nodes of the group's largest component are compared with the other
+  components are joined to coarse groups.  Nodes of the largest one in it are compared with the other
   ones only, in tiles of ``TILE``, on full sets; a tile pair returns a spanning forest of its links.
 
 Sets are built only for nodes that share a key with another node.
@@ -38,6 +38,7 @@ BANDS, BAND = 24, 5
 REGISTERS = BANDS * BAND
 BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 1
 UNLIKELY = 20.0  # natural logarithm of the odds against the threshold beyond which a pair is dropped
+JUMPS = 3  # a node knows the hub that is up to 2**JUMPS steps above it
 TILE = 256
 PAIRS_AT_ONCE = 1 << 15
 COLUMNS_AT_ONCE, KEPT_WORDS = 4096, 1 << 18
@@ -317,7 +318,10 @@ def set_links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> Data
     near = checkpointed(estimated(spokes, nodes, percent))
     best = near.groupBy("a").agg(F.max(F.struct("similarity", "b")).alias("_b")).select("a", F.col("_b.b").alias("b"))
     first = checkpointed(verified(best, sets, percent))
-    labels = _connected(first)
+    labels = first.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    for _ in range(JUMPS):  # what is still apart after these jumps is compared once more, nothing else
+        further = labels.select(F.col("node").alias("root"), F.col("root").alias("_further"))
+        labels = checkpointed(labels.join(further, "root", "left").select("node", F.coalesce("_further", "root").alias("root")))
     label = lambda name, of: labels.select(F.col("node").alias(of), F.col("root").alias(name))
     mixed = (
         meeting.where("node != hub").join(label("_l", "node"), "node", "left").join(label("_h", "hub"), "hub", "left")

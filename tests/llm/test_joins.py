@@ -18,7 +18,7 @@ from framelake.llm.queries import CHECKS, QUERIES
 @pytest.mark.parametrize("sf_dir", [SF_DIR, SF_DIR.replace("0.001", "0.01")])
 def test_query_matches_sql(spark, name, sf_dir):
     con = duckdb.connect()
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     df = QUERIES[name](spark, sf_dir)
     result = con.execute(CHECKS[name])
