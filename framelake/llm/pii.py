@@ -112,11 +112,11 @@ def _matches(text: Column, kind: str) -> Column:
 
     def located(y: Column) -> Column:
         n = F.size(y.found)
-        pairs = F.zip_with(y.found, F.slice(y.between, 1, n), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
-        after = F.zip_with(F.slice(y.between, 2, n), F.slice(y.found, 2, n), lambda b, m: F.left(F.concat(b, F.coalesce(m, F.lit(""))), F.lit(1)))
+        pairs = F.zip_with(y.found, F.slice(y.gaps, 1, n), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
+        after = F.zip_with(F.slice(y.gaps, 2, n), F.slice(y.found, 2, n), lambda b, m: F.left(F.concat(b, F.coalesce(m, F.lit(""))), F.lit(1)))
         return F.when(n > 0, _let(F.struct(pairs.alias("pairs"), after.alias("after")), surrounded)).otherwise(none)
 
-    whole = _let(F.struct(found.alias("found"), between.alias("between")), located)
+    whole = _let(F.struct(found.alias("found"), between.alias("gaps")), located)
     if kind in NEEDED:
         return F.when(reduce(or_, [F.contains(text, F.lit(c)) for c in NEEDED[kind]]), whole).otherwise(none)
     return whole
