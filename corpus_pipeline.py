@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framelake.llm import mixing, piece_sampling, pii, quality_rules, simhash
-from framelake.scratch import written
+from framelake.scratch import Intermediate
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -56,8 +56,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet to the shared folder and read again."""
+    """All stages over ``documents``, each written as Parquet to the shared folder and read again.
+
+    A stage's table goes when its successor is written; the last one's input stays, as the result is read from it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    before = Intermediate(spark)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with before:
+            after = Intermediate(spark)
+            docs = after.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = after
     return STAGES[-1][1](spark, docs, sf_dir)
