@@ -98,5 +98,5 @@ def test_encoding_stage(stages):
 def test_whole_run(spark, stages):
     rows = corpus_pipeline.run(spark, SF_DIR).select("doc_id", "sample", "ids_hash").collect()
     assert sorted(map(tuple, rows)) == sorted((r.doc_id, r.sample, r.ids_hash) for r in stages[-1][1])
-    assert {"pipeline", *(f"op{n}_" for n in range(1, 11))} <= {re.sub(r"(op\d+_).*", r"\1", q) for q in __spark_entry__.queries()}
+    assert {"pipeline", *(f"op{n}_" for n in range(1, 14))} <= {re.sub(r"(op\d+_).*", r"\1", q) for q in __spark_entry__.queries()}
     assert len(documents()) > 0
