@@ -48,13 +48,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: a table that stays for others to read."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class Intermediate:
     """Tables of a multi-step operator, dropped together once its result is computed, or when a step fails."""
 

@@ -35,12 +35,13 @@ def scan_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Decode the image files below ``path``: ``(images, errors)``; a file that cannot be decoded is reported, never fatal.
 
     ``images``: ``path, name, width, height, channels, data`` with interleaved BGR(A) or gray bytes.  ``path`` is
-    the one ``scan_manifest`` lists and tells files with the same name apart.
+    the one ``scan_manifest`` lists and tells files with the same name apart.  A file is read and decoded once, into a table
+    in the shared folder that both results read.
     """
     read = spark.read.format("image").option("recursiveFileLookup", "true").load(path).select("image.*")
     # the reader escapes the path like a URL, but for the plus sign
     plain = F.regexp_replace(F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B"))), "^([A-Za-z0-9]+):///", "$1:/")
-    read = read.withColumn("path", plain).withColumn("name", file_name(F.col("path")))
+    read = checkpointed(read.withColumn("path", plain).withColumn("name", file_name(F.col("path"))).drop("origin", "mode"))
     images = read.where(F.col("width") > 0).select("path", "name", "width", "height", F.col("nChannels").alias("channels"), "data")
     errors = read.where(F.col("width") <= 0).select("path", "name", F.lit("cannot be decoded").alias("error"))
     return images, errors

@@ -9,6 +9,7 @@ from framelake import scratch
 from framelake.keyed import global_index
 from framelake.operators import grouping, inference, manifest, tensors
 from framelake.sources import files
+from framelake.streaming.images import stream_images
 from workload.png_files import png
 
 
@@ -26,6 +27,38 @@ def test_images_and_errors_are_the_manifest(spark, tmp_path):
     assert {r.image_id for r in split} == set(good) and all(list(r.r) == [1, 5] and list(r.a) == [4, 8] for r in split)
 
 
+def test_files_are_decoded_once(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.png").write_bytes(png(2, 1, b"\1\2\3\4\5\6\7\10"))
+    (tmp_path / "bad.png").write_bytes(b"xx")
+    images, errors = files.scan_images(spark, str(tmp_path))
+    for path in tmp_path.iterdir():
+        path.unlink()  # neither result reads the files again
+    assert images.count() == 3 and [r.name for r in errors.collect()] == ["bad.png"]
+
+
+def test_arrivals_are_numbered_through_and_repeat_alike(spark, tmp_path):
+    source, sink, progress = tmp_path / "in", str(tmp_path / "sink"), str(tmp_path / "progress")
+    source.mkdir()
+
+    def arrive(*names):
+        for name in names:
+            (source / name).write_bytes(png(1, 1, b"\1\2\3\4"))
+        stream_images(spark, str(source), sink, progress, glob="*.png", availableNow=True).awaitTermination()
+        return {r.name: r.original_index for r in spark.read.parquet(sink).collect()}
+
+    assert arrive("b.png", "a.png") == {"a.png": 0, "b.png": 1}
+    second = arrive("0.png", "c.png", "z.png")
+    assert second == {"a.png": 0, "b.png": 1, "0.png": 2, "c.png": 3, "z.png": 4}
+    ledger = {int(p.split("=")[1]): spark.read.parquet(f"{sink}/_ledger/{p}").first()[0] for p in os.listdir(f"{sink}/_ledger")}
+    assert sorted(ledger.values()) == [2, 5] and arrive("m.png")["m.png"] == 5
+    # the last batch is done again: it reads the ledger of the one before and replaces itself
+    last = max(ledger) + 1
+    (tmp_path / "progress" / "commits" / str(last)).unlink()
+    (tmp_path / "progress" / "commits" / f".{last}.crc").unlink(missing_ok=True)
+    assert arrive("n.png") == {**second, "m.png": 5, "n.png": 6}
+
+
 def test_error_rows_carry_their_reason(spark):
     df = spark.createDataFrame([("a", "x", None), ("b", None, "too large"), ("c", None, None)], "name string, result string, why string")
     ok, errors = manifest.split_failures(df, "result", reason_col="why")
