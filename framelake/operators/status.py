@@ -72,8 +72,8 @@ def percent(done: Column, total: Column) -> Column:
 
 
 def pair_total(n: Column) -> Column:
-    """Comparisons an all-pairs pass over n images needs."""
-    return n * (n - 1) / 2
+    """Comparisons an all-pairs pass over n images needs; in doubles, as n squared leaves the range of an int at 46,341."""
+    return n.cast("double") * (n - 1) / 2
 
 
 def progress_percent(steps: DataFrame, order_by: list[str], rows_per_bucket: int = 1_000_000) -> DataFrame:

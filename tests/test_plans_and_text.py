@@ -133,6 +133,13 @@ def test_percent_rounds_half_up(spark):
     assert [r[0] for r in df.select(status.percent(F.col("a"), F.col("b"))).collect()] == [1, 2, 0]
 
 
+def test_pair_total_of_more_images_than_an_int_squared_holds(spark):
+    df = spark.createDataFrame([(46_340,), (46_341,), (100_000,), (2_000_000_000,)], "n int")
+    wanted = [n * (n - 1) / 2 for n in (46_340, 46_341, 100_000, 2_000_000_000)]
+    assert [r[0] for r in df.select(status.pair_total(F.col("n"))).collect()] == wanted
+    assert spark.range(1).select(status.percent(F.lit(2_500_000_000), status.pair_total(F.lit(100_000)))).first()[0] == 50
+
+
 def test_sitemap_root_and_static_paths(spark):
     df = spark.createDataFrame([("/",), ("/de/a/b",), ("/logo.svg",), ("/api/x",), ("/es/a",)], "path string")
     rows = {r["loc"]: r for r in sitemap.sitemap_entries(df, "https://s", "now").collect()}
