@@ -17,6 +17,7 @@ Cosine runs in the same metric: on unit vectors ``cos > t`` means ``L2 < sqrt(2
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 
 # smallest band around a threshold in which pairs are re-scored in element order
 BAND = 1e-7
-# probes scored against a block at once, vector values gathered at once, rows placed at once
-SLICE, PIECE_VALUES, PLACE_ROWS = 512, 4_000_000, 1024
+# rows asked at once, scores of a block held at once, vector values gathered at once, rows placed at once
+SLICE, SCORES_AT_ONCE, PIECE_VALUES, PLACE_ROWS = 512, 1 << 20, 4_000_000, 1024
+# sums of 16-bit coordinates stay below this; rows and columns of a tile of such sums
+SHORT, TILE = 32_000, (64, 2048)
 
 LOWER_IS_BETTER = {"cosine": False, "euclidean": True, "manhattan": True}
 
@@ -50,11 +53,15 @@ class CellLayout:
 
 @dataclass(frozen=True)
 class Rows:
-    """One side of a block pair: ids in rising order, vectors, and the set of levels each row takes part in (bits)."""
+    """One side of a block pair: ids in rising order, vectors, and the set of levels each row takes part in (bits).
+
+    ``floors``: the score below which a row asks for no match, where it is known.
+    """
 
     ids: np.ndarray
     vecs: np.ndarray
     levels: np.ndarray
+    floors: np.ndarray | None = None
 
 
 def check_algorithm(algorithm: str) -> None:
@@ -123,17 +130,78 @@ def scores_at(data: np.ndarray, probes: np.ndarray, a: np.ndarray, b: np.ndarray
     return np.concatenate(pieces) if pieces else np.zeros(0)
 
 
-def rough_scores(a: np.ndarray, b: np.ndarray, algorithm: str) -> np.ndarray:
-    """All-against-all scores by matrix product; off by rounding only."""
+def rough_scorer(a: np.ndarray, b: np.ndarray, algorithm: str, width: float):
+    """Scores of all rows of ``a`` against a slice of ``b``, off by ``width`` (the ``band``) at most; both sides are prepared once."""
     if algorithm == "cosine":
-        return in_metric_space(a, algorithm) @ in_metric_space(b, algorithm).T
-    return distances(a, b, algorithm)
+        left, right = (np.ascontiguousarray(in_metric_space(x, algorithm), np.float32) for x in (a, b))
+        return lambda lo, hi: left @ right[lo:hi].T
+    if algorithm == "manhattan" and width > BAND:
+        return _short_manhattan(a, b)
+    return lambda lo, hi: distances(a, b[lo:hi], algorithm)
+
+
+def _short_manhattan(a: np.ndarray, b: np.ndarray):
+    """Manhattan distances on coordinates rounded to 16 bits: ``|x - y| = 2 max(x, y) - x - y``, two integer steps a dimension."""
+    middle, spread, _ = _ranges(a, b)
+    scale = _short_scale(spread, a.shape[1])
+    short = [np.rint((x - middle) * scale).astype(np.int16) for x in (a, b)]
+    left, right = np.ascontiguousarray(short[0].T), short[1]
+    sums = [x.sum(axis=1, dtype=np.int32) for x in short]
+
+    def scores(lo: int, hi: int) -> np.ndarray:
+        out = np.empty((hi - lo, len(a)), np.float32)
+        for top, at in product(range(lo, hi, TILE[0]), range(0, len(a), TILE[1])):  # a tile stays in the processor's cache
+            one, other = right[top : min(top + TILE[0], hi)], left[:, at : at + TILE[1]]
+            total = np.zeros((len(one), other.shape[1]), np.int16)
+            larger = np.empty_like(total)
+            for k in range(len(other)):
+                np.maximum(one[:, k, None], other[k], out=larger)
+                np.add(total, larger, out=total)
+            tile = np.multiply(total, 2, dtype=np.int32)
+            tile -= sums[0][at : at + TILE[1]]
+            tile -= sums[1][top : top + len(one), None]
+            np.multiply(tile, 1.0 / scale, out=out[top - lo : top - lo + len(one), at : at + TILE[1]], casting="same_kind")
+        return out.T
+
+    return scores
+
+
+def _ranges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Middle of every dimension over both sides, sum of the dimensions' widths, largest value."""
+    low, high = np.minimum(a.min(axis=0), b.min(axis=0)), np.maximum(a.max(axis=0), b.max(axis=0))
+    return (low + high) / 2, float((high - low).sum()), float(max(np.abs(low).max(), np.abs(high).max()))
+
+
+def _short_scale(spread: float, dims: int) -> float:
+    """Steps a unit, so that a row's rounded coordinates sum up to ``SHORT`` at most on either side of the middle."""
+    return 2.0 * (SHORT - dims) / spread
+
+
+def slices(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of ``b`` whose scores against ``a`` are held at once."""
+    step = max(16, SCORES_AT_ONCE // max(len(a), 1))
+    return [(lo, min(lo + step, len(b))) for lo in range(0, len(b), step)]
+
+
+def rough_scores(a: np.ndarray, b: np.ndarray, algorithm: str, width: float) -> np.ndarray:
+    """All-against-all scores, off by ``width`` at most."""
+    return rough_scorer(a, b, algorithm, width)(0, len(b))
 
 
 def band(a: np.ndarray, b: np.ndarray, algorithm: str, threshold: float) -> float:
-    """How far a rough score near the threshold may be off; long vectors cancel more digits."""
-    if algorithm != "euclidean":
-        return BAND
+    """How far a rough score near the threshold may be off; long vectors cancel more digits.
+
+    Manhattan: what rounding to 16 bits takes away, if that is little beside the threshold; else sums are exact but for the last digits.
+    """
+    if algorithm == "cosine":  # products of unit vectors in single precision
+        return BAND + 1.2e-7 * (a.shape[1] + 4)
+    if algorithm == "manhattan":
+        _, spread, largest = _ranges(a, b)
+        dims = a.shape[1]
+        if not (0.0 < spread < np.inf and dims < SHORT // 2):
+            return BAND
+        width = dims / _short_scale(spread, dims) + 1e-12 * dims * largest + 5e-7 * (spread + threshold) + BAND
+        return width if width <= threshold / 50 else BAND
     longest = (a * a).sum(axis=1).max() + (b * b).sum(axis=1).max()
     return BAND + 1e-14 * longest * np.sqrt(a.shape[1]) / max(abs(threshold), 1e-12)
 
@@ -180,6 +248,11 @@ def plan_cells(
     return CellLayout(algorithm, pivots, rows, block_rows, {k: v for k, v in inner.items() if len(v) > 1})
 
 
+def _carried(vectors: DataFrame) -> list[str]:
+    """What travels with a row to its blocks."""
+    return ["id", "vec", "levels", *[c for c in ("floor",) if c in vectors.columns]]
+
+
 def _with_levels(vectors: DataFrame) -> DataFrame:
     return vectors if "levels" in vectors.columns else vectors.withColumn("levels", F.lit(-1).cast("long"))
 
@@ -192,11 +265,13 @@ def _placed(vectors: DataFrame, layout: CellLayout, radius: float | None, mode:
     A row may carry its own ``radius`` column, which then wins over the argument.
     """
     if layout.pivots is None:
-        rows = vectors.select("id", "vec", "levels", F.lit(0).alias("cell"), F.lit(mode in ("visit", "away")).alias("visitor"))
+        rows = vectors.select(*_carried(vectors), F.lit(0).alias("cell"), F.lit(mode in ("visit", "away")).alias("visitor"))
         return rows.where(F.lit(mode != "away"))
     shared = vectors.sparkSession.sparkContext.broadcast((layout.pivots, layout.inner, layout.first_cells()))  # within pivot_bytes
     algorithm, own_radius = layout.algorithm, "radius" in vectors.columns
-    schema = pa.schema([("id", pa.int64()), ("vec", pa.list_(pa.float32())), ("levels", pa.int64()), ("cell", pa.int32()), ("visitor", pa.bool_())])
+    carried = _carried(vectors)
+    types = {"id": pa.int64(), "vec": pa.list_(pa.float32()), "levels": pa.int64(), "floor": pa.float64(), "cell": pa.int32(), "visitor": pa.bool_()}
+    schema = pa.schema([(c, types[c]) for c in (*carried, "cell", "visitor")])
 
     def place(batches):
         pivots, inner, first = shared.value
@@ -240,23 +315,27 @@ def _placed(vectors: DataFrame, layout: CellLayout, radius: float | None, mode:
                     if mode == "away":
                         row, cell = row[cell != home[row]], cell[cell != home[row]]
                     visitor = np.ones(len(row), bool)
-                out = table.select(["id", "vec", "levels"]).take(pa.array(row))
+                out = table.select(carried).take(pa.array(row))
                 yield from out.append_column("cell", pa.array(cell, pa.int32())).append_column("visitor", pa.array(visitor)).cast(schema).to_batches()
 
-    return vectors.mapInArrow(place, "id long, vec array<float>, levels long, cell int, visitor boolean")
+    floor = "floor double, " if "floor" in carried else ""
+    return vectors.mapInArrow(place, f"id long, vec array<float>, levels long, {floor}cell int, visitor boolean")
 
 
 def _rows(table: pa.Table) -> Rows:
     table = table.sort_by("id")
-    return Rows(table["id"].to_numpy(), matrix(table["vec"]), table["levels"].to_numpy())
+    floors = table["floor"].to_numpy() if "floor" in table.column_names else None
+    return Rows(table["id"].to_numpy(), matrix(table["vec"]), table["levels"].to_numpy(), floors)
 
 
 def cell_join(data: DataFrame, probes: DataFrame, layout: CellLayout, radius: float, kernel, schema: str, mode: str = "visit") -> DataFrame:
     """Run ``kernel(data: Rows, probes: Rows, False) -> pa.Table`` on every block pair that can match.
 
-    ``data`` and ``probes`` have columns ``id LONG, vec ARRAY<FLOAT>`` and may have ``levels LONG``.  ``mode="away"``
-    leaves the probes' home cells out.
+    ``data`` and ``probes`` have columns ``id LONG, vec ARRAY<FLOAT>`` and may have ``levels LONG``, probes
+    also ``floor DOUBLE``.  ``mode="away"`` leaves the probes' home cells out.
     """
+    if "floor" in probes.columns:
+        data = data.withColumn("floor", F.lit(float("-inf")))
     homes = _placed(_with_levels(data), layout, None, "home")
     visits = _placed(_with_levels(probes), layout, radius, mode)
     return _in_blocks(homes.union(visits), layout, kernel, schema, among_homes=False)
@@ -291,7 +370,7 @@ def _in_blocks(placed: DataFrame, layout: CellLayout, kernel, schema: str, among
         counted.withColumn("_own", own).where(low < high)
         .withColumn("_other", F.explode(F.sequence(low, high - 1)))
         .select("cell", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"),
-                (F.col("_own") > F.col("_other")).alias("second"), "visitor", "id", "vec", "levels")
+                (F.col("_own") > F.col("_other")).alias("second"), *_carried(placed))
     )
     empty = pa.schema([])
 
@@ -314,12 +393,12 @@ def pair_kernel(algorithm: str, threshold: float):
     def kernel(a: Rows, b: Rows, both: bool) -> pa.Table:
         parts, width = [], band(a.vecs, b.vecs, algorithm, threshold)
         slack = -width if LOWER_IS_BETTER[algorithm] else width
-        for lo in range(0, len(b.ids), SLICE):
-            near = passes(rough_scores(a.vecs, b.vecs[lo : lo + SLICE], algorithm), threshold - slack, algorithm)
-            ids = b.ids[None, lo : lo + SLICE]
-            near &= (a.ids[:, None] != ids) if both else (a.ids[:, None] < ids)
-            x, y = np.nonzero(near)
+        rough = rough_scorer(a.vecs, b.vecs, algorithm, width)
+        for lo, hi in slices(a.vecs, b.vecs):
+            x, y = np.nonzero(passes(rough(lo, hi), threshold - slack, algorithm))
             y = y + lo
+            asked = (a.ids[x] != b.ids[y]) if both else (a.ids[x] < b.ids[y])
+            x, y = x[asked], y[asked]
             # the scalar formula takes the smaller index first
             score = scores_at(a.vecs, b.vecs, x, y, algorithm)
             keep = passes(score, threshold, algorithm)
@@ -338,16 +417,48 @@ def first_kernel(algorithm: str, thresholds: list[float], block: int | None = No
     With ``block`` only pairs from different index blocks of that size count.
     """
 
+    loosest = max(thresholds) if LOWER_IS_BETTER[algorithm] else min(thresholds)
+
+    def first_of_few(x: np.ndarray, y: np.ndarray, data: np.ndarray, probes: np.ndarray, level: int) -> tuple:
+        """The first x of every y; pairs come by rising x for the same y."""
+        asked, at = np.unique(y, return_index=True)
+        return probes[asked], np.full(len(asked), level, np.int32), data[x[at]]
+
+    def few(a: Rows, b: Rows, x: np.ndarray, y: np.ndarray, rough: np.ndarray, widths: list[float], both: bool) -> list[tuple]:
+        """The answer from the pairs (x, y) that may pass at the loosest level."""
+        if block is not None:
+            apart = a.ids[x] // block != b.ids[y] // block
+            x, y, rough = x[apart], y[apart], rough[apart]
+        earlier, later, shared, parts = a.ids[x] < b.ids[y], a.ids[x] > b.ids[y], a.levels[x] & b.levels[y], []
+        for level, (threshold, width) in enumerate(zip(thresholds, widths, strict=True)):
+            ok = passes(rough, threshold, algorithm)
+            near = np.flatnonzero(np.abs(rough - threshold) <= width)
+            ok[near] = passes(scores_at(a.vecs, b.vecs, x[near], y[near], algorithm), threshold, algorithm)
+            ok &= (shared >> level & 1).astype(bool)
+            parts.append(first_of_few(x[ok & earlier], y[ok & earlier], a.ids, b.ids, level))
+            if both:
+                parts.append(first_of_few(y[ok & later], x[ok & later], b.ids, a.ids, level))
+        return parts
+
     def first(ok: np.ndarray, data: np.ndarray, probes: np.ndarray, level: int) -> tuple:
         hit = ok.any(axis=0)
         found = data[ok.argmax(axis=0)[hit]]  # rows arrive sorted by id
         return probes[hit], np.full(len(found), level, np.int32), found
 
     def kernel(a: Rows, b: Rows, both: bool) -> pa.Table:
-        parts, widths = [], [band(a.vecs, b.vecs, algorithm, t) for t in thresholds]
-        for lo in range(0, len(b.ids), SLICE):
-            ids, vecs, levels = b.ids[lo : lo + SLICE], b.vecs[lo : lo + SLICE], b.levels[lo : lo + SLICE]
-            rough = rough_scores(a.vecs, vecs, algorithm)
+        # the scores serve all levels, so their band must be narrow for the narrowest
+        parts, width = [], min(band(a.vecs, b.vecs, algorithm, t) for t in thresholds)
+        widths = [max(width, band(a.vecs, b.vecs, algorithm, t)) for t in thresholds]
+        scorer = rough_scorer(a.vecs, b.vecs, algorithm, width)
+        for lo, hi in slices(a.vecs, b.vecs):
+            ids, vecs, levels = b.ids[lo:hi], b.vecs[lo:hi], b.levels[lo:hi]
+            rough = scorer(lo, hi)
+            slack = -max(widths) if LOWER_IS_BETTER[algorithm] else max(widths)
+            close = passes(rough, loosest - slack, algorithm)
+            if np.count_nonzero(close) * 16 <= close.size:  # so few pairs that a list of them is cheaper
+                x, y = np.nonzero(close)
+                parts += few(a, b, x, y + lo, rough[x, y], widths, both)
+                continue
             earlier, later = a.ids[:, None] < ids[None, :], a.ids[:, None] > ids[None, :]
             apart = None if block is None else (a.ids // block)[:, None] != (ids // block)[None, :]
             for level, (threshold, width) in enumerate(zip(thresholds, widths, strict=True)):
@@ -377,7 +488,7 @@ def local_leaders(ids: np.ndarray, vectors: np.ndarray, waiting: np.ndarray, alg
     width = band(vectors, vectors, algorithm, threshold) if len(ids) else 0.0
     for lo in range(0, len(ids), SLICE):
         asked = lo + np.flatnonzero(led[lo : lo + SLICE] < 0)
-        scores = rough_scores(vectors[asked], vectors[lo:], algorithm)
+        scores = rough_scores(vectors[asked], vectors[lo:], algorithm, width)
         for at, rough in zip(asked.tolist(), scores, strict=True):
             if led[at] >= 0:
                 continue
@@ -399,28 +510,46 @@ def local_leaders(ids: np.ndarray, vectors: np.ndarray, waiting: np.ndarray, alg
 
 
 def nearest_kernel(k: int):
-    """Per probe its k best cosine matches of the block, ties to the smaller id."""
-
-    def best(rough: np.ndarray, data: Rows, probes: Rows) -> tuple:
-        kept = min(k, len(data.ids))
-        floor = -np.partition(-rough, kept - 1, axis=0)[kept - 1]
-        a, b = np.nonzero((rough >= floor[None, :] - BAND) & np.isfinite(rough))
-        score = scores_at(data.vecs, probes.vecs, a, b, "cosine")
-        order = np.lexsort((data.ids[a], -score, b))
-        a, b, score = a[order], b[order], score[order]
-        place = np.arange(len(b)) - np.searchsorted(b, b, side="left")
-        top = place < k
-        return probes.ids[b[top]], data.ids[a[top]], score[top]
+    """Per probe its k best cosine matches of the block, ties to the smaller id; none below the probe's floor."""
+
+    def floors(rough: np.ndarray) -> np.ndarray:
+        """Per column a score that k rows reach: the k-th best of the maxima of many groups of rows."""
+        groups = 4 * k
+        if len(rough) >= 2 * groups:
+            each = len(rough) // groups
+            rough = rough[: groups * each].reshape(groups, each, -1).max(axis=1)
+        kept = min(k, len(rough))
+        return np.partition(rough, len(rough) - kept, axis=0)[len(rough) - kept]
+
+    def best(data: Rows, probes: Rows) -> list[tuple]:
+        parts, width = [], band(data.vecs, probes.vecs, "cosine", 0.0)
+        scorer = rough_scorer(data.vecs, probes.vecs, "cosine", width)
+        # (data row, probe) of equal ids: a row is no match of its own
+        first = np.searchsorted(data.ids, probes.ids, "left")
+        times = np.searchsorted(data.ids, probes.ids, "right") - first
+        own = np.repeat(np.arange(len(times)), times)
+        same = np.arange(len(own)) + np.repeat(first - (np.cumsum(times) - times), times)
+        for lo, hi in slices(data.vecs, probes.vecs):
+            rough = scorer(lo, hi)
+            here = (own >= lo) & (own < hi)
+            rough[same[here], own[here] - lo] = -np.inf
+            floor = floors(rough)
+            if probes.floors is not None:
+                floor = np.maximum(floor, probes.floors[lo:hi])
+            a, b = np.nonzero(rough >= (floor - 2.0 * width).astype(np.float32)[None, :])
+            finite = np.isfinite(rough[a, b])
+            a, b = a[finite], b[finite] + lo
+            score = scores_at(data.vecs, probes.vecs, a, b, "cosine")
+            order = np.lexsort((data.ids[a], -score, b))
+            a, b, score = a[order], b[order], score[order]
+            top = np.arange(len(b)) - np.searchsorted(b, b, side="left") < k
+            if probes.floors is not None:
+                top &= score >= probes.floors[b]
+            parts.append((probes.ids[b[top]], data.ids[a[top]], score[top]))
+        return parts
 
     def kernel(a: Rows, b: Rows, both: bool) -> pa.Table:
-        parts = []
-        for lo in range(0, len(b.ids), SLICE):
-            some = Rows(*(x[lo : lo + SLICE] for x in (b.ids, b.vecs, b.levels)))
-            rough = rough_scores(a.vecs, some.vecs, "cosine")
-            rough[a.ids[:, None] == some.ids[None, :]] = -np.inf
-            parts.append(best(rough, a, some))
-            if both:
-                parts.append(best(np.ascontiguousarray(rough.T), some, a))
+        parts = [*best(a, b), *(best(b, a) if both else [])]
         i, j, score = (np.concatenate(p) for p in zip(*parts, strict=True))
         return pa.table({"i": i, "j": j, "score": score})
 

@@ -253,3 +253,50 @@ def test_projection_matches_numpy(spark):
     axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), [0, 1]])
     assert np.allclose([got[k] for k in range(len(v))], v @ axes, atol=1e-6)
     assert project_2d(df.where("image_id < 2")).count() == 0
+
+
+def test_manhattan_scores_of_a_block_are_rough_within_their_band_and_pairs_exact():
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(0, 0.125, (300, 64)).astype(np.float32).astype(np.float64)
+    a, b = vectors[:180], vectors[180:]
+    width = cells.band(a, b, "manhattan", 7.0)
+    exact = np.abs(a[:, None] - b[None]).sum(axis=2)
+    scores = cells.rough_scorer(a, b, "manhattan", width)
+    assert scores(5, 77).dtype == np.float32  # 16-bit sums, not doubles
+    assert 0 < np.abs(scores(5, 77) - exact[:, 5:77]).max() <= width < 0.14
+    # a limit that rounding would blur, and values too far apart for 16 bits, keep doubles
+    far = np.concatenate([b, np.full((1, 64), 1e6)])
+    for right, limit in ((b, 0.001), (far, 7.0)):
+        assert cells.band(a, right, "manhattan", limit) == cells.BAND
+    rows = lambda v, at: cells.Rows(np.arange(at, at + len(v)), v, np.full(len(v), -1))
+    limit = float(np.sort(exact, axis=None)[500])  # a pair at the limit itself does not pass
+    for right in (b, far):
+        out = cells.pair_kernel("manhattan", limit)(rows(a, 0), rows(right, 180), True)
+        pairs = {(i, j) for i, j in zip(out["i"].to_pylist(), out["j"].to_pylist(), strict=True)}
+        found = cells.scores_at(a, b, *[x.ravel() for x in np.indices(exact.shape)], "manhattan").reshape(exact.shape) < limit
+        assert pairs == {(int(x), int(y) + 180) for x, y in np.argwhere(found)}
+
+
+
+
+@pytest.mark.parametrize("share", [0.02, 0.9])
+def test_first_similar_rows_from_few_and_from_many_close_pairs(share):
+    rng = np.random.default_rng(7)
+    vectors = rng.normal(size=(240, 6))
+    ids = np.sort(rng.permutation(1000)[:240])
+    score = cells.pair_scores(np.repeat(vectors, 240, axis=0), np.tile(vectors, (240, 1)), "euclidean").reshape(240, 240)
+    limits = [float(np.quantile(score, share)), float(np.quantile(score, share / 2))]
+    levels = rng.integers(0, 4, 240)
+    a = rng.permutation(240) < 130
+    sides = [cells.Rows(ids[m], vectors[m], levels[m]) for m in (a, ~a)]
+    out = cells.first_kernel("euclidean", limits, 64)(*sides, True)
+    got = {}
+    for j, level, i in zip(*[out[c].to_pylist() for c in ("j", "level", "i")], strict=True):
+        got[j, level] = min(i, got.get((j, level), i))
+    wanted = {}
+    for y in range(240):
+        for level, limit in enumerate(limits):
+            ok = [x for x in range(y) if a[x] != a[y] and score[x, y] < limit and levels[x] & levels[y] & 1 << level and ids[x] // 64 != ids[y] // 64]
+            if ok:
+                wanted[int(ids[y]), level] = int(ids[ok[0]])
+    assert got == wanted
