@@ -75,7 +75,8 @@ def knn_graph(
     """Exact k nearest neighbours by cosine: ``(i, j, rank, score)``; all-zero vectors have none.
 
     Round one searches the home cell only, which bounds the k-th distance of every row; round two
-    visits just the other cells that bound cannot exclude, and keeps the first round's rows.
+    visits just the other cells that bound cannot exclude, returns only matches that reach the bound, and keeps
+    the first round's rows.
     """
     data = valid_vectors(embeddings, id_col, vec_col).where(F.exists("vec", lambda x: x != 0))
     k = neighbour_count(data.count()) if k is None else k
@@ -92,7 +93,8 @@ def knn_graph(
         bound = found.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("worst"))
         reach = F.when(F.col("n") >= k, F.sqrt(F.greatest(2.0 - 2.0 * F.col("worst"), F.lit(0.0))) + 1e-6)
         asked = data.join(bound, data.id == bound.i, "left").select(
-            "id", "vec", F.coalesce(reach, F.lit(float("inf"))).alias("radius")
+            "id", "vec", F.coalesce(reach, F.lit(float("inf"))).alias("radius"),
+            F.coalesce(F.when(F.col("n") >= k, F.col("worst")), F.lit(float("-inf"))).alias("floor"),
         )
         found = found.unionByName(cells.cell_join(data, asked, plan, float("inf"), kernel, schema, "away"))
     return best(found).select("i", "j", "rank", "score")

@@ -277,6 +277,21 @@ def test_manhattan_scores_of_a_block_are_rough_within_their_band_and_pairs_exact
         assert pairs == {(int(x), int(y) + 180) for x, y in np.argwhere(found)}
 
 
+def test_nearest_matches_below_the_known_floor_are_not_returned():
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(400, 8))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    data = cells.Rows(np.arange(300), vectors[:300], np.full(300, -1))
+    floors = np.full(100, 0.9)
+    floors[0] = -np.inf
+    probes = cells.Rows(np.arange(300, 400), vectors[300:], np.full(100, -1), floors)
+    out = cells.nearest_kernel(15)(data, probes, False)
+    got = set(zip(out["i"].to_pylist(), out["j"].to_pylist(), strict=True))
+    wanted = set()
+    for n, scores in enumerate(unit[300:] @ unit[:300].T):
+        wanted |= {(300 + n, int(j)) for j in np.argsort(-scores)[:15] if scores[j] >= floors[n]}
+    assert got == wanted and len(got) < 100 * 15
+
 
 
 @pytest.mark.parametrize("share", [0.02, 0.9])
