@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 BAND = 1e-7
 # rows asked at once, scores of a block held at once, vector values gathered at once, rows placed at once
 SLICE, SCORES_AT_ONCE, PIECE_VALUES, PLACE_ROWS = 512, 1 << 20, 4_000_000, 1024
+# A corpus is cut into about this many blocks, so what a join shuffles grows with the corpus and not with its square,
+# until a block holds as many vector values as a task may.
+BLOCKS, LEAST_BLOCK, BLOCK_VALUES = 16, 512, 1 << 21
 # sums of 16-bit coordinates stay below this; rows and columns of a tile of such sums
 SHORT, TILE = 32_000, (64, 2048)
 
@@ -216,16 +219,19 @@ def plan_cells(
     algorithm: str,
     rows_per_cell: int = 20_000,
     max_pivots: int = 4096,
-    block_rows: int = 2048,
+    block_rows: int | None = None,
     pivot_bytes: int = 256 << 20,
 ) -> CellLayout:
     """Choose pivots for ``vectors(id, vec)``.
 
     At most ``max_pivots`` vectors of the first level and ``pivot_bytes`` of both levels reach the driver and are
-    broadcast.  A first-level cell of more than twice ``rows_per_cell`` rows gets pivots of its own.
+    broadcast.  A first-level cell of more than twice ``rows_per_cell`` rows gets pivots of its own.  ``block_rows``
+    follows from the number of rows unless it is given.
     """
     check_algorithm(algorithm)
-    rows = vectors.count()
+    found = vectors.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.max(F.size("vec")), F.lit(1)).alias("dims")).first()
+    rows = found["rows"]
+    block_rows = block_rows or min(max(LEAST_BLOCK, -(-rows // BLOCKS)), max(LEAST_BLOCK, BLOCK_VALUES // max(found["dims"], 1)))
     cells = min(rows // rows_per_cell, max_pivots)
     if cells <= 1:
         return CellLayout(algorithm, None, rows, block_rows)

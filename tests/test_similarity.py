@@ -293,6 +293,15 @@ def test_nearest_matches_below_the_known_floor_are_not_returned():
     assert got == wanted and len(got) < 100 * 15
 
 
+def test_blocks_grow_with_the_corpus_so_that_a_row_is_sent_a_bounded_number_of_times(spark):
+    sent = {}
+    for rows in (10_000, 80_000):
+        points = spark.range(rows).select("id", F.array((F.col("id") % 100).cast("float"), F.floor(F.col("id") / 100).cast("float")).alias("vec"))
+        plan = cells.plan_cells(points, "euclidean", rows_per_cell=rows)  # one cell
+        probe = lambda a, b, both: pa.table({"n": pa.array([len(a.ids) + (0 if a is b else len(b.ids))], pa.int64())})
+        sent[rows] = cells.cell_self_join(points, plan, 1.0, probe, "n long").agg(F.sum("n")).first()[0] / rows
+    assert sent[80_000] <= 1.1 * sent[10_000] and sent[80_000] <= cells.BLOCKS + 1
+
 
 @pytest.mark.parametrize("share", [0.02, 0.9])
 def test_first_similar_rows_from_few_and_from_many_close_pairs(share):
