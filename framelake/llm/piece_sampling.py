@@ -39,7 +39,7 @@ CHARS_AT_ONCE = 250_000  # of texts whose units are compiled together
 CUT_BEFORE = "\n\t\r"
 # Signs before which a run of letters ends its unit, if no piece of the model has a letter right before them.
 CUT_BETWEEN = ",.;:!?|#$%&*"
-EDGES_KEPT = 1_600_000  # compiled edges a task keeps before it drops the words that came once only
+EDGES_KEPT = 6_400_000  # compiled edges a task keeps before it drops the words that came once only
 
 
 class Pieces:
@@ -100,22 +100,28 @@ class Pieces:
         order = np.argsort(keys)
         self.step_keys, self.step_states = keys[order], np.array(list(steps.values()), np.int64)[order]
         self.piece_at = np.array(ends, np.int64)
+        # where a character leads from the root, without a search; past the last one that begins a piece there is nothing
+        begins = self.step_keys[self.step_keys < 1 << 21]
+        self.root = np.full(int(begins[-1]) + 2, -1, np.int64)
+        self.root[begins] = self.step_states[:len(begins)]
 
     def matches(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, piece) of every piece in a text of code points, all starts walked down the trie together."""
-        at, state, found = np.arange(len(codes)), np.zeros(len(codes), np.int64), []
-        length = 0
+        state, found = self.root[np.minimum(codes, len(self.root) - 1)], []
+        at = np.flatnonzero(state >= 0)
+        state, length = state[at], 1
         while len(at):
-            inside = at + length < len(codes)
-            at, state = at[inside], state[inside]
-            keys = (state << 21) | codes[at + length]
-            place = np.minimum(np.searchsorted(self.step_keys, keys), len(self.step_keys) - 1)
-            hit = self.step_keys[place] == keys
-            at, state = at[hit], self.step_states[place[hit]]
-            length += 1
+            if length > 1:
+                inside = at + length <= len(codes)
+                at, state = at[inside], state[inside]
+                keys = (state << 21) | codes[at + length - 1]
+                place = np.minimum(np.searchsorted(self.step_keys, keys), len(self.step_keys) - 1)
+                hit = self.step_keys[place] == keys
+                at, state = at[hit], self.step_states[place[hit]]
             token = self.piece_at[state]
             ending = token >= 0
             found.append((at[ending], np.full(int(ending.sum()), length), token[ending]))
+            length += 1
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
     def units(self, text: str) -> list[str]:
@@ -472,14 +478,14 @@ def _path(model: str) -> str:
     return model if "/" in model else public_tokenizers.path(model)
 
 
-def sampled_segmentations(docs: DataFrame, samples: int = SAMPLES, seed: int = SEED, model: str = MODEL, with_ids: bool = True) -> DataFrame:
+def sampled_segmentations(docs: DataFrame, samples: int = SAMPLES, seed: int = SEED, model: str = MODEL) -> DataFrame:
     """Distinct segmentations of every whole text, best perturbed score first (``sample`` from 1).
 
     Columns: ``doc_id, sample, ids, n_pieces, ids_hash, log_p, perturbed, log_inclusion, decoded_equal``.  A text with
     fewer segmentations gives fewer rows; an empty or null text has one, without pieces.  Repeated rows
     are repeated in the result with the same segmentations; a null ``doc_id`` is the row key 0.
     ``decoded_equal``: decoding the ids gives the text back (a text that holds U+2581 decodes with spaces
-    there, as in the library).  ``with_ids`` False leaves ``ids`` empty and keeps count and hash.
+    there, as in the library).
     """
     fields = [("doc_id", pa.int64()), ("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("ids_hash", pa.string()),
               ("log_p", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64()), ("decoded_equal", pa.bool_())]
@@ -506,9 +512,11 @@ def sampled_segmentations(docs: DataFrame, samples: int = SAMPLES, seed: int = S
         for (doc_id, text), found in zip(group, sampled, strict=True):
             for n, (ids, log_p, bound, inclusion) in enumerate(found):
                 equal = sampler.pieces.decode(ids) == text
-                rows.append((doc_id, n + 1, ids if with_ids else ids[:0], len(ids), xxh64_hexdigest(ids.tobytes()), log_p, bound, inclusion, equal))
-        columns = [pa.array(list(v), type=f.type) for v, f in zip(zip(*rows, strict=True), schema, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, schema=schema)
+                rows.append((doc_id, n + 1, ids, len(ids), xxh64_hexdigest(ids.tobytes()), log_p, bound, inclusion, equal))
+        columns = dict(zip(schema.names, zip(*rows, strict=True), strict=True))
+        ends = np.cumsum([0, *map(len, columns["ids"])]).astype(np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns["ids"]), pa.int32()))
+        return pa.RecordBatch.from_arrays([listed if f.name == "ids" else pa.array(list(columns[f.name]), type=f.type) for f in schema], schema=schema)
 
     ddl = "doc_id bigint, sample int, ids array<int>, n_pieces bigint, ids_hash string, log_p double, perturbed double, log_inclusion double, decoded_equal boolean"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)

@@ -45,7 +45,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_sampling.sampled_segmentations(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+    return piece_sampling.sampled_segmentations(table(spark, sf_dir, "documents"))
 
 
 @query

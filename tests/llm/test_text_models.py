@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from helpers import ODD_TEXTS, SF_DIR, documents, frame
+from xxhash import xxh64_hexdigest
 
 from framelake.llm import piece_sampling, quality_classifier, quality_rules, token_counts
 from framelake.llm.queries import QUERIES
@@ -236,6 +237,22 @@ def test_sampled_rows(spark, library):
     assert piece_sampling.sampled_segmentations(docs.limit(0)).collect() == []
 
 
+def test_sampling_query_returns_the_segmentations(spark, library):
+    texts = {d["doc_id"]: d["text"] or "" for d in documents()}
+    rows = QUERIES["op4_piece_sampling"](spark, SF_DIR).collect()
+    assert all(library.decode(r.ids) == texts[r.doc_id].replace("▁", " ") and len(r.ids) == r.n_pieces for r in rows)
+    assert all(xxh64_hexdigest(np.array(r.ids, np.int32).tobytes()) == r.ids_hash for r in rows)
+
+
+def test_pieces_of_a_text_with_characters_past_the_last_that_begins_a_piece():
+    pieces = piece_sampling.Pieces(public_tokenizers.path(piece_sampling.MODEL))
+    text = "▁the\U0010fffda😀▁cat"
+    found = set(zip(*[x.tolist() for x in pieces.matches(np.array([ord(c) for c in text], np.int64))], strict=True))
+    words = {pieces.bytes[k].decode(): k for k in range(259, len(pieces.bytes)) if pieces.bytes[k]}
+    plain = text.replace("▁", " ")
+    assert found == {(i, n, words[plain[i:i + n]]) for i in range(len(text)) for n in range(1, len(text) - i + 1) if plain[i:i + n] in words}
+
+
 def test_sampling_query_covers_all_documents(spark):
     rows = QUERIES["op4_piece_sampling"](spark, SF_DIR).collect()
     assert {r.doc_id for r in rows} == {d["doc_id"] for d in documents()} and all(r.decoded_equal for r in rows)
