@@ -11,6 +11,10 @@ from framelake.functions.text import last_extension
 from framelake.scratch import checkpointed
 
 
+# Small files: Spark puts 32 of them into a partition, and this many partitions make a task
+PARTITIONS_A_TASK = 8
+
+
 def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -36,9 +40,11 @@ def scan_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     ``images``: ``path, name, width, height, channels, data`` with interleaved BGR(A) or gray bytes.  ``path`` is
     the one ``scan_manifest`` lists and tells files with the same name apart.  A file is read and decoded once, into a table
-    in the shared folder that both results read.
+    in the shared folder that both results read.  A task takes several of the partitions Spark makes of the files, as long as
+    all cores have work: many small files would otherwise cost a task, a checkpoint file and a Python start per 32 of them.
     """
     read = spark.read.format("image").option("recursiveFileLookup", "true").load(path).select("image.*")
+    read = read.coalesce(max(4 * spark.sparkContext.defaultParallelism, -(-read.rdd.getNumPartitions() // PARTITIONS_A_TASK)))
     # the reader escapes the path like a URL, but for the plus sign
     plain = F.regexp_replace(F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B"))), "^([A-Za-z0-9]+):///", "$1:/")
     read = checkpointed(read.withColumn("path", plain).withColumn("name", file_name(F.col("path"))).drop("origin", "mode"))

@@ -37,6 +37,16 @@ def test_files_are_decoded_once(spark, tmp_path):
     assert images.count() == 3 and [r.name for r in errors.collect()] == ["bad.png"]
 
 
+def test_many_small_files_share_a_task(spark, tmp_path):
+    count = 64 * 32 * spark.sparkContext.defaultParallelism // 8
+    for k in range(count):
+        (tmp_path / f"{k}.png").write_bytes(png(1, 1, bytes([k % 256, 2, 3, 4])))
+    images, errors = files.scan_images(spark, str(tmp_path))
+    assert images.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    found = {r.name: r.data[2] for r in images.select("name", "data").collect()}
+    assert found == {f"{k}.png": k % 256 for k in range(count)} and errors.isEmpty()
+
+
 def test_arrivals_are_numbered_through_and_repeat_alike(spark, tmp_path):
     source, sink, progress = tmp_path / "in", str(tmp_path / "sink"), str(tmp_path / "progress")
     source.mkdir()
