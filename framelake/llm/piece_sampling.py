@@ -19,12 +19,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from itertools import chain, compress, pairwise, repeat
 from math import log
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_hexdigest
@@ -34,12 +35,18 @@ from framelake.llm.common import rows_in
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 SAMPLES, SEED = 3, 1
-CHARS_AT_ONCE = 250_000  # of texts whose units are compiled together
+CHARS_AT_ONCE = 500_000  # of texts whose units are compiled together
 # Characters looked at for cuts; one is used only if no piece of the model has it behind another character.
 CUT_BEFORE = "\n\t\r"
 # Signs before which a run of letters ends its unit, if no piece of the model has a letter right before them.
 CUT_BETWEEN = ",.;:!?|#$%&*"
 EDGES_KEPT = 6_400_000  # compiled edges a task keeps before it drops the words that came once only
+WINDOW = 48  # pieces of a path whose sets are drawn first
+GUMBEL_MOST = 37.5  # no Gumbel variable of a draw from ``_uniform`` below 1 is that far above its location
+
+
+ODD = np.uint64(0x9E3779B97F4A7C15)
+MASK = 2**64 - 1
 
 
 class Pieces:
@@ -74,11 +81,10 @@ class Pieces:
                 if SPACE in piece.lstrip(SPACE):
                     raise ValueError(f"piece {piece!r} reaches across the start of a space")
         self._grow_trie(pieces)
-        self.blob = np.frombuffer(b"".join(self.bytes), np.uint8)
-        self.byte_sizes = np.fromiter(map(len, self.bytes), np.int64, size)
-        self.byte_starts = np.cumsum(self.byte_sizes) - self.byte_sizes
+        self.table = pa.array(self.bytes, pa.large_binary())
         self.log_byte = -log(size + 2)
-        self.single_codes = np.array(sorted(map(ord, self.single)), np.int64)
+        self.has_piece = np.zeros(max(map(ord, self.single), default=0) + 2, bool)  # by code point; past the last one there is none
+        self.has_piece[[ord(c) for c in self.single]] = True
         self.apart = next(chr(c) for c in range(0xE000, 0xF900) if chr(c) not in behind | self.single)  # in no piece
         cuts = re.escape("".join(c for c in CUT_BEFORE if c not in behind))
         signs = re.escape("".join(c for c in CUT_BETWEEN if c not in behind_letter))
@@ -86,7 +92,7 @@ class Pieces:
         self.unit = re.compile(f"{word}{SPACE}*[^{SPACE}{cuts}]+|{SPACE}+|[{cuts}][^{SPACE}{cuts}]*" if cuts else f"{word}{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def _grow_trie(self, pieces: dict[str, int]) -> None:
-        """Steps (state, character) -> state as sorted keys; state 0 is the root, ``piece_at`` the piece that ends in a state."""
+        """Steps (state, character) -> state in a hash table; state 0 is the root, ``piece_at`` the piece that ends in a state."""
         steps: dict[tuple[int, str], int] = {}
         ends = [-1]
         for piece, token in pieces.items():
@@ -97,13 +103,26 @@ class Pieces:
                     ends.append(-1)
             ends[state] = token
         keys = np.array([(state << 21) | ord(c) for state, c in steps], np.int64)
-        order = np.argsort(keys)
-        self.step_keys, self.step_states = keys[order], np.array(list(steps.values()), np.int64)[order]
-        self.piece_at = np.array(ends, np.int64)
+        states = np.array(list(steps.values()), np.int32)
+        self.piece_at = np.array(ends, np.int32)
         # where a character leads from the root, without a search; past the last one that begins a piece there is nothing
-        begins = self.step_keys[self.step_keys < 1 << 21]
-        self.root = np.full(int(begins[-1]) + 2, -1, np.int64)
-        self.root[begins] = self.step_states[:len(begins)]
+        begins = keys < 1 << 21
+        self.root = np.full(int(keys[begins].max()) + 2, -1, np.int32)
+        self.root[keys[begins]] = states[begins]
+        # other steps lie in a table of three to six times their number, at their hash or the next free places
+        bits = (3 * len(keys)).bit_length()
+        self.shift = np.uint64(64 - bits)
+        self.step_keys, self.step_states = np.full((1 << bits) + len(keys), -1, np.int64), np.zeros((1 << bits) + len(keys), np.int32)
+        keys, states = keys[~begins], states[~begins]
+        place = self._place(keys)
+        while len(keys):
+            free = np.flatnonzero(self.step_keys[place] < 0)
+            self.step_keys[place[free]], self.step_states[place[free]] = keys[free], states[free]
+            waiting = np.flatnonzero(self.step_keys[place] != keys)
+            keys, states, place = keys[waiting], states[waiting], place[waiting] + 1
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * ODD) >> self.shift).view(np.int64)
 
     def matches(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, piece) of every piece in a text of code points, all starts walked down the trie together."""
@@ -114,9 +133,15 @@ class Pieces:
             if length > 1:
                 inside = at + length <= len(codes)
                 at, state = at[inside], state[inside]
-                keys = (state << 21) | codes[at + length - 1]
-                place = np.minimum(np.searchsorted(self.step_keys, keys), len(self.step_keys) - 1)
-                hit = self.step_keys[place] == keys
+                keys = (state.astype(np.int64) << 21) | codes[at + length - 1]
+                place = self._place(keys)
+                there = self.step_keys[place]
+                other = np.flatnonzero((there != keys) & (there >= 0))
+                while len(other):
+                    place[other] += 1
+                    there[other] = self.step_keys[place[other]]
+                    other = other[(there[other] != keys[other]) & (there[other] >= 0)]
+                hit = np.flatnonzero(there == keys)
                 at, state = at[hit], self.step_states[place[hit]]
             token = self.piece_at[state]
             ending = token >= 0
@@ -125,19 +150,40 @@ class Pieces:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
     def units(self, text: str) -> list[str]:
-        if text.isalpha():  # a word of letters is one unit
-            return [SPACE + text]
         return self.unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
+    def units_of_words(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The units of words without spaces, end to end, and how many each word has."""
+        joined = SPACE + SPACE.join(words)
+        if joined.count(SPACE) > len(words):  # a word holds the sign itself
+            units = [self.units(w) for w in words]
+            return list(chain.from_iterable(units)), np.fromiter(map(len, units), np.int64, len(words))
+        units = self.unit.findall(joined)  # none reaches across the start of a word
+        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+        word_ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        return units, np.diff(np.searchsorted(ends, word_ends, "right"), prepend=0)
+
+    def decode_rows(self, ids: np.ndarray, sizes: list[int]) -> Iterator[bytes]:
+        """The bytes of rows of token ids that lie end to end."""
+        made = self.table.take(pa.array(ids))
+        starts = np.frombuffer(made.buffers()[1], np.int64)[np.cumsum([0, *sizes])].tolist()
+        view = memoryview(made.buffers()[2] or b"")
+        for a, b in pairwise(starts):
+            yield bytes(view[a:b])
+
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of token ids, as the library decodes them."""
-        ids = np.asarray(ids, np.int64)
-        sizes = self.byte_sizes[ids]
-        ends = np.cumsum(sizes)
-        places = np.arange(ends[-1] if len(ids) else 0) + np.repeat(self.byte_starts[ids] - ends + sizes, sizes)
-        text = self.blob[places].tobytes().decode("utf-8", "replace")
+        return self._text(next(self.decode_rows(np.asarray(ids, np.int64), [len(ids)])))
+
+    @staticmethod
+    def _text(raw: bytes) -> str:
+        text = raw.decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
+    def decode_to(self, ids: np.ndarray, sizes: list[int], texts: list[str]) -> list[bool]:
+        """Whether each row of ids (end to end) decodes to its text."""
+        return [raw == b" " + text.encode() or self._text(raw) == text for raw, text in zip(self.decode_rows(ids, sizes), texts, strict=True)]
+
 
 class Lattices:
     """Compiled units: for every node its edges with cumulative conditional probabilities, in flat arrays.
@@ -150,11 +196,13 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.first: dict[str, int] = {}
-        self.words: dict[str, tuple[int, ...]] = {}  # first nodes of the units of a word behind one space
-        self.again: set[str] = set()  # words met again since the last time some were dropped
+        self.first: dict[str, int] = {}  # first node of every unit, in the order of nodes
+        self.words: dict[str, int] = {}  # numbers of the words met behind one space
+        self.word_begin = np.zeros(1, np.int64)  # by number: where the first nodes of the word's units begin in ``word_units``, and the end
+        self.word_units = np.zeros(0, np.int32)
+        self.again = np.zeros(0, bool)  # by number: met again since the last time some were dropped
         self.nodes = 0
-        self.begin = np.zeros(1, np.int64)  # first edge of every node, and the end
+        self.begin = np.zeros(1, np.int32)  # first edge of every node, and the end
         self.cumulative, self.log_q = np.zeros(0), np.zeros(0)  # within the node; of the edge
         self.target, self.token = np.zeros(0, np.int32), np.zeros(0, np.int32)  # node (-1: the unit ends); id, or bytes if negative
         self.long_tokens: list[list[int]] = []
@@ -162,58 +210,74 @@ class Lattices:
 
     def _drop_rare(self) -> None:
         """Keep the units of words met more than once; their nodes and edges move together."""
-        words = {w: self.words[w] for w in self.again if w in self.words}
-        used = set(chain.from_iterable(words.values()))
-        kept = [(u, f) for u, f in self.first.items() if f in used]
-        if not kept:
+        counts = np.diff(self.word_begin)[self.again]
+        firsts = self.word_units[_ranges(self.word_begin[:-1][self.again], counts)]
+        used = np.zeros(self.nodes, bool)
+        used[firsts] = True
+        begins = np.fromiter(self.first.values(), np.int64, len(self.first))
+        kept = used[begins]
+        old, sizes = begins[kept], np.diff(begins, append=self.nodes)[kept]
+        first_edge = self.begin[old].astype(np.int64)
+        widths = self.begin[old + sizes] - first_edge
+        if not len(old) or widths.sum() > EDGES_KEPT // 2:
             return self.clear()
-        old = np.array([f for _, f in kept], np.int64)
-        sizes = np.fromiter((len(u) for u, _ in kept), np.int64, len(kept))
-        new = np.cumsum(sizes) - sizes
-        first_edge, ends = self.begin[old], self.begin[old + sizes]
-        counts = ends - first_edge
-        if counts.sum() > EDGES_KEPT // 2:
-            return self.clear()
-        edges_before = np.cumsum(counts) - counts
-        within = lambda firsts, n, before: np.arange(int(n.sum())) + np.repeat(firsts - before, n)
-        edges, nodes = within(first_edge, counts, edges_before), within(old, sizes, new)
+        new, edges_before = np.cumsum(sizes) - sizes, np.cumsum(widths) - widths
+        edges, nodes = _ranges(first_edge, widths), _ranges(old, sizes)
         begin = self.begin[nodes] + np.repeat(edges_before - first_edge, sizes)
+        self.begin = np.append(begin, int(widths.sum())).astype(np.int32)
         target = self.target[edges]
-        target = np.where(target < 0, target, target + np.repeat(new - old, counts)).astype(np.int32)
-        self.begin, self.target = np.append(begin, int(counts.sum())), target
-        self.cumulative, self.log_q, self.token = self.cumulative[edges], self.log_q[edges], self.token[edges]
+        self.target = np.where(target < 0, target, target + np.repeat(new - old, widths)).astype(np.int32)
+        for name in ("cumulative", "log_q", "token"):
+            setattr(self, name, getattr(self, name)[edges])
+        moved = np.zeros(self.nodes, np.int32)
+        moved[old] = new
         self.nodes = int(sizes.sum())
-        moved = dict(zip(old.tolist(), new.tolist(), strict=True))
-        self.first = {u: moved[f] for u, f in kept}
-        self.words = {w: tuple([moved[f] for f in firsts]) for w, firsts in words.items()}
-        self.again = set()
+        self.first = dict(zip(compress(self.first, kept.tolist()), new.tolist(), strict=True))
+        words = list(compress(self.words, self.again.tolist()))
+        self.words = dict(zip(words, range(len(words)), strict=True))
+        self.word_begin, self.word_units, self.again = np.cumsum([0, *counts]), moved[firsts], np.zeros(len(words), bool)
 
-    def starts(self, texts: list[str]) -> list[np.ndarray]:
-        """First nodes of the units of every text; units not yet known are compiled, all at once.
+    def starts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """First nodes of the units of the texts, end to end, and how many each text has; units not yet known are compiled, all at once.
 
         Texts whose words single spaces separate are looked up word by word: a word's units do not
         depend on its neighbours.
         """
         if len(self.log_q) > EDGES_KEPT:
             self._drop_rare()
-        cut = [text.split(" ") if text and "  " not in text and text[0] != " " != text[-1] else None for text in texts]
-        met = set().union(*(c for c in cut if c))
-        words = met.difference(self.words)
-        self.again.update(met - words)
-        units_of = {w: self.pieces.units(w) for w in words}
-        others = {k: self.pieces.units(text) for k, text in enumerate(texts) if cut[k] is None}
+        plain = [bool(text) and "  " not in text and text[0] != " " != text[-1] for text in texts]
+        # any other text is one empty word here
+        cut = pc.split_pattern(pa.array([text if p else "" for text, p in zip(texts, plain, strict=True)], pa.string()), " ")
+        encoded = cut.values.dictionary_encode()
+        met, place, bounds = encoded.dictionary.to_numpy(zero_copy_only=False).tolist(), encoded.indices.to_numpy(), cut.offsets.to_numpy()
+        known = self.words
+        number = np.fromiter(map(known.get, met, repeat(-1)), np.int64, len(met))
+        fresh = number < 0
+        if "" in met:
+            fresh[met.index("")] = False
+        others = [self.pieces.units(text) for text, p in zip(texts, plain, strict=True) if not p]
+        self.again[number[number >= 0]] = True
+        words = list(compress(met, fresh.tolist()))
+        units, counts = self.pieces.units_of_words(words) if words else ([], np.zeros(0, np.int64))
         first = self.first
-        new = {u for units in (*units_of.values(), *others.values()) for u in units if u not in first}
+        new = list(dict.fromkeys(u for u in chain(units, *others) if u not in first))
         if new:
-            self._compile(list(new))
-        for word, units in units_of.items():
-            self.words[word] = tuple([first[u] for u in units])
-        known = self.words
-        return [
-            np.array([first[u] for u in others[k]], np.int64) if c is None
-            else np.fromiter(chain.from_iterable(map(known.__getitem__, c)), np.int64)
-            for k, c in enumerate(cut)
-        ]
+            self._compile(new)
+        if words:
+            number[fresh] = np.arange(len(known), len(known) + len(words))
+            known.update(zip(words, number[fresh].tolist(), strict=True))
+            self._append("word_begin", np.cumsum(counts) + len(self.word_units))
+            self._append("word_units", np.fromiter(map(first.__getitem__, units), np.int32, len(units)))
+            self._append("again", np.zeros(len(words), bool))
+        number, pool = number[place], self.word_units
+        begins = self.word_begin[number]
+        sizes = self.word_begin[number + 1] - begins
+        if others:
+            at = bounds[:-1][~np.array(plain)]
+            sizes[at] = [len(x) for x in others]
+            begins[at] = len(pool) + np.cumsum(sizes[at]) - sizes[at]
+            pool = np.concatenate([pool, np.fromiter(map(first.__getitem__, chain(*others)), np.int32)])
+        return pool[_ranges(begins, sizes)], np.add.reduceat(sizes, bounds[:-1])
 
     def _compile(self, units: list[str]) -> None:
         pieces = self.pieces
@@ -225,29 +289,31 @@ class Lattices:
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
         at, length, token = pieces.matches(codes)
         weight = pieces.log_weight[token]
-        bare = np.flatnonzero(~np.isin(codes, pieces.single_codes))
+        bare = np.flatnonzero(~pieces.has_piece[np.minimum(codes, len(pieces.has_piece) - 1)])
         fallback, inside = self._byte_edges(codes, bare, ends, sizes)
         at = np.concatenate([at, inside])
         token, length = np.concatenate([token, fallback[:, 0]]), np.concatenate([length, np.ones(len(inside), np.int64)])
         weight = np.concatenate([weight, fallback[:, 1] * pieces.log_byte])
         # places in the joined text count one separator per unit before them
-        unit = np.searchsorted(ends + np.arange(len(units)), at, "right")
+        unit = np.repeat(np.arange(len(units)), sizes + 1)[at]
         node = at - unit
-        order = np.argsort(node * 64 - length)  # by node
+        order = np.argsort((node << 6) - length, kind="stable")  # by node
         node, token, weight, unit, length = node[order], token[order], weight[order], unit[order], length[order]
         after = np.where(node + length == ends[unit], total, node + length)
         # backward sums, all nodes with the same number of characters left in one step
         rest = np.zeros(total + 1)
         left = ends[unit] - node
         by_left = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")
-        cuts = np.flatnonzero(np.diff(left[by_left], prepend=-1))
-        for a, b in zip(cuts, [*cuts[1:], len(by_left)], strict=True):
-            edges = by_left[a:b]
-            terms = weight[edges] + rest[after[edges]]
-            heads = np.flatnonzero(np.diff(node[edges], prepend=-1))
-            top = np.maximum.reduceat(terms, heads)
-            spread = np.repeat(top, np.diff(heads, append=len(edges)))
-            rest[node[edges[heads]]] = top + np.log(np.add.reduceat(np.exp(terms - spread), heads))
+        nodes, edge_weight, following = node[by_left], weight[by_left], after[by_left]
+        heads = np.flatnonzero(np.diff(nodes, prepend=-1))
+        widths, head_nodes = np.diff(heads, append=len(nodes)), nodes[heads]
+        bounds = np.append(np.flatnonzero(np.diff(left[by_left[heads]], prepend=-1)), len(heads)).tolist()
+        for a, b in pairwise(bounds):
+            low, high = heads[a], heads[b] if b < len(heads) else len(nodes)
+            terms, firsts = edge_weight[low:high] + rest[following[low:high]], heads[a:b] - low
+            top = np.maximum.reduceat(terms, firsts)
+            terms -= np.repeat(top, widths[a:b])
+            rest[head_nodes[a:b]] = top + np.log(np.add.reduceat(np.exp(terms, out=terms), firsts))
         log_q = np.minimum(weight + rest[after] - rest[node], 0.0)
         begin = np.flatnonzero(np.diff(node, prepend=-1))
         # the likeliest edge of a node comes first, so most draws end there
@@ -264,7 +330,7 @@ class Lattices:
         cumulative[np.append(begin[1:], len(node)) - 1] = 2.0  # the last edge of a node takes what is left
         known = len(self.log_q)
         self.first.update(zip(units, (self.nodes + ends - sizes).tolist(), strict=True))
-        self._append("begin", np.append(begin[1:], len(node)) + known)
+        self._append("begin", (np.append(begin[1:], len(node)) + known).astype(np.int32))
         self._append("cumulative", cumulative)
         self._append("log_q", log_q)
         self._append("target", np.where(after == total, -1, after + self.nodes))
@@ -284,8 +350,7 @@ class Lattices:
 
     def _byte_edges(self, codes: np.ndarray, bare: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(token, number of bytes) and place of every character that has no piece; separators have no edge."""
-        separators = ends[:-1] + np.arange(len(ends) - 1)
-        places = bare[~np.isin(bare, separators)]
+        places = bare[codes[bare] != ord(self.pieces.apart)]
         made = self.byte_tokens
         for code in set(np.unique(codes[places]).tolist()).difference(made):
             ids = [self.pieces.byte_id[b] for b in chr(code).encode()]
@@ -295,6 +360,12 @@ class Lattices:
         return np.array([made[c] for c in codes[places].tolist()], np.int64).reshape(-1, 2), places
 
 
+def _ranges(firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers ``first, first + 1, ...`` of every range, end to end."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(firsts - ends + sizes, sizes)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """64-bit hashes of 64-bit values (the finaliser of SplitMix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -302,64 +373,71 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-ODD = np.uint64(0x9E3779B97F4A7C15)
-MASK = 2**64 - 1
-
-
 def _uniform(keys: np.ndarray, step: int | np.ndarray = 0) -> np.ndarray:
     """One number in (0, 1) per key and step."""
     return ((_mixed(keys + np.asarray(step, np.uint64) * ODD) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 class Paths:
-    """One path per text of a group, end to end, with its open sets of paths."""
+    """One path per text of a group, end to end, with its best open sets of paths."""
 
     def __init__(self, edges: np.ndarray, sizes: np.ndarray, texts: np.ndarray, bounds: np.ndarray, begins: np.ndarray,
-                 taken: list[list[int]], lattices: Lattices, keys: np.ndarray):
-        """``texts``: which text each path is of; ``begins``: the piece its sets begin at, where ``taken`` are the edges of earlier paths."""
+                 taken: list[list[int]], lattices: Lattices, keys: np.ndarray, kept: int):
+        """``texts``: which text each path is of; ``begins``: the piece its sets begin at, where ``taken`` are the edges of earlier paths;
+        ``kept``: how many open sets of a path may be asked for."""
         self.edges, self.ends = edges, np.cumsum(sizes)
         self.starts = self.ends - sizes
-        self.row = {int(t): k for k, t in enumerate(texts)}
+        self.texts, self.row = texts, {int(t): k for k, t in enumerate(texts)}
         self.bounds, self.begins, self.taken = bounds, begins, taken
-        self.finished = np.cumsum(lattices.target[edges] < 0)  # pieces so far that end their unit
         logs = lattices.log_q[edges]
-        before = np.empty(len(edges))
+        sums = np.empty(len(edges))  # per text, so that they do not depend on its neighbours
+        for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True):
+            np.cumsum(logs[a:b], out=sums[a:b])
         self.log_p = np.zeros(len(sizes))
-        share = -np.expm1(logs)  # what is left beside the path's own edge
-        own = np.full(len(edges), -np.inf)
-        for k, (a, b) in enumerate(zip(self.starts.tolist(), self.ends.tolist(), strict=True)):
-            sums = np.cumsum(logs[a:b])
-            before[a:b] = sums - logs[a:b]
-            if b > a:
-                self.log_p[k] = sums[-1]
-                share[a:a + begins[k]] = 0.0
-                if taken[k]:
-                    share[a + begins[k]] -= np.exp(lattices.log_q[taken[k]]).sum()
-        left = np.flatnonzero(share > 1e-12)
-        path = np.repeat(np.arange(len(sizes)), sizes)[left]
-        place = before[left] + np.log(share[left])
-        draw = _uniform(keys[path], (left - self.starts[path]).astype(np.uint64))
-        own[left] = place - np.log(np.exp(place - bounds[path]) - np.log(draw))
-        self.own = own
-        self.best = np.array([own[a:b].max() if b > a else -np.inf for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)])
+        self.log_p[sizes > 0] = sums[self.ends[sizes > 0] - 1]
+        spent = np.array([np.exp(lattices.log_q[t]).sum() if t else 0.0 for t in taken])
+        self.values, self.places = np.full((len(sizes), kept), -np.inf), np.zeros((len(sizes), kept), np.int64)
+        # A set lies at most GUMBEL_MOST above the log-probability of the path up to its piece, which only falls:
+        # the sets behind a piece are left out once the best ones before it lie higher than that.
+        path, low, width = np.flatnonzero(sizes > begins), begins, WINDOW
+        while len(path):
+            piece = low[path, None] + np.arange(width)
+            at = np.minimum(self.starts[path, None] + piece, len(edges) - 1)
+            here = logs[at]
+            share = -np.expm1(here)  # what is left beside the path's own edge
+            if low is begins:
+                share[:, 0] -= spent[path]
+            row, column = np.nonzero((share > 1e-12) & (piece < sizes[path, None]))
+            place = (sums[at] - here)[row, column] + np.log(share[row, column])
+            draw = np.minimum(_uniform(keys[path[row]], piece[row, column].astype(np.uint64)), 1 - 2.0**-53)
+            own = np.full(piece.shape, -np.inf)
+            own[row, column] = place - np.log(np.exp(place - bounds[path[row]]) - np.log(draw))
+            values, places = np.hstack([self.values[path], own]), np.hstack([self.places[path], piece])
+            best = np.argsort(-values, axis=1, kind="stable")[:, :kept]
+            self.values[path], self.places[path] = np.take_along_axis(values, best, 1), np.take_along_axis(places, best, 1)
+            low, width = low + width, 2 * width
+            path = path[low[path] < sizes[path]]
+            path = path[sums[self.starts[path] + low[path] - 1] + GUMBEL_MOST >= self.values[path, -1]]
+        self.next = np.zeros(len(sizes), np.int64)
+        self.best = self.values[:, 0].copy()
 
     def path(self, k: int) -> np.ndarray:
         return self.edges[self.starts[k]:self.ends[k]]
 
     def take(self, k: int) -> int:
         """The piece of the best open set of path k, which is open no longer."""
-        own = self.own[self.starts[k]:self.ends[k]]
-        t = int(own.argmax())
-        own[t] = -np.inf
-        self.best[k] = own.max()
-        return t
+        n = self.next[k]
+        self.next[k] = n + 1
+        self.best[k] = self.values[k, n + 1]
+        return int(self.places[k, n])
 
 
 class Sampler:
     """Distinct segmentations of texts."""
 
-    def __init__(self, path: str, samples: int = SAMPLES, seed: int = SEED):
-        self.pieces = Pieces(path)
+    def __init__(self, pieces: str | Pieces, samples: int = SAMPLES, seed: int = SEED):
+        """``pieces``: a model file, or what was made of it."""
+        self.pieces = Pieces(pieces) if isinstance(pieces, str) else pieces
         self.lattices = Lattices(self.pieces)
         self.samples, self.seed = samples, seed
 
@@ -392,85 +470,90 @@ class Sampler:
 
     def sample_group(self, texts: list[str], row_keys: list[int]) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """Per text up to ``samples`` of (token ids, log-probability, perturbed log-probability, log of the inclusion score), best first."""
-        starts = self.lattices.starts(texts)
+        starts, counts = self.lattices.starts(texts)
         seeds = _mixed(_mixed(np.array([k & MASK for k in row_keys], np.uint64) + ODD) + np.uint64(self.seed * int(ODD) & MASK))
-        everyone = np.arange(len(texts))
-        found = [self._first(starts, seeds, everyone)]
+        found = [self._first(starts, counts, seeds)]
+        ends = np.cumsum(counts).tolist()
         while len(found) < self.samples:
-            # the best open set of every text, over the paths found so far
-            chosen, parents = [], []
-            for text in range(len(texts)):
-                bound, parent = max((float(p.best[p.row[text]]), -n) for n, p in enumerate(found) if text in p.row)
-                if bound > -np.inf:
-                    chosen.append(text)
-                    parents.append((-parent, bound))
-            if not chosen:
+            best = self._best(found, len(texts))
+            chosen = np.flatnonzero(best.max(axis=0) > -np.inf)
+            if not len(chosen):
                 break
-            found.append(self._next(found, chosen, parents, starts, seeds, len(found)))
-        return [self._result(found, text) for text in range(len(texts))]
+            parents = best[:, chosen].argmax(axis=0)
+            found.append(self._next(found, chosen, parents, best[parents, chosen], starts, ends, seeds, len(found)))
+        return self._results(found, len(texts))
 
     @staticmethod
-    def _keys(seeds: np.ndarray, counts: list[int], stream: int) -> np.ndarray:
+    def _best(found: list[Paths], texts: int) -> np.ndarray:
+        """Bound of the best open set of every path found so far (rows) and text (columns)."""
+        best = np.full((len(found), texts), -np.inf)
+        for row, p in zip(best, found, strict=True):
+            row[p.texts] = p.best
+        return best
+
+    @staticmethod
+    def _keys(seeds: np.ndarray, counts: list[int] | np.ndarray, stream: int) -> np.ndarray:
         """A key per unit (counted from the text's end, so that it does not depend on what came before) of every text."""
         sizes = np.array(counts, np.int64)
         total = int(sizes.sum())
         from_end = np.repeat(np.cumsum(sizes), sizes) - np.arange(total)
         return _mixed(np.repeat(seeds, sizes) + np.uint64(stream * 0xD1B54A32D192ED03 & MASK) + from_end.astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
 
-    def _first(self, starts: list[np.ndarray], seeds: np.ndarray, texts: np.ndarray) -> Paths:
-        counts = [len(x) for x in starts]
-        path, pieces = self._walk(np.concatenate(starts), self._keys(seeds, counts, 0))
+    def _first(self, starts: np.ndarray, counts: np.ndarray, seeds: np.ndarray) -> Paths:
+        path, pieces = self._walk(starts, self._keys(seeds, counts, 0))
         sums = np.concatenate([[0], np.cumsum(pieces)])
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        sizes = np.diff(sums[edges])
+        sizes = np.diff(sums[np.cumsum(counts)], prepend=0)
         bounds = -np.log(-np.log(_uniform(_mixed(seeds + np.uint64(1)))))
-        return Paths(path, sizes, texts, bounds, np.zeros(len(texts), np.int64), [[] for _ in texts], self.lattices, _mixed(seeds + np.uint64(2)))
+        n = len(counts)
+        return Paths(path, sizes, np.arange(n), bounds, np.zeros(n, np.int64), [[] for _ in range(n)], self.lattices, _mixed(seeds + np.uint64(2)), self.samples)
 
-    def _next(self, found: list[Paths], chosen: list[int], parents: list[tuple[int, float]], starts: list[np.ndarray], seeds: np.ndarray,
-              n: int) -> Paths:
+    def _next(self, found: list[Paths], chosen: np.ndarray, parents: np.ndarray, bounds: np.ndarray, starts: np.ndarray, ends: list[int],
+              seeds: np.ndarray, n: int) -> Paths:
         """A path out of each chosen set: it leaves the parent at the set's piece by an edge not yet taken there."""
         lattices = self.lattices
         own_seeds = seeds[chosen]
         draws = _uniform(_mixed(own_seeds + np.uint64(3 * n)))
-        heads, rests, begins, takens = [], [], [], []
-        for (parent, _), text, draw in zip(parents, chosen, draws.tolist(), strict=True):
+        rows = [found[parent].row[text] for parent, text in zip(parents.tolist(), chosen.tolist(), strict=True)]
+        begins = [found[parent].take(k) for parent, k in zip(parents.tolist(), rows, strict=True)]
+        heads = [found[parent].path(k)[:t + 1] for parent, k, t in zip(parents.tolist(), rows, begins, strict=True)]
+        nodes = np.searchsorted(lattices.begin, np.array([head[-1] for head in heads], lattices.begin.dtype), "right") - 1
+        lows, highs = lattices.begin[nodes].tolist(), lattices.begin[nodes + 1].tolist()
+        ways, rests, takens = [], [], []
+        for parent, k, t, head, text, draw, low, high in zip(parents.tolist(), rows, begins, heads, chosen.tolist(), draws.tolist(), lows, highs, strict=True):
             p = found[parent]
-            k = p.row[text]
-            t = p.take(k)
-            path = p.path(k)
-            taken = [*(p.taken[k] if t == p.begins[k] else []), int(path[t])]
-            node = int(np.searchsorted(lattices.begin, path[t], "right")) - 1
-            edges = [e for e in range(int(lattices.begin[node]), int(lattices.begin[node + 1])) if e not in taken]
+            taken = [*(p.taken[k] if t == p.begins[k] else []), int(head[t])]
+            edges = [e for e in range(low, high) if e not in taken]
             running = np.cumsum(np.exp(lattices.log_q[edges]))
-            edge = edges[min(int(np.searchsorted(running, draw * running[-1], "right")), len(edges) - 1)]
-            done = int(p.finished[p.starts[k] + t - 1] - (p.finished[p.starts[k] - 1] if p.starts[k] else 0)) if t else 0
-            rest = starts[text][done + 1:]
+            edge = edges[min(int(running.searchsorted(draw * running[-1], "right")), len(edges) - 1)]
+            done = np.count_nonzero(lattices.target[head[:t]] < 0)
+            rest = starts[(ends[text - 1] if text else 0) + done + 1:ends[text]]
             if lattices.target[edge] >= 0:
-                rest = np.concatenate([lattices.target[edge:edge + 1].astype(np.int64), rest])
-            heads.append(np.append(path[:t], edge))
+                rest = np.concatenate([lattices.target[edge:edge + 1], rest])
+            ways.append([edge])
             rests.append(rest)
-            begins.append(t)
             takens.append(taken)
         counts = [len(x) for x in rests]
         tail, pieces = self._walk(np.concatenate(rests), self._keys(own_seeds, counts, n))
-        cuts = np.concatenate([[0], np.cumsum(pieces)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
-        paths = [np.concatenate([head, tail[a:b]]) for head, a, b in zip(heads, cuts, cuts[1:], strict=False)]
-        return Paths(np.concatenate(paths), np.array([len(x) for x in paths]), np.array(chosen), np.array([b for _, b in parents]),
-                     np.array(begins), takens, lattices, _mixed(own_seeds + np.uint64(3 * n + 1)))
+        cuts = np.concatenate([[0], np.cumsum(pieces)])[np.concatenate([[0], np.cumsum(counts)])]
+        path = np.concatenate([x for head, way, (a, b) in zip(heads, ways, pairwise(cuts.tolist()), strict=True) for x in (head[:-1], way, tail[a:b])])
+        return Paths(path, np.array(begins) + 1 + np.diff(cuts), chosen, bounds, np.array(begins), takens, lattices,
+                     _mixed(own_seeds + np.uint64(3 * n + 1)), self.samples)
 
-    def _result(self, found: list[Paths], text: int) -> list[tuple[np.ndarray, float, float, float]]:
+    def _results(self, found: list[Paths], texts: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
         lattices = self.lattices
-        mine = [(p, p.row[text]) for p in found if text in p.row]
-        threshold = max(float(p.best[k]) for p, k in mine)  # the bound of what would come next
-        out = []
-        for p, k in mine:
-            log_p = float(p.log_p[k])
-            x = min(log_p - threshold, 700.0)
-            inclusion = x if x < -30 else float(np.log(-np.expm1(-np.exp(x))))
-            ids = lattices.token[p.path(k)]
-            if len(ids) and ids.min() < 0:
-                ids = np.array([b for i in ids.tolist() for b in (lattices.long_tokens[-i - 1] if i < 0 else (i,))])
-            out.append((ids.astype(np.int32), log_p, float(p.bounds[k]), inclusion))
+        thresholds = self._best(found, texts).max(axis=0)  # the bound of what would come next
+        out = [[] for _ in range(texts)]
+        for p in found:
+            tokens = lattices.token[p.edges]
+            any_bytes = len(tokens) > 0 and tokens.min() < 0
+            inclusions = np.minimum(p.log_p - thresholds[p.texts], 700.0)
+            near = inclusions >= -30
+            inclusions[near] = np.log(-np.expm1(-np.exp(inclusions[near])))
+            for text, a, b, *values in zip(p.texts.tolist(), p.starts.tolist(), p.ends.tolist(), p.log_p.tolist(), p.bounds.tolist(), inclusions.tolist(), strict=True):
+                ids = tokens[a:b]
+                if any_bytes and b > a and ids.min() < 0:
+                    ids = np.array([b for i in ids.tolist() for b in (lattices.long_tokens[-i - 1] if i < 0 else (i,))], np.int32)
+                out[text].append((ids, *values))
         return out
 
 
@@ -491,8 +574,10 @@ def sampled_segmentations(docs: DataFrame, samples: int = SAMPLES, seed: int = S
               ("log_p", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64()), ("decoded_equal", pa.bool_())]
     schema = pa.schema(fields)
 
+    pieces = Pieces(_path(model))  # read once; travels with the job
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(_path(model), samples, seed)
+        sampler = Sampler(pieces, samples, seed)
         for batch in batches:
             group, size = [], 0
             for doc_id, text in rows_in(batch):
@@ -508,15 +593,14 @@ def sampled_segmentations(docs: DataFrame, samples: int = SAMPLES, seed: int = S
 
     def rows_of(sampler: Sampler, group: list[tuple]) -> pa.RecordBatch:
         sampled = sampler.sample_group([text for _, text in group], [doc_id or 0 for doc_id, _ in group])
-        rows = []
-        for (doc_id, text), found in zip(group, sampled, strict=True):
-            for n, (ids, log_p, bound, inclusion) in enumerate(found):
-                equal = sampler.pieces.decode(ids) == text
-                rows.append((doc_id, n + 1, ids, len(ids), xxh64_hexdigest(ids.tobytes()), log_p, bound, inclusion, equal))
-        columns = dict(zip(schema.names, zip(*rows, strict=True), strict=True))
-        ends = np.cumsum([0, *map(len, columns["ids"])]).astype(np.int32)
-        listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns["ids"]), pa.int32()))
-        return pa.RecordBatch.from_arrays([listed if f.name == "ids" else pa.array(list(columns[f.name]), type=f.type) for f in schema], schema=schema)
+        rows = [(doc_id, n + 1, text, *sample) for (doc_id, text), found in zip(group, sampled, strict=True) for n, sample in enumerate(found)]
+        doc_ids, numbers, texts, ids, log_p, perturbed, inclusion = zip(*rows, strict=True)
+        sizes, flat = [len(x) for x in ids], np.concatenate(ids)
+        listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(flat, pa.int32()))
+        hashes = [xxh64_hexdigest(x.tobytes()) for x in ids]
+        equal = sampler.pieces.decode_to(flat, sizes, texts)
+        columns = [doc_ids, numbers, listed, sizes, hashes, log_p, perturbed, inclusion, equal]
+        return pa.RecordBatch.from_arrays([c if c is listed else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     ddl = "doc_id bigint, sample int, ids array<int>, n_pieces bigint, ids_hash string, log_p double, perturbed double, log_inclusion double, decoded_equal boolean"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)
@@ -525,9 +609,9 @@ def sampled_segmentations(docs: DataFrame, samples: int = SAMPLES, seed: int = S
 def decoded_texts(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """``doc_id, sample, text`` of encoded rows (null ids: null)."""
     schema = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("text", pa.string())])
+    pieces = Pieces(_path(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(_path(model))
         for batch in batches:
             texts = [None if ids is None else pieces.decode(ids) for ids in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], schema=schema)

@@ -253,6 +253,33 @@ def test_pieces_of_a_text_with_characters_past_the_last_that_begins_a_piece():
     assert found == {(i, n, words[plain[i:i + n]]) for i in range(len(text)) for n in range(1, len(text) - i + 1) if plain[i:i + n] in words}
 
 
+def random_words(n, seed=3):
+    rng = np.random.default_rng(seed)
+    return ["".join(w) for w in rng.choice(list("abcdefghij"), (n, 9))]
+
+
+def test_sets_of_a_long_path_are_drawn_as_far_as_they_can_be_asked_for(monkeypatch):
+    pieces = piece_sampling.Pieces(public_tokenizers.path(piece_sampling.MODEL))
+    texts = [" ".join(random_words(2000)), "a", "the cat sat on"]
+    drawn, uniform = [], piece_sampling._uniform
+    monkeypatch.setattr(piece_sampling, "_uniform", lambda keys, step=0: drawn.append(np.size(keys)) or uniform(keys, step))
+    found = piece_sampling.Sampler(pieces).sample_group(texts, [1, 2, 3])
+    assert sum(drawn) < 1.2 * sum(len(x[0]) for rows in found for x in rows)  # before, a second one for every piece
+    monkeypatch.setattr(piece_sampling, "WINDOW", 1 << 16)  # all sets of all paths
+    for some, all_ in zip(found, piece_sampling.Sampler(pieces).sample_group(texts, [1, 2, 3]), strict=True):
+        assert [(x[0].tolist(), *x[1:]) for x in some] == [(x[0].tolist(), *x[1:]) for x in all_]
+
+
+def test_samples_do_not_depend_on_neighbours():
+    pieces = piece_sampling.Pieces(public_tokenizers.path(piece_sampling.MODEL))
+    texts = ["word", "", " a  b", "x ▁ y", "word word", "é\n😀t"]
+    together = piece_sampling.Sampler(pieces).sample_group(texts, list(range(6)))
+    for k in range(6):
+        for group in ([texts[k]], [texts[k], ""], ["", texts[k]]):
+            found = piece_sampling.Sampler(pieces).sample_group(group, [k] * len(group))[group.index(texts[k])]
+            assert [(x[0].tolist(), *x[1:]) for x in found] == [(x[0].tolist(), *x[1:]) for x in together[k]]
+
+
 def test_sampling_query_covers_all_documents(spark):
     rows = QUERIES["op4_piece_sampling"](spark, SF_DIR).collect()
     assert {r.doc_id for r in rows} == {d["doc_id"] for d in documents()} and all(r.decoded_equal for r in rows)
