@@ -40,7 +40,8 @@ CHARS_AT_ONCE = 500_000  # of texts whose units are compiled together
 CUT_BEFORE = "\n\t\r"
 # Signs before which a run of letters ends its unit, if no piece of the model has a letter right before them.
 CUT_BETWEEN = ",.;:!?|#$%&*"
-EDGES_KEPT = 6_400_000  # compiled edges a task keeps before it drops the words that came once only
+UNITS_AT_ONCE = 8192  # compiled together
+EDGES_KEPT = 3_200_000  # compiled edges a task keeps (24 bytes each) before it drops the words that came once only
 WINDOW = 48  # pieces of a path whose sets are drawn first
 GUMBEL_MOST = 37.5  # no Gumbel variable of a draw from ``_uniform`` below 1 is that far above its location
 
@@ -261,8 +262,8 @@ class Lattices:
         units, counts = self.pieces.units_of_words(words) if words else ([], np.zeros(0, np.int64))
         first = self.first
         new = list(dict.fromkeys(u for u in chain(units, *others) if u not in first))
-        if new:
-            self._compile(new)
+        for k in range(0, len(new), UNITS_AT_ONCE):
+            self._compile(new[k:k + UNITS_AT_ONCE])
         if words:
             number[fresh] = np.arange(len(known), len(known) + len(words))
             known.update(zip(words, number[fresh].tolist(), strict=True))

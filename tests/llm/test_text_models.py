@@ -280,6 +280,29 @@ def test_samples_do_not_depend_on_neighbours():
             assert [(x[0].tolist(), *x[1:]) for x in found] == [(x[0].tolist(), *x[1:]) for x in together[k]]
 
 
+def test_a_task_compiles_a_bounded_number_of_units_together(monkeypatch):
+    sizes, compile_ = [], piece_sampling.Lattices._compile
+    monkeypatch.setattr(piece_sampling.Lattices, "_compile", lambda self, units: sizes.append(len(units)) or compile_(self, units))
+    sampler = piece_sampling.Sampler(public_tokenizers.path(piece_sampling.MODEL))
+    sampler.sample(" ".join(random_words(20_000)), 1)
+    assert sum(sizes) > 19_000 and max(sizes) <= 8192  # before, all in one call
+    assert piece_sampling.EDGES_KEPT * 24 < 100e6
+
+
+def test_samples_are_the_same_after_rare_words_are_dropped(monkeypatch):
+    pieces = piece_sampling.Pieces(public_tokenizers.path(piece_sampling.MODEL))
+    common = random_words(40, 1)
+    texts = [" ".join(common[k % 7::3] + random_words(60, 9 + k)) for k in range(12)]
+    monkeypatch.setattr(piece_sampling, "EDGES_KEPT", 2500)
+    sampler, kept = piece_sampling.Sampler(pieces), []
+    drop = piece_sampling.Lattices._drop_rare
+    monkeypatch.setattr(piece_sampling.Lattices, "_drop_rare", lambda self: drop(self) or kept.append(len(self.words)))
+    for k, text in enumerate(texts):
+        mine, plain = sampler.sample(text, k), piece_sampling.Sampler(pieces).sample(text, k)
+        assert [(x[0].tolist(), *x[1:]) for x in mine] == [(x[0].tolist(), *x[1:]) for x in plain]
+    assert max(kept) > 0
+
+
 def test_sampling_query_covers_all_documents(spark):
     rows = QUERIES["op4_piece_sampling"](spark, SF_DIR).collect()
     assert {r.doc_id for r in rows} == {d["doc_id"] for d in documents()} and all(r.decoded_equal for r in rows)
